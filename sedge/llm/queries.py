@@ -7,19 +7,85 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import exact_dedup
+from sedge.llm import exact_dedup, packing, quality
 from sedge.llm.common import documents
 
 
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality.apply_policy(quality.evaluate(documents(spark, sf_dir)), quality.BASE, "base_kept")
+    return quality.apply_policy(ledger, quality.STANDARD).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "fail_bits",
+        (~F.col("base_kept")).alias("base_failed"),
+        "kept",
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.new_index(spark).ingest(documents(spark, sf_dir))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM d
+), wins AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5)
+), twice AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, p + unnest(range(0, 5)) AS q FROM twice) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS n_no_letter,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+  FROM w LEFT JOIN covered c USING (doc_id)
+), b AS (
+  SELECT *, CAST(
+      CASE WHEN n_words < 10 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN word_chars > 10 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 10 * n_no_letter > 3 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN 2 * n_upper > word_chars THEN 128 ELSE 0 END AS BIGINT) AS fail_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
+       fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept
+FROM b
+"""
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -31,5 +97,6 @@ FROM d JOIN g USING (h)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
