@@ -51,11 +51,12 @@ class ChunkTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
-            self.known = {"": b""}
-            new = set().union(*cut) - self.known.keys()
-        new = list(new)
+        distinct = set().union(*cut)
+        new = list(distinct - self.known.keys())
+        full = len(self.known) + len(new) > MEMORY
+        if full and 2 * len(new) > len(distinct):  # what is remembered no longer helps
+            self.known, full = {"": b""}, False
+            new = list(distinct - self.known.keys())
         known = self.known
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
@@ -63,7 +64,7 @@ class ChunkTokenizer:
                 known[chunk] = array("I", e.ids).tobytes()
         out = [b"".join([known[c] for c in chunks]) for chunks in cut]
         for c in new:
-            if len(c) > LONGEST:
+            if full or len(c) > LONGEST:
                 del known[c]
         return out
 
