@@ -45,15 +45,15 @@ def fingerprint(text: str, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row."""
+    """doc_id, h (a hash of the text) and fp (the fingerprint as a signed 64-bit number) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py() or "", width) for t in batch.column(1)]
+            values = [fingerprint(t.as_py() or "", width) for t in batch.column(2)]
             fps = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "h", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, fp bigint"
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("h"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id bigint, h bigint, fp bigint"
     )

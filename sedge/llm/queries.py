@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import exact_dedup, packing, quality
+from sedge.llm import bpe, exact_dedup, packing, quality, simhash
 from sedge.llm.common import documents
 
 
@@ -36,6 +36,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), width=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(
+        documents(spark, sf_dir), _tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.new_index(spark).ingest(documents(spark, sf_dir))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -44,6 +57,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
+    "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
