@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, exact_dedup, packing, quality, simhash
+from sedge.llm import bpe, chat, exact_dedup, licenses, packing, quality, simhash
 from sedge.llm.common import documents
 
 
@@ -17,6 +17,16 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.array_join("licences", ",").alias("licences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.size("sentence_ids").cast("long").alias("n_known"),
+        F.size("unmatched_ids").cast("long").alias("n_unmatched"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.apply_policy(quality.evaluate(documents(spark, sf_dir)), quality.BASE, "base_kept")
     return quality.apply_policy(ledger, quality.STANDARD).select(
@@ -54,14 +64,67 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.when(s["learn"], "1").otherwise("0")), "")
+    return chat.format_preferences(chat.pair_neighbours(conversations)).select(
+        "pair_id",
+        "n_chosen",
+        "n_rejected",
+        "n_common",
+        "prompt",
+        "chosen",
+        "rejected",
+        mask("chosen_segments").alias("chosen_mask"),
+        mask("rejected_segments").alias("rejected_mask"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_chat_format": op9_chat_format,
 }
 
+def _op1_sql() -> str:
+    known = ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items())
+    left, found = "array_to_string(list_transform(ids, lambda x: ';' || x || ';'), '')", []
+    steps, prior = [], "s"
+    for i, (licence, sequence) in enumerate(licenses.RULES):
+        pattern = "".join(f";{x};" for x in sequence)
+        steps.append(
+            f"r{i} AS (SELECT *, CASE WHEN contains(l{i}, '{pattern}') THEN '{licence}' END AS f{i}, "
+            f"replace(l{i}, '{pattern}', '||') AS l{i + 1} FROM {prior})"
+        )
+        prior = f"r{i}"
+        found.append(f"f{i}")
+    read = (
+        "list_filter(list_transform(list_filter({cut}, lambda x: regexp_matches(x, '(?i)licen[sc]|software|permi|"
+        "copyright|rights|redistribut|warrant|cc by|cc-by')), lambda x: MAP {{{known}}}"
+        "[trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), ' .')]), lambda x: x IS NOT NULL)"
+    )
+    lines = r"string_split_regex(regexp_replace(t, '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+')"
+    wrapped = (
+        r"string_split(regexp_replace(regexp_replace(t, '\r?\n[ \t]*\r?\n', chr(1), 'g'), '([.!?:;])[ \t\r\n]+', "
+        r"'\1' || chr(1), 'g'), chr(1))"
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (
+  SELECT doc_id, {read.format(cut=lines, known=known)} AS a, {read.format(cut=wrapped, known=known)} AS b FROM d
+), i AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM b),
+s AS (SELECT doc_id, ids, {left} AS l0 FROM i), {", ".join(steps)}
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{", ".join(found)}], lambda x: x IS NOT NULL))), ',')
+         AS licences, array_to_string(ids, ',') AS sentence_ids, CAST(len(ids) AS BIGINT) AS n_known,
+       CAST(len(list_filter(string_split_regex(l{len(licenses.RULES)}, '[;|]+'), lambda x: x <> '')) AS BIGINT)
+         AS n_unmatched
+FROM {prior}
+"""
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -111,7 +174,35 @@ SELECT doc_id, keep_id, group_size,
 FROM d JOIN g USING (h)
 """
 
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
+         CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS learn
+  FROM conversations
+), p AS (
+  SELECT pair_id, count(*) FILTER (chosen) AS n_chosen, count(*) FILTER (NOT chosen) AS n_rejected
+  FROM t GROUP BY pair_id
+), differ AS (
+  SELECT pair_id, min(i) AS i
+  FROM (SELECT pair_id, i FROM t GROUP BY pair_id, i, role, text HAVING count(DISTINCT chosen) < 2) GROUP BY pair_id
+), n AS (
+  SELECT p.*, CASE WHEN differ.i IS NULL THEN n_chosen ELSE differ.i - 1 END AS n_common
+  FROM p LEFT JOIN differ USING (pair_id)
+)
+SELECT n.pair_id, n_chosen, n_rejected, n_common,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (chosen AND i <= n_common), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (chosen AND i > n_common), '') AS chosen,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (NOT chosen AND i > n_common), '') AS rejected,
+       coalesce(string_agg(learn, '' ORDER BY i) FILTER (chosen AND i > n_common), '') AS chosen_mask,
+       coalesce(string_agg(learn, '' ORDER BY i) FILTER (NOT chosen AND i > n_common), '') AS rejected_mask
+FROM n JOIN t USING (pair_id) GROUP BY ALL
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _op1_sql(),
     "op2_quality_rules": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_chat_format": OP9_SQL,
 }
