@@ -175,9 +175,8 @@ class BytePairEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, order: list[str]) -> None:
         """Fill the memory with these chunks."""
-        order = list(chunks)
         cut = [self.pattern.findall(c) for c in order]
         distinct = list(set().union(*cut))
         ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
@@ -190,10 +189,10 @@ class BytePairEncoder:
         """For each text its ids, in decimal and joined by commas, and the bytes that they decode to."""
         cut = [self.chunks(t) if t else [] for t in texts]
         distinct = set().union(*cut)
-        new = distinct - self.ids.keys()
+        new = [c for c in distinct if c not in self.ids]
         full = len(self.ids) + len(new) > MEMORY
         if full and 2 * len(new) > len(distinct):  # what is remembered no longer helps
-            self.ids, self.back, new, full = {}, {}, distinct, False
+            self.ids, self.back, new, full = {}, {}, list(distinct), False
         self.learn(new)
         ids, back = self.ids, self.back
         out = [(b",".join([ids[c] for c in x]), b"".join([back[c] for c in x])) for x in cut]

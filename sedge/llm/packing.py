@@ -33,7 +33,7 @@ SCHEMA = (
     "sequence_id bigint, offset bigint"
 )
 #: A worker's memory of chunks and their ids: so many at most, none longer than so many characters.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 800_000, 48
 
 
 class ChunkTokenizer:
@@ -52,11 +52,10 @@ class ChunkTokenizer:
         """For each text its ids, as little-endian unsigned 32-bit numbers."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         distinct = set().union(*cut)
-        new = list(distinct - self.known.keys())
+        new = [c for c in distinct if c not in self.known]
         full = len(self.known) + len(new) > MEMORY
         if full and 2 * len(new) > len(distinct):  # what is remembered no longer helps
-            self.known, full = {"": b""}, False
-            new = list(distinct - self.known.keys())
+            self.known, new, full = {}, list(distinct), False
         known = self.known
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
