@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, simhash
+from sedge.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, simhash, substring
 from sedge.llm.common import documents
 
 
@@ -67,6 +67,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.new_index(spark).ingest(documents(spark, sf_dir))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
+    "op7_substring": op7_substring,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
 }
@@ -173,6 +178,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM b
 """
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), wins AS (
+  SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS lo FROM wins) WHERE lo < doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT q) AS q FROM (SELECT doc_id, p + unnest(range(0, 50)) AS q FROM later) GROUP BY doc_id
+), words AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS t
+  FROM words LEFT JOIN (SELECT doc_id, unnest(q) AS i, TRUE AS x FROM gone) g USING (doc_id, i)
+  WHERE x IS NULL GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(q), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -212,6 +239,7 @@ FROM n JOIN t USING (pair_id) GROUP BY ALL
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _op1_sql(),
     "op2_quality_rules": OP2_SQL,
+    "op7_substring": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
 }
