@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, simhash, substring
+from sedge.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, simhash, substring, suffix_array
 from sedge.llm.common import documents
 
 
@@ -92,6 +92,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.deduplicated(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring": op7_substring,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 def _op1_sql() -> str:
@@ -236,10 +241,38 @@ SELECT n.pair_id, n_chosen, n_rejected, n_common,
 FROM n JOIN t USING (pair_id) GROUP BY ALL
 """
 
+OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), wins AS (
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, 400)) AS g
+  FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)
+), twice AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS c FROM wins) WHERE c > 1
+), runs AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS opens
+  FROM twice
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 200 AS b
+  FROM (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM runs) GROUP BY doc_id, k
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+), heads AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+         string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN heads USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _op1_sql(),
     "op2_quality_rules": OP2_SQL,
     "op7_substring": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
+    "op10_suffix_array": OP10_SQL,
 }

@@ -18,7 +18,8 @@ whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ GRAM = 6
 LONGEST = 64
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
     """ord and h tell documents apart and put them in order, also where ids are null or repeated."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("ord"),
@@ -64,7 +65,7 @@ def _cut(text: str, window: int) -> list[tuple[int, int, int, int]]:
     return list(zip(minimiser.view(np.int64).tolist(), signed, start.tolist(), count.tolist(), strict=True))
 
 
-def _units(keyed: DataFrame, window: int) -> DataFrame:
+def _units(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -86,10 +87,10 @@ def _units(keyed: DataFrame, window: int) -> DataFrame:
                     names=["mini", "sk", "ord", "h", "start", "n"],
                 )
 
-    return keyed.mapInArrow(run, "mini bigint, sk bigint, ord bigint, h bigint, start int, n int")
+    return rows.mapInArrow(run, "mini bigint, sk bigint, ord bigint, h bigint, start int, n int")
 
 
-def _packed(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def _packed(rows_of: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of the wanted super-k-mers: mini, sk, lo, crowded, words. wanted: mini, sk, lo, h, start, n, crowded."""
     by_doc = wanted.groupBy(F.col("lo").alias("ord"), "h").agg(
         F.collect_list(F.struct("mini", "sk", "start", "n", "crowded")).alias("list")
@@ -111,7 +112,7 @@ def _packed(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
                 )
 
-    held = keyed.hint("merge").join(written(by_doc, "substring-wanted"), ["ord", "h"]).select("ord", "text", "list")
+    held = rows_of.hint("merge").join(written(by_doc, "substring-wanted"), ["ord", "h"]).select("ord", "text", "list")
     return held.mapInArrow(run, "mini bigint, sk bigint, lo bigint, crowded boolean, words binary")
 
 
@@ -137,19 +138,17 @@ def _bucket(group: list[tuple[int, int, bytes]], window: int) -> list[tuple[int,
     return [(*group[k][:2], a, b) for k, places in taken.items() for a, b in runs(np.array(sorted(places)))]
 
 
-def grouped(
-    batches: Iterator[pa.RecordBatch], columns: list[int], key: int = 0
-) -> Iterator[tuple[int, list[tuple]]]:
-    """(key, rows) of each run of one key in sorted batches; a run may go on in the next batch."""
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of each run of one key, the first n_keys columns, in sorted batches; a run may go on in the next
+    batch. The rows are of the other columns."""
     last, rows = None, []
     for batch in batches:
-        keys = batch.column(key).to_pylist()
-        for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
-            if k != last:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n_keys] != last:
                 if rows:
                     yield last, rows
-                last, rows = k, []
-            rows.append(row)
+                last, rows = row[:n_keys], []
+            rows.append(row[n_keys:])
     if rows:
         yield last, rows
 
@@ -165,7 +164,7 @@ def _in_buckets(packed: DataFrame, window: int) -> DataFrame:
                 names=["mini", "sk", "lo", "first", "last"],
             )
 
-        for mini, group in grouped(batches, [1, 2, 3]):
+        for (mini,), group in grouped(batches):
             out += [(mini, *r) for r in _bucket(group, window)]
             if len(out) > 20_000:
                 yield table()
@@ -223,9 +222,9 @@ def _by_digest(packed: DataFrame, window: int) -> DataFrame:
     )
 
 
-def removals(keyed: DataFrame, window: int, crowded: int) -> DataFrame:
+def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
     """ord, h, list: for each document with words to remove, the (first, last) windows to remove, in no order."""
-    units = written(_units(keyed, window), "substring-units")
+    units = written(_units(rows, window), "substring-units")
     shared = written(
         units.groupBy("mini")
         .agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
@@ -246,7 +245,7 @@ def removals(keyed: DataFrame, window: int, crowded: int) -> DataFrame:
         .select("mini", (F.col("kinds") > crowded).alias("crowded")),
         "substring-mixed",
     )
-    packed = written(_packed(keyed, kinds.hint("merge").join(mixed, "mini"), window), "substring-packed")
+    packed = written(_packed(rows, kinds.hint("merge").join(mixed, "mini"), window), "substring-packed")
     parts = _in_buckets(packed.where(~F.col("crowded")), window)
     hot = packed.where("crowded")
     if not mixed.where("crowded").isEmpty():
@@ -279,12 +278,9 @@ def _flags(n: int, windows: list[dict], window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_removals(
-    docs: DataFrame, window: int, crowded: int, columns: list[Column], run: Callable, schema: str
-) -> DataFrame:
-    """docs with columns `columns`, text, and the list of windows to remove (null: none), through run."""
-    ship(docs.sparkSession)
-    found = removals(_keyed(docs), window, crowded).select(F.col("ord").alias("__ord"), F.col("h").alias("__h"), "list")
+def joined_with(docs: DataFrame, found: DataFrame, columns: list[Column]) -> DataFrame:
+    """`columns` of docs, its text as __text, and the list that found (ord, h, list) has for it, or null."""
+    found = found.select(F.col("ord").alias("__ord"), F.col("h").alias("__h"), F.col("list").alias("__list"))
     held = docs.select(
         *columns,
         F.col("text").cast("string").alias("__text"),
@@ -292,9 +288,7 @@ def with_removals(
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__own_h"),
     )
     on = (F.col("__own_ord") == F.col("__ord")) & (F.col("__own_h") == F.col("__h"))
-    joined = held.hint("merge").join(found, on, "left")
-    names = [c for c in held.columns if c not in ("__own_ord", "__own_h")]
-    return joined.select(*names, "list").mapInArrow(run, schema)
+    return held.hint("merge").join(found, on, "left").drop("__own_ord", "__own_h", "__ord", "__h")
 
 
 def deduplicated(docs: DataFrame, window: int = 50, crowded: int = 128) -> DataFrame:
@@ -316,5 +310,48 @@ def deduplicated(docs: DataFrame, window: int = 50, crowded: int = 128) -> DataF
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return with_removals(docs, window, crowded, [F.col("doc_id").cast("bigint")], run, schema)
+    ship(docs.sparkSession)
+    found = removals(keyed(docs), window, crowded)
+    return joined_with(docs, found, [F.col("doc_id").cast("bigint")]).mapInArrow(
+        run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    )
+
+
+def without_repeats(docs: DataFrame, window: int = 50, crowded: int = 128) -> DataFrame:
+    """docs, with their columns, without the words to remove: each goes with the white space after it, and what is kept
+    stays as it was. n_chars, if there is such a column, is set anew for texts that changed."""
+    ship(docs.sparkSession)
+    names, fields = docs.columns, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, windows in zip(*(batch.column(c).to_pylist() for c in ("__text", "__list")), strict=True):
+                if windows:
+                    raw = text.encode()
+                    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+                    gone = _flags(len(spans), windows, window)
+                    begins = [0, *(a for a, _ in spans[1:]), len(raw)]  # white space before the first word stays with it
+                    text = b"".join(
+                        raw[begins[a] : begins[b + 1]] for a, b in runs(np.flatnonzero(~gone))
+                    ).decode()
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([bool(w) for w in batch.column("__list").to_pylist()])], names=[*keep, "__new", "__changed"])
+
+    keep = [f"__c{i}" for i in range(len(names))]
+    held = [F.col(f"`{c}`").alias(k) for c, k in zip(names, keep, strict=True) if c != "text"]
+    keep = [k for c, k in zip(names, keep, strict=True) if c != "text"]
+    shape = ", ".join(f"{k} {fields[c].dataType.simpleString()}" for c, k in zip([c for c in names if c != "text"], keep, strict=True))
+    found = removals(keyed(docs), window, crowded)
+    out = joined_with(docs, found, held).mapInArrow(run, f"{shape}, __new string, __changed boolean")
+    back = dict(zip([c for c in names if c != "text"], keep, strict=True))
+    columns = []
+    for c in names:
+        if c == "text":
+            columns.append(F.col("__new").alias(c))
+        elif c == "n_chars":
+            size = F.length("__new").cast(fields[c].dataType)
+            columns.append(F.when(F.col("__changed"), size).otherwise(F.col(back[c])).alias(c))
+        else:
+            columns.append(F.col(back[c]).alias(c))
+    return out.select(*columns)

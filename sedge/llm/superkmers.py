@@ -49,12 +49,22 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_kmers(
-    tokens: np.ndarray, window: int, gram: int, longest: int
+    tokens: np.ndarray, window: int, gram: int, longest: int, by_place: bool = False
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window and number of windows of each super-k-mer; at most `longest` windows in one."""
+    """Minimiser, first window and number of windows of each super-k-mer; at most `longest` windows in one.
+
+    By default windows go together if their minimisers are equal. With by_place they must also be at one place, the
+    first of the window; then no two windows of a super-k-mer are equal, as this place is further in for one.
+    """
     if len(tokens) < window:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    least = sliding_minimum(gram_hashes(tokens, gram), window - gram + 1)
+    grams = gram_hashes(tokens, gram)
+    if by_place:  # the place takes the low bits, and so decides between grams that are equal in the others
+        bits = np.uint64(int(len(grams)).bit_length())
+        marked = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+        least = sliding_minimum(marked, window - gram + 1)
+    else:
+        least = sliding_minimum(grams, window - gram + 1)
     starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     counts = np.diff(np.append(starts, len(least)))
     if counts.max() > longest:
@@ -62,7 +72,8 @@ def super_kmers(
         first = np.repeat(np.cumsum(parts) - parts, parts)
         starts = np.repeat(starts, parts) + (np.arange(parts.sum()) - first) * longest
         counts = np.diff(np.append(starts, len(least)))
-    return least[starts], starts, counts
+    minimisers = grams[(least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] if by_place else least[starts]
+    return minimisers, starts, counts
 
 
 def runs(places: np.ndarray) -> list[tuple[int, int]]:
