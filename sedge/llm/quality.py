@@ -165,11 +165,10 @@ def ablation(ledger: DataFrame, policy: Policy) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The rows of docs that the policy keeps, with their columns; the rules are evaluated beside them, without a join."""
-    return _beside(docs, policy)
-
-
-def _beside(docs: DataFrame, policy: Policy) -> DataFrame:
+    """The rows of docs that the policy keeps, with their columns. The rules are evaluated beside the row, which travels
+    where the id does, so nothing is joined."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    held = docs.select(row.alias("doc_id"), F.col("text"))  # the whole row travels where the id does
-    return apply_policy(evaluate(held), policy).where("kept").select("doc_id.*")
+    ledger = apply_policy(evaluate(docs.select(row.alias("doc_id"), F.col("text"))), policy)
+    # A row number keeps the condition above the measurements: pushed below them, it would hold all of them again.
+    numbered = ledger.withColumn("row_number", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("row_number") >= 0)).select("doc_id.*")
