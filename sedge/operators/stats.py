@@ -109,7 +109,7 @@ def chi_square(counts: DataFrame, by: list[str], plus: float = 0.0, yates: bool
     gap = F.when(small, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
     place = F.row_number().over(Window.partitionBy(*by).orderBy("value", "grp"))
     cells = cells.withColumn("part", gap * gap / F.col("e")).withColumn("place", place)
-    at = lambda k: F.max(F.when(F.col("place") == k, F.col("o"))) + 0.5
+    at = lambda k: F.max(F.when(F.col("place") == k, F.col("o"))) - plus + 0.5
     out = cells.groupBy(*by).agg(
         F.sum("part").alias("statistic"),
         F.max((F.col("r") - 1) * (F.col("c") - 1)).cast("long").alias("dof"),
