@@ -58,7 +58,7 @@ def contingency_table(spark, d):
 
 
 def _p_family(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderkey") < 2000)
+    o = table(spark, d, "orders")
     return o.select(
         (F.col("o_orderkey") % 5).alias("family"),
         F.col("o_orderkey").alias("test"),
@@ -193,7 +193,7 @@ def _adjust_sql(method: str) -> str:
     }[method]
     return (
         "WITH f AS (SELECT o_orderkey % 5 AS family, o_orderkey AS test, CAST((CAST(o_totalprice AS DECIMAL(18, 2)) * 100) % 9973 "
-        "AS DOUBLE) / 9973 AS p_value FROM orders WHERE o_orderkey < 2000), k AS (SELECT *, row_number() OVER (PARTITION BY "
+        "AS DOUBLE) / 9973 AS p_value FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY "
         "family ORDER BY p_value, test) AS k, count(*) OVER (PARTITION BY family) AS n FROM f), h AS (SELECT *, "
         "list_sum(list_transform(range(1, n + 1), lambda i: 1.0::DOUBLE / i)) AS h FROM k), a AS (SELECT *, "
         f"least({raw}, 1.0) AS adj FROM h) SELECT family, test, round(p_value, 9) AS p_value, round(adj, 9) AS adj_p, "
