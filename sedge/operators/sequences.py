@@ -30,9 +30,10 @@ def gc_share(sequence: Column) -> Column:
 
 def kmer_counts(rows: DataFrame, k: int, sequence: str = "sequence", by: list[str] | None = None) -> DataFrame:
     """Counts of all runs of k characters, within `by`: summed up in each task before the shuffle."""
-    last = F.length(sequence) - k + 1
-    kmers = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(sequence), i, F.lit(k))))
-    return rows.select(*(by or []), F.explode(kmers).alias("kmer")).groupBy(*(by or []), "kmer").agg(F.count(F.lit(1)).alias("n"))
+    letters = rows.select(*(by or []), F.split(F.col(sequence), "").alias("__c")).where(F.size("__c") >= k)
+    at = lambda i: F.concat(*(F.get(F.col("__c"), i + j) for j in range(k)))
+    kmers = F.transform(F.sequence(F.lit(0), F.size("__c") - k), at)
+    return letters.select(*(by or []), F.explode(kmers).alias("kmer")).groupBy(*(by or []), "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def structure(c: Column) -> Column:

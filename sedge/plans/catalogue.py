@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sedge.plans import selection, stats, tables, uncertainty
+from sedge.plans import selection, stats, tables, uncertainty, workflows
 
-PARTS = (uncertainty, stats, tables, selection)
+PARTS = (uncertainty, stats, tables, selection, workflows)
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
