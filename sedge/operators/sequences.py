@@ -38,7 +38,7 @@ def kmer_counts(rows: DataFrame, k: int, sequence: str = "sequence", by: list[st
 
 def structure(c: Column) -> Column:
     """A line of sequence, dot-bracket string and energy as a struct; null fields if it is none."""
-    pattern = r"^([A-Za-z]+)([.()]+)[ (]+(-?[0-9.]+)\)?$"
+    pattern = r"^([A-Za-z]+)([.()]+)[ (]*(-?[0-9.]+)\)?$"
     part = lambda i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     return F.struct(part(1).alias("rna"), part(2).alias("ss"), part(3).try_cast("double").alias("mfe"))
 
