@@ -6,8 +6,8 @@
    removed, which needs no look at single windows.
 4. Where different super-k-mers share a minimiser, they may share windows. Each travels once, as one packed string, to
    the bucket of its minimiser, where sorting all windows finds equal ones and the smallest document of each.
-   A minimiser with more than `crowded` different super-k-mers has no bucket: their windows are counted by digest in a
-   grouped aggregation, which combines before the shuffle and which no single minimiser can fill.
+   A minimiser with more than `crowded` different super-k-mers has several buckets of about that size, which compare
+   their windows by digests in packed portions; no task ever gathers all of one minimiser.
 5. The places to remove go to their documents.
 
 Defined results: a null text has no words; a null doc_id is smaller than any other; documents of one doc_id are not
@@ -91,11 +91,11 @@ def _units(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _packed(rows_of: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted super-k-mers: mini, sk, lo, crowded, words. wanted: mini, sk, lo, h, start, n, crowded."""
+    """The words of the wanted super-k-mers: mini, sk, lo, shards, words. wanted: mini, sk, lo, h, start, n, shards."""
     by_doc = wanted.groupBy(F.col("lo").alias("ord"), "h").agg(
-        F.collect_list(F.struct("mini", "sk", "start", "n", "crowded")).alias("list")
+        F.collect_list(F.struct("mini", "sk", "start", "n", "shards")).alias("list")
     )
-    names = ["mini", "sk", "lo", "crowded", "words"]
+    names = ["mini", "sk", "lo", "shards", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +106,14 @@ def _packed(rows_of: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     for x in wanted_here:
                         a = x["start"]
                         own = b" ".join(words[a : a + x["n"] + window - 1])
-                        rows.append((x["mini"], x["sk"], lo, x["crowded"], own))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                        rows.append((x["mini"], x["sk"], lo, x["shards"], own))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
                 )
 
     held = rows_of.hint("merge").join(written(by_doc, "substring-wanted"), ["ord", "h"]).select("ord", "text", "list")
-    return held.mapInArrow(run, "mini bigint, sk bigint, lo bigint, crowded boolean, words binary")
+    return held.mapInArrow(run, "mini bigint, sk bigint, lo bigint, shards int, words binary")
 
 
 def _windows(words: bytes, window: int) -> list[bytes]:
@@ -153,73 +153,135 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[tupl
         yield last, rows
 
 
+FOUND = "mini bigint, sk bigint, lo bigint, first int, last int"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+        names=["mini", "sk", "lo", "first", "last"],
+    )
+
+
 def _in_buckets(packed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
-        def table() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
-                names=["mini", "sk", "lo", "first", "last"],
-            )
-
         for (mini,), group in grouped(batches):
             out += [(mini, *r) for r in _bucket(group, window)]
             if len(out) > 20_000:
-                yield table()
+                yield _found(out)
                 out = []
         if out:
-            yield table()
+            yield _found(out)
 
     return (
         packed.select("mini", "sk", "lo", "words")
         .repartition("mini")
         .sortWithinPartitions("mini")
-        .mapInArrow(run, "mini bigint, sk bigint, lo bigint, first int, last int")
+        .mapInArrow(run, FOUND)
     )
 
 
-def _by_digest(packed: DataFrame, window: int) -> DataFrame:
-    """The same for crowded minimisers, without buckets: each window is a row with a 128-bit digest."""
+def _records(lowest: dict[bytes, int]) -> bytes:
+    """Digests and documents, 24 bytes each."""
+    return b"".join(d + lo.to_bytes(8, "big", signed=True) for d, lo in sorted(lowest.items()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for batch in batches:
-            for mini, sk, lo, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digests = [xxhash.xxh3_128_digest(w) for w in _windows(words, window)]
-                n = len(digests)
+def _read(records: bytes) -> Iterator[tuple[bytes, int]]:
+    for i in range(0, len(records), 24):
+        yield records[i : i + 16], int.from_bytes(records[i + 16 : i + 24], "big", signed=True)
+
+
+def _digests(words: bytes, window: int) -> list[bytes]:
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(w) for w in _windows(words, window)]
+
+
+def _own_lowest(group: list[tuple], window: int) -> dict[bytes, int]:
+    """group: (..., lo, words). The smallest document of each different window."""
+    lowest: dict[bytes, int] = {}
+    for *_, lo, words in group:
+        for d in _digests(words, window):
+            if lowest.setdefault(d, lo) > lo:
+                lowest[d] = lo
+    return lowest
+
+
+def _across_shards(crowded: DataFrame, window: int) -> DataFrame:
+    """The same for crowded minimisers. Their super-k-mers are dealt into shards of a bounded size. A shard hands out its
+    different windows, each once and with the smallest document of the shard, in packed portions by digest; merge tasks,
+    each for one portion of all shards, tell a shard where another has a smaller document; and the shard, given that,
+    finds the windows to remove."""
+    keyed_by = "mini bigint, part int, shard int, records binary"
+
+    def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (mini, shard, shards), group in grouped(batches, 3):
+            portions: dict[int, dict[bytes, int]] = {}
+            for d, lo in _own_lowest(group, window).items():
+                portions.setdefault(int.from_bytes(d[:8]) % shards, {})[d] = lo
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([mini] * len(portions), pa.int64()),
+                    pa.array(portions.keys(), pa.int32()),
+                    pa.array([shard] * len(portions), pa.int32()),
+                    pa.array(map(_records, portions.values()), pa.binary()),
+                ],
+                names=["mini", "part", "shard", "records"],
+            )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (mini, _), group in grouped(batches, 2):
+            lowest: dict[bytes, int] = {}
+            for _, records in group:
+                for d, lo in _read(records):
+                    if lowest.setdefault(d, lo) > lo:
+                        lowest[d] = lo
+            told = [(shard, {d: lowest[d] for d, lo in _read(records) if lowest[d] < lo}) for shard, records in group]
+            told = [(shard, x) for shard, x in told if x]
+            if told:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(digests, pa.binary()),
-                        pa.array([lo] * n, pa.int64()),
-                        pa.array([mini] * n, pa.int64()),
-                        pa.array([sk] * n, pa.int64()),
-                        pa.array(range(n), pa.int32()),
+                        pa.array([mini] * len(told), pa.int64()),
+                        pa.array([shard for shard, _ in told], pa.int32()),
+                        pa.array([_records(x) for _, x in told], pa.binary()),
                     ],
-                    names=["digest", "lo", "mini", "sk", "j"],
+                    names=["mini", "shard", "bytes"],
                 )
 
-    each = written(
-        packed.select("mini", "sk", "lo", "words").mapInArrow(
-            run, "digest binary, lo bigint, mini bigint, sk bigint, j int"
-        ),
-        "substring-windows",
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (mini, _), group in grouped(batches, 2):
+            own = [x for x in group if x[0] is not None]
+            lowest = _own_lowest(own, window)
+            for sk, _, records in group:
+                if sk is None:
+                    lowest.update(_read(records))
+            rows = []
+            for sk, lo, words in own:
+                places = [j for j, d in enumerate(_digests(words, window)) if lowest[d] < lo]
+                rows += [(mini, sk, lo, a, b) for a, b in runs(np.array(places))]
+            if rows:
+                yield _found(rows)
+
+    handed = written(
+        crowded.select("mini", "shard", "shards", "lo", "words")
+        .repartition("mini", "shard")
+        .sortWithinPartitions("mini", "shard")
+        .mapInArrow(hand_out, keyed_by),
+        "substring-handed",
     )
-    lowest = written(
-        each.groupBy("digest")
-        .agg(F.min("lo").alias("lowest"), F.max("lo").alias("highest"))
-        .where(F.col("lowest") < F.col("highest"))
-        .select("digest", "lowest"),
-        "substring-lowest",
+    told = (
+        handed.repartition("mini", "part")
+        .sortWithinPartitions("mini", "part")
+        .mapInArrow(merge, "mini bigint, shard int, bytes binary")
     )
-    return (
-        each.hint("merge")
-        .join(lowest, "digest")
-        .where(F.col("lo") > F.col("lowest"))
-        .select("mini", "sk", "lo", F.col("j").alias("first"), F.col("j").alias("last"))
+    none = F.lit(None).cast("bigint")
+    both = told.select("mini", "shard", none.alias("sk"), none.alias("lo"), "bytes").unionByName(
+        crowded.select("mini", "shard", "sk", "lo", F.col("words").alias("bytes"))
     )
+    return both.repartition("mini", "shard").sortWithinPartitions("mini", "shard").mapInArrow(find, FOUND)
 
 
 def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
@@ -242,14 +304,15 @@ def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
         kinds.groupBy("mini")
         .agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("a"), F.max("lo").alias("b"))
         .where(F.col("a") < F.col("b"))
-        .select("mini", (F.col("kinds") > crowded).alias("crowded")),
+        .select("mini", F.ceil(F.col("kinds") / crowded).cast("int").alias("shards")),
         "substring-mixed",
     )
     packed = written(_packed(rows, kinds.hint("merge").join(mixed, "mini"), window), "substring-packed")
-    parts = _in_buckets(packed.where(~F.col("crowded")), window)
-    hot = packed.where("crowded")
-    if not mixed.where("crowded").isEmpty():
-        parts = parts.unionByName(_by_digest(hot, window))
+    many = F.col("shards") > 1
+    parts = _in_buckets(packed.where(~many), window)
+    if not mixed.where(many).isEmpty():
+        shard = F.pmod(F.xxhash64("sk"), F.col("shards")).cast("int")
+        parts = parts.unionByName(_across_shards(packed.where(many).withColumn("shard", shard), window))
     parts = written(parts, "substring-parts")
     # The owner of a super-k-mer loses the windows found above; documents after it lose all of them.
     of_kind = kinds.select("mini", "sk", "lo")
