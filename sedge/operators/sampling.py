@@ -66,7 +66,7 @@ def one_per_group(rows: DataFrame, key: str, group: str, seed: int = 42) -> Data
     """One row of each group, the first in hash order."""
     first = F.min(F.struct(order_of(key, seed).alias("h"), F.col(key).alias("k")))
     chosen = rows.groupBy(group).agg(first.alias("f")).select(group, F.col("f.k").alias(key))
-    return rows.join(chosen, [group, key], "left_semi")
+    return rows.join(chosen, [group, key], "left_semi").dropDuplicates([group])  # rows may repeat the key
 
 
 def some_groups(rows: DataFrame, key: str, group: str, n: int, seed: int = 42) -> DataFrame:

@@ -177,6 +177,13 @@ def jointly_adjusted(tables: dict[str, DataFrame], p: str = "p_value", method: s
     return adjusted(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), p, None, method, alpha)
 
 
+def pooled_adjusted(wide: DataFrame, key: str, columns: list[str], method: str = "fdr_bh", alpha: float = 0.01) -> DataFrame:
+    """One family over several p-value columns of a table: key and, for each column, its adjusted value {c}_adj."""
+    long = wide.unpivot([key], columns, "column", "p_value")
+    done = adjusted(long, "p_value", None, method, alpha, order=["column", key])
+    return done.groupBy(key).agg(*(F.max(F.when(F.col("column") == c, F.col("adj_p"))).alias(f"{c}_adj") for c in columns))
+
+
 def contrast_tests(rows: DataFrame, contrasts: DataFrame, more_than: int = 50) -> DataFrame:
     """Mann-Whitney of every contrast (name, g1, g2) of group labels for every feature, for groups of more than
     `more_than` rows: statistic, vda, medians, size of the effect relative to its spread over the contrast's features

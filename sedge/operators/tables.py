@@ -198,3 +198,23 @@ def nearest(rows: DataFrame, dates: DataFrame, on: str, date: str, value: str, m
     best = F.array_min(F.transform("__dates", lambda x: F.struct(gap(x).alias("gap"), x["d"].alias("d"), x["v"].alias("v"))))
     met = rows.withColumn("__on", F.lit(1)).join(F.broadcast(table), "__on")  # one row
     return met.withColumn(value, F.when(F.col(on).isNotNull(), best["v"])).drop("__on", "__dates")
+
+
+def profiles(picks: DataFrame, sources: dict[str, DataFrame | None], key: str) -> DataFrame:
+    """Picked ids with what each source says of them, its columns with its name before them; a source that is not there
+    gives no columns."""
+    out = picks
+    for name, rows in sources.items():
+        if rows is not None:
+            out = out.join(rows.withColumnsRenamed({c: f"{name}_{c}" for c in rows.columns if c != key}), key, "left")
+    return out
+
+
+def summary(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n, mean, std, min, quartiles and max of each column."""
+    long = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "v")
+    q = lambda s: F.percentile("v", F.lit(s))
+    return long.groupBy("column").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
+        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("v").alias("max"),
+    )
