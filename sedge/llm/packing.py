@@ -33,7 +33,7 @@ SCHEMA = (
     "sequence_id bigint, offset bigint"
 )
 #: A worker's memory of chunks and their ids: so many at most, none longer than so many characters.
-MEMORY, LONGEST = 800_000, 48
+MEMORY, LONGEST = 300_000, 48
 
 
 class ChunkTokenizer:

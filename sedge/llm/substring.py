@@ -386,28 +386,32 @@ def without_repeats(docs: DataFrame, window: int = 50, crowded: int = 128) -> Da
     ship(docs.sparkSession)
     names, fields = docs.columns, docs.schema
 
+    def cut(text: str, windows: list[dict]) -> str:
+        raw = text.encode()
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        gone = _flags(len(spans), windows, window)
+        begins = [0, *(a for a, _ in spans[1:]), len(raw)]  # white space before the first word stays with it
+        return b"".join(raw[begins[a] : begins[b + 1]] for a, b in runs(np.flatnonzero(~gone))).decode()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, windows in zip(*(batch.column(c).to_pylist() for c in ("__text", "__list")), strict=True):
-                if windows:
-                    raw = text.encode()
-                    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-                    gone = _flags(len(spans), windows, window)
-                    begins = [0, *(a for a, _ in spans[1:]), len(raw)]  # white space before the first word stays with it
-                    text = b"".join(
-                        raw[begins[a] : begins[b + 1]] for a, b in runs(np.flatnonzero(~gone))
-                    ).decode()
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([bool(w) for w in batch.column("__list").to_pylist()])], names=[*keep, "__new", "__changed"])
-
-    keep = [f"__c{i}" for i in range(len(names))]
-    held = [F.col(f"`{c}`").alias(k) for c, k in zip(names, keep, strict=True) if c != "text"]
-    keep = [k for c, k in zip(names, keep, strict=True) if c != "text"]
-    shape = ", ".join(f"{k} {fields[c].dataType.simpleString()}" for c, k in zip([c for c in names if c != "text"], keep, strict=True))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, found = part.column("__text").to_pylist(), part.column("__list").to_pylist()
+                new = [cut(t, w) if w else t for t, w in zip(texts, found, strict=True)]
+                changed = pa.array([bool(w) for w in found])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), pa.array(new, pa.string()), changed],
+                    names=[*keep, "__new", "__changed"],
+                )
+
+    others = [c for c in names if c != "text"]
+    keep = [f"__c{i}" for i in range(len(others))]
+    back = dict(zip(others, keep, strict=True))
+    held = [F.col(f"`{c}`").alias(back[c]) for c in others]
+    shape = ", ".join(f"{back[c]} {fields[c].dataType.simpleString()}" for c in others)
     found = removals(keyed(docs), window, crowded)
     out = joined_with(docs, found, held).mapInArrow(run, f"{shape}, __new string, __changed boolean")
-    back = dict(zip([c for c in names if c != "text"], keep, strict=True))
     columns = []
     for c in names:
         if c == "text":
