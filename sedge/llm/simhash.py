@@ -13,6 +13,13 @@ fingerprints about it, however large the bucket is.
 
 Links are made between distinct fingerprints only; copies never multiply them.
 
+Texts whose sets of shingles have a similarity (Jaccard) of 0.8 differ in about 15 % of all bits, so segments that are
+equal, or within a small ball, would take hundreds of keys a document. Where such similarities count (keep_one, the
+pipeline's stage), similar_links() takes the links above as candidates, and more that share a key of a min-wise sample
+of the shingles (fingerprint.sample_keys). They are verified by the complete distance of 2048-bit fingerprints, and by the shingles themselves
+where that is about the limit. Members of a key with more than a few of them are compared with two of its members only,
+so no pairs of a large group are made.
+
 Defined results: a null text has no words and fingerprint zero, and so has any text without words; fingerprints of
 equal texts are equal, so rows repeated, or with equal ids, come out alike; a null doc_id is kept as null, and a
 component in which all ids are null has a null component_id; an empty table gives an empty result.
@@ -20,12 +27,14 @@ component in which all ids are null has a null component_id; an empty table give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.common import written
 from sedge.llm.components import components
-from sedge.llm.fingerprint import fingerprints
+from sedge.llm.fingerprint import WIDE_BITS, fingerprints, shingle_sets, wide_fingerprints
 
 #: Fixed by the two halves: three bits cannot put two into both.
 MOST_BITS = 3
@@ -103,12 +112,72 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, crowded: int = 64) -> DataFrame:
+def wide_bits(similarity: float) -> tuple[int, int]:
+    """Bits in which wide fingerprints of that similarity differ at least and at most, but for a pair of a thousand."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = 3 * math.sqrt(WIDE_BITS * p * (1 - p))
+    return math.floor(WIDE_BITS * p - spread), math.ceil(WIDE_BITS * p + spread)
+
+
+def _candidates(rows: DataFrame, small: int) -> DataFrame:
+    """u and v that share a key: all pairs of a key of `small` fingerprints at most; of larger keys, each of its
+    fingerprints with the smallest and the largest."""
+    keyed = written(rows.select("fp", F.posexplode("keys").alias("s", "key")).distinct(), "simhash-keyed")
+    on = ["s", "key"]
+    shared = keyed.groupBy(on).agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = written(shared.where("n > 1"), "simhash-shared")
+    met = written(keyed.hint("merge").join(shared, on), "simhash-met")
+    few, many = met.where(F.col("n") <= small).select("fp", *on), met.where(F.col("n") > small)
+    return (
+        few.hint("merge")
+        .join(few.withColumnRenamed("fp", "y"), on)
+        .where("fp < y")
+        .select("fp", "y")
+        .unionByName(many.select("fp", F.col("low").alias("y")))
+        .unionByName(many.select("fp", F.col("high").alias("y")))
+        .where("fp <> y")
+        .select(*_pair(F.col("fp"), F.col("y")))
+        .distinct()
+    )
+
+
+def _beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """pairs with the value of u as a and that of v as b."""
+    for end, to in (("u", "a"), ("v", "b")):
+        pairs = pairs.hint("merge").join(values.select(F.col("fp").alias(end), F.col(name).alias(to)), end)
+    return pairs
+
+
+def similar_links(
+    docs: DataFrame, rows: DataFrame, near64: DataFrame, width: int, similarity: float, small: int = 16
+) -> DataFrame:
+    """u and v: links between fingerprints of docs whose sets of shingles are that similar. rows: their
+    wide_fingerprints(); near64: their links(). Candidates far from the limit are settled by the distance, those about
+    it by the sets."""
+    pairs = written(_candidates(rows, small).unionByName(near64).distinct(), "simhash-pairs")
+    wide = written(rows.groupBy("fp").agg(F.min(F.struct("h", "wide")).alias("w")).select("fp", "w.*"), "simhash-wide")
+    bits = F.aggregate(F.zip_with("a", "b", _distance), F.lit(0), lambda x, y: x + y)
+    least, most = wide_bits(similarity)
+    near = written(_beside(pairs, wide, "wide").select("u", "v", bits.alias("bits")).where(F.col("bits") <= most), "simhash-near")
+    border = near.where(F.col("bits") >= least).select("u", "v")
+    asked = border.select(F.col("u").alias("fp")).union(border.select("v")).distinct().join(wide.select("fp", "h"), "fp")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(asked, "h").select("fp", "text")
+    sets = written(shingle_sets(texts, width).dropDuplicates(["fp"]), "simhash-sets")
+    common = F.size(F.array_intersect("a", "b"))
+    exact = _beside(border, sets, "shingles").where(common >= similarity * (F.size("a") + F.size("b") - common))
+    return near.where(F.col("bits") < least).select("u", "v").unionByName(exact.select("u", "v"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, crowded: int = 64, similarity: float | None = None) -> DataFrame:
     """doc_id, h (a hash of the text), fp, root (a fingerprint that stands for the component) and component_id, the
-    smallest doc_id that the row's fingerprint reaches, for each row of docs."""
-    rows = written(fingerprints(docs, width), "simhash-rows")
+    smallest doc_id that the row's fingerprint reaches, for each row of docs. With a similarity, links are those between
+    texts whose sets of shingles are that similar, and no others but between equal fingerprints."""
+    rows = written((fingerprints if similarity is None else wide_fingerprints)(docs, width), "simhash-rows")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
-    roots = components(links(fps.select("fp"), crowded)).withColumnRenamed("node", "fp")
+    found = links(fps.select("fp"), crowded)
+    if similarity is not None:
+        found = similar_links(docs, rows, found, width, similarity)
+    roots = components(found).withColumnRenamed("node", "fp")
     known = written(
         fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots"
     )
@@ -117,10 +186,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, crowded: int = 64) -> DataF
     return rows.hint("merge").join(labels, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row of each component of near duplicates, with its columns: the one of the smallest doc_id, nulls last; of
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of near duplicates and similar texts, with its columns: the one of the smallest doc_id, nulls last; of
     rows with that doc_id, the one whose text has the smallest hash; of equal ones, any one."""
-    found = near_duplicates(docs, width).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    found = near_duplicates(docs, width, similarity=similarity).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     first = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "n")).alias("w"))
     first = first.select(
         F.col("w.doc_id").alias("__id"), F.col("w.h").alias("__h"), F.col("w.n").alias("__n"), F.col("root").alias("__root")

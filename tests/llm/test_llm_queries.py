@@ -16,7 +16,7 @@ from sedge.llm import bpe, queries
 from sedge.llm.common import documents, scratch_root
 from test_packing import check
 from test_quality import brute as measure
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_components, brute_fingerprint, brute_similar
 from test_substring import brute_words
 
 
@@ -77,12 +77,8 @@ def test_pipeline(spark, tmp_path):
     for i, t in left:
         groups[t.encode().lower()].append((i, t))
     left = [max(g) for g in groups.values()]
-    fps = {i: brute_fingerprint(t, 5) for i, t in left}
-    comp = brute_components(set(fps.values()))
-    least = {}
-    for i, f in fps.items():
-        least[comp[f]] = min(i, least.get(comp[f], i))
-    left = [(i, t) for i, t in left if least[comp[fps[i]]] == i]
+    least = brute_similar(left)
+    left = [(i, t) for i, t in left if least[i] == i]
     digests = {i: d for i, _, _, d in brute_words(left, 50)}
     docs = spark.createDataFrame(rows, columns)
     for _, stage in corpus_pipeline.STAGES[:-1]:
