@@ -107,7 +107,8 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     if full.isEmpty():
         return _verified(probes, table)
     on = ["s", "half"]
-    return _verified(probes.join(full, on, "left_anti"), table.join(full, on, "left_anti")).unionByName(
+    # probes of crowded buckets find nothing in what is left of the table, so they need no join of their own
+    return _verified(probes, table.join(full, on, "left_anti")).unionByName(
         _crowded_links(probes.join(full, on), table.join(full, on))
     )
 
