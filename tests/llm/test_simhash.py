@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sedge.llm import simhash
 from sedge.llm.components import components
-from sedge.llm.fingerprint import bit_counts
+from sedge.llm.fingerprint import bit_counts, sample_keys, shingle_hashes
 
 
 def brute_fingerprint(text, width):
@@ -122,6 +122,44 @@ def test_keep_one_of_similar_texts(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(least.values()))
 
 
+def changed(words, changes):
+    """Other words at so many places, five or more from each other."""
+    text, at = list(words), random.sample(range(len(words) // 5), changes)
+    for i in at:
+        text[5 * i + 2] = f"x{random.randrange(10**9)}"
+    return " ".join(text)
+
+
+def test_keep_one_of_stars(spark):
+    """Copies that are 0.8 like their original, and less than that like each other. All share a sample's key with it, as
+    but a few of a thousand do: what is tested is that large keys miss none."""
+    random.seed(8)
+    rows, originals = [], []
+    for copies, changes in [(60, 3), (60, 4), (300, 3), (300, 4)]:
+        base = [f"w{random.randrange(10**9)}" for _ in range(200)]
+        keys = lambda text: set(enumerate(sample_keys(np.unique(shingle_hashes(text, 5)))))
+        texts = [t for t in (changed(base, changes) for _ in range(copies + 9)) if keys(t) & keys(" ".join(base))]
+        originals.append(len(rows))
+        rows += [" ".join(base), *texts[:copies]]
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id bigint, text string")
+    assert len(rows) == 724
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == originals
+
+
+def test_keep_one_of_stars_in_one_key(spark):
+    """Several originals with a long passage in common, so that the crowded keys are of several stars."""
+    random.seed(5)
+    passage, rows = [f"p{random.randrange(10**9)}" for _ in range(150)], []
+    for _ in range(6):
+        base = [*passage, *(f"w{random.randrange(10**9)}" for _ in range(50))]
+        rows += [" ".join(base), *(changed(base, 3) for _ in range(25))]
+    rows = [*enumerate(rows)]
+    least = brute_similar(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(set(least.values())) == 6
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(least.values()))
+
+
 def test_wide_counts():
     x = np.random.default_rng(3).integers(0, 2**63, (1001, 3), dtype=np.uint64)
     bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
