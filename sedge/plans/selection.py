@@ -171,6 +171,11 @@ def sequence_filters(spark, d):
     return Q.usable(t, longest=3000).select("transcript_id", F.length(Q.without_n_ends(F.col("sequence"))).cast("long").alias("trimmed"), "length")
 
 
+def sequence_filters_100k(spark, d):
+    t = transcripts(spark, d)
+    return Q.usable(t).select("transcript_id", F.length(Q.without_n_ends(F.col("sequence"))).cast("long").alias("trimmed"), "length")
+
+
 def legal_sequences(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.translate(F.upper("p_name"), "BDEFHIJKLMNOPQRSVWXYZ ", "ACGTACGTACGTACGTACGTA").alias("sequence"))
     return rounded(Q.legal(p).select("p_partkey", Q.gc_share(F.col("sequence")).alias("gc"), Q.orf_slice(F.col("sequence"), F.lit(2), F.lit(2)).alias("orf")))
@@ -198,7 +203,7 @@ QUERIES = {
         cluster_origins, significant_clusters, cluster_search, top_after_clustering, nearest_threshold, family_top20,
         best_checkpoints, best_checkpoints_as_coded, standardised, residuals, colours, to_numbers, feature_distances,
         silhouette, best_silhouette, cluster_representatives, ward_clusters, top_variance, yeo_johnson, sequence_filters,
-        legal_sequences, kmer_counts, category_rules, keyword_tags,
+        sequence_filters_100k, legal_sequences, kmer_counts, category_rules, keyword_tags,
     )
 }
 
@@ -299,6 +304,8 @@ ORACLE_SQL = {
     "round(var_samp(value), 12) DESC, feature LIMIT 6",
     "sequence_filters": f"WITH {TRANSCRIPTS} SELECT transcript_id, CAST(length(regexp_replace(regexp_replace(sequence, '^N+', ''), 'N+$', '')) AS "
     "BIGINT) AS trimmed, length FROM transcripts WHERE NOT contains(sequence, 'N') AND length(sequence) <= 3000",
+    "sequence_filters_100k": f"WITH {TRANSCRIPTS} SELECT transcript_id, CAST(length(regexp_replace(regexp_replace(sequence, '^N+', ''), 'N+$', '')) AS "
+    "BIGINT) AS trimmed, length FROM transcripts WHERE NOT contains(sequence, 'N') AND length(sequence) <= 100000",
     "legal_sequences": "WITH p AS (SELECT p_partkey, translate(upper(p_name), 'BDEFHIJKLMNOPQRSVWXYZ ', 'ACGTACGTACGTACGTACGTA') AS s FROM part) "
     "SELECT p_partkey, round(length(regexp_replace(s, '[^GCgc]', '', 'g')) / nullif(length(s), 0), 6) AS gc, s[2:7] AS orf FROM p WHERE NOT "
     "regexp_matches(s, '[^ACGTUacgtu]')",
