@@ -15,30 +15,24 @@ Links are made between distinct fingerprints only; copies never multiply them.
 
 Texts whose sets of shingles have a similarity (Jaccard) of 0.8 differ in about 15 % of all bits, so segments that are
 equal, or within a small ball, would take hundreds of keys a document. Where such similarities count (keep_one, the
-pipeline's stage), similar_links() takes the links above as candidates, and more that share a key of a min-wise sample
-of the shingles (fingerprint.sample_keys). They are verified by the complete distance of 2048-bit fingerprints, and by the shingles themselves
-where that is about the limit. Members of a key with more than a few of them are compared with three of its members at first: the
-smallest, the largest, and the one nearest to the majority of a sample, which is the original where all are copies of
-one. What that leaves in one component needs no pairs. Where a key still has several, those outside its largest are
-compared with all others in bounded blocks, each pair of blocks a group of its own, in which no rows of pairs are made.
+pipeline's stage), the links above are candidates beside others; see similar.py.
 
 Defined results: a null text has no words and fingerprint zero, and so has any text without words; fingerprints of
 equal texts are equal, so rows repeated, or with equal ids, come out alike; a null doc_id is kept as null, and a
-component in which all ids are null has a null component_id; an empty table gives an empty result.
+component in which all ids are null has a null component_id; an empty table gives an empty result. A very long text is
+hashed in blocks, and a row of its hashes is all that is held of it. Other columns are not read, but keep_one() returns
+them as they were; its own start with two underscores.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import ship, written
+from sedge.llm.common import written
 from sedge.llm.components import components
-from sedge.llm.fingerprint import WIDE_BITS, fingerprints, shingle_sets, wide_fingerprints
+from sedge.llm.fingerprint import fingerprints, shingle_rows
+from sedge.llm.similar import similar_roots
 
 #: Fixed by the two halves: three bits cannot put two into both.
 MOST_BITS = 3
@@ -117,190 +111,12 @@ def links(fps: DataFrame, crowded: int = 64) -> DataFrame:
     )
 
 
-def wide_bits(similarity: float) -> tuple[int, int]:
-    """Bits in which wide fingerprints of that similarity differ at least and at most, but for a pair of a thousand."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = 3 * math.sqrt(WIDE_BITS * p * (1 - p))
-    return math.floor(WIDE_BITS * p - spread), math.ceil(WIDE_BITS * p + spread)
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    """fp, s and key of the keys that several fingerprints share, with n, low and high: how many, and their ends."""
-    keyed = written(rows.select("fp", F.posexplode("keys").alias("s", "key")).distinct(), "simhash-keyed")
-    on = ["s", "key"]
-    shared = keyed.groupBy(on).agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
-    shared = written(shared.where("n > 1"), "simhash-shared")
-    return written(keyed.hint("merge").join(shared, on), "simhash-met")
-
-
-def _candidates(met: DataFrame, centres: DataFrame, small: int) -> DataFrame:
-    """u and v that share a key: all pairs of a key of `small` fingerprints at most; of larger keys, each of its
-    fingerprints with the smallest, the largest and the key's centre."""
-    on = ["s", "key"]
-    few, many = met.where(F.col("n") <= small).select("fp", *on), met.where(F.col("n") > small)
-    return (
-        few.hint("merge")
-        .join(few.withColumnRenamed("fp", "y"), on)
-        .where("fp < y")
-        .select("fp", "y")
-        .unionByName(many.select("fp", F.col("low").alias("y")))
-        .unionByName(many.select("fp", F.col("high").alias("y")))
-        .unionByName(many.hint("merge").join(centres, on).select("fp", "y"))
-        .where("fp <> y")
-        .select(*_pair(F.col("fp"), F.col("y")))
-        .distinct()
-    )
-
-
-def _words(column: pa.ChunkedArray) -> np.ndarray:
-    """Wide fingerprints as rows of 64-bit words."""
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.view(np.uint64).reshape(-1, WIDE_BITS // 64)
-
-
-def _centres(members: DataFrame, sample: int = 64) -> DataFrame:
-    """s, key and y: of each key the member nearest to the majority, bit by bit, of about `sample` of them."""
-
-    def majority(table: pa.Table) -> pa.Table:
-        bits = np.unpackbits(_words(table["wide"]).view(np.uint8), axis=1, bitorder="little")
-        most = np.packbits((2 * bits.sum(0, dtype=np.int64) > len(bits)).astype(np.uint8), bitorder="little").view("<i8")
-        return pa.table([table["s"][:1], table["key"][:1], pa.array([most], pa.list_(pa.int64()))], names=["s", "key", "middle"])
-
-    on = ["s", "key"]
-    some = members.where(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / sample)) == 0).select(*on, "wide")
-    middles = written(some.groupBy(on).applyInArrow(majority, "s int, key bigint, middle array<bigint>"), "simhash-middles")
-    away = F.aggregate(F.zip_with("wide", "middle", _distance), F.lit(0), lambda x, y: x + y)
-    near = members.hint("merge").join(middles, on).select(*on, "fp", away.alias("away"))
-    return near.groupBy(on).agg(F.min(F.struct("away", "fp")).alias("m")).select(*on, F.col("m.fp").alias("y"))
-
-
-def _rest(members: DataFrame, found: DataFrame, least: int, most: int, block: int = 512) -> DataFrame:
-    """u, v and bits (at most `most`) of members of one key that `found` leaves in different components: all of them, but
-    that in a pair of blocks one link below `least` stands for all between what it connects."""
-
-    def compared(table: pa.Table) -> pa.Table:
-        first = table["first"].to_numpy(zero_copy_only=False)
-        fp, words = table["fp"].to_numpy(), _words(table["wide"])
-        names, root = np.unique(table["root"].to_numpy(), return_inverse=True)
-        x, y = np.flatnonzero(first), np.flatnonzero(~first)
-        if not len(y):
-            y = x
-        met = [(np.empty(0, np.int64),) * 3]
-        for at in range(0, len(x), 32):
-            part = x[at : at + 32]
-            bits = np.bitwise_count(words[part][:, None, :] ^ words[y][None, :, :]).sum(2, dtype=np.int64)
-            i, j = np.nonzero((bits <= most) & (root[part][:, None] != root[y][None, :]))
-            met.append((part[i], y[j], bits[i, j]))
-        i, j, bits = map(np.concatenate, zip(*met, strict=True))
-        order = np.argsort(bits, kind="stable")
-        i, j, bits = i[order], j[order], bits[order]
-        parent = list(range(len(names)))
-
-        def top(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        sure = int(np.searchsorted(bits, least))
-        kept = []
-        for k in np.sort(np.unique(root[i[:sure]] * len(names) + root[j[:sure]], return_index=True)[1]).tolist():
-            a, b = top(int(root[i[k]])), top(int(root[j[k]]))
-            if a != b:
-                parent[a] = b
-                kept.append(k)
-        tops = np.array([top(k) for k in range(len(names))])
-        open_ = sure + np.flatnonzero(tops[root[i[sure:]]] != tops[root[j[sure:]]])
-        kept = np.concatenate((np.array(kept, dtype=np.int64), open_))
-        u, v = np.maximum(fp[i[kept]], fp[j[kept]]), np.minimum(fp[i[kept]], fp[j[kept]])
-        return pa.table([u, v, bits[kept].astype(np.int32)], names=["u", "v", "bits"])
-
-    on = ["s", "key"]
-    roots = components(found).withColumnRenamed("node", "fp")
-    known = written(
-        members.select(*on, "fp", "n").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-known"
-    )
-    main = known.groupBy(*on, "root").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).groupBy(on).agg(
-        F.max(F.struct("m", "root")).alias("main"), F.max("n").alias("n")
-    )
-    main = written(
-        main.select(*on, F.col("main.root").alias("main"), F.col("main.m").alias("m"), (F.col("n") - F.col("main.m")).alias("r"))
-        .where("r > 0"),
-        "simhash-main",
-    )
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", "s"), F.when(F.col("inside"), blocks("m")).otherwise(blocks("r"))).cast("int")
-    placed = known.hint("merge").join(main, on).withColumn("inside", F.col("root") == F.col("main")).withColumn("own", own)
-    of = lambda inside, first, i, j: F.struct(F.lit(inside).alias("with_main"), F.lit(first).alias("first"), i.alias("i"), j.alias("j"))
-    o, upto = F.col("own"), lambda c: F.sequence(F.lit(0), blocks(c) - 1)
-    to = F.when(F.col("inside"), F.transform(upto("r"), lambda i: of(True, False, i, o))).otherwise(
-        F.concat(
-            F.transform(upto("m"), lambda j: of(True, True, o, j)),
-            F.transform(upto("r"), lambda k: of(False, o <= k, F.least(o, k), F.greatest(o, k))),
-        )
-    )
-    dealt = written(placed.select(*on, "fp", "root", F.explode(to).alias("t")).select(*on, "fp", "root", "t.*"), "simhash-dealt")
-    wide = members.select("fp", "wide").dropDuplicates(["fp"])
-    ship(members.sparkSession)
-    return (
-        dealt.hint("merge")
-        .join(wide, "fp")
-        .groupBy(*on, "with_main", "i", "j")
-        .applyInArrow(compared, "u bigint, v bigint, bits int")
-        .distinct()
-    )
-
-
-def _beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """pairs with the value of u as a and that of v as b."""
-    for end, to in (("u", "a"), ("v", "b")):
-        pairs = pairs.hint("merge").join(values.select(F.col("fp").alias(end), F.col(name).alias(to)), end)
-    return pairs
-
-
-def similar_links(
-    docs: DataFrame, rows: DataFrame, near64: DataFrame, width: int, similarity: float, small: int = 16
-) -> DataFrame:
-    """u and v: links between fingerprints of docs whose sets of shingles are that similar. rows: their
-    wide_fingerprints(); near64: their links(). Candidates far from the limit are settled by the distance, those about
-    it by the sets."""
-    met = _keyed(rows)
-    wide = written(rows.groupBy("fp").agg(F.min(F.struct("h", "wide")).alias("w")).select("fp", "w.*"), "simhash-wide")
-    crowded = met.where(F.col("n") > small).select("s", "key", "fp", "n")
-    members = written(crowded.hint("merge").join(wide.select("fp", "wide"), "fp"), "simhash-members")
-    centres = written(_centres(members), "simhash-centres")
-    pairs = written(_candidates(met, centres, small).unionByName(near64).distinct(), "simhash-pairs")
-    bits = F.aggregate(F.zip_with("a", "b", _distance), F.lit(0), lambda x, y: x + y)
-    least, most = wide_bits(similarity)
-    near = _beside(pairs, wide, "wide").select("u", "v", bits.alias("bits")).where(F.col("bits") <= most)
-    found = _settled(docs, near, wide, width, similarity, least)
-    if members.isEmpty():
-        return found
-    return found.unionByName(_settled(docs, _rest(members, found, least, most), wide, width, similarity, least))
-
-
-def _settled(docs: DataFrame, near: DataFrame, wide: DataFrame, width: int, similarity: float, least: int) -> DataFrame:
-    """u and v of near (u, v, bits) that differ in less than `least` bits or whose sets are that similar."""
-    near = written(near, "simhash-near")
-    border = near.where(F.col("bits") >= least).select("u", "v")
-    asked = border.select(F.col("u").alias("fp")).union(border.select("v")).distinct().join(wide.select("fp", "h"), "fp")
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(asked, "h").select("fp", "text")
-    sets = written(shingle_sets(texts, width).dropDuplicates(["fp"]), "simhash-sets")
-    common = F.size(F.array_intersect("a", "b"))
-    exact = _beside(border, sets, "shingles").where(common >= similarity * (F.size("a") + F.size("b") - common))
-    return written(near.where(F.col("bits") < least).select("u", "v").unionByName(exact.select("u", "v")), "simhash-similar")
-
-
-def near_duplicates(docs: DataFrame, width: int = 3, crowded: int = 64, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, crowded: int = 64) -> DataFrame:
     """doc_id, h (a hash of the text), fp, root (a fingerprint that stands for the component) and component_id, the
-    smallest doc_id that the row's fingerprint reaches, for each row of docs. With a similarity, links are those between
-    texts whose sets of shingles are that similar, and no others but between equal fingerprints."""
-    rows = written((fingerprints if similarity is None else wide_fingerprints)(docs, width), "simhash-rows")
+    smallest doc_id that the row's fingerprint reaches, for each row of docs."""
+    rows = written(fingerprints(docs, width), "simhash-rows")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
-    found = links(fps.select("fp"), crowded)
-    if similarity is not None:
-        found = similar_links(docs, rows, found, width, similarity)
-    roots = components(found).withColumnRenamed("node", "fp")
+    roots = components(links(fps.select("fp"), crowded)).withColumnRenamed("node", "fp")
     known = written(
         fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots"
     )
@@ -309,10 +125,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, crowded: int = 64, similari
     return rows.hint("merge").join(labels, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
+def similar_texts(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, crowded: int = 64, small: int = 16, block: int = 256
+) -> DataFrame:
+    """doc_id, h (a hash of the text) and root for each row of docs: rows have one root if links between sets of shingles
+    that are that similar connect them. small, block: see similar.py."""
+    rows = written(shingle_rows(docs, width, similarity), "simhash-rows")
+    near64 = written(links(rows.select("fp").distinct(), crowded), "simhash-links")
+    roots = written(similar_roots(docs, rows, near64, width, similarity, small, block), "simhash-similar")
+    return (
+        rows.select("doc_id", "h", "node").hint("merge").join(roots, "node", "left")
+        .select("doc_id", "h", F.coalesce("root", "node").alias("root"))
+    )
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each component of near duplicates and similar texts, with its columns: the one of the smallest doc_id, nulls last; of
-    rows with that doc_id, the one whose text has the smallest hash; of equal ones, any one."""
-    found = near_duplicates(docs, width, similarity=similarity).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    """One row of each component of similar texts, with its columns: the one of the smallest doc_id, nulls last; of rows
+    with that doc_id, the one whose text has the smallest hash; of equal ones, any one."""
+    found = similar_texts(docs, width, similarity).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     first = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "n")).alias("w"))
     first = first.select(
         F.col("w.doc_id").alias("__id"), F.col("w.h").alias("__h"), F.col("w.n").alias("__n"), F.col("root").alias("__root")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sedge.llm import simhash
 from sedge.llm.components import components
-from sedge.llm.fingerprint import bit_counts, sample_keys, shingle_hashes
+from sedge.llm.fingerprint import bit_counts, finer_keys, first_keys, shingle_hashes
 
 
 def brute_fingerprint(text, width):
@@ -137,7 +137,7 @@ def test_keep_one_of_stars(spark):
     rows, originals = [], []
     for copies, changes in [(60, 3), (60, 4), (300, 3), (300, 4)]:
         base = [f"w{random.randrange(10**9)}" for _ in range(200)]
-        keys = lambda text: set(enumerate(sample_keys(np.unique(shingle_hashes(text, 5)))))
+        keys = lambda text: set(first_keys(np.unique(shingle_hashes(text, 5)), 0.8))
         texts = [t for t in (changed(base, changes) for _ in range(copies + 9)) if keys(t) & keys(" ".join(base))]
         originals.append(len(rows))
         rows += [" ".join(base), *texts[:copies]]
@@ -160,6 +160,75 @@ def test_keep_one_of_stars_in_one_key(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(least.values()))
 
 
+def short_pairs():
+    """150 pairs of each kind: sizes of two texts, the shorter being the start of the longer, or with a word changed."""
+    rows = []
+    word = lambda: f"w{random.randrange(10**9)}"
+    for long, short in [(9, 8), (19, 16), (12, 10), (8, 8), (25, 21), (24, 20), (22, 20), (13, 11), (44, 36), (49, 40)]:
+        for _ in range(150):
+            base = [word() for _ in range(long)]
+            rows += [" ".join(base), " ".join(base[:short])]
+    for n in (20, 25, 40, 44, 50):
+        for _ in range(100):
+            base = [word() for _ in range(n)]
+            other = list(base)
+            other[random.choice([0, 1, 2, n - 1])] = word()
+            rows += [" ".join(base), " ".join(other)]
+    return rows
+
+
+def test_keep_one_of_short_texts(spark):
+    """Similarities of 0.6 to 0.9 of short texts: no link is false, and none is lost."""
+    random.seed(21)
+    rows = [*enumerate(short_pairs())]
+    want = [i for i, t in rows if i % 2 == 0 or not similar(t, rows[i - 1][1])]
+    assert len(rows) // 2 < len(want) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+
+
+def similar(a, b, width=5):
+    a, b = shingles(a, width), shingles(b, width)
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def test_short_sets_always_share_a_key():
+    rng = np.random.default_rng(4)
+    for n in range(1, 41):
+        for _ in range(20):
+            a = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+            for gone in range(n):
+                for new in range(n):
+                    if 10 * (n - gone) < 8 * (n + new) or n - gone + new > 40 or min(n, n - gone + new) > 32:
+                        continue
+                    kept = rng.permutation(a)[gone:]
+                    b = np.sort(np.concatenate((kept, rng.integers(0, 2**63, new, dtype=np.uint64))))
+                    assert set(first_keys(a, 0.8)) & set(first_keys(b, 0.8))
+                    if gone + new:
+                        assert set(finer_keys(a, 0.8)) & set(finer_keys(b, 0.8))
+
+
+def test_crowded_keys_of_a_common_line(spark):
+    """Hundreds of short texts that begin with one line, in groups of similar ones: crowded keys, first and finer."""
+    random.seed(13)
+    line, rows = [f"p{i}" for i in range(9)], []
+    for g in range(150):
+        base = [*line, *(f"w{random.randrange(10**9)}" for _ in range(random.choice([2, 12, 25, 60])))]
+        rows += [" ".join(base), " ".join([*base, "y"]), " ".join([*base[:-1], "x", "z"])]
+    rows = [*enumerate(rows)]
+    least = brute_similar(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for block in (256, 16):
+        found = simhash.similar_texts(df, small=4, block=block)
+        groups = {}
+        for r in found.collect():
+            groups.setdefault(r.root, set()).add(r.doc_id)
+        want = {}
+        for i, j in least.items():
+            want.setdefault(j, set()).add(i)
+        assert sorted(map(min, groups.values())) == sorted(want) and len(groups) == len(want)
+
+
 def test_wide_counts():
     x = np.random.default_rng(3).integers(0, 2**63, (1001, 3), dtype=np.uint64)
     bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
