@@ -1,15 +1,42 @@
-"""Folders for what is written between two jobs."""
+"""The folder for what is written between two jobs."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's part of the folder that all executors share, spark.checkpoint.dir. Only with a local master may
+    that be unset, as in tests; a folder of this machine then takes its place."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = getattr(spark, "_sedge_scratch", None)
+        if not root:
+            root = spark._sedge_scratch = tempfile.mkdtemp(prefix="sedge-")
+    return f"{root.rstrip('/')}/sedge-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir; only where that is unset, as in local
-    tests, in a folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedge-")
-    return f"{root.rstrip('/')}/sedge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in that folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing
+    that was computed before."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. DataFrames that still read it end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
