@@ -16,7 +16,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import ship
+from sedge.llm.common import opened, ship
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 LONG_PIECE = 256
@@ -219,11 +219,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
             yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str | Callable[[], str], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded, and decoded from the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(ranks_path, pattern)
+        own = encoder(opened(ranks_path), pattern)
         for doc_ids, texts in _texts(batches):
             done = own.encode_texts(texts)
             yield pa.RecordBatch.from_arrays(
@@ -240,11 +240,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str | Callable[[], str], pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(ranks_path, pattern)
+        own = encoder(opened(ranks_path), pattern)
         for doc_ids, texts in _texts(batches):
             ids = [np.fromstring(x, dtype=np.int32, sep=",") if x else [] for x, _ in own.encode_texts(texts)]
             yield pa.RecordBatch.from_arrays(
@@ -257,11 +257,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     )
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str | Callable[[], str], pattern: str) -> DataFrame:
     """doc_id and the bytes that ids stand for; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(ranks_path, pattern)
+        own = encoder(opened(ranks_path), pattern)
         for batch in batches:
             back = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], names=["doc_id", "decoded"])

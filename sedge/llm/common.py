@@ -1,15 +1,19 @@
-"""What the operators of this subpackage share: the scratch folder, key columns and small expressions."""
+"""What the operators of this subpackage share: inputs, key columns and small expressions."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.sources.scratch import scratch_path, written
+
+__all__ = ["documents", "lower_ascii", "opened", "scratch_path", "ship", "tokenizer_file", "written"]
+
 #: A run of characters that are none of space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,38 +21,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NULL_ID = -(2**63)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, named by spark.checkpoint.dir. Only where that is unset, as in local
-    tests, a folder of this machine takes its place, and is set for checkpoint() too."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_sedge_scratch", None)
-        if not root:
-            root = spark._sedge_scratch = tempfile.mkdtemp(prefix="sedge-")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/sedge-{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing
-    that was computed before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder. DataFrames that still read it end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else unchanged. lower() does that for pure ASCII and is much faster than translate()."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
@@ -60,6 +32,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where this machine has the file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def opened(path: str | Callable[[], str]) -> str:
+    """A path, given as such or as what each worker finds it by."""
+    return path() if callable(path) else path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that their Python workers can import it."""
     if getattr(spark, "_sedge_shipped", None) == spark.sparkContext.applicationId:

@@ -1,16 +1,23 @@
 """Exact dedup (operator 8): a persistent digest index, bucketed and sorted by hash.
 
 New data is reduced to one row per digest, set against the index by a sort-merge anti-join, and what is new is
-appended. The index is a bucketed table, so its side of that join is neither shuffled nor sorted again (as long as
-each bucket is one sorted file; after many appends, `compact()` restores that).
+appended. The index is a bucketed table, so its side of that join is not shuffled. While each bucket is one sorted file it
+is not sorted either; after many appends, `compact()` restores that.
+
+A batch has a name, and each digest of the index the batch that brought it. A batch that failed half-way, or is given
+again, finds its own digests there and is decided as it was before.
 
 Defined results: a null text counts as empty; a null doc_id is smaller than any other; rows repeated with the same
 doc_id and text count each, and one of them stays; an empty table gives an empty result and leaves the index as it was.
+A very long text is only hashed, in the scan. Other columns are not read; exact_dedup() returns them as they were, and its
+own start with two underscores.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +30,22 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(lower_ascii(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
+#: With this setting Spark knows that a bucket of one sorted file is sorted.
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Equal rows that one task makes at most.
+PORTION = 1024
+
+
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SORTED_BUCKETS)
+    spark.conf.set(SORTED_BUCKETS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED_BUCKETS, before)
+
+
 class DigestIndex:
     """The digests of all data seen so far: (digest, keep_id, batch), bucketed and sorted by digest."""
 
@@ -47,14 +70,18 @@ class DigestIndex:
             .saveAsTable(self.table)
         )
 
-    def ingest(self, batch: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def fresh(self, groups: DataFrame) -> DataFrame:
+        """The rows of groups, one for each digest, whose digest is not in the index."""
+        return groups.hint("merge").join(self.frame().select("digest"), "digest", "left_anti")
+
+    def ingest(self, batch: DataFrame, name: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """Append what is new in batch. Return a row for each of its rows: doc_id, digest, keep_id (the row that stays,
         of this batch or an earlier one), group_size (rows of this batch with that digest), repeats (rows with that
-        digest and doc_id), kept.
+        digest and doc_id), kept. name: the batch's; give one where the batch may come again.
 
         Within the batch the largest doc_id stays; a digest known before keeps its earlier row.
         """
-        tag = uuid.uuid4().hex
+        name = uuid.uuid4().hex if name is None else name
         # Rows are counted by digest and id before any of them is shuffled by digest alone.
         rows = written(
             batch.select(F.col(doc_id).cast("bigint").alias("doc_id"), digest(F.col(text)).alias("digest"))
@@ -66,34 +93,36 @@ class DigestIndex:
             rows.groupBy("digest").agg(F.max("doc_id").alias("max_id"), F.sum("n").alias("group_size")),
             "digest-groups",
         )
-        fresh = groups.hint("merge").join(self.frame().select("digest"), "digest", "left_anti")
-        self._append(fresh.select("digest", F.col("max_id").alias("keep_id"), F.lit(tag).alias("batch")))
-        resolved = groups.hint("merge").join(self.frame(), "digest").select(
-            "digest", "keep_id", "group_size", (F.col("batch") == tag).alias("is_new")
-        )
-        # Both sides are shuffled by digest here, so a digest that holds much of the data is split at run time.
-        return (
-            rows.hint("merge")
-            .join(written(resolved, "digest-resolved"), "digest")
-            .select(
-                "doc_id",
-                "digest",
-                "keep_id",
-                "group_size",
-                "is_new",
-                F.col("n").alias("repeats"),
-                F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"),
-            )
-            .select(
-                "doc_id",
-                "digest",
-                "keep_id",
-                "group_size",
-                "repeats",
-                (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"),
+        with _sorted_buckets(self.spark):
+            fresh = written(self.fresh(groups), "digest-fresh")  # read in full before the table it is set against grows
+            self._append(fresh.select("digest", F.col("max_id").alias("keep_id"), F.lit(name).alias("batch")))
+            resolved = written(
+                groups.hint("merge")
+                .join(self.frame(), "digest")
+                .select("digest", "keep_id", "group_size", (F.col("batch") == name).alias("is_new")),
+                "digest-resolved",
             )
+        # Both sides are shuffled by digest here, so a digest that holds much of the data is split at run time.
+        decided = rows.hint("merge").join(resolved, "digest")
+        number = lambda a, b, by=1: F.explode(F.sequence(a, b, F.lit(by).cast("bigint"))).alias("i")
+        one, n, i = F.lit(1).cast("bigint"), F.col("n"), F.col("i")
+        few = decided.where(n <= PORTION).select("*", number(one, n))
+        # A row that is there very often is made anew in portions, which are dealt to many tasks.
+        many = decided.where(n > PORTION).select("*", number(one, n, PORTION)).repartition("digest", "doc_id", "i")
+        many = many.select(*decided.columns, number(i, F.least(i + PORTION - 1, n)))
+        return few.unionByName(many).select(
+            "doc_id",
+            "digest",
+            "keep_id",
+            "group_size",
+            n.alias("repeats"),
+            (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (i == 1)).alias("kept"),
         )
 
+    def forget(self) -> None:
+        """Take the index out of the catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def compact(self) -> "DigestIndex":
         """Rewrite the index with one sorted file per bucket, as a new table under the same name with the suffix _c."""
         other = DigestIndex(self.spark, f"{self.table}_c", f"{self.path}_c", self.buckets)
@@ -102,13 +131,18 @@ class DigestIndex:
 
 
 def new_index(spark: SparkSession, buckets: int = 32) -> DigestIndex:
-    """An empty index in the shared folder, for data that is deduplicated against itself only."""
+    """An empty index in the shared folder, for data that is deduplicated against itself only; forget() it in the end."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", scratch_path(spark, "digest-index"), buckets)
 
 
-def exact_dedup(batch: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of batch that stay, with their columns: those that ingest() keeps."""
-    kept = index.ingest(batch).where("kept").select(
+def exact_dedup(batch: DataFrame, index: DigestIndex | None = None, name: str | None = None) -> DataFrame:
+    """The rows of batch that stay, with their columns: those that ingest() keeps. Without an index, the batch is
+    deduplicated against itself."""
+    own = index or new_index(batch.sparkSession)
+    decided = own.ingest(batch, name)
+    if index is None:
+        own.forget()
+    kept = decided.where("kept").select(
         F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), F.col("repeats").alias("__repeats")
     )
     rows = batch.withColumn("__own", digest(F.col("text")))

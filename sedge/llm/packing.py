@@ -7,8 +7,10 @@ the lengths of its pieces) among those with room for it, or, if none has, is cut
 one. The pool opens exactly as many sequences as its tokens fill, so only the last sequence of a task has padding.
 
 Defined results: a null text is empty and gives the closing id alone; rows are packed one by one, so repeated rows and
-equal or null ids are packed each; an empty table gives no piece; other columns are not read. A retried task packs the
-same way as long as its partition holds the same rows in the same order, as the partitions of a table scan do.
+equal or null ids are packed each; an empty table gives no piece; other columns are not read, so their names do not
+matter. Of a very long text whole sequences leave at once, and less than one waits in the pool. The string of a special
+token in a text is that token, as the library has it. A retried task packs the same way as long as its partition holds
+the same rows in the same order, as the partitions of a table scan do.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import heapq
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import ship
+from sedge.llm.common import opened, ship
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -37,15 +39,14 @@ MEMORY, LONGEST = 300_000, 48
 
 
 class ChunkTokenizer:
-    """Ids of a text by a tokenizers file whose tokens never span a white space: the text is cut at spaces and line
-    feeds, and the ids of a chunk are remembered."""
+    """Ids of a text by a tokenizers file whose tokens, special ones included, never span a white space: the text is cut at
+    spaces and line feeds, and the ids of a chunk are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -148,7 +149,7 @@ class _Packer:
 
 def pack(
     docs: DataFrame,
-    tokenizer_path: str,
+    tokenizer_path: str | Callable[[], str],
     capacity: int = 2048,
     close_id: int = 1,
     pool_tokens: int = 1 << 20,
@@ -156,7 +157,8 @@ def pack(
     quadratic: float = 1 / 1024,
 ) -> DataFrame:
     """A row for each piece: doc_id, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id,
-    offset. The cost of a sequence is the sum over its pieces of linear * n + quadratic * n * n."""
+    offset. The cost of a sequence is the sum over its pieces of linear * n + quadratic * n * n. tokenizer_path: a file, or
+    what each worker finds it by."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     end = array("I", [close_id]).tobytes()
 
@@ -164,7 +166,7 @@ def pack(
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = _tokenizer(tokenizer_path), _Packer(capacity, pool_tokens, linear, quadratic)
+        tokenizer, packer = _tokenizer(opened(tokenizer_path)), _Packer(capacity, pool_tokens, linear, quadratic)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, simhash, substring, suffix_array
-from sedge.llm.common import documents
-
-
-def _tokenizer_file(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from sedge.llm.common import documents, tokenizer_file
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +38,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(documents(spark, sf_dir), partial(tokenizer_file, "word_bpe_49k.json"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +58,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(
-        documents(spark, sf_dir), _tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+        documents(spark, sf_dir), partial(tokenizer_file, "byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     )
 
 
@@ -72,7 +67,9 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = exact_dedup.new_index(spark).ingest(documents(spark, sf_dir))
+    index = exact_dedup.new_index(spark)
+    decided = index.ingest(documents(spark, sf_dir), "all")
+    index.forget()
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -13,10 +13,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_chunks_give_the_tokenizers_ids():
     own, lib = packing.ChunkTokenizer(PATH), Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     random.seed(2)
-    texts = ["", " ", "don't we'll 's", "H̱ J̌ É", "ﬁ ² ½ Ⅷ", "x" * 3000, "a.b,c!! ..", "<|endoftext|> hi", "日本語 テキスト。", "\x1c a\x85b\xa0c"]
-    texts += ["".join(random.choice(" \n\tab's.É1=日,ñ́Z ßΣ<|>") for _ in range(random.randint(0, 40))) for _ in range(800)]
+    texts = ["", " ", "don't we'll 's", "H̱ J̌ É", "ﬁ ² ½ Ⅷ", "x" * 3000, "a.b,c!! ..", "<|endoftext|> hi", "<|startoftext|>", "<|endoftext|>", "a<|endoftext|>b<|startoftext|>'s", "<|ENDOFTEXT|> x", "<|endoftext|", "é<|endoftext|>́", "日本語 テキスト。", "\x1c a\x85b\xa0c"]
+    texts += ["".join(random.choice([*" \n\tab's.É1=日,ñ́Z ßΣ<|>", "<|endoftext|>"]) for _ in range(random.randint(0, 40))) for _ in range(800)]
     for t in texts:
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
@@ -55,6 +54,10 @@ def test_pack(spark):
     want = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
     assert check(packing.pack(df, PATH, capacity=256, pool_tokens=2000).collect(), want, 256) <= 1
     assert packing.pack(df.limit(0), PATH).count() == 0
+    long = spark.createDataFrame([(1, "alpha " * 300_000), (2, "beta")], "doc_id bigint, text string")
+    rows = packing.pack(long.coalesce(1), PATH, pool_tokens=5000).collect()
+    ids = lib.encode("alpha", add_special_tokens=False).ids
+    assert check(rows, {1: [*ids * 300_000, 1], 2: [*lib.encode("beta", add_special_tokens=False).ids, 1]}, 2048) <= 1
     twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (5, "a b")], "doc_id bigint, text string")
     assert sum(r.length for r in packing.pack(twice, PATH).collect()) == 9
 
