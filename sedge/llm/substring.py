@@ -12,7 +12,12 @@
 
 Defined results: a null text has no words; a null doc_id is smaller than any other; documents of one doc_id are not
 smaller than each other, so rows repeated with it never remove each other's words; a text shorter than a window is kept
-whole; an empty table gives an empty result.
+whole; an empty table gives an empty result. Equal rows are cut once, whatever their number, and each gets the result. A
+very long text is cut like any other, in one task, into super-k-mers of a bounded length. Columns with clashing names are
+not read; without_repeats() returns them as they were.
+
+Windows of one bucket are told apart by their words. Super-k-mers are by two 64-bit hashes, and windows of crowded
+minimisers by digests of 128 bits; two of n different ones are taken for one with a chance below n * n / 2**129.
 """
 
 from __future__ import annotations
@@ -43,6 +48,41 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def once(units: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """units with c: how many equal rows (ord, h) they are of, those of equal rows given once; and these rows, if any."""
+    on, one = ["ord", "h"], F.lit(1).cast("bigint").alias("c")
+    starts = units.where("start = 0")  # each row with a window has one
+    repeated = written(starts.groupBy(*on).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{name}-repeated")
+    if repeated.isEmpty():
+        return units.select("*", one), None
+    rest = units.join(repeated, on, "left_anti").select("*", one)
+    return rest.unionByName(units.distinct().join(repeated, on)), repeated
+
+
+def texts_once(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rows, each of equal ones once if it is among the repeated."""
+    if repeated is None:
+        return rows
+    on = ["ord", "h"]
+    return rows.join(repeated, on, "left_anti").unionByName(rows.join(repeated, on, "left_semi").dropDuplicates(on))
+
+
+#: Rows that one key of a join may have on its large side before it is joined apart.
+HOT = 1000
+
+
+def by_kind(met: DataFrame, kinds: DataFrame, name: str) -> DataFrame:
+    """met with kinds by (mini, sk); kinds has c, the rows of met of each. Kinds with many rows, which are few, are joined
+    first and without a hint, so that Spark sends them out if they are small, and splits their rows if not."""
+    on = ["mini", "sk"]
+    hot = written(kinds.where(F.col("c") > HOT), f"{name}-hot")
+    cold = kinds.where(F.col("c") <= HOT)
+    if hot.isEmpty():
+        return met.hint("merge").join(cold, on)
+    rest = met.join(hot.select(*on), on, "left_anti").hint("merge").join(cold, on)
+    return rest.unionByName(met.join(hot, on))
+
+
 def _ends(words: list[bytes]) -> np.ndarray:
     """Where each word ends in the words joined by single spaces."""
     return np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
@@ -286,7 +326,7 @@ def _across_shards(crowded: DataFrame, window: int) -> DataFrame:
 
 def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
     """ord, h, list: for each document with words to remove, the (first, last) windows to remove, in no order."""
-    units = written(_units(rows, window), "substring-units")
+    units, repeated = once(written(_units(rows, window), "substring-units"), "substring")
     shared = written(
         units.groupBy("mini")
         .agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
@@ -294,10 +334,12 @@ def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
         .select("mini"),
         "substring-shared",
     )
-    met = written(units.hint("merge").join(shared, "mini"), "substring-met")
+    met = written(units.drop("c").hint("merge").join(shared, "mini"), "substring-met")
     own = F.min(F.struct(F.col("ord"), F.col("h"), F.col("start"), F.col("n"))).alias("o")
     kinds = written(
-        met.groupBy("mini", "sk").agg(own).select("mini", "sk", F.col("o.ord").alias("lo"), "o.h", "o.start", "o.n"),
+        met.groupBy("mini", "sk")
+        .agg(own, F.count(F.lit(1)).alias("c"))
+        .select("mini", "sk", F.col("o.ord").alias("lo"), "o.h", "o.start", "o.n", "c"),
         "substring-kinds",
     )
     mixed = written(
@@ -307,7 +349,8 @@ def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
         .select("mini", F.ceil(F.col("kinds") / crowded).cast("int").alias("shards")),
         "substring-mixed",
     )
-    packed = written(_packed(rows, kinds.hint("merge").join(mixed, "mini"), window), "substring-packed")
+    wanted = kinds.drop("c").hint("merge").join(mixed, "mini")
+    packed = written(_packed(texts_once(rows, repeated), wanted, window), "substring-packed")
     many = F.col("shards") > 1
     parts = _in_buckets(packed.where(~many), window)
     if not mixed.where(many).isEmpty():
@@ -315,10 +358,8 @@ def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
         parts = parts.unionByName(_across_shards(packed.where(many).withColumn("shard", shard), window))
     parts = written(parts, "substring-parts")
     # The owner of a super-k-mer loses the windows found above; documents after it lose all of them.
-    of_kind = kinds.select("mini", "sk", "lo")
     whole = (
-        met.hint("merge")
-        .join(of_kind, ["mini", "sk"])
+        by_kind(met, kinds.select("mini", "sk", "lo", "c"), "substring")
         .where(F.col("ord") > F.col("lo"))
         .select("ord", "h", F.col("start").alias("w_first"), (F.col("start") + F.col("n") - 1).alias("w_last"))
     )

@@ -10,7 +10,13 @@ array of its own. These are merged: each shard hands out its different strings o
 sorted portions, and a merge task looks up those of every shard in those of the others by binary search.
 
 Defined results: a null text is empty; rows repeated, or with equal or null ids, are separate documents, and what they
-share goes from each; a text shorter than `window` is kept whole; an empty table gives an empty result.
+share goes from each; a text shorter than `window` is kept whole; an empty table gives an empty result. Equal rows are cut
+once, whatever their number, and their number counts. A very long text is cut like any other, in one task, into
+super-k-mers of a bounded length. Columns with clashing names are not read.
+
+Super-k-mers are told apart by two 64-bit hashes, which counts those that are there more than once before any suffix array
+is made; the windows of different ones are compared by suffix arrays, and those of several shards by 128-bit digests. Two of n
+different ones are taken for one with a chance below n * n / 2**129.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.common import ship, written
-from sedge.llm.substring import grouped, joined_with, keyed
+from sedge.llm.substring import by_kind, grouped, joined_with, keyed, once, texts_once
 from sedge.llm.superkmers import runs, super_kmers
 
 GRAM = 32
@@ -40,20 +46,33 @@ def _byte_hashes() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(1 << 63, size=256, dtype=np.int64).view(np.uint64)
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Larsson-Sadakane: the suffix array of an array of numbers that ends in a unique smallest one, and its inverse.
+#: Symbols of nine bits each that a signed 64-bit number holds.
+AT_ONCE = 7
+
+
+def suffix_array(text: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """Larsson-Sadakane: the suffix array of an array of numbers, and its inverse. Numbers below first_byte end a string,
+    each of them once and in ascending order; the array ends in one. The others are bytes, raised by first_byte.
 
-    Suffixes are ordered by their first h symbols, h doubling; a suffix's rank is the first place of its group. Only
-    groups of several suffixes are sorted again, by the rank of what follows h symbols later.
+    Suffixes are ordered by their first h symbols, h doubling from AT_ONCE; a suffix's rank is the first place of its
+    group. Only groups of several suffixes are sorted again, by the rank of what follows h symbols later.
     """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    sorted_text = text[order]
-    new = np.append(True, sorted_text[1:] != sorted_text[:-1])
+    symbol = np.concatenate([np.maximum(text - first_byte + 1, 0), np.zeros(AT_ONCE, dtype=np.int64)])
+    key, on = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for j in range(AT_ONCE):
+        key <<= 9
+        key += symbol[j : j + n] * on
+        on &= symbol[j : j + n] > 0
+    order = np.argsort(key)
+    key, on = key[order], on[order]
+    ended = np.flatnonzero(~on)
+    order[ended] = order[ended][np.lexsort((order[ended], key[ended]))]  # equal ones in the order of their ends
+    new = np.append(True, (key[1:] != key[:-1]) | ~on[1:])  # a suffix that has come to its end is alone
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = first
-    h = 1
+    h = AT_ONCE
     while True:
         alone = new & np.append(new[1:], True)
         places = np.flatnonzero(~alone)
@@ -107,11 +126,11 @@ def repeated_windows(strings: list[bytes], window: int) -> tuple[list[np.ndarray
     starts = np.cumsum(sizes + 1) - sizes - 1
     ends = starts + sizes
     text = np.empty(ends[-1] + 1, dtype=np.int64)
-    text[ends] = np.arange(len(strings) - 1, -1, -1)  # ends of strings are unique, and the last one the smallest
+    text[ends] = np.arange(len(strings))
     body = np.ones(len(text), dtype=bool)
     body[ends] = False
     text[body] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int64) + len(strings)
-    order, rank = suffix_array(text)
+    order, rank = suffix_array(text, len(strings))
     shared = common_prefixes(text, order, rank, starts, ends, window)[order]
     like_before = shared >= window
     like_other = like_before | np.append(like_before[1:], False)
@@ -320,14 +339,14 @@ def _across_shards(hot: DataFrame, window: int) -> DataFrame:
 
 def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
     """ord, h, list: for each document with bytes to remove, the (first, last) windows to remove, in no order."""
-    units = written(_units(rows, window), "suffix-units")
+    units, repeated = once(written(_units(rows, window), "suffix-units"), "suffix")
     shared = written(
-        units.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("mini"), "suffix-shared"
+        units.groupBy("mini").agg(F.sum("c").alias("c")).where(F.col("c") > 1).select("mini"), "suffix-shared"
     )
     met = written(units.hint("merge").join(shared, "mini"), "suffix-met")
     own = F.min(F.struct("ord", "h", "start", "n")).alias("o")
     kinds = written(
-        met.groupBy("mini", "sk").agg(own, F.count(F.lit(1)).alias("c")).select("mini", "sk", "o.*", "c"), "suffix-kinds"
+        met.groupBy("mini", "sk").agg(own, F.sum("c").alias("c")).select("mini", "sk", "o.*", "c"), "suffix-kinds"
     )
     mixed = written(
         kinds.groupBy("mini")
@@ -337,15 +356,14 @@ def removals(rows: DataFrame, window: int, crowded: int) -> DataFrame:
         "suffix-mixed",
     )
     wanted = kinds.hint("merge").join(mixed, "mini").withColumn("single", F.col("c") == 1)
-    packed = written(_packed(rows, wanted, window), "suffix-packed")
+    packed = written(_packed(texts_once(rows, repeated), wanted, window), "suffix-packed")
     found = _in_shards(packed.where(F.col("shards") == 1), window)
     if not mixed.where(F.col("shards") > 1).isEmpty():
         hot = packed.where(F.col("shards") > 1).withColumn("shard", F.pmod(F.xxhash64("sk"), F.col("shards")).cast("int"))
         found = found.unionByName(_across_shards(hot, window))
     # All of a super-k-mer that is there more than once goes.
     whole = (
-        met.hint("merge")
-        .join(kinds.where(F.col("c") > 1).select("mini", "sk"), ["mini", "sk"])
+        by_kind(met.drop("c"), kinds.where(F.col("c") > 1).select("mini", "sk", "c"), "suffix")
         .select("ord", "h", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
     )
     return written(

@@ -14,6 +14,8 @@ import numpy as np
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Bits for a place in a text; a text in Arrow has less than 2 ** 31 bytes.
+PLACE_BITS = 32
 
 
 @lru_cache(maxsize=64)
@@ -59,8 +61,8 @@ def super_kmers(
     if len(tokens) < window:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     grams = gram_hashes(tokens, gram)
-    if by_place:  # the place takes the low bits, and so decides between grams that are equal in the others
-        bits = np.uint64(int(len(grams)).bit_length())
+    if by_place:  # the place takes the low bits, as many in every text, and so decides between grams equal in the others
+        bits = np.uint64(PLACE_BITS)
         marked = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
         least = sliding_minimum(marked, window - gram + 1)
     else:

@@ -86,6 +86,35 @@ def test_stage_changes_only_what_it_removes(spark):
     assert all((i, t) in same for i, t in rows if (i, len((t or "").split())) in untouched and t is None)
 
 
+def test_many_repeats_of_one_row(spark):
+    """Lists of what to remove do not grow with the number of repeats."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    text, other = f"one {passage} two", f"three {passage} four"
+    for n in (3, 3000):
+        df = spark.range(n).selectExpr("cast(null as bigint) as doc_id", f"'{text}' as text").unionByName(
+            spark.createDataFrame([(7, other), (8, None)], "doc_id bigint, text string")
+        )
+        for module, window, left in ((substring, 10, 42), (suffix_array, 40, 0)):
+            found = module.removals(substring.keyed(df), window, 128).collect()
+            assert len(found) == (1 if module is substring else 2) and max(len(r.list) for r in found) < 60
+            rows = module.deduplicated(df, window=window).collect()
+            assert len(rows) == n + 2
+            size = (lambda r: r.n_words) if module is substring else (lambda r: r.n_bytes)
+            kept = {r.doc_id: size(r) - r.n_removed for r in rows}
+            assert kept[None] == left and kept[7] < 15 and kept[8] == 0
+
+
+def test_places_of_long_and_short_texts_agree():
+    """A window has the same minimiser wherever it stands, also where grams agree in the high bits."""
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(0, 2, 70_000).astype(np.uint64) << np.uint64(60)
+    whole = super_kmers(tokens, 20, 4, 16, True)
+    of = np.repeat(whole[0], whole[2])
+    for at in (0, 5, 31_000, 69_000):
+        part = super_kmers(tokens[at : at + 200], 20, 4, 16, True)
+        assert (np.repeat(part[0], part[2]) == of[at : at + 181]).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert substring.deduplicated(df).count() == 0 and suffix_array.deduplicated(df).count() == 0
@@ -111,8 +140,8 @@ def test_suffix_array_and_prefixes():
         strings = [bytes(rng.integers(97, 99, rng.integers(1, 60)).astype(np.uint8)) for _ in range(rng.integers(1, 8))]
         sizes = np.array([len(s) for s in strings])
         starts = np.cumsum(sizes + 1) - sizes - 1
-        text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + len(strings), len(strings) - 1 - k) for k, s in enumerate(strings)])
-        order, rank = suffix_array.suffix_array(text)
+        text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + len(strings), k) for k, s in enumerate(strings)])
+        order, rank = suffix_array.suffix_array(text, len(strings))
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
         shared = suffix_array.common_prefixes(text, order, rank, starts, starts + sizes, 10)
         for p in range(len(text)):
