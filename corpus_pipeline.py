@@ -12,10 +12,12 @@ with two underscores and never leave them. Nulls, ties, repeated rows and empty
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sedge.llm import exact_dedup, packing, quality, simhash, substring
-from sedge.llm.common import documents, written
+from sedge.llm.common import documents, tokenizer_file, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(docs, exact_dedup.new_index(spark))
+    return exact_dedup.exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +37,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, partial(tokenizer_file, "word_bpe_49k.json"))
 
 
 STAGES = [
