@@ -74,10 +74,10 @@ class DigestIndex:
         """The rows of groups, one for each digest, whose digest is not in the index."""
         return groups.hint("merge").join(self.frame().select("digest"), "digest", "left_anti")
 
-    def ingest(self, batch: DataFrame, name: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Append what is new in batch. Return a row for each of its rows: doc_id, digest, keep_id (the row that stays,
-        of this batch or an earlier one), group_size (rows of this batch with that digest), repeats (rows with that
-        digest and doc_id), kept. name: the batch's; give one where the batch may come again.
+    def decide(self, batch: DataFrame, name: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """Append what is new in batch. Return a row for each doc_id and digest of its rows: doc_id, digest, keep_id (the
+        row that stays, of this batch or an earlier one), group_size (rows of this batch with that digest), repeats (rows
+        with that digest and doc_id), kept (one of these stays). name: the batch's; give one where it may come again.
 
         Within the batch the largest doc_id stays; a digest known before keeps its earlier row.
         """
@@ -103,21 +103,23 @@ class DigestIndex:
                 "digest-resolved",
             )
         # Both sides are shuffled by digest here, so a digest that holds much of the data is split at run time.
-        decided = rows.hint("merge").join(resolved, "digest")
+        kept = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        return (
+            rows.hint("merge")
+            .join(resolved, "digest")
+            .select("doc_id", "digest", "keep_id", "group_size", F.col("n").alias("repeats"), kept.alias("kept"))
+        )
+
+    def ingest(self, batch: DataFrame, name: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """The same with a row for each row of batch; of equal ones, one is kept."""
+        decided = self.decide(batch, name, doc_id, text)
         number = lambda a, b, by=1: F.explode(F.sequence(a, b, F.lit(by).cast("bigint"))).alias("i")
-        one, n, i = F.lit(1).cast("bigint"), F.col("n"), F.col("i")
+        one, n, i = F.lit(1).cast("bigint"), F.col("repeats"), F.col("i")
         few = decided.where(n <= PORTION).select("*", number(one, n))
         # A row that is there very often is made anew in portions, which are dealt to many tasks.
         many = decided.where(n > PORTION).select("*", number(one, n, PORTION)).repartition("digest", "doc_id", "i")
         many = many.select(*decided.columns, number(i, F.least(i + PORTION - 1, n)))
-        return few.unionByName(many).select(
-            "doc_id",
-            "digest",
-            "keep_id",
-            "group_size",
-            n.alias("repeats"),
-            (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (i == 1)).alias("kept"),
-        )
+        return few.unionByName(many).withColumn("kept", F.col("kept") & (i == 1)).drop("i")
 
     def forget(self) -> None:
         """Take the index out of the catalogue; its files stay."""
@@ -136,19 +138,22 @@ def new_index(spark: SparkSession, buckets: int = 32) -> DigestIndex:
 
 
 def exact_dedup(batch: DataFrame, index: DigestIndex | None = None, name: str | None = None) -> DataFrame:
-    """The rows of batch that stay, with their columns: those that ingest() keeps. Without an index, the batch is
+    """The rows of batch that stay, with their columns: those that decide() keeps. Without an index, the batch is
     deduplicated against itself."""
     own = index or new_index(batch.sparkSession)
-    decided = own.ingest(batch, name)
+    decided = own.decide(batch, name)
     if index is None:
         own.forget()
     kept = decided.where("kept").select(
         F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), F.col("repeats").alias("__repeats")
     )
+    kept = written(kept, "digest-kept")
     rows = batch.withColumn("__own", digest(F.col("text")))
     same = (F.col("__own") == F.col("__digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
     at = rows.hint("merge").join(kept, same)
     # Rows that repeat both digest and id are rare; of those any one stays.
+    if kept.where("__repeats > 1").isEmpty():
+        return at.select(*batch.columns)
     once = at.where(F.col("__repeats") == 1)
     repeated = at.where(F.col("__repeats") > 1).dropDuplicates(["__digest"])
     return once.unionByName(repeated).select(*batch.columns)
