@@ -35,7 +35,20 @@ SCHEMA = (
     "sequence_id bigint, offset bigint"
 )
 #: A worker's memory of chunks and their ids: so many at most, none longer than so many characters.
-MEMORY, LONGEST = 300_000, 48
+MEMORY, LONGEST = 600_000, 48
+#: Punctuation beside which letters always begin or end a word of the tokenizer.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def parts(chunk: str) -> tuple[str, ...]:
+    """What a chunk's ids can be put together from: its letters, in lower case if plain, and the marks about them. A chunk
+    of another form, or one that may hold a special token, is one part."""
+    core = chunk.strip(MARKS)
+    if not core.isalpha() or "<|" in chunk:
+        return (chunk,)
+    at = len(chunk) - len(chunk.lstrip(MARKS))
+    plain = core.lower() if core.isascii() else core
+    return (chunk[:at], plain, chunk[at + len(core) :])
 
 
 class ChunkTokenizer:
@@ -58,12 +71,17 @@ class ChunkTokenizer:
         if full and 2 * len(new) > len(distinct):  # what is remembered no longer helps
             self.known, new, full = {}, list(distinct), False
         known = self.known
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = array("I", e.ids).tobytes()
+        of = {c: parts(c) for c in new}
+        asked = list({p for x in of.values() for p in x if p not in known})
+        for i in range(0, len(asked), 4096):
+            some = asked[i : i + 4096]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[part] = array("I", e.ids).tobytes()
+        for c, x in of.items():
+            if len(x) > 1:
+                known[c] = b"".join([known[p] for p in x])
         out = [b"".join([known[c] for c in chunks]) for chunks in cut]
-        for c in new:
+        for c in {*new, *asked}:
             if full or len(c) > LONGEST:
                 del known[c]
         return out
