@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,55 +37,103 @@ SCHEMA = (
 )
 #: A worker's memory of chunks and their ids: so many at most, none longer than so many characters.
 MEMORY, LONGEST = 600_000, 48
+#: Texts and bytes that are cut into chunks at once, but for a single longer text.
+MOST_TEXTS, MOST_BYTES = 1024, 1 << 23
 #: Punctuation beside which letters always begin or end a word of the tokenizer.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def parts(chunk: str) -> tuple[str, ...]:
-    """What a chunk's ids can be put together from: its letters, in lower case if plain, and the marks about them. A chunk
-    of another form, or one that may hold a special token, is one part."""
+    """The words of a chunk of letters with marks about them, the letters in lower case if plain. Of a chunk of another
+    form, or one that may hold a special token, none are known."""
     core = chunk.strip(MARKS)
     if not core.isalpha() or "<|" in chunk:
-        return (chunk,)
+        return ()
     at = len(chunk) - len(chunk.lstrip(MARKS))
-    plain = core.lower() if core.isascii() else core
-    return (chunk[:at], plain, chunk[at + len(core) :])
+    found = (chunk[:at], core.lower() if core.isascii() else core, chunk[at + len(core) :])
+    return tuple(x for x in found if x)
 
 
 class ChunkTokenizer:
-    """Ids of a text by a tokenizers file whose tokens, special ones included, never span a white space: the text is cut at
-    spaces and line feeds, and the ids of a chunk are remembered."""
+    """Ids of a text by a tokenizers file whose tokens, special ones included, never span a white space, and of which the
+    last of each word ends in `end_of_word`: the text is cut at spaces and line feeds, and the ids of a chunk are
+    remembered. New words are encoded many at a time, as one text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_of_word: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.last[[i for t, i in tokens.items() if t.endswith(end_of_word)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, as little-endian unsigned 32-bit numbers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*cut)
-        new = [c for c in distinct if c not in self.known]
+    def learn(self, chunks: list[str]) -> None:
+        """Encode each chunk by itself."""
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[chunk] = array("I", e.ids).tobytes()
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encode words many at a time; those that do not come out as one word each, by themselves."""
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self.learn(part)
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """For each text (none of them null) its ids, as little-endian unsigned 32-bit numbers."""
+        texts = pa.array(texts, pa.string())
+        # A-Z in lower case, and marks parted from the letter before them, give the same ids and fewer different chunks,
+        # but for a letter that a combining mark follows and for special tokens.
+        plain = pc.invert(pc.match_substring_regex(texts, r"[A-Z]\p{M}|<\|"))
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-&(-/:-@\[-`{-~])", r"\1 \2")
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(plain, parted, texts), "\n", " "), " ")
+        counts, flat = np.diff(cut.offsets.to_numpy()), cut.flatten().dictionary_encode()
+        chunks, at = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        new = [c for c in chunks if c not in self.known]
         full = len(self.known) + len(new) > MEMORY
-        if full and 2 * len(new) > len(distinct):  # what is remembered no longer helps
-            self.known, new, full = {}, list(distinct), False
+        if full and 2 * len(new) > len(chunks):  # what is remembered no longer helps
+            self.known, new, full = {"": b""}, list(chunks), False
         known = self.known
-        of = {c: parts(c) for c in new}
-        asked = list({p for x in of.values() for p in x if p not in known})
-        for i in range(0, len(asked), 4096):
-            some = asked[i : i + 4096]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[part] = array("I", e.ids).tobytes()
-        for c, x in of.items():
-            if len(x) > 1:
+        of = [(c, parts(c)) for c in new]
+        asked = list({p for _, x in of for p in x if p not in known})
+        self.learn_words(asked)
+        self.learn([c for c, x in of if not x])
+        for c, x in of:
+            if x and x != (c,):
                 known[c] = b"".join([known[p] for p in x])
-        out = [b"".join([known[c] for c in chunks]) for chunks in cut]
-        for c in {*new, *asked}:
+        held = [known[c] for c in chunks]
+        sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+        ids, starts = np.frombuffer(b"".join(held), dtype="<u4"), np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.cumsum(each)
+        out = ids[np.repeat(starts[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        if full:
+            new += asked
+        for c in new:
             if full or len(c) > LONGEST:
-                del known[c]
-        return out
+                known.pop(c, None)
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def portions(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last row (not included) of parts that hold a bounded number of texts and, but for long ones, of bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(column):
+        before = sizes[a - 1] if a else 0
+        b = min(a + MOST_TEXTS, max(a + 1, int(np.searchsorted(sizes, before + MOST_BYTES, side="right"))))
+        yield a, b
+        a = b
 
 
 @lru_cache(maxsize=2)
@@ -186,9 +235,9 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = _tokenizer(opened(tokenizer_path)), _Packer(capacity, pool_tokens, linear, quadratic)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for a, b in portions(batch.column(1)):
+                part = batch.slice(a, b - a)
+                texts = pc.fill_null(part.column(1), "")
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
                     packer.add(doc_id, ids + end)
                 if len(packer.rows) > 10_000:
