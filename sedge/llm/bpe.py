@@ -3,18 +3,19 @@
 Each distinct piece of text is encoded once for each worker's memory, in bulk: pieces are grouped by byte length into
 padded numpy matrices, a row for each. In every round each row merges its leftmost pair of lowest rank; pairs are found
 in a hash table over (left id, right id), and rows without a pair left are taken out, as are columns no row fills.
-Pieces longer than `LONG_PIECE` bytes, for which a round over a whole row would be wasteful, are merged in the same
-order by a heap.
+Pieces longer than `LONG_PIECE` bytes, for which a round over a whole row would be wasteful, are folded into matrices of
+their own, with rows of that width: a round finds the row with the leftmost lowest rank by the rows' minima, and changes
+that row alone.
 
 Defined results: a null text is empty: no ids, and the digests of nothing; every row stands alone, so repeated rows and
-equal or null ids need no care; other columns are not read; an empty table gives an empty result.
+equal or null ids need no care; other columns are not read, so their names do not matter; an empty table gives an empty
+result. A very long text is held whole by its task, as are its ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -124,27 +125,40 @@ class BytePairEncoder:
         return out
 
     def merge_long(self, piece: bytes) -> list[int]:
-        """The ids of a long piece: the same merges in the same order, by a heap of (rank, place)."""
-        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        a = np.array(ids, dtype=np.int32)
-        heap = [(r, i) for i, r in enumerate(self.pairs.find(a[:-1], a[1:]).tolist()) if r != NONE]
-        heapq.heapify(heap)
-        ranks, tokens = self.ranks, self.tokens
-        pair = lambda i: ranks.get(tokens[ids[i]] + tokens[ids[after[i]]])
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] is None or after[i] >= len(ids) or pair(i) != rank:
-                continue
-            j = after[i]
-            ids[i], ids[j], after[i] = rank, None, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-                if (r := pair(i)) is not None:
-                    heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := pair(before[i])) is not None:
-                heapq.heappush(heap, (r, before[i]))
-        return [x for x in ids if x is not None]
+        """The ids of a long piece, folded into rows. Each round merges its leftmost pair of lowest rank; what is merged away
+        stays as a gap until half of all is gaps, and is then compacted."""
+        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
+        ranks, tokens, width = self.ranks, self.tokens, LONG_PIECE
+        while True:
+            n = len(ids)
+            found = np.full(-(-n // width) * width, NONE, dtype=np.int32)
+            found[: n - 1] = self.pairs.find(ids[:-1], ids[1:])
+            rows = found.reshape(-1, width)
+            least = rows.min(axis=1)
+            own = ids.tolist()
+            after, before, gaps = list(range(1, n + 1)), list(range(-1, n - 1)), 0
+
+            def renew(i: int) -> None:
+                j = after[i]
+                found[i] = NONE if j >= n else ranks.get(tokens[own[i]] + tokens[own[j]], NONE)  # noqa: B023
+
+            while 2 * gaps <= n:
+                r = int(least.argmin())
+                if least[r] == NONE:
+                    return [x for x in own if x >= 0]
+                i = r * width + int(rows[r].argmin())
+                j, h = after[i], before[i]
+                own[i], own[j], after[i] = int(found[i]), -1, after[j]
+                gaps += 1
+                found[j] = NONE
+                if after[i] < n:
+                    before[after[i]] = i
+                renew(i)
+                if h >= 0:
+                    renew(h)
+                for k in {r, j // width, max(h, 0) // width}:
+                    least[k] = rows[k].min()
+            ids = np.array([x for x in own if x >= 0], dtype=np.int32)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece. A piece that is itself a token is that token."""

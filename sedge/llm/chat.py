@@ -7,7 +7,8 @@ completion also comes as segments, one for each turn, with what training may lea
 Defined results: turns are ordered by turn, then role, then text, nulls first, so ties and repeated rows have one order;
 a null text is empty and a null role is rendered as `unknown`, but a null equals only a null; rows without a pair_id or
 side belong to no conversation and are left out; a side without turns, or one that the other extends, has an empty
-completion; an empty table gives an empty result; other columns are not read.
+completion; an empty table gives an empty result; other columns are not read, so their names do not matter. A very long
+conversation is one value of one row, as its rendering is.
 """
 
 from __future__ import annotations
@@ -82,5 +83,5 @@ def pair_neighbours(conversations: DataFrame) -> DataFrame:
     """Pairs for a table that names none: conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
     own = F.col("conv_id").cast("bigint")
     return conversations.select(
-        F.floor(own / 2).cast("bigint").alias("pair_id"), (F.pmod(own, F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"
+        F.shiftright(own, 1).alias("pair_id"), (F.pmod(own, F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"
     )

@@ -7,11 +7,13 @@ one label are the spans of a mixed text. A text's language is the one that holds
 share of them.
 
 Training counts trigrams over all training rows and sums them by language and bucket, so the model is at most BUCKETS
-numbers for each language; it is the only thing that is sent to the executors.
+numbers for each language; it is the only thing that is sent to the executors. Of languages there may be MOST_LANGUAGES,
+and more are an error, so the model is at most 256 MB.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text if there is nothing
 to learn from; of languages with equal letters the alphabetically first counts; a null doc_id counts as an empty one for
-the split; every row is labelled by itself, so repeated rows and equal ids need no care; other columns are not read.
+the split; every row is labelled by itself, so repeated rows and equal ids need no care; other columns are not read, so
+their names do not matter. A very long text is labelled whole, in a portion of its own and in blocks of words.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import ship
+from sedge.llm.common import ship, written
 
-BUCKETS = 1 << 16
+BUCKETS, MOST_LANGUAGES = 1 << 16, 1000
 #: Words that are labelled together, and texts and characters that a task holds at once.
 BLOCK, MOST_TEXTS, MOST_CHARS = 128, 1024, 2_000_000
 #: First code points of ranges, and the script of each range; None: other.
@@ -111,7 +113,7 @@ def viterbi(scores: np.ndarray, text_of_word: np.ndarray, switch_cost: float) ->
         entered[b] = (entered[b - 1][:, :, None] + through[b - 1]).max(axis=1)
     v = entered - entered.max(axis=1, keepdims=True)
     stay = np.empty((at[-1], BLOCK, k), dtype=bool)
-    best_of = np.empty((at[-1], BLOCK), dtype=np.int8)
+    best_of = np.empty((at[-1], BLOCK), dtype=np.int16)
     for t in range(BLOCK):
         best_of[:, t] = v.argmax(axis=1)
         best = v.max(axis=1, keepdims=True) - switch_cost
@@ -126,7 +128,7 @@ def viterbi(scores: np.ndarray, text_of_word: np.ndarray, switch_cost: float) ->
     for j in range(blocks.max() - 1, 0, -1):
         b = at[:-1][blocks > j] + j
         left[b - 1] = back[b, left[b]]
-    labels = np.empty((at[-1], BLOCK), dtype=np.int8)
+    labels = np.empty((at[-1], BLOCK), dtype=np.int16)
     state = left
     for t in range(BLOCK - 1, -1, -1):
         labels[:, t] = state
@@ -205,9 +207,12 @@ def train(labelled: DataFrame, smoothing: float = 0.5, least_share: float = 0.00
         .mapInArrow(run, "lang string, slot int, n bigint")
         .groupBy("lang", "slot")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
     )
-    languages = sorted(counts["lang"].unique())
+    counts = written(counts, "langid-counts")
+    languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    counts = counts.toPandas()
     table = np.zeros((BUCKETS + len(NAMES), len(languages)))
     table[counts["slot"], [languages.index(x) for x in counts["lang"]]] = counts["n"]
     grams, scripts = table[:BUCKETS], table[BUCKETS:]

@@ -1,11 +1,12 @@
 """Quality rules (operator 2): a rule bitmask ledger.
 
 evaluate() measures every document once, inside its row and with SQL functions only, and sets one bit per failed rule.
-Policies are bit masks with a name and a version; applying one, or comparing what each of its rules alone rejects,
-reads the ledger and never the texts again.
+The ledger is stored. Policies are bit masks with a name and a version; applying one, or comparing what each of its rules
+alone rejects, reads the ledger and never the texts again.
 
 Defined results: a null text has no words and fails `few_words`; every row is judged by itself, so repeated rows, equal
-ids and null ids need no care; other columns of the input are not read; an empty table gives an empty ledger.
+ids and null ids need no care; other columns of the input are not read, so their names do not matter; an empty table
+gives an empty ledger. A very long text is measured whole, within its row.
 A window of five words is told from others by a 64-bit hash, within one document only: a text of n words is given a
 false repeat with a chance below n * n / 2**65.
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import WORD
+from sedge.llm.common import WORD, written
 
 WINDOW = 5
 
@@ -68,6 +69,10 @@ RULE_NAMES = (
 )
 BASE = Policy("base", 1, RULE_NAMES[:2])
 STANDARD = Policy("standard", 1, RULE_NAMES)
+#: Without the rule on upper case, which also rejects scripts of notices.
+STANDARD_2 = Policy("standard", 2, RULE_NAMES[:7])
+#: The version of the rules themselves, noted in every ledger.
+RULE_SET = 1
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -139,6 +144,15 @@ def evaluate(docs: DataFrame) -> DataFrame:
     return _measured(docs).withColumn("fail_bits", bits)
 
 
+def stored(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """evaluate(), written as Parquet (to path, or to the shared folder) with the version of the rules, and read again."""
+    ledger = evaluate(docs).withColumn("rule_set", F.lit(RULE_SET))
+    if path is None:
+        return written(ledger, "quality-ledger")
+    ledger.write.mode("overwrite").parquet(path)
+    return ledger.sparkSession.read.parquet(path)
+
+
 def apply_policy(ledger: DataFrame, policy: Policy, kept: str = "kept") -> DataFrame:
     return ledger.withColumn(kept, F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0)
 

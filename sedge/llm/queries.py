@@ -23,7 +23,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality.apply_policy(quality.evaluate(documents(spark, sf_dir)), quality.BASE, "base_kept")
+    ledger = quality.apply_policy(quality.stored(documents(spark, sf_dir)), quality.BASE, "base_kept")
+    ledger = quality.apply_policy(ledger, quality.STANDARD_2, "kept_2")
     return quality.apply_policy(ledger, quality.STANDARD).select(
         "doc_id",
         "n_words",
@@ -34,9 +35,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fail_bits",
         (~F.col("base_kept")).alias("base_failed"),
         "kept",
+        "kept_2",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of both versions of the standard policy rejects, and rejects alone, from one ledger."""
+    ledger = quality.stored(documents(spark, sf_dir))
+    return quality.ablation(ledger, quality.STANDARD).unionByName(quality.ablation(ledger, quality.STANDARD_2))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), partial(tokenizer_file, "word_bpe_49k.json"))
 
@@ -96,6 +104,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
+    "quality_ablation": quality_ablation,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
@@ -119,20 +128,19 @@ def _op1_sql() -> str:
         prior = f"r{i}"
         found.append(f"f{i}")
     read = (
-        "list_filter(list_transform(list_filter({cut}, lambda x: regexp_matches(x, '(?i)licen[sc]|software|permi|"
-        "copyright|rights|redistribut|warrant|cc by|cc-by')), lambda x: MAP {{{known}}}"
-        "[trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), ' .')]), lambda x: x IS NOT NULL)"
-    )
-    lines = r"string_split_regex(regexp_replace(t, '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+')"
-    wrapped = (
-        r"string_split(regexp_replace(regexp_replace(t, '\r?\n[ \t]*\r?\n', chr(1), 'g'), '([.!?:;])[ \t\r\n]+', "
-        r"'\1' || chr(1), 'g'), chr(1))"
+        "list_filter(list_transform({cut}, lambda x: known[trim(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), ' .')]), "
+        "lambda x: x IS NOT NULL)"
     )
-    return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (
-  SELECT doc_id, {read.format(cut=lines, known=known)} AS a, {read.format(cut=wrapped, known=known)} AS b FROM d
-), i AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM b),
-s AS (SELECT doc_id, ids, {left} AS l0 FROM i), {", ".join(steps)}
+    lines = r"string_split_regex(regexp_replace(p, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+')"
+    wrapped = r"string_split(regexp_replace(regexp_replace(p, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), ':\r?\n', ':' || chr(1), 'g'), chr(1))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS (SELECT MAP {{{known}}} AS known), b AS (
+  SELECT doc_id, i, {read.format(cut=lines)} AS a, {read.format(cut=wrapped)} AS b
+  FROM (SELECT doc_id, unnest(string_split_regex(t, '\r?\n[ \t]*\r?\n')) AS p,
+               generate_subscripts(string_split_regex(t, '\r?\n[ \t]*\r?\n'), 1) AS i FROM d), k
+), i AS (
+  SELECT doc_id, coalesce(flatten(list(CASE WHEN len(b) > len(a) THEN b ELSE a END ORDER BY i)), []) AS ids FROM b GROUP BY doc_id
+), s AS (SELECT doc_id, ids, {left} AS l0 FROM i), {", ".join(steps)}
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{", ".join(found)}], lambda x: x IS NOT NULL))), ',')
          AS licences, array_to_string(ids, ',') AS sentence_ids, CAST(len(ids) AS BIGINT) AS n_known,
        CAST(len(list_filter(string_split_regex(l{len(licenses.RULES)}, '[;|]+'), lambda x: x <> '')) AS BIGINT)
@@ -176,10 +184,25 @@ WITH d AS (
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
-       fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept
+       fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits & 127 = 0 AS kept_2
 FROM b
 """
 
+
+def _ablation_sql() -> str:
+    rows = ", ".join(
+        f"('standard', {p.version}, {p.mask}, '{r}', {1 << quality.RULE_NAMES.index(r)})"
+        for p in (quality.STANDARD, quality.STANDARD_2)
+        for r in p.rules
+    )
+    return f"""
+WITH ledger AS ({OP2_SQL}), r(policy, version, mask, rule, bit) AS (VALUES {rows})
+SELECT policy, version, count(*) FILTER (fail_bits & mask <> 0) AS n_rejected, rule,
+       count(*) FILTER (fail_bits & bit <> 0) AS n_fails, count(*) FILTER (fail_bits & mask = bit) AS n_alone
+FROM ledger, r GROUP BY ALL
+"""
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -268,6 +291,7 @@ FROM d LEFT JOIN heads USING (doc_id)
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _op1_sql(),
     "op2_quality_rules": OP2_SQL,
+    "quality_ablation": _ablation_sql(),
     "op7_substring": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,

@@ -30,6 +30,15 @@ def test_like_the_library(spark):
     assert bpe.round_trip(df.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_long_pieces_like_the_library():
+    lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    own = bpe.BytePairEncoder(bpe.read_ranks(PATH), PATTERN)
+    random.seed(6)
+    for letters, n in [("ab", 257), ("a", 5000), ("etaoinshrdlu", 4000), ("thequickbrown", 20_000), ("日本語é", 3000)]:
+        piece = "".join(random.choice(letters) for _ in range(n))
+        assert own.merge_long(piece.encode()) == lib.encode_ordinary(piece)
+
+
 def test_encode_decode(spark):
     df = spark.createDataFrame(list(enumerate(texts()[:60])), "doc_id bigint, text string")
     back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()}

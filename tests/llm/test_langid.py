@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -48,3 +52,73 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string")
     assert [tuple(r) for r in langid.predict(df, none).collect()] == [(1, "und", 0.0)]
     assert langid.predict(df.where("false"), none).count() == 0
+
+
+def test_many_languages():
+    """More languages than a byte tells apart."""
+    scores = np.full((300, 200), -5.0, dtype=np.float32)
+    scores[:, 150] = 0
+    assert set(langid.viterbi(scores, np.repeat([0, 1], 150), 3.0)) == {150}
+
+
+def brute_letters(text):
+    """(bucket, script) of the letters of each word."""
+    letter = lambda c: ("A" <= c) and ord(c) < 0x33480 and c.isalpha()
+    low = lambda c: (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if letter(c) else 0
+    script = lambda c: [s for a, s in langid.SCRIPTS if a <= ord(c)][-1]
+    padded, words = f"\n{text}\n", []
+    for i in range(1, len(padded) - 1):
+        if letter(padded[i]):
+            a, b, c = (low(x) for x in padded[i - 1 : i + 2])
+            h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+            h ^= h >> 15
+            if not letter(padded[i - 1]):
+                words.append([])
+            words[-1].append(((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 16, script(padded[i])))
+    return words
+
+
+def test_query_like_brute_force(spark):
+    """Training and prediction of the registered query, letter by letter, over the whole table."""
+    docs = documents(spark, DATA).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    cut = {r.doc_id: brute_letters(r.text or "") for r in docs}
+    counts, scripts = defaultdict(Counter), defaultdict(Counter)
+    for r in docs:
+        if not held(r.doc_id) and r.lang is not None and r.text is not None:
+            for w in cut[r.doc_id]:
+                counts[r.lang].update(b for b, _ in w)
+                scripts[r.lang].update(s for _, s in w)
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in langs}
+    weight = lambda x, b: math.log((counts[x][b] + 0.5) / (total[x] + 0.5 * langid.BUCKETS))
+    uses = lambda x, s: scripts[x][s] >= 0.001 * max(sum(scripts[x].values()), 1)
+    got = {r.doc_id: r for r in op4_language_id(spark, DATA).collect()}
+    assert set(got) == set(cut)
+    for i, words in cut.items():
+        assert got[i].held_out == held(i)
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        paths = []  # of each language: score, letters of each language
+        for w in words:
+            behind = [sum(langid.FAR_BEHIND for _, s in w if not uses(x, s)) for x in langs]
+            own = [sum(weight(x, b) for b, _ in w) + (0 if max(behind) < 0 else behind[k]) for k, x in enumerate(langs)]
+            if not paths:
+                paths = [(own[k], [len(w) * (j == k) for j in range(len(langs))]) for k in range(len(langs))]
+                continue
+            best = max(range(len(langs)), key=lambda k: paths[k][0])  # noqa: B023
+            new = []
+            for k in range(len(langs)):
+                before = paths[k] if paths[k][0] >= paths[best][0] - 12.0 else (paths[best][0] - 12.0, paths[best][1])
+                new.append((before[0] + own[k], [n + len(w) * (j == k) for j, n in enumerate(before[1])]))
+            paths = new
+        letters = max(paths, key=lambda p: p[0])[1]
+        assert got[i].lang_pred == langs[letters.index(max(letters))], i
+        assert abs(got[i].score - max(letters) / sum(letters)) < 1e-9, i
+
+
+def test_a_very_long_text(spark):
+    model = langid.train(spark.createDataFrame([("abc abd", "x"), ("xyz xyw", "y")] * 5, "text string, lang string"))
+    df = spark.createDataFrame([(1, "abc abd " * 200_000 + "xyz"), (2, "xyz")], "doc_id bigint, text string")
+    assert [r.lang_pred for r in langid.predict(df, model).orderBy("doc_id").collect()] == ["x", "y"]

@@ -1,3 +1,5 @@
+import re
+
 from sedge.llm import chat, licenses
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -32,6 +34,32 @@ def test_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def scanned(spark, texts, *tables):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r.licences for r in licenses.scan(df, *tables).orderBy("doc_id").collect()]
+
+
+def test_both_readings_in_one_text(spark):
+    gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation, either version 2 of the\nLicense, or (at your option) any later version."
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General").replace("version 2 ", "version 2.1 ")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    got = scanned(spark, [f"{MIT}\nLicensed under CC BY-NC-ND 4.0.\nmore", f"x\n\n{gpl}\n\nLicensed under CC BY 3.0", lgpl, mpl, "SPDX-License-Identifier: AGPL-3.0-or-later"])
+    assert got == [["CC-BY-NC-ND-4.0", "MIT"], ["CC-BY-3.0", "GPL-2.0-or-later"], ["LGPL-2.1-or-later"], ["MPL-2.0"], ["AGPL-3.0-or-later"]]
+
+
+def test_sentences_of_any_words(spark):
+    assert scanned(spark, ["Free to use, by all.", "free"], {"free to use by all": "f"}, [("F", ["f"])]) == [["F"], []]
+
+
+def test_tables_agree():
+    """Every identifier that a rule asks for is one of a sentence, sentences are in normal form, and hold a mark."""
+    ids = set(licenses.SENTENCES.values())
+    assert {x for _, sequence in licenses.RULES for x in sequence} <= ids
+    for x in licenses.SENTENCES:
+        assert re.sub(r"[^a-z0-9.]+", " ", x.lower()).strip(" .") == x and re.search(licenses.MARKS, x), x
+    assert len({name for name, _ in licenses.RULES}) > 30
+
+
 def test_rules_are_tried_in_order(spark):
     df = spark.createDataFrame([(1, "license a\nlicense b\nlicense a")], "doc_id bigint, text string")
     known = {"license a": "a", "license b": "b"}
@@ -60,3 +88,15 @@ def test_pairs(spark):
     assert got[3].prompt == "<|unknown|>\n<|end|>\n" and got[3].rejected == "<|assistant|>\n<|end|>\n"
     assert (got[4].n_chosen, got[4].prompt) == (0, "") and got[4].rejected.count("a<|end|>") == 2
     assert chat.format_preferences(df.limit(0)).count() == 0
+
+
+def test_neighbours_of_large_ids(spark):
+    df = spark.createDataFrame([(2**53 + 3, 0, "user", "q"), (-1, 0, "user", "q")], "conv_id bigint, turn bigint, role string, text string")
+    assert [(r.pair_id, r.chosen) for r in chat.pair_neighbours(df).collect()] == [(4503599627370497, False), (-1, False)]
+
+
+def test_a_very_long_conversation(spark):
+    turns = [(1, c, i, "user" if i % 2 == 0 else "assistant", f"{i} {c and i > 2990}") for c in (True, False) for i in range(3000)]
+    df = spark.createDataFrame(turns, "pair_id bigint, chosen boolean, turn bigint, role string, text string")
+    (r,) = chat.format_preferences(df).collect()
+    assert (r.n_chosen, r.n_common, len(r.chosen_segments)) == (3000, 2991, 9)
