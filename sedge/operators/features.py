@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StructType
 
-#: Names that mark a categorical column.
-CATEGORICAL_SUFFIXES = ("_present", "_class", "_type")
-CATEGORICAL_PREFIXES = ("has_", "te_has_", "is_")
+#: What marks a categorical column, such columns by name, and names that are none all the same.
+CATEGORICAL_PARTS = ("_has_", "_present")
+CATEGORICAL_NAMES = ("ORF_frame_l_cpat",)
+NOT_CATEGORICAL = ("motif_types_present",)
 
 
 def numeric_columns(schema: StructType) -> list[str]:
@@ -29,7 +30,7 @@ def feature_columns(
 
 def categorical_and_continuous(columns: list[str]) -> tuple[list[str], list[str]]:
     """By name; continuous ones sorted."""
-    kind = lambda c: c.endswith(CATEGORICAL_SUFFIXES) or c.startswith(CATEGORICAL_PREFIXES)
+    kind = lambda c: c not in NOT_CATEGORICAL and (c in CATEGORICAL_NAMES or any(p in c for p in CATEGORICAL_PARTS))
     return [c for c in columns if kind(c)], sorted(c for c in columns if not kind(c))
 
 
@@ -47,10 +48,10 @@ def probabilities(rows: DataFrame, columns: list[str], inverted: list[str]) -> D
 
 def standardised(rows: DataFrame, by: str = "feature") -> DataFrame:
     """Long values less their mean over their population standard deviation; what is null or not finite becomes 0."""
-    w = Window.partitionBy(by)
     v = F.when(F.isnan("value") | (F.abs("value") == F.lit(float("inf"))), None).otherwise(F.col("value"))
-    z = F.try_divide(v - F.avg(v).over(w), F.stddev_pop(v).over(w))
-    return rows.withColumn("z", F.coalesce(z, F.lit(0.0)))
+    of = rows.groupBy(F.col(by).alias("__by")).agg(F.avg(v).alias("__mean"), F.stddev_pop(v).alias("__sd"))
+    z = F.try_divide(v - F.col("__mean"), F.col("__sd"))
+    return rows.join(of, F.col(by).eqNullSafe(F.col("__by"))).select(*rows.columns, F.coalesce(z, F.lit(0.0)).alias("z"))
 
 
 def residuals(rows: DataFrame, length: str = "length") -> DataFrame:
@@ -66,10 +67,10 @@ def residuals(rows: DataFrame, length: str = "length") -> DataFrame:
 
 def colour(rows: DataFrame, column: str, how: str) -> DataFrame:
     """log, sqrt, percentile (share rank of ties' mean) or none."""
-    from sedge.functions.numbers import share_rank
+    from sedge.operators.ranks import ranked
 
     if how == "percentile":
-        return rows.withColumn("__by", F.lit(0)).withColumn("colour", share_rank(column, ["__by"])).drop("__by")
+        return ranked(rows, [], column, "colour", share=True)
     c = F.col(column)
     made = {"log": F.log10(c + 1), "sqrt": F.sqrt(c), "none": c.cast("double")}
     if how not in made:
@@ -172,18 +173,23 @@ def top_variance(rows: DataFrame, n: int = 6) -> DataFrame:
 
 def yeo_johnson(rows: DataFrame, grid: int = 41) -> DataFrame:
     """Adds the Yeo-Johnson transform of each feature's values, with the lambda of the grid over [-2, 2] whose
-    log-likelihood is the largest: all lambdas are tried in one pass over (feature, lambda)."""
-    lambdas = F.array(*(F.lit(-2 + 4 * i / (grid - 1)) for i in range(grid)))
-    x, l = F.col("value"), F.col("lambda")
-    positive = F.when(F.abs(l) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, l) - 1) / l)
-    negative = F.when(F.abs(l - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - l) - 1) / (2 - l))
-    y = F.when(x >= 0, positive).otherwise(negative)
-    tried = rows.select("feature", "value", F.explode(lambdas).alias("lambda")).withColumn("y", y)
-    n = F.count("y").cast("double")
-    fit = -n / 2 * F.ln(F.var_pop("y")) + (l - 1) * F.sum(F.signum("value") * F.log1p(F.abs("value")))
-    fits = tried.groupBy("feature", "lambda").agg(fit.alias("fit"))
-    best = fits.groupBy("feature").agg(F.max_by("lambda", F.struct(F.round("fit", 6), -F.col("lambda"))).alias("lambda"))
-    return rows.join(best, "feature").withColumn("transformed", y)
+    log-likelihood is the largest: all lambdas are tried in one pass, an aggregate for each."""
+    x = F.col("value")
+
+    def made(l: Column) -> Column:
+        positive = F.when(F.abs(l) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, l) - 1) / l)
+        negative = F.when(F.abs(l - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - l) - 1) / (2 - l))
+        return F.when(x >= 0, positive).otherwise(negative)
+
+    lambdas = [-2 + 4 * i / (grid - 1) for i in range(grid)]
+    sums = rows.groupBy("feature").agg(
+        F.count("value").cast("double").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("logs"),
+        *(F.var_pop(made(F.lit(l))).alias(f"v{i}") for i, l in enumerate(lambdas)),
+    )
+    fit = lambda i, l: -F.col("n") / 2 * F.ln(F.col(f"v{i}")) + (l - 1) * F.col("logs")
+    fits = F.array(*(F.struct(F.round(fit(i, l), 6).alias("fit"), F.lit(-l).alias("less"), F.lit(l).alias("lambda")) for i, l in enumerate(lambdas)))
+    best = sums.select("feature", F.array_max(fits)["lambda"].alias("lambda"))
+    return rows.join(best, "feature").withColumn("transformed", made(F.col("lambda")))
 
 
 def tsne_bytes(n: int, perplexity: float) -> int:

@@ -43,23 +43,38 @@ def structure(c: Column) -> Column:
     return F.struct(part(1).alias("rna"), part(2).alias("ss"), part(3).try_cast("double").alias("mfe"))
 
 
-#: Categories of feature names, tried in this order.
+#: Categories of feature names, tried in this order, case counting.
 CATEGORY_RULES = [
-    ("kmer", r"kmer|k_mer|hexamer"),
-    ("orf", r"orf|fickett|cds"),
-    ("structure", r"mfe|ss_|paired|struct"),
-    ("transposable elements", r"^te_|_te_|line|sine|ltr"),
-    ("non-B DNA", r"quadruplex|z_dna|cruciform|triplex|a_phased"),
-    ("composition", r"gc|content|composition|nucleotide"),
-    ("length", r"length|size|mrna"),
+    ("Non-B DNA presence flag", r"_present$"),
+    ("ORF / coding potential", r"ORF.*_(cpat|lncDC|feelnc|lncfinder)$"),
+    ("ORF / coding potential", r"^orf"),
+    ("Hexamer score", r"Hexamer.*_(cpat|lncDC)$"),
+    ("Fickett score", r"Fickett.*(cpat|lncDC|lncfinder)$"),
+    ("Sequence composition ratio", r"\.dist|\.Dist|_Dist|UP\.PCT|SNR"),
+    ("k-mer score (FEELnc)", r"kmerScore.*feelnc$"),
+    ("Transcript length", r"RNA_size_feelnc$"),
+    ("Codon bias", r"^RCB_"),
+    ("SS_score (lncDC)", r"^SS_score"),
+    ("FFT Power Signal (LncFinder)", r"^Signal"),
+    ("MFE", r"^MFE"),
+    ("3-mer composition (PLncPRO)", r"^[ACGT]{3}_plncpro$"),
+    ("GC content", r"^GC_"),
+    ("BLAST conservation", r"(Frame_Entropy|numhits|Bitscore|HitScore)"),
+    ("TE content", r"^te_"),
+    ("Low-complexity / satellite repeat", r"^lctr_"),
+    ("Pseudogene / retrotransposon remnant", r"^pseudo"),
+    ("Unknown repeat", r"^unknown_"),
+    ("Global repeat landscape", r"^global_"),
+    ("Non-B DNA motif", r"^(apr|dr|gq|ir|mr|str|tri|z)_"),
+    ("Non-B DNA motif (summary)", r"^(any_nonb|all_nonb|motif_|total_nonb|n_motif_types)"),
 ]
 
 
-def category(name: Column, rules: list[tuple[str, str]] | None = None, default: str = "other") -> Column:
-    """The category of the first rule whose pattern is found, whatever the case."""
-    low, out = F.lower(name), F
+def category(name: Column, rules: list[tuple[str, str]] | None = None, default: str = "Other") -> Column:
+    """The category of the first rule whose pattern is found."""
+    out = F
     for label, pattern in rules or CATEGORY_RULES:
-        out = out.when(low.rlike(pattern), label)
+        out = out.when(name.rlike(pattern), label)
     return out.otherwise(default)
 
 

@@ -1,7 +1,6 @@
 """Hypothesis tests on many features at once, in long form: one row per (feature, group, value).
 
-Values are first counted by feature, value and group, so every window below holds different values only: how often a
-value occurs is a number in its row, not a number of rows.
+Values are first counted by feature, value and group, and the different ones ranked in ranges (ranks.py).
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.numbers import chi_square_tail, share_rank, two_sided_normal
+from sedge.operators.ranks import correlation, pair_sums, ranked, running
 
 
 def mann_whitney(
@@ -27,11 +27,11 @@ def mann_whitney(
         .withColumn("t", F.col("a") + F.col("b"))
         .where(F.col("t") > 0)
     )
-    below = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2
+    rank = F.col("before_t") + (F.col("t") + 1) / 2
     t = F.col("t").cast("double")
     sums = (
-        seen.withColumn("rank", rank)
+        running(seen, by, "v", ["t"])
+        .withColumn("rank", rank)
         .groupBy(*by)
         .agg(
             F.sum("a").alias("n1"),
@@ -248,15 +248,27 @@ def mutual_information(rows: DataFrame, by: list[str], bins: int = 10, value: st
     return cells.groupBy(*by).agg(F.sum(n / t * F.ln(n * t / (F.col("x") * F.col("y")))).alias("mi"))
 
 
+def features_of(rows: DataFrame, most: int = 2000) -> list[str]:
+    """The features of long rows, at most `most`; their number does not grow with the data."""
+    names = sorted(r.feature for r in rows.select("feature").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} features")
+    return names
+
+
+def pearson(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Pearson correlation of every two features of long rows (key, feature, value), one value for each key and feature: f1 <
+    f2 and r, over the keys that have both. Values are taken as they are: centre large ones first (standardised())."""
+    names = features_of(rows)
+    wide = rows.groupBy(key).pivot("feature", names).agg(F.first("value"))
+    return pair_sums(wide, names).select("f1", "f2", correlation().alias("r"))
+
+
 def spearman(rows: DataFrame, key: str = "id") -> DataFrame:
     """Spearman correlation of every two features of long rows (key, feature, value): f1 < f2 and rho. Ranks are taken
-    once for each feature; pairs are of features, joined by row."""
-    from sedge.functions.numbers import midrank
-
-    ranked = rows.withColumn("r", midrank("value", ["feature"])).select(key, "feature", "r")
-    a = ranked.select(key, F.col("feature").alias("f1"), F.col("r").alias("r1"))
-    b = ranked.select(key, F.col("feature").alias("f2"), F.col("r").alias("r2"))
-    return a.join(b, key).where(F.col("f1") < F.col("f2")).groupBy("f1", "f2").agg(F.corr("r1", "r2").alias("rho"))
+    once for each feature; pairs are summed up in each task."""
+    shares = ranked(rows.select(key, "feature", "value"), ["feature"], "value", "share", share=True)
+    return pearson(shares.select(key, "feature", (F.col("share") - 0.5).alias("value")), key).withColumnRenamed("r", "rho")
 
 
 def kendall(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -276,19 +288,27 @@ def kendall(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def cohen_kappa(labels: DataFrame, key: str, tools: list[str]) -> DataFrame:
     """Cohen's kappa of every two tools' boolean calls."""
-    long = labels.unpivot([key], tools, "tool", "call").where(F.col("call").isNotNull())
-    a = long.select(key, F.col("tool").alias("tool_1"), F.col("call").alias("c1"))
-    b = long.select(key, F.col("tool").alias("tool_2"), F.col("call").alias("c2"))
-    met = a.join(b, key).where(F.col("tool_1") < F.col("tool_2"))
-    counts = met.groupBy("tool_1", "tool_2").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.count_if(F.col("c1") == F.col("c2")).alias("same"),
-        F.count_if("c1").alias("y1"),
-        F.count_if("c2").alias("y2"),
+    counts = pair_sums(labels.select(*(F.col(t).cast("int").alias(t) for t in tools)), tools)
+    n, y1, y2 = F.col("n"), F.col("x"), F.col("y")
+    same = n - y1 - y2 + 2 * F.col("xy")
+    expected = (y1 * y2 + (n - y1) * (n - y2)) / (n * n)
+    return counts.select(
+        F.col("f1").alias("tool_1"), F.col("f2").alias("tool_2"), F.try_divide(same / n - expected, 1 - expected).alias("kappa")
     )
-    n = F.col("n")
-    expected = (F.col("y1") * F.col("y2") + (n - F.col("y1")) * (n - F.col("y2"))) / (n * n)
-    return counts.select("tool_1", "tool_2", F.try_divide(F.col("same") / n - expected, 1 - expected).alias("kappa"))
+
+
+def pairwise_results(
+    numbers: DataFrame, flags: DataFrame, alpha: float = 0.01, method: str = "fdr_bh"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The combined run over two groups (grp 0 and 1): Mann-Whitney of each number, chi-square of each flag, one family of
+    adjusted p-values over both, and the percentage of each flag by group."""
+    u = with_normal_p(mann_whitney(numbers, ["feature"]))
+    c = with_chi_p(chi_square(contingency(flags, ["feature"]), ["feature"]))
+    both = jointly_adjusted({"mannwhitney": u.select("feature", "p_value"), "chi2": c.select("feature", "p_value")}, method=method, alpha=alpha)
+    of = lambda t, name: t.join(both.where(F.col("family") == name).select("feature", "adj_p", "significant"), "feature")
+    shares = frequency_by_group(flags, ["feature"])
+    shares = shares.groupBy("feature").agg(*(F.max(F.when(F.col("grp") == g, F.col("percent"))).alias(f"group{g + 1}") for g in (0, 1)))
+    return of(u, "mannwhitney"), of(c, "chi2"), shares
 
 
 def composite_rank(scores: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

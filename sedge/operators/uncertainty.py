@@ -263,35 +263,40 @@ def bootstrap_accuracy(rows: DataFrame, bin_column: str, real: str, called: str,
 
 
 def roc_points(rows: DataFrame, score: str, real: str, by: list[str]) -> DataFrame:
-    """Cumulated true and false positives at each different score, from the highest down, within `by`. Scores are summed
-    up before the window, which then holds different scores only."""
-    from pyspark.sql import Window
+    """Cumulated true and false positives at each different score, from the highest down, within `by`: tp and fp, those of
+    the scores above (tp0, fp0), positives and negatives in all."""
+    from sedge.operators.ranks import running
 
     seen = rows.groupBy(*by, score).agg(
         F.count_if(F.col(real)).alias("__real"), F.count_if(~F.col(real)).alias("__other")
     )
-    down = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return seen.select(
+    whole = seen.groupBy(*by).agg(F.sum("__real").alias("positives"), F.sum("__other").alias("negatives"))
+    summed = running(seen, by, score, ["__real", "__other"], descending=True)
+    return summed.join(whole, by).select(
         *by,
         score,
-        F.sum("__real").over(down).alias("tp"),
-        F.sum("__other").over(down).alias("fp"),
-        F.sum("__real").over(whole).alias("positives"),
-        F.sum("__other").over(whole).alias("negatives"),
+        (F.col("before___real") + F.col("__real")).alias("tp"),
+        (F.col("before___other") + F.col("__other")).alias("fp"),
+        F.col("before___real").alias("tp0"),
+        F.col("before___other").alias("fp0"),
+        "positives",
+        "negatives",
+    )
+
+
+def precision_recall_points(rows: DataFrame, score: str, real: str, by: list[str]) -> DataFrame:
+    """Precision and recall of calls at or above each different score, within `by`."""
+    tp, fp = F.col("tp"), F.col("fp")
+    return roc_points(rows, score, real, by).select(
+        *by, score, F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, F.col("positives")).alias("recall")
     )
 
 
 def roc_auc(rows: DataFrame, score: str, real: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve: positives' rank sum, over different scores."""
-    points = roc_points(rows, score, real, by)
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(*by).orderBy(F.col(score).desc())
-    tp0 = F.coalesce(F.lag("tp").over(before), F.lit(0))
-    fp0 = F.coalesce(F.lag("fp").over(before), F.lit(0))
-    area = points.withColumn("area", (F.col("fp") - fp0) * (F.col("tp") + tp0) / 2)
-    return area.groupBy(*by).agg((F.sum("area") / F.max("positives") / F.max("negatives")).alias("auc"))
+    area = (F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2
+    points = roc_points(rows, score, real, by).withColumn("area", area)
+    return points.groupBy(*by).agg((F.sum("area") / F.max("positives") / F.max("negatives")).alias("auc"))
 
 
 def cutoff_sweep(rows: DataFrame, score: str, real: str, step: float = 0.001) -> DataFrame:

@@ -49,7 +49,7 @@ def gene_sample(spark, d):
 def feature_rules(spark, d):
     t = table(spark, d, "lineitem")
     found = X.feature_columns(t.schema, ["price", "tax", "discount", "key"], ["l_orderkey"], ["l_discount"], ["l_suppkey"])
-    kinds = X.categorical_and_continuous([*found, "te_has_line", "quad_present"])
+    kinds = X.categorical_and_continuous([*found, "te_has_line", "quad_present", "motif_types_present", "gene_type", "ORF_frame_l_cpat"])
     return spark.createDataFrame([(c, k) for k, cs in zip(("categorical", "continuous"), kinds, strict=True) for c in cs], "name string, kind string")
 
 
@@ -60,8 +60,7 @@ def inverted_probabilities(spark, d):
 def source_files(spark, d):
     from sedge.sources.files import provenance
 
-    rows = provenance(table(spark, d, "nation")).select("n_nationkey", F.element_at(F.split("source_file", "/"), -1).alias("source_file"))
-    return rows
+    return provenance(table(spark, d, "nation")).select("n_nationkey", "source_file")
 
 
 QUERIES = {
@@ -86,7 +85,7 @@ ORACLE_SQL = {
     "= 1), c AS (SELECT label, least(count(*), 100) AS n FROM g GROUP BY ALL) SELECT label, 'train' AS part, least(n, 50) AS n, least(n, 50) "
     "AS n_genes FROM c UNION ALL SELECT label, 'test', n - 50, n - 50 FROM c WHERE n > 50",
     "gene_sample": "SELECT CAST(7 AS BIGINT) AS n, CAST(7 AS BIGINT) AS n_genes",
-    "feature_rules": "SELECT * FROM (VALUES ('te_has_line', 'categorical'), ('quad_present', 'categorical'), ('l_extendedprice', 'continuous'), "
+    "feature_rules": "SELECT * FROM (VALUES ('te_has_line', 'categorical'), ('quad_present', 'categorical'), ('ORF_frame_l_cpat', 'categorical'), ('motif_types_present', 'continuous'), ('gene_type', 'continuous'), ('l_extendedprice', 'continuous'), "
     "('l_partkey', 'continuous'), ('l_tax', 'continuous')) t(name, kind)",
     "inverted_probabilities": f"WITH {TOOL_PROBS} SELECT id, round(p2, 6) AS p2, round(1 - p3, 6) AS p3 FROM tool_probs",
     "source_files": "SELECT n_nationkey, 'nation' AS source_file FROM nation",

@@ -118,7 +118,7 @@ def residuals(spark, d):
 
 
 def colours(spark, d):
-    t = table(spark, d, "customer").where("c_acctbal >= 0").select("c_custkey", F.col("c_acctbal").cast("double").alias("v"))
+    t = table(spark, d, "customer").select("c_custkey", F.abs(F.col("c_acctbal").cast("double")).alias("v"))
     parts = [X.colour(t, "v", h).select("c_custkey", "colour", F.lit(h).alias("how")) for h in ("log", "sqrt", "percentile")]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
@@ -185,8 +185,16 @@ def kmer_counts(spark, d):
     return Q.kmer_counts(transcripts(spark, d), 3, by=["biotype"])
 
 
+FEATURE_NAMES = (
+    "GC_skew", "te_count", "ORF.Max.Len_lncfinder", "Hexamer_score_cpat", "x_MFE",
+    "gq_hit_count", "any_nonb_present", "AAA_plncpro", "motif_diversity", "pseudo_count",
+    "kmerScore_12mer_feelnc", "Signal.Peak", "lctr_", "q",
+)
+
+
 def category_rules(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat(F.element_at(F.array(*map(F.lit, ("GC_", "te_", "ORF", "len_Length", "x_MFE", "q"))), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("_"), F.col("p_size")).alias("name"))
+    names = F.array(*map(F.lit, FEATURE_NAMES))
+    p = table(spark, d, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(FEATURE_NAMES) + 1).cast("int")).alias("name"))
     return p.select("p_partkey", "name", Q.category(F.col("name")).alias("category"))
 
 
@@ -234,7 +242,7 @@ _SIL = (
     "AS n_clusters, count(*) AS n FROM cl GROUP BY ALL), si AS (SELECT threshold, n_clusters, CASE WHEN n_clusters > 1 AND n_clusters < n "
     "THEN s END AS silhouette FROM o LEFT JOIN s USING (threshold))"
 )
-_NAMES = "['GC_', 'te_', 'ORF', 'len_Length', 'x_MFE', 'q']"
+_NAMES = str(list(FEATURE_NAMES))
 ORACLE_SQL = {
     "shap_aggregate": f"{_SHAP} SELECT feature, round(mean, 6) AS mean_abs_shap, round(sd, 6) AS std_abs_shap, round(sd / mean, 6) AS "
     "cv_abs_shap FROM a",
@@ -289,7 +297,7 @@ ORACLE_SQL = {
     "residuals": f"WITH {FEATURES_LONG}, l AS (SELECT id, feature, value, id % 97 + 100 AS x FROM features_long), f AS (SELECT feature, "
     "regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM l GROUP BY ALL) SELECT id, feature, round(value - a - b * x, 6) AS residual "
     "FROM l JOIN f USING (feature)",
-    "colours": "WITH t AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS v FROM customer WHERE c_acctbal >= 0) SELECT c_custkey, "
+    "colours": "WITH t AS (SELECT c_custkey, abs(CAST(c_acctbal AS DOUBLE)) AS v FROM customer) SELECT c_custkey, "
     "round(log10(v + 1), 6) AS colour, 'log' AS how FROM t UNION ALL SELECT c_custkey, round(sqrt(v), 6), 'sqrt' FROM t UNION ALL SELECT "
     "c_custkey, round((rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2) / count(*) OVER (), 6), 'percentile' FROM t",
     "to_numbers": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 3 THEN event_id END::DOUBLE AS x FROM events",
@@ -311,9 +319,9 @@ ORACLE_SQL = {
     "regexp_matches(s, '[^ACGTUacgtu]')",
     "kmer_counts": f"WITH {TRANSCRIPTS}, s AS (SELECT biotype, sequence AS s FROM transcripts), k AS (SELECT biotype, substr(s, i, 3) AS "
     "kmer FROM (SELECT biotype, s, unnest(range(1, length(s) - 1)) AS i FROM s)) SELECT biotype, kmer, count(*) AS n FROM k GROUP BY ALL",
-    "category_rules": f"WITH p AS (SELECT p_partkey, {_NAMES}[p_partkey % 6 + 1] || '_' || p_size AS name FROM part) SELECT *, CASE "
-    + " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{c}'" for c, p in Q.CATEGORY_RULES)
-    + " ELSE 'other' END AS category FROM p",
+    "category_rules": f"WITH p AS (SELECT p_partkey, {_NAMES}[p_partkey % {len(FEATURE_NAMES)} + 1] AS name FROM part) SELECT *, CASE "
+    + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{c}'" for c, p in Q.CATEGORY_RULES)
+    + " ELSE 'Other' END AS category FROM p",
     "keyword_tags": "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'small') THEN 'small' WHEN contains(lower(p_type), 'standard') THEN "
     "'plain' WHEN contains(lower(p_type), 'plated') THEN 'coated' WHEN contains(lower(p_type), 'steel') THEN 'metal' END AS tag FROM part",
 }

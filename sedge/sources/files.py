@@ -81,13 +81,19 @@ def cluster_representatives(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_replace(F.regexp_extract("value", r">([^ ]+)", 1), r"\.\.\.$", "").alias("id"))
 
 
-def delimited(spark: SparkSession, path: str, schema: str | None = None, sep: str = "\t", skip: int = 0) -> DataFrame:
-    """A table with a header or, given a schema, without; skip: the first line of each file is told by its text and left
-    out (1), for tables with a title line."""
+def delimited(
+    spark: SparkSession, path: str, schema: str | None = None, sep: str = "\t", skip: int = 0, titles: tuple[str, ...] = ()
+) -> DataFrame:
+    """A table with a header or, given a schema, without. skip: 1 leaves out the first line of each file. titles: what lines
+    to be left out begin with, wherever they are; for tables with several title lines."""
+    if skip not in (0, 1):
+        raise ValueError("of several title lines, say what they begin with (titles)")
     if schema is None:
         return spark.read.csv(path, sep=sep, header=True, inferSchema=True)
-    rows = spark.read.csv(path, sep=sep, schema=schema, header=bool(skip))
-    return rows
+    if not titles:
+        return spark.read.csv(path, sep=sep, schema=schema, header=bool(skip))
+    kept = spark.read.text(path).where(~reduce(lambda a, b: a | b, (F.startswith("value", F.lit(t)) for t in titles)))
+    return kept.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).where(F.col("value") != "").select("r.*")
 
 
 def by_suffix(spark: SparkSession, path: str) -> DataFrame:
@@ -183,9 +189,35 @@ def html_items(pages: DataFrame, tag: str, html: str = "html", keep: tuple[str,
     return rows.select(*keep, "place", F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("text"))
 
 
-def fold_tables(spark: SparkSession, root: str) -> DataFrame:
-    """Tables written by fold; a fold that is not there has no rows."""
-    return spark.read.parquet(root)
+def present(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def fold_tables(spark: SparkSession, template: str, folds: list[str]) -> DataFrame:
+    """The tables of the folds that are there, by the path template, with their fold; an error if none is."""
+    there = [f for f in folds if present(spark, template.format(fold=f))]
+    if not there:
+        raise ValueError(f"no fold of {', '.join(folds)} is there")
+    parts = (by_suffix(spark, template.format(fold=f)).withColumn("fold", F.lit(f)) for f in there)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def structure_cache(spark: SparkSession, path: str) -> DataFrame:
+    """id, rna, ss and mfe of a cache of two lines for each sequence; nulls where the second is of another form."""
+    from sedge.operators.sequences import structure
+
+    return fasta(spark, path).select(F.col("full_id").alias("id"), structure(F.trim("sequence")).alias("s")).select("id", "s.*")
+
+
+def with_saved_groups(rows: DataFrame, saved: DataFrame, key: str) -> DataFrame:
+    """rows with the groups that were saved for their keys; null for keys without."""
+    return rows.join(saved, key, "left")
+
+
+def feature_sets(spark: SparkSession, templates: dict[str, str]) -> dict[str, DataFrame]:
+    """The feature sets whose files are there, by name."""
+    return {n: by_suffix(spark, p) for n, p in templates.items() if present(spark, p)}
 
 
 def write_fasta(rows: DataFrame, path: str, title: str = "full_id", sequence: str = "sequence", width: int | None = None) -> None:
@@ -208,6 +240,26 @@ def write_by(rows: DataFrame, column: str, root: str) -> None:
     rows.write.partitionBy(column).parquet(root)
 
 
+def write_pairwise(results: tuple[DataFrame, DataFrame, DataFrame], root: str, stem: str) -> None:
+    """The three tables of a pairwise comparison."""
+    for table, name in zip(results, ("mannwhitney", "chi2", "cat_freq"), strict=True):
+        table.write.parquet(f"{root}/{stem}_{name}.parquet")
+
+
+def write_categories(compared: DataFrame, sequences: DataFrame, root: str, categories: list[str], key: str = "new_full_id") -> None:
+    """The comparison as a table, and for each boolean column of categories the sequences (full_id, sequence) of its rows
+    as FASTA."""
+    compared.write.csv(f"{root}/comparison.tsv", sep="\t", header=True)
+    for c in categories:
+        ids = compared.where(c).select(F.col(key).alias("full_id"))
+        write_fasta(sequences.join(ids, "full_id", "left_semi"), f"{root}/{c}_transcripts.fa")
+
+
+def write_scalar(value: DataFrame, path: str) -> None:
+    """The one value of a table of one row, as text."""
+    value.select(F.col(value.columns[0]).cast("string").alias("value")).coalesce(1).write.text(path)
+
+
 def json_list(rows: DataFrame, column: str) -> DataFrame:
     """One row with a sorted JSON list of a column's values; for short lists such as selected features."""
     return rows.agg(F.to_json(F.sort_array(F.collect_set(column))).alias("json"))
@@ -223,5 +275,8 @@ def dataset_statistics(rows: DataFrame, gene: str = "gene_id", kind: str = "clas
 
 
 def provenance(rows: DataFrame) -> DataFrame:
-    """Adds source_file: the part of the file's name before its suffix."""
-    return rows.withColumn("source_file", F.split_part(F.input_file_name(), F.lit("."), F.lit(-2)))
+    """Adds source_file: the file's name up to its first point; of a part file, the name of the folder it is in."""
+    parts = F.split(F.input_file_name(), "/")
+    name = F.element_at(parts, -1)
+    name = F.when(name.startswith("part-"), F.element_at(parts, -2)).otherwise(name)
+    return rows.withColumn("source_file", F.split_part(name, F.lit("."), F.lit(1)))
