@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.operators.sampling import with_place
+from sedge.operators.sampling import stratified_folds, with_place
 
 
 def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,32 +49,74 @@ def balanced_accuracy(predicted: DataFrame) -> float:
     return ((row[0] or 0.0) + (row[1] or 0.0)) / 2
 
 
-def permutation_importance(model, rows: DataFrame, columns: list[str], key: str, label: str, seed: int = 42) -> DataFrame:
-    """feature and loss of balanced accuracy when its column is dealt out anew, not below 0. A column is dealt by joining
-    rows with those of another hash order, place by place."""
-    spark = rows.sparkSession
-    base = balanced_accuracy(predictions(model, rows, columns, key, label))
-    here = with_place(rows.withColumn("__all", F.lit(0)), key, ["__all"], seed).drop("size", "__all")
-    out = []
-    for i, c in enumerate(columns):
-        other = with_place(rows.withColumn("__all", F.lit(0)), key, ["__all"], seed + 1 + i).select("place", F.col(c).alias("__new"))
-        dealt = here.join(other, "place").withColumn(c, F.col("__new"))
-        out.append((c, max(0.0, base - balanced_accuracy(predictions(model, dealt, columns, key, label)))))
-    return spark.createDataFrame(out, "feature string, importance double")
+def permutation_importance(
+    model, rows: DataFrame, columns: list[str], key: str, label: str, repeats: int = 5, seed: int = 42
+) -> DataFrame:
+    """feature and the mean loss of balanced accuracy, not below 0, when its column is dealt out anew, `repeats` times. In
+    each repeat a row gets the values of the row that has its place in another hash order. All rows with all their
+    changes are one table that the model scores."""
+    place = lambda s: with_place(rows.withColumn("__all", F.lit(0)), key, ["__all"], s).drop("size", "__all")
+    other = [
+        place(seed + 1 + r).select("place", F.lit(r).alias("__r"), F.array(*(F.col(c).cast("double") for c in columns)).alias("__new"))
+        for r in range(repeats)
+    ]
+    met = place(seed).join(reduce(DataFrame.unionByName, other), "place")
+    # feature -1 changes nothing, and gives the score that others are set against
+    long = met.withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))))
+    mixed = [F.when(F.col("__f") == i, F.col("__new")[i]).otherwise(F.col(c).cast("double")).alias(c) for i, c in enumerate(columns)]
+    scored = model.transform(assembled(long.select("__f", "__r", F.col(label).alias("__y"), *mixed), columns))
+    right = lambda k: F.coalesce(F.avg(F.when(F.col("__y") == k, (F.col("prediction") == k).cast("int"))), F.lit(0.0))
+    scores = scored.groupBy("__f", "__r").agg(((right(0) + right(1)) / 2).alias("score"))
+    base = scores.where("__f = -1").select("__r", F.col("score").alias("base"))
+    lost = scores.where("__f >= 0").join(base, "__r").groupBy("__f").agg(F.avg(F.col("base") - F.col("score")).alias("lost"))
+    names = F.array(*map(F.lit, columns))
+    return lost.select(F.get(names, F.col("__f")).alias("feature"), F.greatest(F.col("lost"), F.lit(0.0)).alias("importance"))
 
 
-def recursive_elimination(train: DataFrame, test: DataFrame, columns: list[str], key: str, label: str, step: int = 1, least: int = 1, trees: int = 20) -> DataFrame:
-    """Scores of ever smaller sets of features, the least important ones going first: step (number of features), score,
-    features."""
+def recursive_elimination(
+    train: DataFrame, test: DataFrame, columns: list[str], key: str, label: str, step: int = 1, least: int = 1, trees: int = 100,
+    depth: int = 10, repeats: int = 5,
+) -> DataFrame:
+    """Scores of ever smaller sets of features, those of the least permutation importance on the test rows going first: step
+    (number of features), score (balanced accuracy), features. A fit and two jobs for each set."""
     spark, left, out = train.sparkSession, list(columns), []
     while len(left) >= least:
-        model = fit_forest(train, left, label, trees=trees)
+        model = fit_forest(train, left, label, trees=trees, depth=depth)
         out.append((len(left), balanced_accuracy(predictions(model, test, left, key, label)), list(left)))
-        weak = sorted(zip(model.featureImportances.toArray(), left, strict=True))[:step]
-        left = [c for c in left if c not in {w[1] for w in weak}]
+        if len(left) <= step:
+            break
+        lost = {r.feature: r.importance for r in permutation_importance(model, test, left, key, label, repeats).collect()}
+        weak = set(sorted(left, key=lambda c: (lost[c], c))[:step])
+        left = [c for c in left if c not in weak]
     return spark.createDataFrame(out, "step int, score double, features array<string>")
 
 
+def cross_validated_elimination(
+    rows: DataFrame, columns: list[str], key: str, label: str, folds: int = 5, **settings
+) -> tuple[DataFrame, DataFrame]:
+    """recursive_elimination() in each of `folds` stratified folds: step, fold, score and features; and by step the mean
+    score, its standard error, and whether it is the smallest within one standard error of the best (chosen)."""
+    dealt = stratified_folds(rows, key, label, folds)
+    parts = [
+        recursive_elimination(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), columns, key, label, **settings).withColumn("fold", F.lit(k))
+        for k in range(1, folds + 1)
+    ]
+    each = reduce(DataFrame.unionByName, parts)
+    means = each.groupBy("step").agg(F.avg("score").alias("mean"), (F.stddev_samp("score") / F.sqrt(F.count("score"))).alias("error"))
+    best = means.agg(F.max_by(F.col("mean") - F.coalesce("error", F.lit(0.0)), "mean").alias("bound"))
+    near = means.crossJoin(best).where(F.col("mean") >= F.col("bound"))  # one row
+    return each, means.crossJoin(near.agg(F.min("step").alias("smallest"))).select("step", "mean", "error", (F.col("step") == F.col("smallest")).alias("chosen"))
+
+
+def cluster_elimination(
+    rows: DataFrame, members: dict[str, list[str]], key: str, label: str, folds: int = 5, **settings
+) -> tuple[DataFrame, DataFrame]:
+    """cross_validated_elimination() over clusters of features, each standing as the mean of its members, which are scaled
+    alike."""
+    means = {c: reduce(lambda a, b: a + b, (F.coalesce(F.col(f), F.lit(0.0)) for f in own)) / len(own) for c, own in members.items()}
+    return cross_validated_elimination(rows.select(key, label, *(m.alias(c) for c, m in means.items())), list(members), key, label, folds, **settings)
+
+
 def principal_components(rows: DataFrame, columns: list[str], key: str, k: int | None = None, variance: float | None = None, whiten: bool = False):
     """key and components (an array) of centred columns, and the share of variance of each. MLlib does not centre. Signs
     mean nothing. variance: as many components as explain that share."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sedge.plans import more, selection, sources, stats, tables, uncertainty, workflows
+from sedge.plans import more, proofs, selection, sources, stats, tables, uncertainty, workflows
 
-PARTS = (uncertainty, stats, tables, selection, workflows, more, sources)
+PARTS = (uncertainty, stats, tables, selection, workflows, more, sources, proofs)
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}

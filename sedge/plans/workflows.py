@@ -92,10 +92,10 @@ def near_duplicate_clusters(spark, d):
     return P.near_duplicates(p, "p_partkey", "s")
 
 
-def _forest(spark, d, trees=20):
+def _forest(spark, d):
     rows = features(spark, d)
     train, test = rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
-    return M.fit_forest(train, FEATURES, "coding_class", trees=trees, depth=5), train, test
+    return M.fit_forest(train, FEATURES, "coding_class"), train, test
 
 
 def rf_fold(spark, d):
@@ -104,18 +104,18 @@ def rf_fold(spark, d):
 
 
 def permutation_importance(spark, d):
-    model, _, test = _forest(spark, d, 10)
+    model, _, test = _forest(spark, d)
     return rounded(M.permutation_importance(model, test, FEATURES, "id", "coding_class"))
 
 
 def recursive_elimination(spark, d):
     rows = features(spark, d)
-    return rounded(M.recursive_elimination(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), FEATURES, "id", "coding_class", step=4, trees=5))
+    return rounded(M.recursive_elimination(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), FEATURES, "id", "coding_class"))
 
 
 def shapley_values(spark, d):
-    model, train, test = _forest(spark, d, 10)
-    return rounded(M.shapley_values(model, test, train, FEATURES, "id", "coding_class", samples=2))
+    model, train, test = _forest(spark, d)
+    return rounded(M.shapley_values(model, test, train, FEATURES, "id", "coding_class"))
 
 
 def pca(spark, d):
