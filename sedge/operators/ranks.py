@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from sedge.sources.scratch import written
 
 
+QUARTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+
+
 def _equal(pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in pairs))
 
@@ -56,6 +59,37 @@ def ranked(rows: DataFrame, by: list[str], value: str, rank: str = "rank", share
     return rows.join(places, _equal([(k, f"__k{i}") for i, k in enumerate(keys)])).select(*rows.columns, rank)
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each of shares: that quantile of value within `by`, exact, and between two values in proportion.
+    Nulls do not count; a group of nulls only has no row."""
+    v = F.col(value).cast("double")
+    counts = rows.select(*by, v.alias("__v")).where("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = written(counts, "counts")
+    places = running(counts, by, "__v", ["__n"])
+    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__size"))
+    sizes = sizes.select(*(F.col(b).alias(f"__s{i}") for i, b in enumerate(by)), "__size")
+    on = [(b, f"__s{i}") for i, b in enumerate(by)]
+    met = places.join(sizes, _equal(on)) if by else places.crossJoin(sizes)  # one row
+    first, after = F.col("before___n"), F.col("before___n") + F.col("__n")
+    at = {name: F.lit(float(share)) * (F.col("__size") - 1) for name, share in shares.items()}
+    held = lambda place: F.max(F.when((first <= place) & (place < after), F.col("__v")))
+    found = met.groupBy(*by).agg(
+        *(held(F.floor(p)).alias(f"__low_{n}") for n, p in at.items()),
+        *(held(F.ceil(p)).alias(f"__high_{n}") for n, p in at.items()),
+        *(F.max(p - F.floor(p)).alias(f"__part_{n}") for n, p in at.items()),
+    )
+    low, high, part = (lambda n, k=k: F.col(f"__{k}_{n}") for k in ("low", "high", "part"))
+    between = lambda n: F.when(low(n) == high(n), low(n)).otherwise(low(n) * (1 - part(n)) + high(n) * part(n))
+    return found.select(*by, *(between(n).alias(n) for n in shares))
+
+
+def with_quantiles(summary: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Adds quantiles() of rows to a summary with one row for each group; null keys are a group too."""
+    found = quantiles(rows, by, value, shares).withColumnsRenamed({b: f"__q{i}" for i, b in enumerate(by)})
+    on = _equal([(b, f"__q{i}") for i, b in enumerate(by)])
+    return summary.join(found, on, "left").select(*summary.columns, *shares)
+
+
 def pair_sums(wide: DataFrame, columns: list[str]) -> DataFrame:
     """For every two columns, f1 before f2 by name: over the rows in which neither is null, their number n and the sums x,
     y, xx, yy and xy. A task adds up all its rows in one table of columns by columns, and hands out that."""

@@ -8,6 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.operators.ranks import QUARTILES, with_quantiles
+
 MEASURES = ["accuracy", "balanced_accuracy", "precision", "recall", "f1"]
 
 
@@ -101,11 +103,8 @@ def vote_histogram(labels: DataFrame, tools: list[str], probability: str, real:
 
 
 def length_summary(rows: DataFrame, by: str, length: str = "length") -> DataFrame:
-    q = lambda s: F.percentile(length, F.lit(s))
-    return rows.groupBy(by).agg(
-        F.count(length).alias("n"), F.avg(length).alias("mean"), F.stddev_samp(length).alias("sd"),
-        q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"),
-    )
+    sums = rows.groupBy(by).agg(F.count(length).alias("n"), F.avg(length).alias("mean"), F.stddev_samp(length).alias("sd"))
+    return with_quantiles(sums, rows, [by], length, QUARTILES)
 
 
 def value_shares(rows: DataFrame, column: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.numbers import chi_square_tail, share_rank, two_sided_normal
-from sedge.operators.ranks import correlation, pair_sums, ranked, running
+from sedge.operators.ranks import correlation, pair_sums, quantiles, ranked, running
 
 
 def mann_whitney(
@@ -59,6 +59,13 @@ def mann_whitney(
     )
 
 
+def group_medians(rows: DataFrame, by: list[str], value: str, group: str, first: str, second: str) -> DataFrame:
+    """by, and the medians of groups 0 and 1 as `first` and `second`."""
+    each = quantiles(rows, [*by, group], value, {"__median": 0.5})
+    of = lambda g: F.max(F.when(F.col(group) == g, F.col("__median")))
+    return each.groupBy(*by).agg(of(0).alias(first), of(1).alias(second))
+
+
 def with_normal_p(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p_value", two_sided_normal(F.col("z")))
 
@@ -72,10 +79,7 @@ def cliffs_delta_ref(rows: DataFrame, by: list[str], value: str = "value", group
     """A variant seen in use: (2 R1 / (n1 (n1 + n2)) - 1) with the sign of the difference of medians, R1 being the rank
     sum of group 0. Not the textbook measure."""
     u = mann_whitney(rows, by, value, group, drop_constant=False)
-    medians = rows.groupBy(*by).agg(
-        F.percentile(F.when(F.col(group) == 0, F.col(value)), F.lit(0.5)).alias("m1"),
-        F.percentile(F.when(F.col(group) == 1, F.col(value)), F.lit(0.5)).alias("m2"),
-    )
+    medians = group_medians(rows, by, value, group, "m1", "m2")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     r1 = (n1 + n2) * (n1 + n2 + 1) / 2 - (F.col("statistic") + n2 * (n2 + 1) / 2)
     return u.join(medians, by).select(
@@ -197,8 +201,7 @@ def contrast_tests(rows: DataFrame, contrasts: DataFrame, more_than: int = 50) -
     )
     by = ["name", "feature"]
     both = mann_whitney(met, by).where((F.col("n1") > 0) & (F.col("n2") > 0))
-    median = lambda g, n: F.percentile(F.when(F.col("grp") == g, F.col("value")), F.lit(0.5)).alias(n)
-    tests = both.join(met.groupBy(*by).agg(median(0, "median_1"), median(1, "median_2")), by)
+    tests = both.join(group_medians(met, by, "value", "grp", "median_1", "median_2"), by)
     spread = F.coalesce(F.stddev_samp("abs_vda").over(Window.partitionBy("name")), F.lit(1.0))
     return tests.withColumn("meta_rank", F.try_divide(F.col("abs_vda"), spread)).withColumn(
         "rank_share", share_rank("abs_vda", ["name"])
@@ -229,7 +232,7 @@ def anova_f(rows: DataFrame, by: list[str], value: str = "value", group: str = "
 
 def levene(rows: DataFrame, by: list[str], value: str = "value", group: str = "grp") -> DataFrame:
     """Levene's test about medians: the analysis of variance of distances from the group's median."""
-    medians = rows.groupBy(*by, group).agg(F.percentile(value, F.lit(0.5)).alias("__median"))
+    medians = quantiles(rows, [*by, group], value, {"__median": 0.5})
     away = rows.join(medians, [*by, group]).withColumn(value, F.abs(F.col(value) - F.col("__median")))
     return anova_f(away, by, value, group)
 

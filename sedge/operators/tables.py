@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.ids import biotype, join_key, simple_id
+from sedge.operators.ranks import QUARTILES, with_quantiles
 
 CODING, NONCODING = "coding", "noncoding"
 
@@ -213,8 +214,7 @@ def profiles(picks: DataFrame, sources: dict[str, DataFrame | None], key: str) -
 def summary(rows: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, std, min, quartiles and max of each column."""
     long = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "v")
-    q = lambda s: F.percentile("v", F.lit(s))
-    return long.groupBy("column").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("v").alias("max"),
-    )
+    sums = long.groupBy("column").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    return with_quantiles(sums, long, ["column"], "v", QUARTILES)

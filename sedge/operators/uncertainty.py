@@ -1,7 +1,7 @@
 """Uncertainty of an ensemble of binary classifiers, and groups of rows by it.
 
-Everything about single rows is one projection. Thresholds are percentiles; they come from one aggregation and are
-joined back by class (or by a constant), a table of a few rows.
+Everything about single rows is one projection. Thresholds are percentiles, exact ones from values ranked in
+ranges (ranks.py); they are joined back by class (or by a constant), a table of a few rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.numbers import binary_entropy
+from sedge.operators.ranks import QUARTILES, quantiles, with_quantiles
 
 CLASS_LABELS = {0: "lncRNA", 1: "coding"}
 
@@ -40,10 +41,6 @@ def ensemble_entropy(probs: DataFrame, tools: list[str]) -> DataFrame:
     )
 
 
-def _percentile(c: str, share: float, accuracy: int | None) -> Column:
-    return F.percentile_approx(c, share, accuracy) if accuracy else F.percentile(c, F.lit(share))
-
-
 def entropy_groups(
     metrics: DataFrame,
     mode: str = "overall",
@@ -59,8 +56,8 @@ def entropy_groups(
 ) -> DataFrame:
     """Adds entropy_group. Low: at most the low percentile of `column`; high: at least its high percentile and, if there
     is a second column, at least its own. A row that is both is high. By class, percentiles are taken within each class
-    and labels end in it. strict compares with < and >. accuracy: approximate percentiles, for tables whose values are
-    too many for exact ones; this moves group edges."""
+    and labels end in it. strict compares with < and >. accuracy: approximate percentiles in one pass; this moves group
+    edges."""
     if mode not in ("overall", "class_separated"):
         raise ValueError("mode must be overall or class_separated")
     missing = {column, *([class_column] if mode == "class_separated" else [])} - set(metrics.columns)
@@ -69,13 +66,16 @@ def entropy_groups(
     use_second = second is not None and second in metrics.columns
     by = F.col(class_column) if mode == "class_separated" else F.lit(0)
     keyed = metrics.withColumn("__by", by)
-    edges = [
-        _percentile(column, low / 100, accuracy).alias("__low"),
-        _percentile(column, high / 100, accuracy).alias("__high"),
-    ]
-    if use_second:
-        edges.append(_percentile(second, (high if second_high is None else second_high) / 100, accuracy).alias("__second"))
-    thresholds = keyed.where(F.col("__by").isNotNull()).groupBy("__by").agg(*edges)
+    known = keyed.where(F.col("__by").isNotNull())
+    shares = {"__low": low / 100, "__high": high / 100}
+    upper = {"__second": (high if second_high is None else second_high) / 100}
+    if accuracy:
+        rough = lambda c, of: [F.percentile_approx(c, share, accuracy).alias(n) for n, share in of.items()]
+        thresholds = known.groupBy("__by").agg(*rough(column, shares), *(rough(second, upper) if use_second else []))
+    else:
+        thresholds = quantiles(known, ["__by"], column, shares)
+        if use_second:
+            thresholds = thresholds.join(quantiles(known, ["__by"], second, upper), "__by", "left")
     c = F.col(column)
     is_low = c < F.col("__low") if strict else c <= F.col("__low")
     is_high = c > F.col("__high") if strict else c >= F.col("__high")
@@ -89,9 +89,8 @@ def entropy_groups(
     group = (
         F.when(is_high, F.concat(F.lit("high"), label)).when(is_low, F.concat(F.lit("low"), label)).otherwise(default)
     )
-    # one row for each class
     return (
-        keyed.join(F.broadcast(thresholds), "__by", "left")
+        keyed.join(thresholds, "__by", "left")
         .withColumn("entropy_group", group)
         .drop("__by", "__low", "__high", "__second")
     )
@@ -110,10 +109,8 @@ def group_summary(groups: DataFrame, class_column: str = "coding_class") -> Data
 
 def class_summary(metrics: DataFrame, column: str = "H_pred", class_column: str = "coding_class") -> DataFrame:
     """Median and quartiles by class."""
-    q = lambda s: F.percentile(column, F.lit(s))
-    return metrics.groupBy(class_column).agg(
-        F.count(column).alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3")
-    )
+    counts = metrics.groupBy(class_column).agg(F.count(column).alias("n"))
+    return with_quantiles(counts, metrics, [class_column], column, QUARTILES)
 
 
 def comparisons(groups: DataFrame, id_column: str, class_column: str = "coding_class") -> DataFrame:
@@ -170,14 +167,14 @@ def accuracy_by_threshold(
     metrics: DataFrame, tools: list[str], steps: list[int], column: str = "H_pred", second: str = "I_bald"
 ) -> DataFrame:
     """For each step t: rows at most the t-th percentile of `column` are low, at least the (100 - t)-th of it and of
-    `second` high; number, accuracy and balanced accuracy of the ensemble's calls in each group. All percentiles come
-    from one pass, and every row is met with them by a join on a constant with one row for each step."""
-    shares = lambda sign: F.array(*(F.lit((t if sign > 0 else 100 - t) / 100) for t in steps))
-    edges = metrics.agg(
-        F.percentile(column, shares(1)).alias("low"),
-        F.percentile(column, shares(-1)).alias("high"),
-        F.percentile(second, shares(-1)).alias("second"),
-    ).select(F.explode(F.arrays_zip(F.array(*map(F.lit, steps)).alias("step"), "low", "high", "second")).alias("e"))
+    `second` high; number, accuracy and balanced accuracy of the ensemble's calls in each group. Every row
+    is met with the percentiles by a join on a constant with one row for each step."""
+    of_column = quantiles(metrics, [], column, {f"low_{t}": t / 100 for t in steps} | {f"high_{t}": (100 - t) / 100 for t in steps})
+    of_second = quantiles(metrics, [], second, {f"second_{t}": (100 - t) / 100 for t in steps})
+    listed = lambda name: F.array(*(F.col(f"{name}_{t}") for t in steps)).alias(name)
+    edges = of_column.crossJoin(of_second).select(  # one row each
+        F.explode(F.arrays_zip(F.array(*map(F.lit, steps)).alias("step"), listed("low"), listed("high"), listed("second"))).alias("e")
+    )
     edges = edges.select("e.*").withColumn("__on", F.lit(1))
     rows = metrics.select(
         F.lit(1).alias("__on"), column, second, (F.col("coding_class") == 1).alias("real"), (row_mean(tools) > 0.5).alias("called")
@@ -218,8 +215,8 @@ def calibration(rows: DataFrame, p: str, real: str, bins: int = 10, by: str = "l
             v.alias("p"), F.col(real).cast("double").alias("real"), F.least(F.ceil(v * bins) - 1, F.lit(bins - 1)).alias("bin")
         )
     elif by == "quantile":
-        shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-        edges = rows.agg(F.percentile(p, shares).alias("edges")).withColumn("__on", F.lit(1))
+        ends = quantiles(rows, [], p, {f"e{i}": i / bins for i in range(bins + 1)})
+        edges = ends.select(F.array(*ends.columns).alias("edges"), F.lit(1).alias("__on"))
         place = F.size(F.filter("edges", lambda e: e < v)) - 1
         binned = rows.withColumn("__on", F.lit(1)).join(F.broadcast(edges), "__on").select(  # one row
             v.alias("p"), F.col(real).cast("double").alias("real"), place.cast("bigint").alias("bin")

@@ -1,6 +1,6 @@
 import random
 
-from sedge.operators.ranks import pair_sums, ranked, running
+from sedge.operators.ranks import pair_sums, quantiles, ranked, running
 from sedge.plans import catalogue
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -24,6 +24,22 @@ def test_running_sums_and_ranks(spark):
     assert 0 < shares[0] and shares[-1] <= 1
 
 
+def test_quantiles(spark):
+    import numpy as np
+
+    random.seed(5)
+    rows = [(random.choice(["a", "b", None]), random.choice([None, 0.1, 0.1, random.random()])) for _ in range(400)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"q0": 0.0, "q1": 0.1, "q2": 0.5, "q3": 0.777, "q4": 1.0}
+    got = {r.g: tuple(r)[1:] for r in quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, values in got.items():
+        assert np.allclose(values, np.quantile([v for h, v in rows if h == g and v is not None], list(shares.values())), atol=1e-12)
+    whole = quantiles(df, [], "v", shares).first()
+    assert np.allclose(whole, np.quantile([v for _, v in rows if v is not None], list(shares.values())), atol=1e-12)
+    assert tuple(quantiles(df.limit(0), [], "v", {"m": 0.5}).first()) == (None,)
+
+
 def test_pair_sums_skip_nulls(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (3.0, None, 5.0), (2.0, 4.0, 1.0)], "a double, b double, c double")
     got = {(r.f1, r.f2): tuple(r)[2:] for r in pair_sums(df, ["c", "a", "b"]).collect()}
