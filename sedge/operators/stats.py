@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.numbers import chi_square_tail, share_rank, two_sided_normal
+from sedge.operators import concordance
 from sedge.operators.ranks import correlation, pair_sums, quantiles, ranked, running
 
 
@@ -274,19 +275,9 @@ def spearman(rows: DataFrame, key: str = "id") -> DataFrame:
     return pearson(shares.select(key, "feature", (F.col("share") - 0.5).alias("value")), key).withColumnRenamed("r", "rho")
 
 
-def kendall(rows: DataFrame, key: str = "id") -> DataFrame:
-    """Kendall's tau-b of every two features, by comparing all pairs of rows: for small tables only, as the work is the
-    square of their rows."""
-    wide = rows.alias("x").join(rows.alias("y"), F.col("x.feature") == F.col("y.feature")).where(F.col(f"x.{key}") < F.col(f"y.{key}"))
-    signs = wide.select(
-        F.col(f"x.{key}").alias("i"), F.col(f"y.{key}").alias("j"), F.col("x.feature").alias("feature"),
-        F.signum(F.col("x.value") - F.col("y.value")).alias("s"),
-    )
-    a, b = signs.withColumnsRenamed({"feature": "f1", "s": "s1"}), signs.withColumnsRenamed({"feature": "f2", "s": "s2"})
-    s1, s2 = F.col("s1"), F.col("s2")
-    return a.join(b, ["i", "j"]).where(F.col("f1") < F.col("f2")).groupBy("f1", "f2").agg(
-        (F.sum(s1 * s2) / F.sqrt(F.sum(s1 * s1) * F.sum(s2 * s2))).alias("tau")
-    )
+def kendall(rows: DataFrame, key: str = "id", blocks: int = 512) -> DataFrame:
+    """Kendall's tau-b of every two features of long rows (key, feature, value): f1 < f2 and tau."""
+    return concordance.kendall(rows, features_of(rows), key, blocks)
 
 
 def cohen_kappa(labels: DataFrame, key: str, tools: list[str]) -> DataFrame:

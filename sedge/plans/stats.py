@@ -107,8 +107,8 @@ def spearman_tools(spark, d):
     return rounded(S.spearman(long))
 
 
-def kendall_small(spark, d):
-    return rounded(S.kendall(features_long(spark, d).where("feature IN ('f8', 'f9', 'f10')").select("id", "feature", "value")))
+def kendall_matrix(spark, d):
+    return rounded(S.kendall(features_long(spark, d).select("id", "feature", "value")))
 
 
 def kappa_matrix(spark, d):
@@ -145,7 +145,7 @@ QUERIES = {
     for f in (
         mwu_stats, mwu_lines, mwu_pvalues, cliffs_delta, chi2_stats, chi2_pvalues, chi2_plus_half, odds_haldane,
         contingency_table, *map(_adjusted, METHODS), contrast_mwu, anova_f, levene, mutual_information, spearman_matrix,
-        spearman_tools, kendall_small, kappa_matrix, midranks, composite_rank, cat_frequency, element_statistics,
+        spearman_tools, kendall_matrix, kappa_matrix, midranks, composite_rank, cat_frequency, element_statistics,
     )
 }
 
@@ -258,8 +258,8 @@ ORACLE_SQL = {
     "y))), 6) AS mi FROM s GROUP BY feature",
     "spearman_matrix": f"WITH {FEATURES_LONG}, {_corr('features_long')}",
     "spearman_tools": f"WITH {TOOL_PROBS}, x AS (UNPIVOT tool_probs ON {', '.join(TOOLS)} INTO NAME feature VALUE value), {_corr('x')}",
-    "kendall_small": f"WITH {FEATURES_LONG}, l AS (SELECT * FROM features_long WHERE feature IN ('f8', 'f9', 'f10')), s AS "
-    "(SELECT a.feature, a.id AS i, b.id AS j, sign(a.value - b.value) AS s FROM l a JOIN l b ON a.feature = b.feature AND a.id < "
+    "kendall_matrix": f"WITH {FEATURES_LONG}, s AS (SELECT a.feature, a.id AS i, b.id AS j, sign(a.value - b.value) AS s FROM "
+    "features_long a JOIN features_long b ON a.feature = b.feature AND a.id < "
     "b.id) SELECT a.feature AS f1, b.feature AS f2, round(sum(a.s * b.s)::DOUBLE / sqrt(sum(a.s * a.s)::DOUBLE * sum(b.s * b.s)), 6) "
     "AS tau FROM s a JOIN s b ON a.i = b.i AND a.j = b.j AND a.feature < b.feature GROUP BY ALL",
     "kappa_matrix": f"WITH {TOOL_LABELS}, l AS (UNPIVOT tool_labels ON {', '.join(TOOLS)} INTO NAME tool VALUE call), c AS (SELECT "
