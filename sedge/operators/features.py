@@ -84,57 +84,6 @@ def distances(correlations: DataFrame) -> DataFrame:
     return correlations.withColumn("distance", F.when(d.isNull() | F.isnan(d), 0.0).otherwise(d))
 
 
-def ward_merges(pairs: DataFrame, most: int = 2000) -> tuple[list[str], list[tuple[int, int, float]]]:
-    """Ward's linkage of features by the distances of their pairs (f1, f2, distance): names, and merges as (cluster,
-    cluster, height). Clusters are numbered as they come: features first. The matrix of features, at most `most`, is
-    collected; their number does not grow with the data."""
-    import numpy as np
-
-    names = sorted(r[0] for r in pairs.select(F.explode(F.array("f1", "f2"))).distinct().limit(most + 1).collect())
-    if len(names) > most:
-        raise ValueError(f"more than {most} features")
-    n, at = len(names), {f: i for i, f in enumerate(names)}
-    found = pairs.select("f1", "f2", "distance").toPandas()
-    d = np.full((2 * n - 1, 2 * n - 1), np.inf)
-    i, j = found["f1"].map(at).to_numpy(), found["f2"].map(at).to_numpy()
-    d[i, j] = d[j, i] = found["distance"].to_numpy()
-    size, alive, merges = np.ones(2 * n - 1), np.zeros(2 * n - 1, dtype=bool), []
-    alive[:n] = True
-    for new in range(n, 2 * n - 1):
-        live = np.flatnonzero(alive)
-        part = d[np.ix_(live, live)]
-        x, y = sorted(live[list(np.unravel_index(part.argmin(), part.shape))])
-        merges.append((int(x), int(y), float(d[x, y])))
-        alive[[x, y]] = False
-        rest = np.flatnonzero(alive)
-        # Ward's distance to a union, from those to its parts
-        total = size[rest] + size[x] + size[y]
-        squares = ((size[rest] + size[x]) * d[rest, x] ** 2 + (size[rest] + size[y]) * d[rest, y] ** 2 - size[rest] * d[x, y] ** 2) / total
-        d[new, rest] = d[rest, new] = np.sqrt(np.maximum(squares, 0))
-        size[new], alive[new] = size[x] + size[y], True
-    return names, merges
-
-
-def flat_clusters(spark, names: list[str], merges: list[tuple[int, int, float]], thresholds: list[float]) -> DataFrame:
-    """feature, threshold, cluster: features joined by merges of at most each threshold. Numbers of clusters mean nothing
-    beyond one threshold."""
-    rows = []
-    for t in thresholds:
-        parent = list(range(len(names) + len(merges)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                i = parent[i]
-            return i
-
-        for k, (a, b, height) in enumerate(merges):
-            if height <= t:
-                parent[root(a)] = parent[root(b)] = len(names) + k
-        number: dict[int, int] = {}
-        rows += [(f, float(t), number.setdefault(root(i), len(number) + 1)) for i, f in enumerate(names)]
-    return spark.createDataFrame(rows, "feature string, threshold double, cluster int")
-
-
 def silhouette(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """threshold, n_clusters and mean silhouette of clusters (feature, threshold, cluster) by the distances of pairs.
     A member alone has 0; where there is one cluster, or one for each feature, there is none."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sedge.operators import attribution as A
 from sedge.operators import features as X
+from sedge.operators import linkage
 from sedge.operators import sequences as Q
 from sedge.operators import stats as S
 from sedge.plans.uncertainty import rounded
@@ -154,8 +155,8 @@ def cluster_representatives(spark, d):
 
 
 def ward_clusters(spark, d):
-    names, merges = X.ward_merges(X.distances(S.spearman(features_long(spark, d))))
-    return X.flat_clusters(spark, names, merges, [round(0.05 * i, 2) for i in range(1, 32)])
+    tree = linkage.ward(X.distances(S.spearman(features_long(spark, d))))
+    return linkage.flat_clusters(tree, [round(0.05 * i, 2) for i in range(1, 32)])
 
 
 def top_variance(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sedge.functions import ids
 from sedge.functions.dates import partial_date
 from sedge.functions.numbers import binary_entropy, chi_square_tail, midrank, share_rank, two_sided_normal
-from sedge.operators import attribution, features, sampling, scores, sequences, stats, tables, uncertainty
+from sedge.operators import attribution, features, linkage, sampling, scores, sequences, stats, tables, uncertainty
 from sedge.sources import files
 
 
@@ -98,8 +98,7 @@ def test_balanced_split_and_folds(spark):
 
 def test_percentile_and_silhouette(spark):
     pairs = spark.createDataFrame([("a", "b", 0.1), ("a", "c", 0.9), ("b", "c", 0.9)], "f1 string, f2 string, distance double")
-    names, merges = features.ward_merges(pairs)
-    clusters = features.flat_clusters(spark, names, merges, [0.05, 0.5, 2.0])
+    clusters = linkage.flat_clusters(linkage.ward(pairs), [0.05, 0.5, 2.0])
     assert {t: n for t, n in values(clusters.groupBy("threshold").agg(F.count_distinct("cluster").alias("n")), "threshold", "n")} == {0.05: 3, 0.5: 2, 2.0: 1}
     s = {t: x for t, x in values(features.silhouette(pairs, clusters), "threshold", "silhouette")}
     assert s[0.05] is None and s[2.0] is None and round(s[0.5], 6) == round(2 * (0.8 / 0.9) / 3, 6)
