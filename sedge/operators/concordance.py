@@ -73,7 +73,7 @@ def _between_blocks(cells: pd.DataFrame) -> pd.DataFrame:
 
 def kendall(rows: DataFrame, names: list[str], key: str = "id", blocks: int = 512) -> DataFrame:
     """f1 < f2 and tau of every two features of long rows (key, feature, value), one value for each key and feature, over the
-    keys that have both; null if either has one value only there. A task holds the rows of one block, a 512th of all by
+    keys that have both; null if either has one value only there. A task holds the rows of one block, a 512th of all (two at most) by
     default, or the counts of two features' pairs of blocks, of which there are (2 * blocks) ** 2 at most."""
     ship(rows.sparkSession)
     names = sorted(names)
