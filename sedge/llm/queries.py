@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, chat, exact_dedup, langid, licenses, packing, quality, simhash, substring, suffix_array
+from sedge.llm import bpe, chat, divergence, exact_dedup, langid, licenses, packing, quality, simhash, substring, suffix_array
 from sedge.llm.common import documents, tokenizer_file
 
 
@@ -101,6 +101,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.deduplicated(documents(spark, sf_dir))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_array": op10_suffix_array,
+    "op13_divergence": op13_divergence,
 }
 
 def _op1_sql() -> str:
@@ -288,6 +293,44 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM d LEFT JOIN heads USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), v AS (
+  SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), l AS (
+  SELECT lang, count(*) AS kept, sum(n) AS total FROM v GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o JOIN v USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) AS total
+  FROM d GROUP BY lang, source
+), p AS (
+  SELECT lang, g.source, term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.total + 5 * l.kept) AS p,
+         1 + (1000000000 * (v.n + 5)::HUGEINT) // (l.total + 5 * l.kept) AS q
+  FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _op1_sql(),
     "op2_quality_rules": OP2_SQL,
@@ -296,4 +339,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op10_suffix_array": OP10_SQL,
+    "op13_divergence": OP13_SQL,
 }
