@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, chat, divergence, exact_dedup, langid, licenses, packing, quality, simhash, substring, suffix_array
+from sedge.llm import bpe, chat, divergence, exact_dedup, langid, licenses, packing, prefix_trie, quality, simhash, substring, suffix_array
 from sedge.llm.common import documents, tokenizer_file
 
 
@@ -101,6 +101,13 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.deduplicated(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id").cast("bigint")
+    shared = F.crc32(conv_id.cast("string").cast("binary")) % 6
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.prefix_trie(prefix_trie.paths(conversations, conv_id - conv_id % 100, shared))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_array": op10_suffix_array,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
 
@@ -293,6 +301,45 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM d LEFT JOIN heads USING (doc_id)
 """
 
+#: CRC-32 bit by bit: a number in the list is a byte to take in, -1 a step.
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) AS i FROM t
+), k AS (
+  SELECT c, c - c % 100 AS b, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(s) + 1),
+             lambda j: [ascii(s[j])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda crc, v: CASE WHEN v >= 0 THEN xor(crc, v) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 6 AS h
+  FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t)
+), r AS (
+  SELECT k.c, 0 AS own, i, x, text FROM k JOIN n ON n.c = k.b AND i <= h
+  UNION ALL SELECT k.c, 1, i, x, text FROM k JOIN n ON n.c = k.c AND i > h
+), turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, x, length(text) AS chars FROM r
+), p AS (
+  SELECT c, d, chars, string_agg(x, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS p FROM turns
+  UNION ALL SELECT c, 0, 0, '' FROM k
+), m AS (
+  SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS n FROM p
+), nodes AS (
+  SELECT p, any_value(d) AS d, any_value(up) AS up, min(c) AS c, count(*) AS n_convs, any_value(chars) AS chars,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '') AS ends
+  FROM m GROUP BY p
+), kids AS (
+  SELECT up AS p, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+), sums AS (
+  SELECT m.p, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved
+  FROM nodes x LEFT JOIN kids USING (p) JOIN m ON m.c = x.c AND m.d <= x.d GROUP BY m.p
+)
+SELECT x.c AS conv_id, x.d AS depth, y.c AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x LEFT JOIN nodes y ON y.p = x.up LEFT JOIN kids ON kids.p = x.p JOIN sums ON sums.p = x.p
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -339,5 +386,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op10_suffix_array": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_divergence": OP13_SQL,
 }
