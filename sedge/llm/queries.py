@@ -8,7 +8,21 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import bpe, chat, divergence, exact_dedup, langid, licenses, packing, prefix_trie, quality, simhash, substring, suffix_array
+from sedge.llm import (
+    bpe,
+    chat,
+    divergence,
+    exact_dedup,
+    langid,
+    licenses,
+    packing,
+    prefix_trie,
+    quality,
+    quality_classifier,
+    simhash,
+    substring,
+    suffix_array,
+)
 from sedge.llm.common import documents, tokenizer_file
 
 
@@ -101,6 +115,18 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.deduplicated(documents(spark, sf_dir))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = labels.where(~quality_classifier.held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    found = quality_classifier.score(docs, quality_classifier.train(docs, known))
+    return found.select(
+        "doc_id",
+        quality_classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv_id = F.col("conv_id").cast("bigint")
     shared = F.crc32(conv_id.cast("string").cast("binary")) % 6
@@ -124,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_array": op10_suffix_array,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
