@@ -43,17 +43,6 @@ MOST_TEXTS, MOST_BYTES = 1024, 1 << 23
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def parts(chunk: str) -> tuple[str, ...]:
-    """The words of a chunk of letters with marks about them, the letters in lower case if plain. Of a chunk of another
-    form, or one that may hold a special token, none are known."""
-    core = chunk.strip(MARKS)
-    if not core.isalpha() or "<|" in chunk:
-        return ()
-    at = len(chunk) - len(chunk.lstrip(MARKS))
-    found = (chunk[:at], core.lower() if core.isascii() else core, chunk[at + len(core) :])
-    return tuple(x for x in found if x)
-
-
 class ChunkTokenizer:
     """Ids of a text by a tokenizers file whose tokens, special ones included, never span a white space, and of which the
     last of each word ends in `end_of_word`: the text is cut at spaces and line feeds, and the ids of a chunk are
@@ -64,11 +53,29 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.normal = self.tokenizer.normalizer
         tokens = self.tokenizer.get_vocab()
         self.last = np.zeros(max(tokens.values()) + 1, dtype=bool)
         self.last[[i for t, i in tokens.items() if t.endswith(end_of_word)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def parts(self, chunk: str) -> tuple[str, ...]:
+        """The words of a chunk of letters with marks about them, the letters in lower case if plain. None are known of a
+        chunk of another form, of one that may hold a special token, and of one whose letters the tokenizer brings into a
+        form that does not begin and end with a letter: a combining mark there belongs to the marks."""
+        core = chunk.strip(MARKS)
+        if not core.isalpha() or "<|" in chunk:
+            return ()
+        if core.isascii():
+            core = core.lower()
+        elif core != chunk and self.normal:
+            form = self.normal.normalize_str(core)
+            if not form or not form[0].isalpha() or not form[-1].isalpha():
+                return ()
+        at = len(chunk) - len(chunk.lstrip(MARKS))
+        found = (chunk[:at], core, chunk[len(chunk.rstrip(MARKS)) :])
+        return tuple(x for x in found if x)
+
     def learn(self, chunks: list[str]) -> None:
         """Encode each chunk by itself."""
         for i in range(0, len(chunks), 4096):
@@ -103,7 +110,7 @@ class ChunkTokenizer:
         if full and 2 * len(new) > len(chunks):  # what is remembered no longer helps
             self.known, new, full = {"": b""}, list(chunks), False
         known = self.known
-        of = [(c, parts(c)) for c in new]
+        of = [(c, self.parts(c)) for c in new]
         asked = list({p for _, x in of for p in x if p not in known})
         self.learn_words(asked)
         self.learn([c for c, x in of if not x])

@@ -20,6 +20,18 @@ def test_chunks_give_the_tokenizers_ids():
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_every_letter_beside_a_mark():
+    own, lib = packing.ChunkTokenizer(PATH), Tokenizer.from_file(PATH)
+    letters = [chr(i) for i in range(0x80, 0x30000) if chr(i).isalpha()]
+    for form in ("{},", "({}", '"{}"'):
+        texts = [form.format(c) for c in letters]
+        want = lib.encode_batch_fast(texts, add_special_tokens=False)
+        for t, got, e in zip(texts, own.encode(texts), want, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == e.ids, t
+    for t in ("İSTANBUL, ALİ. (DİYARBAKIR) Fİİ!", "ক়, বাড়. (গাঢ়)", "क़लम, सड़क़. पढ़े (ज़) फ़।", "ਸ਼, ਫ਼!", "e\u0301, ŉ. ǰ;"):
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def check(rows, want, capacity):
     """Each id is in one piece, sequences have no gaps, little padding."""
     pieces, sequences = defaultdict(list), defaultdict(list)
