@@ -7,8 +7,9 @@ one label are the spans of a mixed text. A text's language is the one that holds
 share of them.
 
 Training counts trigrams over all training rows and sums them by language and bucket, so the model is at most BUCKETS
-numbers for each language; it is the only thing that is sent to the executors. Of languages there may be MOST_LANGUAGES,
-and more are an error, so the model is at most 256 MB.
+numbers for each language; it is the only thing that is sent to the executors, and comes to the driver as one row for each
+language. Of languages there may be MOST_LANGUAGES, and more are an error, so the model is at most 131 MB. What a task
+holds beside it does not grow with them but for one number for each word of a block.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text if there is nothing
 to learn from; of languages with equal letters the alphabetically first counts; a null doc_id counts as an empty one for
@@ -18,7 +19,7 @@ their names do not matter. A very long text is labelled whole, in a portion of i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 
 from sedge.llm.common import ship, written
 
-BUCKETS, MOST_LANGUAGES = 1 << 16, 1000
-#: Words that are labelled together, and texts and characters that a task holds at once.
-BLOCK, MOST_TEXTS, MOST_CHARS = 128, 1024, 2_000_000
+BUCKETS, MOST_LANGUAGES = 1 << 16, 500
+#: Words of a text that are gone back through together, texts and characters that a task holds at once, and numbers of a
+#: table of scores.
+BLOCK, MOST_TEXTS, MOST_CHARS, MOST_CELLS = 64, 1024, 2_000_000, 4_000_000
 #: First code points of ranges, and the script of each range; None: other.
 SCRIPTS = [
     (0x0000, None), (0x0041, "Latin"), (0x02B0, None), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"),
@@ -85,55 +87,60 @@ def letters(texts: list[str]) -> Letters:
     return Letters(bucket, script[points[at]], starts, np.searchsorted(ends, at[starts]))
 
 
-def viterbi(scores: np.ndarray, text_of_word: np.ndarray, switch_cost: float) -> np.ndarray:
-    """The best label of each word; scores is words x languages, text_of_word is ascending.
+def viterbi(scores: Callable[[np.ndarray], np.ndarray], text_of_word: np.ndarray, languages: int, switch_cost: float) -> np.ndarray:
+    """The best label of each word; scores gives words x languages for numbers of words, text_of_word is ascending.
 
-    Blocks of words go through the recursion side by side: first for each language a block may be entered with, which
-    gives what a block adds from language to language; along a text's blocks these are put together; then each block is
-    labelled given what it is entered and left with.
+    Texts go through the recursion side by side, the longest first. As every switch costs the same, a word needs only the
+    best language before it and which languages are better stayed in: no table of languages by languages. The values
+    at the start of every `BLOCK` words of a text are kept; going back, each block is gone through once more.
     """
-    n, k = scores.shape
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    texts, first, words = np.unique(text_of_word, return_index=True, return_counts=True)
-    blocks = -(-words // BLOCK)
-    at = np.concatenate(([0], np.cumsum(blocks)))  # first block of each text
-    own = np.arange(n) - np.repeat(first, words)
-    place = (np.repeat(at[:-1], words) + own // BLOCK, own % BLOCK)
-    padded = np.zeros((at[-1], BLOCK, k), dtype=np.float32)  # words of score 0 at the end change nothing
-    padded[place] = scores
-    through = np.where(np.eye(k, dtype=bool), 0, -np.inf).astype(np.float32)[None].repeat(at[-1], axis=0)
-    for t in range(BLOCK):
-        best = through.max(axis=2, keepdims=True) - switch_cost
-        np.maximum(through, best, out=through)
-        through += padded[:, t, None, :]
-    entered = np.zeros((at[-1], k), dtype=np.float64)
-    for j in range(1, blocks.max()):
-        b = at[:-1][blocks > j] + j
-        entered[b] = (entered[b - 1][:, :, None] + through[b - 1]).max(axis=1)
-    v = entered - entered.max(axis=1, keepdims=True)
-    stay = np.empty((at[-1], BLOCK, k), dtype=bool)
-    best_of = np.empty((at[-1], BLOCK), dtype=np.int16)
-    for t in range(BLOCK):
-        best_of[:, t] = v.argmax(axis=1)
-        best = v.max(axis=1, keepdims=True) - switch_cost
-        stay[:, t] = v >= best
-        v = np.maximum(v, best) + padded[:, t]
-    each = np.arange(at[-1])
-    back = np.tile(np.arange(k), (at[-1], 1))  # language left with -> language entered with
-    for t in range(BLOCK - 1, -1, -1):
-        back = np.where(np.take_along_axis(stay[:, t], back, axis=1), back, best_of[:, t, None])
-    left = np.empty(at[-1], dtype=np.int64)
-    left[at[1:] - 1] = v[at[1:] - 1].argmax(axis=1)
-    for j in range(blocks.max() - 1, 0, -1):
-        b = at[:-1][blocks > j] + j
-        left[b - 1] = back[b, left[b]]
-    labels = np.empty((at[-1], BLOCK), dtype=np.int16)
-    state = left
-    for t in range(BLOCK - 1, -1, -1):
-        labels[:, t] = state
-        state = np.where(stay[each, t, state], state, best_of[:, t])
-    return labels[place].astype(np.int64)
+    labels = np.zeros(len(text_of_word), dtype=np.int64)
+    if not len(labels):
+        return labels
+    _, first, words = np.unique(text_of_word, return_index=True, return_counts=True)
+    order = np.argsort(-words, kind="stable")
+    first, words = first[order], words[order]
+    starts = range(0, int(words[0]), BLOCK)
+    active = lambda t: int(np.searchsorted(-words, -t, side="left"))  # texts of more than t words
+
+    def block(t0: int) -> np.ndarray:
+        """Scores of a block: of each word of every text that reaches into it."""
+        n, size = active(t0), min(BLOCK, int(words[0]) - t0)
+        at = first[:n] + t0 + np.arange(size)[:, None]
+        inside = t0 + np.arange(size)[:, None] < words[:n]
+        out = np.zeros((size, n, languages), dtype=np.float32)
+        out[inside] = scores(at[inside])
+        return out
+
+    v = np.zeros((len(words), languages))
+    entered, last = [], np.zeros(len(words), dtype=np.int64)
+    for t0 in starts:
+        own = block(t0)
+        v = v[: own.shape[1]]
+        v -= v.max(axis=1, keepdims=True)
+        entered.append(v.copy())
+        for i in range(len(own)):
+            n = active(t0 + i)
+            x = v[:n]
+            np.maximum(x, x.max(axis=1, keepdims=True) - switch_cost, out=x)
+            x += own[i, :n]
+        ends = np.flatnonzero(words[: len(v)] <= t0 + len(own))
+        last[ends] = v[ends].argmax(axis=1)
+    state = last
+    for t0, v in zip(reversed(starts), reversed(entered), strict=True):
+        own = block(t0)
+        size, n, _ = own.shape
+        stay, best_of = np.empty(own.shape, dtype=bool), np.empty((size, n), dtype=np.int16)
+        for i in range(size):
+            best_of[i] = v.argmax(axis=1)
+            best = v.max(axis=1, keepdims=True) - switch_cost
+            stay[i] = v >= best
+            v = np.maximum(v, best) + own[i]
+        for i in range(size - 1, -1, -1):
+            k = active(t0 + i)
+            labels[first[:k] + t0 + i] = state[:k]
+            state[:k] = np.where(stay[i, np.arange(k), state[:k]], state[:k], best_of[i, :k])
+    return labels
 
 
 @dataclass
@@ -142,17 +149,33 @@ class Model:
     weights: np.ndarray  # BUCKETS x languages, log-likelihoods
     uses: np.ndarray  # scripts x languages: 0 if used, FAR_BEHIND if not
 
-    def word_scores(self, x: Letters) -> np.ndarray:
-        scores = np.add.reduceat(self.weights[x.bucket], x.starts, axis=0)
-        unused = np.add.reduceat(self.uses[x.script], x.starts, axis=0)
-        # A script that no language here uses says nothing about them.
-        return scores + np.where(unused.max(axis=1, keepdims=True) < 0, 0, unused).astype(np.float32)
+    def word_scores(self, x: Letters, words: np.ndarray) -> np.ndarray:
+        """words x languages, for some words, of which a bounded number of letters is looked up at once."""
+        sizes = np.diff(np.append(x.starts, len(x.bucket)))[words]
+        ends = np.cumsum(sizes)
+        out = np.empty((len(words), len(self.languages)), dtype=np.float32)
+        a = 0
+        while a < len(words):
+            before = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + MOST_CELLS // len(self.languages), side="right")))
+            n = sizes[a:b]
+            begin = np.cumsum(n) - n
+            at = np.repeat(x.starts[words[a:b]] - begin, n) + np.arange(n.sum())
+            scores = np.add.reduceat(self.weights[x.bucket[at]], begin, axis=0)
+            unused = np.add.reduceat(self.uses[x.script[at]], begin, axis=0)
+            # A script that no language here uses says nothing about them.
+            out[a:b] = scores + np.where(unused.max(axis=1, keepdims=True) < 0, 0, unused)
+            a = b
+        return out
 
     def label(self, texts: list[str], switch_cost: float) -> tuple[Letters, np.ndarray]:
-        x = letters(texts)
-        if not len(x.starts) or not self.languages:
+        x, k = letters(texts), len(self.languages)
+        if not len(x.starts) or not k:
             return x, np.zeros(0, dtype=np.int64)
-        return x, viterbi(self.word_scores(x), x.text_of_word, switch_cost)
+        if len(x.starts) * k <= MOST_CELLS:  # then all scores are held, else those of a block are made where it is met
+            held = self.word_scores(x, np.arange(len(x.starts)))
+            return x, viterbi(held.__getitem__, x.text_of_word, k, switch_cost)
+        return x, viterbi(lambda words: self.word_scores(x, words), x.text_of_word, k, switch_cost)
 
     def predict(self, texts: list[str], switch_cost: float) -> tuple[list[str], list[float]]:
         x, labels = self.label(texts, switch_cost)
@@ -212,9 +235,16 @@ def train(labelled: DataFrame, smoothing: float = 0.5, least_share: float = 0.00
     languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    counts = counts.toPandas()
+
+    def column(key: tuple, rows: pa.Table) -> pa.Table:
+        own = np.zeros(BUCKETS + len(NAMES), dtype=np.int64)
+        own[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+        return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([own.tobytes()], pa.binary())})
+
+    columns = {r.lang: r.counts for r in counts.groupBy("lang").applyInArrow(column, "lang string, counts binary").collect()}
     table = np.zeros((BUCKETS + len(NAMES), len(languages)))
-    table[counts["slot"], [languages.index(x) for x in counts["lang"]]] = counts["n"]
+    for i, lang in enumerate(languages):
+        table[:, i] = np.frombuffer(columns[lang], dtype=np.int64)
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
     weights = np.log((grams + smoothing) / (grams.sum(axis=0) + smoothing * BUCKETS)).astype(np.float32)
     own = scripts >= least_share * np.maximum(scripts.sum(axis=0), 1)

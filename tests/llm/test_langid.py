@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ def test_viterbi_finds_the_best_path():
         sizes = rng.integers(1, 400, 5)
         of = np.repeat(np.arange(5), sizes)
         scores = rng.normal(0, 4, (len(of), 3)).astype(np.float32)
-        labels = langid.viterbi(scores, of, 3.0)
+        labels = langid.viterbi(scores.__getitem__, of, 3, 3.0)
         for d in range(5):
             s, mine = scores[of == d].astype(float), labels[of == d]
             v = s[0].copy()
@@ -58,7 +59,28 @@ def test_many_languages():
     """More languages than a byte tells apart."""
     scores = np.full((300, 200), -5.0, dtype=np.float32)
     scores[:, 150] = 0
-    assert set(langid.viterbi(scores, np.repeat([0, 1], 150), 3.0)) == {150}
+    assert set(langid.viterbi(scores.__getitem__, np.repeat([0, 1], 150), 200, 3.0)) == {150}
+
+
+def test_memory_does_not_grow_with_the_square_of_the_languages():
+    rng = np.random.default_rng(2)
+    names = [f"l{i:03}" for i in range(300)]
+    model = langid.Model(names, rng.normal(0, 1, (langid.BUCKETS, 300)).astype(np.float32), np.zeros((len(langid.NAMES), 300), dtype=np.float32))
+    text = " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(30_000))
+    tracemalloc.start()
+    found, score = model.predict([text, "short one", ""], 12.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and found[2] == "und" and 0 < score[0] <= 1
+    few = langid.Model(names[:3], model.weights[:, :3], model.uses[:, :3])
+    x, labels = few.label([text[:6000], text[6000:6500]], 12.0)
+    again = langid.viterbi(lambda w: few.word_scores(x, w), x.text_of_word, 3, 12.0)
+    assert (labels == again).all()
+
+
+def test_ties_go_to_the_first_language():
+    model = langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2), dtype=np.float32), np.zeros((len(langid.NAMES), 2), dtype=np.float32))
+    assert model.predict(["one two", "x"], 1.0) == (["aa", "aa"], [1.0, 1.0])
 
 
 def brute_letters(text):
