@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedge.sources.code import ship
 from sedge.sources.scratch import scratch_path, written
 
-__all__ = ["documents", "lower_ascii", "opened", "scratch_path", "ship", "tokenizer_file", "written"]
+__all__ = ["documents", "lower_ascii", "opened", "own_names", "quoted", "scratch_path", "ship", "tokenizer_file", "written"]
 
 #: A run of characters that are none of space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,19 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their names, whatever these hold."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def own_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for further columns that none of the given has, in either case of letters."""
+    taken, before = {c.lower() for c in columns}, "__"
+    while any((before + w).lower() in taken for w in wanted):
+        before += "_"
+    return [before + w for w in wanted]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

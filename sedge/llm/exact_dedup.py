@@ -9,8 +9,8 @@ again, finds its own digests there and is decided as it was before.
 
 Defined results: a null text counts as empty; a null doc_id is smaller than any other; rows repeated with the same
 doc_id and text count each, and one of them stays; an empty table gives an empty result and leaves the index as it was.
-A very long text is only hashed, in the scan. Other columns are not read; exact_dedup() returns them as they were, and its
-own start with two underscores.
+A very long text is only hashed, in the scan. Other columns are not read; exact_dedup() returns them as they were, and takes
+names for its own that they have not.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.common import lower_ascii, scratch_path, written
+from sedge.llm.common import lower_ascii, own_names, quoted, scratch_path, written
 
 
 def digest(text: Column) -> Column:
@@ -144,16 +144,17 @@ def exact_dedup(batch: DataFrame, index: DigestIndex | None = None, name: str |
     decided = own.decide(batch, name)
     if index is None:
         own.forget()
+    own_digest, digest_, id_, repeats = own_names(batch.columns, "own", "digest", "id", "repeats")
     kept = decided.where("kept").select(
-        F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), F.col("repeats").alias("__repeats")
+        F.col("digest").alias(digest_), F.col("doc_id").alias(id_), F.col("repeats").alias(repeats)
     )
     kept = written(kept, "digest-kept")
-    rows = batch.withColumn("__own", digest(F.col("text")))
-    same = (F.col("__own") == F.col("__digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
+    rows = batch.withColumn(own_digest, digest(F.col("text")))
+    same = (F.col(own_digest) == F.col(digest_)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
     at = rows.hint("merge").join(kept, same)
     # Rows that repeat both digest and id are rare; of those any one stays.
-    if kept.where("__repeats > 1").isEmpty():
-        return at.select(*batch.columns)
-    once = at.where(F.col("__repeats") == 1)
-    repeated = at.where(F.col("__repeats") > 1).dropDuplicates(["__digest"])
-    return once.unionByName(repeated).select(*batch.columns)
+    if kept.where(F.col(repeats) > 1).isEmpty():
+        return at.select(quoted(batch.columns))
+    once = at.where(F.col(repeats) == 1)
+    repeated = at.where(F.col(repeats) > 1).dropDuplicates([digest_])
+    return once.unionByName(repeated).select(quoted(batch.columns))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import WORD, written
+from sedge.llm.common import WORD, quoted, written
 
 WINDOW = 5
 
@@ -181,7 +181,7 @@ def ablation(ledger: DataFrame, policy: Policy) -> DataFrame:
 def quality_filter(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The rows of docs that the policy keeps, with their columns. The rules are evaluated beside the row, which travels
     where the id does, so nothing is joined."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*quoted(docs.columns))
     ledger = apply_policy(evaluate(docs.select(row.alias("doc_id"), F.col("text"))), policy)
     # A row number keeps the condition above the measurements: pushed below them, it would hold all of them again.
     numbered = ledger.withColumn("row_number", F.monotonically_increasing_id())

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.common import written
+from sedge.llm.common import own_names, quoted, written
 from sedge.llm.components import components
 from sedge.llm.fingerprint import fingerprints, shingle_rows
 from sedge.llm.similar import similar_roots
@@ -144,12 +144,13 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     with that doc_id, the one whose text has the smallest hash; of equal ones, any one."""
     found = similar_texts(docs, width, similarity).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     first = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "n")).alias("w"))
+    id_, h, n, root, own = own_names(docs.columns, "id", "h", "n", "root", "own")
     first = first.select(
-        F.col("w.doc_id").alias("__id"), F.col("w.h").alias("__h"), F.col("w.n").alias("__n"), F.col("root").alias("__root")
+        F.col("w.doc_id").alias(id_), F.col("w.h").alias(h), F.col("w.n").alias(n), F.col("root").alias(root)
     )
-    rows = docs.withColumn("__own", F.xxhash64("text"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h"))
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(h))
     at = rows.hint("merge").join(first, same)
-    once = at.where(F.col("__n") == 1)
-    repeated = at.where(F.col("__n") > 1).dropDuplicates(["__root"])
-    return once.unionByName(repeated).select(*docs.columns)
+    once = at.where(F.col(n) == 1)
+    repeated = at.where(F.col(n) > 1).dropDuplicates([root])
+    return once.unionByName(repeated).select(quoted(docs.columns))
