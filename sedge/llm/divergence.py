@@ -33,8 +33,8 @@ BILLION = 1_000_000_000
 #: Texts and bytes that are counted together, but for single longer texts; counts that a task holds before it hands
 #: them on.
 MOST_TEXTS, MOST_BYTES, MOST_RUNS = 1 << 16, 1 << 24, 2_000_000
-#: Counts of a slice of terms, sources of a block, and terms of one matrix.
-SLICE, SOURCES, TERMS = 500_000, 256, 1024
+#: Counts of a slice of terms at least, and for each source; sources of a block, and terms of one matrix.
+SLICE, SLICE_PER_SOURCE, SOURCES, TERMS = 20_000, 1024, 256, 1024
 COUNTS = "lang string, source string, high bigint, low bigint, rest binary, n bigint, texts bigint"
 TERM = ["lang", "high", "low", "rest"]
 
@@ -122,12 +122,15 @@ def _term_text() -> Column:
 
 
 def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
-    """lang, source, term and n for all terms in at least so many documents of their language."""
+    """lang, source, term, n and texts (documents of the source with it), and lang_n of the language, for all terms in at
+    least so many documents of their language. Both aggregations read the same counts, so these are shuffled once."""
     ship(docs.sparkSession)
     counts = docs.select(_text("text"), _text("lang"), _text("source")).mapInArrow(_counts, COUNTS).repartition(*TERM)
-    kept = counts.groupBy(*TERM).agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least_docs).drop("texts")
-    found = counts.join(kept.hint("shuffle_hash"), TERM).groupBy(*TERM, "source").agg(F.sum("n").alias("n"))
-    return found.select("lang", "source", _term_text().alias("term"), "n")
+    sums = (F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    langs = counts.groupBy(*TERM, "source").agg(*sums).groupBy(*TERM).agg(*sums).where(F.col("texts") >= least_docs)
+    langs = langs.select(*TERM, F.col("n").alias("lang_n")).hint("shuffle_hash")
+    found = counts.join(langs, TERM).groupBy(*TERM, "source", "lang_n").agg(*sums)
+    return found.select("lang", "source", _term_text().alias("term"), "n", "texts", "lang_n")
 
 
 def _pair_sums(table: pa.Table) -> pa.Table:
@@ -177,12 +180,8 @@ def divergence(docs: DataFrame, least_docs: int = 30, smooth: int = 5, top: int
     """lang, source, part, item, value and rank: part 'pair' has the other sources of the language, all of them, and
     part 'term' the `top` terms of which the source has a larger share than its language."""
     kept = written(kept_terms(docs, least_docs), "kept-terms")
-    langs = (
-        kept.groupBy("lang", "term")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("lang")
-        .agg(F.count("*").alias("kept"), F.sum("n").alias("lang_total"))
-    )
+    langs = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang")
+    langs = langs.agg(F.count("*").alias("kept"), F.sum("n").alias("lang_total"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     zero = F.lit(0).cast("long")
     groups = (
@@ -193,22 +192,23 @@ def divergence(docs: DataFrame, least_docs: int = 30, smooth: int = 5, top: int
         .fillna(0, ["total", "rows", "kept", "lang_total"])
     )
     of_lang = Window.partitionBy("lang")
+    # A slice has far more counts than its blocks have pairs of sources, so sums are few beside what they are made of.
+    least, slice_of = F.lit(SLICE), F.count("*").over(of_lang) * SLICE_PER_SOURCE
     groups = written(
         groups.withColumns(
             {
                 "no": F.row_number().over(of_lang.orderBy("source")).cast("long") - 1,
-                "slices": F.greatest(F.ceil(F.sum("rows").over(of_lang) / SLICE), F.lit(1)).cast("int"),
+                "slices": F.greatest(F.ceil(F.sum("rows").over(of_lang) / F.greatest(least, slice_of)), F.lit(1)).cast("int"),
                 "blocks": F.ceil(F.count("*").over(of_lang) / SOURCES).cast("int"),
                 "absent": share(zero, F.col("total"), F.col("kept"), smooth),
             }
         ),
         "term-groups",
     )
-    totals = kept.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     shares = (
         kept.join(groups, ["lang", "source"])
         .withColumn("p", share(F.col("n"), F.col("total"), F.col("kept"), smooth))
-        .select("lang", "source", "term", "p", "no", "slices", "blocks", "kept", "lang_total")
+        .select("lang", "source", "term", "p", "no", "slices", "blocks", "kept", "lang_n", "lang_total")
     )
 
     everywhere = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
@@ -235,8 +235,7 @@ def divergence(docs: DataFrame, least_docs: int = 30, smooth: int = 5, top: int
     pairs = pairs.select("lang", both, "value").select("lang", "ends.source", "ends.item", "value")
 
     told = (
-        shares.join(totals, ["lang", "term"])
-        .withColumn("value", F.col("p") - share(F.col("lang_n"), F.col("lang_total"), F.col("kept"), smooth))
+        shares.withColumn("value", F.col("p") - share(F.col("lang_n"), F.col("lang_total"), F.col("kept"), smooth))
         .where(F.col("value") > 0)
         .select("lang", "source", F.col("term").alias("item"), "value")
     )
