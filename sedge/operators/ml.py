@@ -147,34 +147,3 @@ def loadings(model, columns: list[str], top: int = 10) -> list[tuple[str, float]
 
 def logistic(train: DataFrame, columns: list[str], label: str):
     return LogisticRegression(featuresCol="__x", labelCol=label, regParam=0.0, maxIter=100).fit(assembled(train, columns))
-
-
-def shapley_values(model, rows: DataFrame, background: DataFrame, columns: list[str], key: str, label: str, samples: int = 8, seed: int = 42) -> DataFrame:
-    """Sampled Shapley values of the probability of class 1: for each row, several orders of the features and background
-    rows, all told by hashes; features are taken over from the row in that order and each gets the change it makes. The
-    values of a row add up to its probability less the mean of its background rows'. All steps of all rows are one
-    table that the model scores."""
-    n = len(columns)
-    base = with_place(background.withColumn("__all", F.lit(0)), key, ["__all"], seed).select(
-        F.col("place").alias("__b"), F.array(*(F.col(c).cast("double") for c in columns)).alias("__base"), F.col("size").alias("__size")
-    )
-    size = base.agg(F.max("__size")).first()[0]
-    draws = rows.select(key, F.array(*(F.col(c).cast("double") for c in columns)).alias("__own"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("__s"))
-    h = F.xxhash64(F.col(key), F.col("__s"), F.lit(seed))
-    draws = draws.withColumn("__b", F.pmod(h, F.lit(size))).join(base.drop("__size"), "__b")
-    order = F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.xxhash64(F.col(key), F.col("__s"), i, F.lit(seed)).alias("h"), i.alias("i")))),
-        lambda x: x["i"],
-    )
-    steps = draws.withColumn("__order", order).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    taken = F.slice("__order", 1, F.col("__k"))
-    mixed = [F.when(F.array_contains(taken, i), F.col("__own")[i]).otherwise(F.col("__base")[i]).alias(c) for i, c in enumerate(columns)]
-    scored = model.transform(assembled(steps.select(key, "__s", "__k", "__order", *mixed), columns))
-    p = vector_to_array("probability")[1]
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key, "__s").orderBy("__k")
-    change = scored.select(key, "__s", "__k", "__order", p.alias("p")).withColumn("change", F.col("p") - F.lag("p").over(w)).where("__k > 0")
-    names = F.array(*map(F.lit, columns))
-    feature = F.get(names, F.get(F.col("__order"), F.col("__k") - 1))
-    return change.groupBy(key, feature.alias("feature")).agg(F.avg("change").alias("shap"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedge.operators import ml as M
 from sedge.operators import sampling as P
+from sedge.operators import tree_shap as shap
 from sedge.sources import files as I
 from sedge.sources.scratch import scratch_path
 from sedge.streaming import folds as W
@@ -115,7 +116,17 @@ def recursive_elimination(spark, d):
 
 def shapley_values(spark, d):
     model, train, test = _forest(spark, d)
-    return rounded(M.shapley_values(model, test, train, FEATURES, "id", "coding_class"))
+    return rounded(shap.shapley_values(model, test, train, FEATURES, "id"), 9)
+
+
+def shapley_adds_up(spark, d):
+    """Whether each row's Shapley values and the base value add up to the probability that the forest gives it."""
+    model, train, test = _forest(spark, d)
+    sums = shap.shapley_values(model, test, train, FEATURES, "id").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("shap") + F.max("base_value")).alias("total")
+    )
+    given = M.predictions(model, test, FEATURES, "id", "coding_class").select("id", "y_pred_proba_class_1")
+    return sums.join(given, "id").select("id", "n", (F.abs(F.col("total") - F.col("y_pred_proba_class_1")) < 1e-9).alias("adds_up"))
 
 
 def pca(spark, d):
@@ -143,7 +154,7 @@ QUERIES = {
     for f in (
         json_props, picks_by_group, pick_check, html_links, html_table_rows, dataset_statistics, kfold_split, fold_training,
         balanced_split, one_per_gene, proportional_sample, contiguous_folds, fixed_sample, augmented_sequences,
-        near_duplicate_clusters, rf_fold, permutation_importance, recursive_elimination, shapley_values, pca, logit,
+        near_duplicate_clusters, rf_fold, permutation_importance, recursive_elimination, shapley_values, shapley_adds_up, pca, logit,
         uncertainty_stream,
     )
 }
@@ -171,6 +182,7 @@ ORACLE_SQL = {
     "one_per_gene": "SELECT DISTINCT source AS gene_id, CAST(1 AS BIGINT) AS n FROM documents",
     "proportional_sample": "SELECT lang AS biotype, CAST(round_even(200 * count(*) / (SELECT count(*) FROM documents), 0) AS BIGINT) AS n "
     "FROM documents GROUP BY lang",
+    "shapley_adds_up": "SELECT vec_id AS id, CAST(16 AS BIGINT) AS n, TRUE AS adds_up FROM embeddings WHERE vec_id % 5 = 0",
     "contiguous_folds": f"WITH {TOOL_PROBS} SELECT CAST(f AS INT) AS fold, count(*) // 10 AS n FROM tool_probs, range(0, 10) t(f) GROUP BY f",
     "fixed_sample": "SELECT CAST(least(100, count(*)) AS BIGINT) AS n FROM documents",
     "augmented_sequences": "SELECT p_partkey || '_augmented_' || i || '_42' AS id, length(p_name) + 1 AS length FROM part, range(1, 3) t(i)",
