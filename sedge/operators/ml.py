@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.operators.sampling import stratified_folds, with_place
+from sedge.sources.scratch import written
 
 
 def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,8 +24,8 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """Adds weight: rows over classes times rows of the class."""
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     total = sizes.agg(F.sum("__n").alias("__t"), F.count(F.lit(1)).alias("__k")).withColumn("__on", F.lit(1))
-    sizes = sizes.withColumn("__on", F.lit(1)).join(F.broadcast(total), "__on")  # one row, then one for each class
-    return rows.join(F.broadcast(sizes.select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight"))), label)
+    sizes = sizes.withColumn("__on", F.lit(1)).join(total, "__on")  # one row
+    return rows.join(sizes.select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight")), label)
 
 
 def fit_forest(train: DataFrame, columns: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42):
@@ -73,48 +76,95 @@ def permutation_importance(
     return lost.select(F.get(names, F.col("__f")).alias("feature"), F.greatest(F.col("lost"), F.lit(0.0)).alias("importance"))
 
 
+def _chain(
+    train: DataFrame, test: DataFrame | None, columns: list[str], key: str, label: str, step: int, least: int, trees: int,
+    depth: int, repeats: int,
+) -> list[tuple[int, float | None, list[str]]]:
+    """Ever smaller sets of features, with their scores on the test rows if there are any. The `step` features of the least
+    permutation importance on the training rows go first; of equal ones the last by name."""
+    left, out = list(columns), []
+    while True:
+        model = fit_forest(train, left, label, trees=trees, depth=depth)
+        out.append((len(left), None if test is None else balanced_accuracy(predictions(model, test, left, key, label)), list(left)))
+        if len(left) <= least:
+            return out
+        lost = {r.feature: r.importance for r in permutation_importance(model, train, left, key, label, repeats).collect()}
+        order = sorted(left, key=lambda c: (-lost[c], c))
+        kept = set(order[: max(least, len(left) - step)])
+        left = [c for c in left if c in kept]
+
+
 def recursive_elimination(
     train: DataFrame, test: DataFrame, columns: list[str], key: str, label: str, step: int = 1, least: int = 1, trees: int = 100,
     depth: int = 10, repeats: int = 5,
 ) -> DataFrame:
-    """Scores of ever smaller sets of features, those of the least permutation importance on the test rows going first: step
-    (number of features), score (balanced accuracy), features. A fit and two jobs for each set."""
-    spark, left, out = train.sparkSession, list(columns), []
-    while len(left) >= least:
-        model = fit_forest(train, left, label, trees=trees, depth=depth)
-        out.append((len(left), balanced_accuracy(predictions(model, test, left, key, label)), list(left)))
-        if len(left) <= step:
-            break
-        lost = {r.feature: r.importance for r in permutation_importance(model, test, left, key, label, repeats).collect()}
-        weak = set(sorted(left, key=lambda c: (lost[c], c))[:step])
-        left = [c for c in left if c not in weak]
-    return spark.createDataFrame(out, "step int, score double, features array<string>")
+    """Scores of ever smaller sets of features, those of the least permutation importance on the training rows going first:
+    step (number of features), score (balanced accuracy on the test rows), features. A fit and two jobs for each set, of
+    which a row for each feature comes to the driver."""
+    out = _chain(train, test, columns, key, label, step, least, trees, depth, repeats)
+    return train.sparkSession.createDataFrame(out, "step int, score double, features array<string>")
 
 
-def cross_validated_elimination(
-    rows: DataFrame, columns: list[str], key: str, label: str, folds: int = 5, **settings
-) -> tuple[DataFrame, DataFrame]:
-    """recursive_elimination() in each of `folds` stratified folds: step, fold, score and features; and by step the mean
-    score, its standard error, and whether it is the smallest within one standard error of the best (chosen)."""
-    dealt = stratified_folds(rows, key, label, folds)
-    parts = [
-        recursive_elimination(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), columns, key, label, **settings).withColumn("fold", F.lit(k))
-        for k in range(1, folds + 1)
-    ]
-    each = reduce(DataFrame.unionByName, parts)
-    means = each.groupBy("step").agg(F.avg("score").alias("mean"), (F.stddev_samp("score") / F.sqrt(F.count("score"))).alias("error"))
-    best = means.agg(F.max_by(F.col("mean") - F.coalesce("error", F.lit(0.0)), "mean").alias("bound"))
-    near = means.crossJoin(best).where(F.col("mean") >= F.col("bound"))  # one row
-    return each, means.crossJoin(near.agg(F.min("step").alias("smallest"))).select("step", "mean", "error", (F.col("step") == F.col("smallest")).alias("chosen"))
+@dataclass
+class Elimination:
+    """scores: repeat, fold, step (number of features), score and features. steps: step, mean and std of its scores, and
+    whether it is chosen by the best mean (the smallest of equal ones) and by the one-standard-error rule. selection:
+    feature, rank (1: in the best set; the higher, the earlier it went), selected, selected_by_max and cluster (1 and up for
+    selected features in order of rank, else 0)."""
 
+    scores: DataFrame
+    steps: DataFrame
+    selection: DataFrame
 
-def cluster_elimination(
-    rows: DataFrame, members: dict[str, list[str]], key: str, label: str, folds: int = 5, **settings
-) -> tuple[DataFrame, DataFrame]:
+
+def cross_validated_elimination(
+    rows: DataFrame, columns: list[str], key: str, label: str, folds: int = 5, cv_repeats: int = 1, step: int = 5,
+    one_error: bool = True, trees: int = 100, depth: int = 10, repeats: int = 5, seed: int = 42, parallelism: int = 4,
+) -> Elimination:
+    """Elimination in each of `folds` stratified folds, dealt anew `cv_repeats` times, and then over all rows down to the
+    chosen number. The chains of fits do not depend on each other, so `parallelism` of them run at a time, each fit being
+    distributed. The standard error is that of `folds` scores, whatever the repeats. Only scores and importances come to
+    the driver."""
+    spark = rows.sparkSession
+    dealt = rows.select(key, label, *columns)
+    for r in range(cv_repeats):
+        dealt = stratified_folds(dealt, key, label, folds, seed + r).withColumnRenamed("fold", f"__fold{r}")
+    dealt = written(dealt, "elimination-folds")
+
+    def one(place: tuple[int, int]) -> list[tuple]:
+        r, k = place
+        side = F.col(f"__fold{r}") == k
+        return [(r, k, *x) for x in _chain(dealt.where(~side), dealt.where(side), columns, key, label, step, 1, trees, depth, repeats)]
+
+    with ThreadPool(parallelism) as pool:
+        scores = [x for part in pool.map(one, [(r, k) for r in range(cv_repeats) for k in range(1, folds + 1)], 1) for x in part]
+    of = {n: [s for _, _, m, s, _ in scores if m == n] for n in sorted({x[2] for x in scores})}
+    means = {n: sum(x) / len(x) for n, x in of.items()}
+    stds = {n: (sum((s - means[n]) ** 2 for s in x) / len(x)) ** 0.5 for n, x in of.items()}
+    best = min(of, key=lambda n: (-means[n], n))
+    near = min(n for n in of if means[n] >= means[best] - stds[best] / folds**0.5)
+    chain = _chain(dealt, None, columns, key, label, step, best, trees, depth, repeats)
+    rank = {c: 1 + sum(c not in left for _, _, left in chain) for c in columns}
+    order = sorted(columns, key=lambda c: rank[c])
+    chosen = order[: near if one_error and near < best else best]
+    return Elimination(
+        spark.createDataFrame(scores, "repeat int, fold int, step int, score double, features array<string>"),
+        spark.createDataFrame(
+            [(n, means[n], stds[n], n == best, n == near) for n in of],
+            "step int, mean double, std double, chosen_by_max boolean, chosen_by_error boolean",
+        ),
+        spark.createDataFrame(
+            [(c, rank[c], c in chosen, rank[c] == 1, chosen.index(c) + 1 if c in chosen else 0) for c in columns],
+            "feature string, rank int, selected boolean, selected_by_max boolean, cluster int",
+        ),
+    )
+
+
+def cluster_elimination(rows: DataFrame, members: dict[str, list[str]], key: str, label: str, **settings) -> Elimination:
     """cross_validated_elimination() over clusters of features, each standing as the mean of its members, which are scaled
     alike."""
     means = {c: reduce(lambda a, b: a + b, (F.coalesce(F.col(f), F.lit(0.0)) for f in own)) / len(own) for c, own in members.items()}
-    return cross_validated_elimination(rows.select(key, label, *(m.alias(c) for c, m in means.items())), list(members), key, label, folds, **settings)
+    return cross_validated_elimination(rows.select(key, label, *(m.alias(c) for c, m in means.items())), list(members), key, label, **settings)
 
 
 def principal_components(rows: DataFrame, columns: list[str], key: str, k: int | None = None, variance: float | None = None, whiten: bool = False):

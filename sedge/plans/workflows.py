@@ -114,6 +114,24 @@ def recursive_elimination(spark, d):
     return rounded(M.recursive_elimination(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), FEATURES, "id", "coding_class"))
 
 
+def _eliminated(spark, d):
+    settings = {"folds": 5, "cv_repeats": 3, "step": 5, "trees": 10, "depth": 5, "repeats": 2}
+    return M.cross_validated_elimination(features(spark, d), FEATURES, "id", "coding_class", **settings)
+
+
+def feature_selection(spark, d):
+    """Elimination in five folds, three times, and the choice by one standard error."""
+    return _eliminated(spark, d).selection
+
+
+def elimination_steps(spark, d):
+    """The sets that such an elimination goes through, and their scores: one each in every fold and repeat."""
+    found = _eliminated(spark, d)
+    each = found.scores.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repeat", "fold").alias("n_folds"))
+    chosen = found.steps.select("step", F.col("mean").between(0, 1).alias("is_share"))
+    return each.join(chosen, "step").select("step", "n", "n_folds", "is_share")
+
+
 def shapley_values(spark, d):
     model, train, test = _forest(spark, d)
     return rounded(shap.shapley_values(model, test, train, FEATURES, "id"), 9)
@@ -154,7 +172,7 @@ QUERIES = {
     for f in (
         json_props, picks_by_group, pick_check, html_links, html_table_rows, dataset_statistics, kfold_split, fold_training,
         balanced_split, one_per_gene, proportional_sample, contiguous_folds, fixed_sample, augmented_sequences,
-        near_duplicate_clusters, rf_fold, permutation_importance, recursive_elimination, shapley_values, shapley_adds_up, pca, logit,
+        near_duplicate_clusters, rf_fold, permutation_importance, recursive_elimination, feature_selection, elimination_steps, shapley_values, shapley_adds_up, pca, logit,
         uncertainty_stream,
     )
 }
@@ -182,6 +200,8 @@ ORACLE_SQL = {
     "one_per_gene": "SELECT DISTINCT source AS gene_id, CAST(1 AS BIGINT) AS n FROM documents",
     "proportional_sample": "SELECT lang AS biotype, CAST(round_even(200 * count(*) / (SELECT count(*) FROM documents), 0) AS BIGINT) AS n "
     "FROM documents GROUP BY lang",
+    "elimination_steps": "SELECT CAST(s AS INT) AS step, CAST(15 AS BIGINT) AS n, CAST(15 AS BIGINT) AS n_folds, TRUE AS is_share "
+    "FROM (VALUES (16), (11), (6), (1)) t(s)",
     "shapley_adds_up": "SELECT vec_id AS id, CAST(16 AS BIGINT) AS n, TRUE AS adds_up FROM embeddings WHERE vec_id % 5 = 0",
     "contiguous_folds": f"WITH {TOOL_PROBS} SELECT CAST(f AS INT) AS fold, count(*) // 10 AS n FROM tool_probs, range(0, 10) t(f) GROUP BY f",
     "fixed_sample": "SELECT CAST(least(100, count(*)) AS BIGINT) AS n FROM documents",
