@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.sources.scratch import scratch_path
-
 SLICES = 256
 
 
@@ -116,57 +114,3 @@ def augmented(rows: DataFrame, key: str, sequence: str, copies: int, seed: int =
     return each.withColumn(sequence, F.overlay(F.col(sequence), base, at, F.lit(0))).withColumn(
         key, F.concat(F.col(key).cast("string"), F.lit("_augmented_"), F.col("__i"), F.lit(f"_{seed}"))
     ).drop("__i")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def near_duplicates(rows: DataFrame, key: str, sequence: str, k: int = 8, identity: float = 0.9) -> DataFrame:
-    """key and representative. In order of length, the longest first and of equals the largest key, a sequence that
-    shares at least `identity` of the k-mers of the smaller set with a representative has the first such as its own, and
-    is one itself if there is none. Sequences shorter than k represent themselves.
-
-    No pair is missed: all but less than a tenth of the smaller set must be in the larger, so one of the rarest tenth of
-    its k-mers and one more is. Sequences of equal sets count once. Pairs that are alike are rows, as many as there are."""
-    kmers = rows.select(key, F.length(sequence).alias("length"), F.split(F.col(sequence), "").alias("c")).where(F.size("c") >= k)
-    window = lambda i: F.concat(*(F.get(F.col("c"), i + j) for j in range(k)))
-    each = F.transform(F.sequence(F.lit(0), F.size("c") - k), lambda i: F.xxhash64(window(i)))
-    sets = _written(kmers.select(key, "length", F.array_sort(F.array_distinct(each)).alias("set")), "nd-sets")
-    first = F.max(F.struct("length", key))
-    alone = sets.groupBy("set").agg(first.alias("w")).select(F.col("w.length").alias("length"), F.col(f"w.{key}").alias("x"), "set")
-    alone = _written(alone.withColumn("n", F.size("set")), "nd-alone")
-    long = _written(alone.select("x", "n", F.explode("set").alias("kmer")), "nd-kmers")
-    often = long.groupBy("kmer").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # a k-mer met once can be in the prefix, but leads to nothing
-    ranked = long.join(often, "kmer", "left").groupBy("x", "n").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "kmer"))).alias("k")
-    )
-    prefix = F.col("n") - F.ceil(F.lit(identity) * F.col("n") - 1e-9).cast("int") + 1
-    asked = ranked.select("x", "n", F.explode(F.slice("k", F.lit(1), prefix)).alias("k")).where("k.often > 1")
-    asked = asked.select("x", "n", F.col("k.kmer").alias("kmer"))
-    y, m = F.col("y"), F.col("m")
-    met = asked.hint("merge").join(long.select(F.col("x").alias("y"), F.col("n").alias("m"), "kmer"), "kmer")
-    pairs = met.where((F.col("n") < m) | ((F.col("n") == m) & (F.col("x") < y))).select("x", "y").distinct()
-    side = lambda c: alone.select(F.col("x").alias(c), F.col("length").alias(f"{c}_length"), F.col("set").alias(f"{c}_set"))
-    both = pairs.hint("merge").join(side("x"), "x").hint("merge").join(side("y"), "y")
-    alike = F.size(F.array_intersect("x_set", "y_set")) / F.least(F.size("x_set"), F.size("y_set"))
-    one, other = F.struct(F.col("x_length").alias("length"), F.col("x").alias("k")), F.struct(F.col("y_length").alias("length"), F.col("y").alias("k"))
-    ends = both.where(alike >= identity).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
-    links = _written(ends.select(F.col("a.k").alias("x"), F.col("b.k").alias("y"), F.col("b.length").alias("y_length")), "nd-links")
-    covered = links.select("x").limit(0)
-    left = links
-    while not left.isEmpty():
-        # what no longer one is left for is a representative, and covers what is linked to it
-        tops = left.select("y").distinct().join(left.select(F.col("x").alias("y")), "y", "left_anti")
-        new = _written(left.join(tops, "y", "left_semi").select("x").distinct(), "nd-new")
-        left = left.join(new, "x", "left_anti").join(new.withColumnRenamed("x", "y"), "y", "left_anti")
-        left = _written(left.select("x", "y", "y_length"), "nd-left")
-        covered = _written(covered.unionByName(new), "nd-covered")
-    by = links.join(covered.withColumnRenamed("x", "y"), "y", "left_anti")
-    chosen = by.groupBy("x").agg(F.max(F.struct("y_length", "y")).alias("w")).select("x", F.col("w.y").alias("up"))
-    of = alone.join(chosen, "x", "left").select("set", F.coalesce("up", "x").alias("representative"))
-    found = sets.join(of, "set").select(key, "representative").dropDuplicates([key])
-    return rows.select(key).join(found, key, "left").withColumn("representative", F.coalesce("representative", F.col(key)))

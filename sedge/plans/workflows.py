@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedge.operators import ml as M
+from sedge.operators import redundancy as R
 from sedge.operators import sampling as P
 from sedge.operators import tree_shap as shap
 from sedge.sources import files as I
@@ -90,7 +91,7 @@ def augmented_sequences(spark, d):
 
 def near_duplicate_clusters(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("s"))
-    return P.near_duplicates(p, "p_partkey", "s")
+    return R.representatives(p, "p_partkey", "s")
 
 
 def _forest(spark, d):
