@@ -150,7 +150,7 @@ def best_silhouette(spark, d):
     return X.best_threshold(X.silhouette(X.distances(S.spearman(features_long(spark, d))), _fixed_clusters(spark, d)))
 
 
-def cluster_representatives(spark, d):
+def correlated_representatives(spark, d):
     return X.representatives(_fixed_clusters(spark, d))
 
 
@@ -167,11 +167,6 @@ def yeo_johnson(spark, d):
     return rounded(X.yeo_johnson(features_long(spark, d)).select("id", "feature", "lambda", "transformed"))
 
 
-def sequence_filters(spark, d):
-    t = transcripts(spark, d)
-    return Q.usable(t, longest=3000).select("transcript_id", F.length(Q.without_n_ends(F.col("sequence"))).cast("long").alias("trimmed"), "length")
-
-
 def sequence_filters_100k(spark, d):
     t = transcripts(spark, d)
     return Q.usable(t).select("transcript_id", F.length(Q.without_n_ends(F.col("sequence"))).cast("long").alias("trimmed"), "length")
@@ -211,7 +206,7 @@ QUERIES = {
         shap_aggregate, shap_cumulative, shap_topk, latest_fold, one_se, rfecv_votes, cluster_names, cluster_shap,
         cluster_origins, significant_clusters, cluster_search, top_after_clustering, nearest_threshold, family_top20,
         best_checkpoints, best_checkpoints_as_coded, standardised, residuals, colours, to_numbers, feature_distances,
-        silhouette, best_silhouette, cluster_representatives, ward_clusters, top_variance, yeo_johnson, sequence_filters,
+        silhouette, best_silhouette, correlated_representatives, ward_clusters, top_variance, yeo_johnson,
         sequence_filters_100k, legal_sequences, kmer_counts, category_rules, keyword_tags,
     )
 }
@@ -308,11 +303,9 @@ ORACLE_SQL = {
     "AS distance FROM c",
     "silhouette": f"{_SIL} SELECT threshold, n_clusters, round(silhouette, 6) AS silhouette FROM si",
     "best_silhouette": f"{_SIL} SELECT threshold FROM si WHERE silhouette IS NOT NULL ORDER BY round(silhouette, 9) DESC, threshold LIMIT 1",
-    "cluster_representatives": f"WITH {FEATURES_LONG}, {_FIXED} SELECT threshold, cluster, min(feature) AS feature FROM cl GROUP BY ALL",
+    "correlated_representatives": f"WITH {FEATURES_LONG}, {_FIXED} SELECT threshold, cluster, min(feature) AS feature FROM cl GROUP BY ALL",
     "top_variance": f"WITH {FEATURES_LONG} SELECT feature, round(var_samp(value), 9) AS variance FROM features_long GROUP BY feature ORDER BY "
     "round(var_samp(value), 12) DESC, feature LIMIT 6",
-    "sequence_filters": f"WITH {TRANSCRIPTS} SELECT transcript_id, CAST(length(regexp_replace(regexp_replace(sequence, '^N+', ''), 'N+$', '')) AS "
-    "BIGINT) AS trimmed, length FROM transcripts WHERE NOT contains(sequence, 'N') AND length(sequence) <= 3000",
     "sequence_filters_100k": f"WITH {TRANSCRIPTS} SELECT transcript_id, CAST(length(regexp_replace(regexp_replace(sequence, '^N+', ''), 'N+$', '')) AS "
     "BIGINT) AS trimmed, length FROM transcripts WHERE NOT contains(sequence, 'N') AND length(sequence) <= 100000",
     "legal_sequences": "WITH p AS (SELECT p_partkey, translate(upper(p_name), 'BDEFHIJKLMNOPQRSVWXYZ ', 'ACGTACGTACGTACGTACGTA') AS s FROM part) "

@@ -21,9 +21,17 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sedge-{spark.sparkContext.applicationId}"
 
 
+def _paths(spark: SparkSession) -> list[str]:
+    if not hasattr(spark, "_sedge_paths"):
+        spark._sedge_paths = []
+    return spark._sedge_paths
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in that folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths(spark).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,8 +43,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """A place in the row of what this application wrote, for clear_since()."""
+    return len(_paths(spark))
+
+
+def clear_since(spark: SparkSession, mark: int, keep_last: bool = True) -> None:
+    """Delete what was written since that mark, but for the last. Only for a step whose other tables nothing reads any more."""
+    paths = _paths(spark)
+    old = paths[mark : len(paths) - keep_last]
+    for path in old:
+        _delete(spark, path)
+    del paths[mark : mark + len(old)]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder. DataFrames that still read it end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
+    _paths(spark).clear()
