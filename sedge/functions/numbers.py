@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -45,6 +47,18 @@ def two_sided_normal(z: Column) -> Column:
     return tail(z)
 
 
+def inverse_normal(p: Column) -> Column:
+    """The value that a standard normal variable is below with that chance. For aggregated rows; it runs in Python."""
+
+    @F.pandas_udf(DoubleType())
+    def inverse(p: pd.Series) -> pd.Series:
+        from statistics import NormalDist
+
+        return p.map(lambda x: NormalDist().inv_cdf(x) if 0 < x < 1 else None)
+
+    return inverse(p)
+
+
 def chi_square_tail(x: Column, df: Column) -> Column:
     """The chance of a chi-square variable with df degrees of freedom at least as large: the regularised upper incomplete
     gamma function, by its series below df + 2 and by its continued fraction above. For aggregated rows."""
@@ -81,3 +95,83 @@ def chi_square_tail(x: Column, df: Column) -> Column:
         return pd.Series(out, dtype="float64")
 
     return tail(x, df)
+
+
+def f_tail(f: Column, df1: Column, df2: Column) -> Column:
+    """The chance of an F variable at least as large: the regularised incomplete beta function I(d2 / (d2 + d1 f); d2 / 2,
+    d1 / 2), by its continued fraction on the side where that converges fast. For aggregated rows."""
+
+    @F.pandas_udf(DoubleType())
+    def tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+        import math
+
+        def fraction(a: float, b: float, x: float) -> float:
+            # 1 / (1 + e1 / (1 + e2 / ...)), numerators and denominators by their recurrence, rescaled
+            p0, q0, p1, q1, value = 0.0, 1.0, 1.0, 1.0, 1.0
+            for i in range(1, 1_000_000):
+                m = i // 2
+                if i % 2:
+                    e = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+                else:
+                    e = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+                p0, q0, p1, q1 = p1 / q1, q1 / q1, (p1 + e * p0) / q1, (q1 + e * q0) / q1
+                if abs(p1 / q1 - value) <= 1e-16 * abs(value):
+                    break
+                value = p1 / q1
+            return p1 / q1
+
+        def beta(a: float, b: float, x: float) -> float:
+            if x <= 0 or x >= 1:
+                return float(x >= 1)
+            front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+            if x < (a + 1) / (a + b + 2):
+                return front * fraction(a, b, x) / a
+            return 1 - front * fraction(b, a, 1 - x) / b
+
+        def one(f: float, d1: float, d2: float) -> float | None:
+            if f != f or d1 != d1 or d2 != d2 or d1 < 1 or d2 < 1:
+                return None
+            return beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * max(f, 0.0)))
+
+        return pd.Series([one(*x) for x in zip(f, df1, df2, strict=True)], dtype="float64")
+
+    return tail(f.cast("double"), df1.cast("double"), df2.cast("double"))
+
+
+def digamma(x: Column) -> Column:
+    """For x of at least 1: eight steps up by the recurrence, then the asymptotic series."""
+    y, back = x + 8, sum((1 / (x + i) for i in range(8)), F.lit(0.0))
+    z = 1 / (y * y)
+    series = z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z * (1 / 132)))))
+    return F.ln(y) - 1 / (2 * y) - series - back
+
+
+@lru_cache(maxsize=256)
+def u_counts(n1: int, n2: int) -> list[int]:
+    """In how many of the orders of n1 + n2 different values U is 0, 1, ..., n1 * n2: the coefficients of a Gaussian
+    binomial, built up factor by factor."""
+    n1, n2 = sorted((n1, n2))
+    ways = [1] + [0] * (n1 * n2)
+    for i in range(1, n1 + 1):
+        for u in range(n1 * n2, n2 + i - 1, -1):
+            ways[u] -= ways[u - n2 - i]
+        for u in range(i, n1 * n2 + 1):
+            ways[u] += ways[u - i]
+    return ways
+
+
+def exact_u(u: Column, n1: Column, n2: Column) -> Column:
+    """The chance, without ties, of a U at least as far from n1 * n2 / 2, both sides taken together. For aggregated rows."""
+
+    @F.pandas_udf(DoubleType())
+    def tail(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        def one(u: float, a: float, b: float) -> float | None:
+            if u != u or a != a or b != b:
+                return None
+            ways = u_counts(int(a), int(b))
+            upper = sum(ways[int(max(u, a * b - u)) :])
+            return min(1.0, 2 * upper / sum(ways))
+
+        return pd.Series([one(*x) for x in zip(u, n1, n2, strict=True)], dtype="float64")
+
+    return tail(u.cast("double"), n1.cast("double"), n2.cast("double"))

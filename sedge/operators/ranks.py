@@ -20,7 +20,7 @@ from sedge.sources.scratch import written
 QUARTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
 
 
-def _equal(pairs: list[tuple[str, str]]) -> Column:
+def equal(pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in pairs))
 
 
@@ -38,25 +38,46 @@ def running(counts: DataFrame, by: list[str], value: str, sums: list[str], desce
         *(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__of_{c}") for c in sums)
     )
     within = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    met = dealt.join(offsets, _equal([(k, f"__{i}") for i, k in enumerate(keys)]))
+    met = dealt.join(offsets, equal([(k, f"__{i}") for i, k in enumerate(keys)]))
     before = [(F.col(f"__of_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in sums]
     return met.select(*counts.columns, *before)
 
 
-def ranked(rows: DataFrame, by: list[str], value: str, rank: str = "rank", share: bool = False) -> DataFrame:
-    """Adds the rank of each row's value within `by`, ties sharing their mean rank; as a share of the rows if so asked."""
+def extreme(rows: DataFrame, by: list[str], value: str, column: str, how: str, descending: bool = False) -> DataFrame:
+    """Adds best_{column}: the least (how: min) or largest (max) of that column over the values up to each one within `by`,
+    that one included. rows has one row for each value."""
+    best = {"min": F.min, "max": F.max}[how]
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    dealt = written(rows.repartitionByRange(ranges, *by, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    keys = [*by, "__range"]
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    known = dealt.groupBy(*keys).agg(best(column).alias("__b")).select(
+        *(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), best("__b").over(earlier).alias("__of")
+    )
+    within = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(known, equal([(k, f"__{i}") for i, k in enumerate(keys)]))
+    both = (F.least if how == "min" else F.greatest)(F.col("__of"), best(column).over(within))
+    return met.select(*rows.columns, both.alias(f"best_{column}"))
+
+
+def ranked(
+    rows: DataFrame, by: list[str], value: str, rank: str = "rank", share: bool = False, lowest: bool = False
+) -> DataFrame:
+    """Adds the rank of each row's value within `by`, ties sharing their mean rank, or their lowest; as a share of the rows
+    if so asked."""
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     places = running(counts, by, value, ["__n"])
-    r = F.col("before___n") + (F.col("__n") + 1) / 2
+    r = F.col("before___n") + (1 if lowest else (F.col("__n") + 1) / 2)
     if share:
         sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
         sizes = sizes.select(*(F.col(b).alias(f"__s{i}") for i, b in enumerate(by)), "__size")
         on = [(b, f"__s{i}") for i, b in enumerate(by)]
-        places = places.join(sizes, _equal(on)) if by else places.crossJoin(sizes)  # one row
+        places = places.join(sizes, equal(on)) if by else places.crossJoin(sizes)  # one row
         r = r / F.col("__size")
     keys = [*by, value]
     places = places.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), r.alias(rank))
-    return rows.join(places, _equal([(k, f"__k{i}") for i, k in enumerate(keys)])).select(*rows.columns, rank)
+    return rows.join(places, equal([(k, f"__k{i}") for i, k in enumerate(keys)])).select(*rows.columns, rank)
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -69,7 +90,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__size"))
     sizes = sizes.select(*(F.col(b).alias(f"__s{i}") for i, b in enumerate(by)), "__size")
     on = [(b, f"__s{i}") for i, b in enumerate(by)]
-    met = places.join(sizes, _equal(on)) if by else places.crossJoin(sizes)  # one row
+    met = places.join(sizes, equal(on)) if by else places.crossJoin(sizes)  # one row
     first, after = F.col("before___n"), F.col("before___n") + F.col("__n")
     at = {name: F.lit(float(share)) * (F.col("__size") - 1) for name, share in shares.items()}
     held = lambda place: F.max(F.when((first <= place) & (place < after), F.col("__v")))
@@ -86,7 +107,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
 def with_quantiles(summary: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Adds quantiles() of rows to a summary with one row for each group; null keys are a group too."""
     found = quantiles(rows, by, value, shares).withColumnsRenamed({b: f"__q{i}" for i, b in enumerate(by)})
-    on = _equal([(b, f"__q{i}") for i, b in enumerate(by)])
+    on = equal([(b, f"__q{i}") for i, b in enumerate(by)])
     return summary.join(found, on, "left").select(*summary.columns, *shares)
 
 

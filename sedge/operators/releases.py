@@ -7,45 +7,50 @@ from pyspark.sql import functions as F
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Both releases side by side, with 21 flags. Columns: clean_id and, with old_ or new_ before them, full_id,
-    id_version, biotype and class (pc, lncRNA or NA). A class that is absent counts as different from any other."""
+    """Both releases side by side, with the 21 FLAGS. Columns: clean_id and, with old_ or new_ before them, full_id,
+    id_version, biotype and class (pc, lncRNA, or NA, as which a null counts). Versions and biotypes have changed if they
+    are not the same, also where an id is in one release only."""
     both = old.join(new, "clean_id", "full")
     o, n = F.col("old_full_id").isNotNull(), F.col("new_full_id").isNotNull()
-    oc, nc = F.coalesce("old_class", F.lit("")), F.coalesce("new_class", F.lit(""))
+    oc, nc = F.coalesce("old_class", F.lit("NA")), F.coalesce("new_class", F.lit("NA"))
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
-    common = o & n
-    has_old, has_new = oc.isin("pc", "lncRNA"), nc.isin("pc", "lncRNA")
+    common, added, removed = o & n, ~o & n, o & ~n
+    had, has = oc != "NA", nc != "NA"
+    kept, moved = common & had & has & (oc == nc), common & had & has & (oc != nc)
     flags = {
         "is_common": common,
-        "added": ~o & n,
-        "removed": o & ~n,
-        "version_changed": common & differs("old_id_version", "new_id_version"),
-        "biotype_changed": common & differs("old_biotype", "new_biotype"),
-        "both_have_class": common & has_old & has_new,
-        "same_class": common & has_old & has_new & (oc == nc),
-        "class_changed": common & has_old & has_new & (oc != nc),
-        "class_added": common & ~has_old & has_new,
-        "class_removed": common & has_old & ~has_new,
-        "never_classified": common & ~has_old & ~has_new,
-        "category_common_pc": common & (oc == "pc") & (nc == "pc"),
-        "category_common_lnc": common & (oc == "lncRNA") & (nc == "lncRNA"),
-        "category_new_pc": ((~o & n) | (common & ~has_old)) & (nc == "pc"),
-        "category_new_lnc": ((~o & n) | (common & ~has_old)) & (nc == "lncRNA"),
-        "added_pc": ~o & n & (nc == "pc"),
-        "added_lnc": ~o & n & (nc == "lncRNA"),
-        "removed_pc": o & ~n & (oc == "pc"),
-        "removed_lnc": o & ~n & (oc == "lncRNA"),
-        "pc_to_lnc": common & (oc == "pc") & (nc == "lncRNA"),
-        "lnc_to_pc": common & (oc == "lncRNA") & (nc == "pc"),
+        "transcript_added": added,
+        "transcript_removed": removed,
+        "version_changed": differs("old_id_version", "new_id_version"),
+        "biotype_changed": differs("old_biotype", "new_biotype"),
+        "both_have_class": common & had & has,
+        "same_class": kept,
+        "class_changed": moved,
+        "class_added": common & ~had & has,
+        "class_removed": common & had & ~has,
+        "common_same_class": kept,
+        "common_class_change": moved,
+        "pc_to_lncRNA": moved & (oc == "pc") & (nc == "lncRNA"),
+        "lncRNA_to_pc": moved & (oc == "lncRNA") & (nc == "pc"),
+        "added_with_class": added & has,
+        "added_pc": added & (nc == "pc"),
+        "added_lncRNA": added & (nc == "lncRNA"),
+        "removed_with_class": removed & had,
+        "removed_pc": removed & (oc == "pc"),
+        "removed_lncRNA": removed & (oc == "lncRNA"),
+        "no_class": n & ~has,
     }
     return both.withColumns(flags)
 
 
 FLAGS = [
-    "is_common", "added", "removed", "version_changed", "biotype_changed", "both_have_class", "same_class",
-    "class_changed", "class_added", "class_removed", "never_classified", "category_common_pc", "category_common_lnc",
-    "category_new_pc", "category_new_lnc", "added_pc", "added_lnc", "removed_pc", "removed_lnc", "pc_to_lnc", "lnc_to_pc",
+    "is_common", "transcript_added", "transcript_removed", "version_changed", "biotype_changed", "both_have_class",
+    "same_class", "class_changed", "class_added", "class_removed", "common_same_class", "common_class_change", "pc_to_lncRNA",
+    "lncRNA_to_pc", "added_with_class", "added_pc", "added_lncRNA", "removed_with_class", "removed_pc", "removed_lncRNA",
+    "no_class",
 ]
+#: Of these the sequences of the new release are exported.
+CATEGORIES = ["common_same_class", "common_class_change", "added_with_class", "no_class"]
 
 
 def flow(compared: DataFrame) -> DataFrame:
@@ -66,7 +71,6 @@ def flow_totals(flows: DataFrame) -> DataFrame:
 
 
 def categories(compared: DataFrame) -> DataFrame:
-    """clean_id and category of the ids to be exported: one row for each of the four categories that holds."""
-    names = ["common_pc", "common_lnc", "new_pc", "new_lnc"]
-    held = F.array_compact(F.array(*(F.when(F.col(f"category_{n}"), n) for n in names)))
+    """clean_id and category of the ids to be exported; no id has two."""
+    held = F.array_compact(F.array(*(F.when(F.col(c), c) for c in CATEGORIES)))
     return compared.select("clean_id", F.explode(held).alias("category"))

@@ -10,19 +10,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.functions.numbers import chi_square_tail, share_rank, two_sided_normal
+from sedge.functions.numbers import chi_square_tail, digamma, exact_u, f_tail, share_rank, two_sided_normal
 from sedge.operators import concordance
-from sedge.operators.ranks import correlation, pair_sums, quantiles, ranked, running
+from sedge.operators.ranks import correlation, equal, extreme, pair_sums, quantiles, ranked, running
+from sedge.sources.scratch import written
 
 
 def mann_whitney(
-    rows: DataFrame, by: list[str], value: str = "value", group: str = "grp", drop_constant: bool = True
-) -> DataFrame:
-    """Mann-Whitney U of group 1 against group 0 within `by`; null values count as 0. n1, n2, statistic (U of group 1), z
-    (with ties and a continuity correction of 0.5), vda (chance that a value of group 1 is larger, ties half) and
-    abs_vda, its distance from 0.5. Features of one value only are left out."""
+    rows: DataFrame, by: list[str], value: str = "value", group: str = "grp", drop_constant: bool = True, drop_nulls: bool = False,
+    ties: bool = False,
+) -> DataFrame:
+    """Mann-Whitney U of group 1 against group 0 within `by`; null values count as 0, or do not count. n1, n2, statistic
+    (U of group 1), z (with ties and a continuity correction of 0.5), vda (chance that a value of group 1 is larger, ties
+    half) and abs_vda, its distance from 0.5; with ties, also the sum of t^3 - t over equal values. Features of one value
+    only are left out, unless drop_constant is off."""
+    v = F.col(value).cast("double")
+    given = rows.where(v.isNotNull()) if drop_nulls else rows
     seen = (
-        rows.select(*by, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"), F.col(group).alias("g"))
+        given.select(*by, F.coalesce(v, F.lit(0.0)).alias("v"), F.col(group).alias("g"))
         .groupBy(*by, "v")
         .agg(F.count_if(F.col("g") == 0).alias("a"), F.count_if(F.col("g") == 1).alias("b"))
         .withColumn("t", F.col("a") + F.col("b"))
@@ -57,6 +62,7 @@ def mann_whitney(
         F.try_divide(away, sigma).alias("z"),
         F.try_divide(u, n1 * n2).alias("vda"),
         F.abs(F.try_divide(u, n1 * n2) - 0.5).alias("abs_vda"),
+        *([F.col("ties")] if ties else []),
     )
 
 
@@ -71,6 +77,20 @@ def with_normal_p(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p_value", two_sided_normal(F.col("z")))
 
 
+#: Values of U at most for which its distribution is counted out.
+MOST_U = 2_000_000
+
+
+def with_p(tests: DataFrame, small: int = 8) -> DataFrame:
+    """Adds p_value, two-sided: of the exact distribution of U where there are no ties and a group has at most `small`
+    values (and U at most MOST_U), else of the normal one. tests: mann_whitney() with ties, which goes."""
+    n1, n2 = F.col("n1"), F.col("n2")
+    exact = (F.col("ties") == 0) & (F.least(n1, n2) <= small) & (n1 * n2 <= MOST_U)
+    few = lambda c: F.when(exact, F.col(c))
+    counted = exact_u(few("statistic"), few("n1"), few("n2"))
+    return tests.withColumn("p_value", F.coalesce(counted, two_sided_normal(F.col("z")))).drop("ties")
+
+
 def cliffs_delta(tests: DataFrame) -> DataFrame:
     """Adds cliffs_delta, 2 * vda - 1."""
     return tests.withColumn("cliffs_delta", F.col("vda") * 2 - 1)
@@ -89,38 +109,46 @@ def cliffs_delta_ref(rows: DataFrame, by: list[str], value: str = "value", group
 
 
 def contingency(rows: DataFrame, by: list[str], value: str = "value", group: str = "grp") -> DataFrame:
-    """Counts by feature, value and group, with zeros where a feature's value and group do not meet."""
-    seen = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value"), F.col(group).alias("grp")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Counts by feature, value and group, with zeros where a feature's value and group do not meet. A null value counts as
+    0."""
+    own = F.coalesce(F.col(value), F.lit(0).cast(rows.schema[value].dataType))
+    seen = rows.groupBy(*by, own.alias("value"), F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
     values, groups = seen.select(*by, "value").distinct(), seen.select(*by, "grp").distinct()
     return values.join(groups, by).join(seen, [*by, "value", "grp"], "left").fillna(0, ["n"])
 
 
+def _tables(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Of each feature's table: rows and columns, the first value and group, and its total."""
+    sides = lambda c: counts.select(*by, c).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(f"n_{c}"), F.min(c).alias(f"first_{c}"))
+    totals = counts.groupBy(*by).agg(F.sum("o").alias("total"), F.min("n").alias("least"))
+    return sides("value").join(sides("grp"), by).join(totals, by)
+
+
+def _corner(row: int, column: int, c: Column) -> Column:
+    """Of a 2 x 2 table, one cell."""
+    at = lambda name, k: (F.col(name) == F.col(f"first_{name}")) if k == 1 else (F.col(name) != F.col(f"first_{name}"))
+    return F.max(F.when(at("value", row) & at("grp", column), c))
+
+
 def chi_square(counts: DataFrame, by: list[str], plus: float = 0.0, yates: bool = True) -> DataFrame:
     """Chi-square of contingency(): statistic, dof, n, cramers_v and, for 2 x 2 tables, odds_ratio with 0.5 in every
     cell. Such tables are corrected by Yates unless yates is off; `plus` is added to every cell first. Tables of one row
-    or column are left out."""
+    or column are left out. Sums of rows and columns are joined, so a feature may have any number of values."""
     cells = counts.withColumn("o", F.col("n") + F.lit(float(plus)))
-    total = lambda *k: F.sum("o").over(Window.partitionBy(*by, *k))
-    rows = F.size(F.collect_set("value").over(Window.partitionBy(*by)))
-    columns = F.size(F.collect_set("grp").over(Window.partitionBy(*by)))
-    cells = cells.select(
-        *by, "value", "grp", "o", (total("value") * total("grp") / total()).alias("e"), total().alias("total"),
-        rows.alias("r"), columns.alias("c"),
-    ).where((F.col("r") > 1) & (F.col("c") > 1))
-    gap = F.abs(F.col("o") - F.col("e"))
-    small = (F.col("r") == 2) & (F.col("c") == 2) & F.lit(yates)
+    sums = lambda c: cells.groupBy(*by, c).agg(F.sum("o").alias(f"of_{c}"))
+    r, k = F.col("n_value"), F.col("n_grp")
+    cells = cells.join(_tables(cells, by).where((r > 1) & (k > 1)), by).join(sums("value"), [*by, "value"]).join(sums("grp"), [*by, "grp"])
+    e = F.col("of_value") * F.col("of_grp") / F.col("total")
+    gap = F.abs(F.col("o") - e)
+    small = (r == 2) & (k == 2) & F.lit(yates)
     gap = F.when(small, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("value", "grp"))
-    cells = cells.withColumn("part", gap * gap / F.col("e")).withColumn("place", place)
-    at = lambda k: F.max(F.when(F.col("place") == k, F.col("o"))) - plus + 0.5
+    at = lambda i, j: _corner(i, j, F.col("o") - plus + 0.5)
     out = cells.groupBy(*by).agg(
-        F.sum("part").alias("statistic"),
-        F.max((F.col("r") - 1) * (F.col("c") - 1)).cast("long").alias("dof"),
+        F.sum(gap * gap / e).alias("statistic"),
+        F.max((r - 1) * (k - 1)).cast("long").alias("dof"),
         F.max("total").alias("n"),
-        F.max(F.least("r", "c")).alias("k"),
-        (at(1) * at(4) / (at(2) * at(3))).alias("odds"),
+        F.max(F.least(r, k)).alias("k"),
+        (at(1, 1) * at(2, 2) / (at(1, 2) * at(2, 1))).alias("odds"),
     )
     return out.select(
         *by,
@@ -138,42 +166,44 @@ def with_chi_p(tests: DataFrame) -> DataFrame:
 
 def haldane_odds(counts: DataFrame, by: list[str]) -> DataFrame:
     """Odds ratio of 2 x 2 tables, with 0.5 in every cell only if one is zero."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("value", "grp"))
-    at = lambda k: F.max(F.when(F.col("place") == k, F.col("n")))
-    wide = counts.withColumn("place", place).groupBy(*by).agg(
-        at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), at(4).alias("d"), F.max("place").alias("k"), F.min("n").alias("m")
-    )
-    add = F.when(F.col("m") == 0, 0.5).otherwise(0.0)
-    ratio = (F.col("a") + add) * (F.col("d") + add) / ((F.col("b") + add) * (F.col("c") + add))
-    return wide.where(F.col("k") == 4).select(*by, ratio.alias("odds_ratio"))
+    cells = counts.withColumn("o", F.col("n"))
+    cells = cells.join(_tables(cells, by).where("n_value = 2 AND n_grp = 2"), by)
+    x = F.col("n") + F.when(F.col("least") == 0, 0.5).otherwise(0.0)
+    ratio = _corner(1, 1, x) * _corner(2, 2, x) / (_corner(1, 2, x) * _corner(2, 1, x))
+    return cells.groupBy(*by).agg(ratio.alias("odds_ratio"))
 
 
 def adjusted(
-    tests: DataFrame, p: str = "p_value", by: list[str] | None = None, method: str = "fdr_bh", alpha: float = 0.01, order: list[str] | None = None
+    tests: DataFrame, p: str = "p_value", by: list[str] | None = None, method: str = "fdr_bh", alpha: float = 0.01
 ) -> DataFrame:
     """Adds adj_p and significant (adj_p < alpha) for a family of tests (within `by`): fdr_bh, fdr_by, holm or bonferroni.
-    The family is a table of tests, not of data; `order` breaks ties."""
-    family = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = family.orderBy(F.col(p), *(order or []))
-    k, n = F.row_number().over(ranked), F.count(p).over(family)
-    raw = tests.withColumn("__k", F.when(F.col(p).isNotNull(), k)).withColumn("__n", n)
-    x, k, n = F.col(p), F.col("__k"), F.col("__n")
-    up = family.orderBy(F.col("__k").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    down = family.orderBy(F.col("__k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    if method == "fdr_bh":
-        adj = F.min(x * n / k).over(up)
-    elif method == "fdr_by":
-        harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, i: a + 1.0 / i)
-        raw = raw.withColumn("__h", harmonic)
-        adj = F.min(x * n / k * F.col("__h")).over(up)
-    elif method == "holm":
-        adj = F.max(x * (n - k + 1)).over(down)
-    elif method == "bonferroni":
-        adj = x * n
-    else:
+    Equal p-values have equal adjusted ones, so the different ones are counted and dealt into ranges: a family of any size
+    is in no single task. Null p-values are no tests, and have null."""
+    by = by or []
+    counts = tests.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    names = [f"__s{i}" for i in range(len(by))]
+    sizes = sizes.withColumnsRenamed(dict(zip(by, names, strict=True)))
+    placed = running(counts, by, "__p", ["__c"])
+    placed = placed.join(sizes, equal(list(zip(by, names, strict=True)))) if by else placed.crossJoin(sizes)  # one row
+    x, n, before, c = F.col("__p"), F.col("__n"), F.col("before___c"), F.col("__c")
+    raw = {
+        "fdr_bh": x * n / (before + c),
+        "fdr_by": x * n / (before + c) * (digamma(n.cast("double") + 1) - digamma(F.lit(1.0))),
+        "holm": x * (n - before),
+        "bonferroni": x * n,
+    }
+    if method not in raw:
         raise ValueError(f"unknown method: {method}")
-    adj = F.when(x.isNotNull(), F.least(adj, F.lit(1.0)))
-    return raw.withColumn("adj_p", adj).withColumn("significant", F.col("adj_p") < alpha).drop("__k", "__n", "__h")
+    placed = placed.select(*by, "__p", raw[method].alias("adj"))
+    if method == "bonferroni":
+        placed = placed.withColumnRenamed("adj", "best_adj")
+    else:
+        up = method == "holm"
+        placed = extreme(placed, by, "__p", "adj", "max" if up else "min", descending=not up)
+    placed = placed.select(*(F.col(b).alias(f"__k{i}") for i, b in enumerate(by)), "__p", F.least("best_adj", F.lit(1.0)).alias("adj_p"))
+    on = equal([*((b, f"__k{i}") for i, b in enumerate(by)), (p, "__p")])
+    return tests.join(placed, on, "left").select(*tests.columns, "adj_p", (F.col("adj_p") < alpha).alias("significant"))
 
 
 def jointly_adjusted(tables: dict[str, DataFrame], p: str = "p_value", method: str = "fdr_bh", alpha: float = 0.01) -> DataFrame:
@@ -185,28 +215,50 @@ def jointly_adjusted(tables: dict[str, DataFrame], p: str = "p_value", method: s
 def pooled_adjusted(wide: DataFrame, key: str, columns: list[str], method: str = "fdr_bh", alpha: float = 0.01) -> DataFrame:
     """One family over several p-value columns of a table: key and, for each column, its adjusted value {c}_adj."""
     long = wide.unpivot([key], columns, "column", "p_value")
-    done = adjusted(long, "p_value", None, method, alpha, order=["column", key])
+    done = adjusted(long, "p_value", None, method, alpha)
     return done.groupBy(key).agg(*(F.max(F.when(F.col("column") == c, F.col("adj_p"))).alias(f"{c}_adj") for c in columns))
 
 
 def contrast_tests(rows: DataFrame, contrasts: DataFrame, more_than: int = 50) -> DataFrame:
-    """Mann-Whitney of every contrast (name, g1, g2) of group labels for every feature, for groups of more than
-    `more_than` rows: statistic, vda, medians, size of the effect relative to its spread over the contrast's features
-    (meta_rank) and its rank share. contrasts is a short table; it is joined with the counts of labels only."""
-    sizes = rows.groupBy("feature", "label").agg(F.count(F.lit(1)).alias("size"))
-    met = (
-        rows.join(sizes, ["feature", "label"])
-        .where(F.col("size") > more_than)
-        .join(F.broadcast(contrasts), (F.col("label") == F.col("g1")) | (F.col("label") == F.col("g2")))  # a few rows
-        .select("name", "feature", "value", F.when(F.col("label") == F.col("g2"), 1).otherwise(0).alias("grp"))
+    """Mann-Whitney of every contrast (name, g1, g2) of group labels for every feature, nulls left out, where both groups
+    have more than `more_than` values of it. n1, n2, u_stat and vda (of the first group), p_value, cliffs_delta (as
+    cliffs_delta_ref() has it), the medians and their difference, cles_pct, effect_size, vda_deviation, norm_diff (the
+    difference over its deviation among the contrast's features), p_fdr and sig_fdr05 within the contrast, meta_rank (the
+    mean share of the lowest ranks of the three sizes over all tests) and logp_score (-log10 of p_fdr, 10 at most).
+    contrasts is a short table."""
+    known = rows.where(F.col("value").isNotNull()).select("feature", "label", F.col("value").cast("double").alias("value"))
+    met = known.join(contrasts, (F.col("label") == F.col("g1")) | (F.col("label") == F.col("g2"))).select(
+        "name", "feature", "value", F.when(F.col("label") == F.col("g1"), 1).otherwise(0).alias("grp")
     )
     by = ["name", "feature"]
-    both = mann_whitney(met, by).where((F.col("n1") > 0) & (F.col("n2") > 0))
-    tests = both.join(group_medians(met, by, "value", "grp", "median_1", "median_2"), by)
-    spread = F.coalesce(F.stddev_samp("abs_vda").over(Window.partitionBy("name")), F.lit(1.0))
-    return tests.withColumn("meta_rank", F.try_divide(F.col("abs_vda"), spread)).withColumn(
-        "rank_share", share_rank("abs_vda", ["name"])
+    u = mann_whitney(met, by, drop_constant=False, ties=True).where((F.col("n1") > more_than) & (F.col("n2") > more_than))
+    tests = with_p(u).join(group_medians(met, by, "value", "grp", "median_g2", "median_g1"), by)
+    n1, n2 = F.col("n2").cast("double"), F.col("n1").cast("double")  # group 1 of the test is the first of the contrast
+    rank_sum = F.col("statistic") + n1 * (n1 + 1) / 2
+    away = F.col("median_g1") - F.col("median_g2")
+    tests = tests.select(
+        *by, F.col("n2").alias("n1"), F.col("n1").alias("n2"), F.col("statistic").alias("u_stat"), "z", "p_value", "vda",
+        ((2 * rank_sum / (n1 * (n1 + n2)) - 1) * F.signum(away)).alias("cliffs_delta"), "median_g1", "median_g2",
+        away.alias("median_diff"),
+    )
+    tests = written(adjusted(tests, by=["name"]).withColumnRenamed("adj_p", "p_fdr").drop("significant"), "contrast-tests")
+    spread = tests.groupBy("name").agg(
+        F.coalesce(F.stddev_samp("median_diff"), F.lit(1.0)).alias("sd"), F.count(F.lit(1)).alias("tests")
+    )
+    size = F.abs("median_diff")
+    norm = F.when(F.col("sd") > 0, size / F.col("sd")).when(size > 0, F.lit(float("inf")))
+    sized = tests.join(spread, "name").select(
+        *tests.columns,
+        (F.col("vda") * 100).alias("cles_pct"),
+        F.abs(F.coalesce("cliffs_delta", F.lit(0.0))).alias("effect_size"),
+        F.abs(F.col("vda") - 0.5).alias("vda_deviation"),
+        norm.alias("norm_diff"),
+        F.when(F.col("tests") > 1, F.col("p_fdr") <= 0.05).otherwise(F.col("p_fdr") < 0.05).alias("sig_fdr05"),
+        (-F.log10(F.greatest("p_fdr", F.lit(1e-10)))).alias("logp_score"),
     )
+    sizes = sized.unpivot(by, ["effect_size", "vda_deviation", "norm_diff"], "size", "v").where(F.col("v").isNotNull())
+    ranks = ranked(sizes, ["size"], "v", "share", share=True, lowest=True)
+    return sized.join(ranks.groupBy(*by).agg(F.avg("share").alias("meta_rank")), by)
 
 
 def anova_f(rows: DataFrame, by: list[str], value: str = "value", group: str = "grp") -> DataFrame:
@@ -231,6 +283,14 @@ def anova_f(rows: DataFrame, by: list[str], value: str = "value", group: str = "
     )
 
 
+def f_tests(rows: DataFrame, by: list[str], value: str = "value", group: str = "grp", method: str = "fdr_bh", alpha: float = 0.05) -> DataFrame:
+    """anova_f() of values with nulls as 0, with p_value, p_fdr over all features and significant_fdr (p_fdr < alpha)."""
+    filled = rows.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
+    tests = anova_f(filled, by, value, group)
+    tests = tests.withColumn("p_value", f_tail(F.col("f"), F.col("df1"), F.col("df2")))
+    return adjusted(tests, method=method, alpha=alpha).withColumnsRenamed({"adj_p": "p_fdr", "significant": "significant_fdr"})
+
+
 def levene(rows: DataFrame, by: list[str], value: str = "value", group: str = "grp") -> DataFrame:
     """Levene's test about medians: the analysis of variance of distances from the group's median."""
     medians = quantiles(rows, [*by, group], value, {"__median": 0.5})
@@ -296,7 +356,7 @@ def pairwise_results(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The combined run over two groups (grp 0 and 1): Mann-Whitney of each number, chi-square of each flag, one family of
     adjusted p-values over both, and the percentage of each flag by group."""
-    u = with_normal_p(mann_whitney(numbers, ["feature"]))
+    u = with_p(mann_whitney(numbers, ["feature"], ties=True))
     c = with_chi_p(chi_square(contingency(flags, ["feature"]), ["feature"]))
     both = jointly_adjusted({"mannwhitney": u.select("feature", "p_value"), "chi2": c.select("feature", "p_value")}, method=method, alpha=alpha)
     of = lambda t, name: t.join(both.where(F.col("family") == name).select("feature", "adj_p", "significant"), "feature")
@@ -329,21 +389,38 @@ def frequency_by_group(rows: DataFrame, by: list[str], value: str = "value", gro
     return rows.groupBy(*by, group).agg((F.avg(F.col(value).cast("double")) * 100).alias("percent"))
 
 
-def element_statistics(rows: DataFrame, by: list[str], value: str = "value", group: str = "grp") -> DataFrame:
-    """A row per feature: mean, sd and percentage above 0 of either group, U and VDA of the values, and chi-square with
-    0.5 in every cell, odds ratio and phi of having any."""
-    has = rows.withColumn(value, (F.coalesce(F.col(value), F.lit(0)) > 0).cast("int"))
+def element_statistics(rows: DataFrame, by: list[str], value: str = "value", group: str = "grp", coverage: str | None = None) -> DataFrame:
+    """A row per feature, nulls left out: mean, sd and percentage above 0 of either group (1: coding), U and VDA of group 1
+    with p, and chi-square (0.5 added to every cell of above 0 and 0, no correction) of having any, with odds ratio, phi over
+    the number of values, and p. coverage: a column of which mean, sd, U, VDA and p are given as well. Features of which a
+    group has no value have no tests."""
     g = lambda k, c: F.when(F.col(group) == k, c)
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    v = F.col(value).cast("double")
+
+    def moments(c: Column, name: str) -> list[Column]:
+        return [f(g(k, c)).alias(f"{n}{name}_{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+
     sums = rows.groupBy(*by).agg(
-        *(f(g(k, v)).alias(f"{n}_{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("sd", F.stddev_samp))),
+        *moments(v, ""),
         *((F.avg(g(k, (v > 0).cast("int"))) * 100).alias(f"percent_{k}") for k in (0, 1)),
+        *(F.count(g(k, v)).alias(f"n_{k}") for k in (0, 1)),
+        *((F.count_if((F.col(group) == k) & c) + 0.5).alias(f"{n}_{k}") for k in (0, 1) for n, c in (("hit", v > 0), ("none", v == 0))),
+        *(moments(F.col(coverage).cast("double"), "_coverage") if coverage else []),
     )
-    tests = mann_whitney(rows, by, value, group).select(*by, "statistic", "vda")
-    chi = chi_square(contingency(has, by, value, group), by, plus=0.5, yates=False).select(
-        *by, F.col("statistic").alias("chi2"), F.sqrt(F.col("statistic") / F.col("n")).alias("phi"), "odds_ratio"
-    )
-    return sums.join(tests, by, "left").join(chi, by, "left")
+    a, b, c, d = (F.col(x) for x in ("hit_1", "none_1", "hit_0", "none_0"))
+    cross = a * d - b * c
+    both = (F.col("n_0") > 0) & (F.col("n_1") > 0)
+    chi = cross * cross * (a + b + c + d) / ((a + b) * (c + d) * (a + c) * (b + d))
+    sums = sums.select(
+        *by, *(c for c in sums.columns if c.startswith(("mean", "sd", "percent"))), F.when(both, chi).alias("chi2"),
+        F.when(both, a * d / (b * c)).alias("odds_ratio"), F.when(both, F.sqrt(chi / (F.col("n_0") + F.col("n_1")))).alias("phi"),
+    )
+    sums = sums.withColumn("p_chi2", chi_square_tail(F.col("chi2"), F.when(F.col("chi2").isNotNull(), 1.0)))
+    for column, name in ((value, ""), (coverage, "_coverage")):
+        if column:
+            u = with_p(mann_whitney(rows, by, column, group, drop_constant=False, drop_nulls=True, ties=True)).where("n1 > 0 AND n2 > 0")
+            sums = sums.join(u.select(*by, *(F.col(c).alias(f"{c}{name}") for c in ("statistic", "vda", "p_value"))), by, "left")
+    return sums
 
 
 def odds(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions.numbers import binary_entropy
 from sedge.operators.ranks import QUARTILES, quantiles, with_quantiles
+from sedge.operators.stats import mann_whitney, with_p
 
 CLASS_LABELS = {0: "lncRNA", 1: "coding"}
 
@@ -108,9 +109,13 @@ def group_summary(groups: DataFrame, class_column: str = "coding_class") -> Data
 
 
 def class_summary(metrics: DataFrame, column: str = "H_pred", class_column: str = "coding_class") -> DataFrame:
-    """Median and quartiles by class."""
+    """Median, quartiles and their distance (iqr) by class, and U, VDA and p of class 1 against 0, nulls left out."""
     counts = metrics.groupBy(class_column).agg(F.count(column).alias("n"))
-    return with_quantiles(counts, metrics, [class_column], column, QUARTILES)
+    rows = metrics.select(F.lit("u").alias("__by"), F.col(column).alias("value"), F.col(class_column).alias("grp"))
+    u = with_p(mann_whitney(rows, ["__by"], drop_constant=False, drop_nulls=True, ties=True))
+    tests = u.select(F.lit(1).alias("__on"), F.col("statistic").alias("u_stat"), "vda", "p_value")
+    summary = with_quantiles(counts, metrics, [class_column], column, QUARTILES)
+    return summary.withColumns({"iqr": F.col("q3") - F.col("q1"), "__on": F.lit(1)}).join(tests, "__on", "left").drop("__on")  # one row
 
 
 def comparisons(groups: DataFrame, id_column: str, class_column: str = "coding_class") -> DataFrame:
@@ -133,26 +138,42 @@ def comparisons(groups: DataFrame, id_column: str, class_column: str = "coding_c
     )
 
 
-def tool_agreement(probs: DataFrame, tools: list[str]) -> DataFrame:
-    """Per row: mean, variance and standard deviation (n - 1), range, strong and moderate calls, extreme agreement (all
-    strong on one side) and disagreement (strong calls on both), majority."""
-    n = len(tools)
+def tool_agreement(
+    metrics: DataFrame, tools: list[str], low: float = 0.2, high: float = 0.8, extreme: int = 2, real: str = "coding_class",
+    carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per row of uncertainty_metrics(), with its key and carried columns: mean, variance and standard deviation (n - 1) and
+    range of the tools' probabilities, the ensemble's call, the true label, and strong calls below `low` and above `high`.
+    Extreme disagreement: at least `extreme` strong calls on either side; extreme agreement: as many on one side and
+    none on the other; majority agreement: more than half of all tools strong on one side. A null probability is no
+    strong and no moderate call; statistics are over the others."""
     total = lambda f: reduce(add, (F.when(f(F.col(t)), 1).otherwise(0) for t in tools))
-    mean = row_mean(tools)
-    squares = reduce(add, ((F.col(t) - F.col("mean_prob")) * (F.col(t) - F.col("mean_prob")) for t in tools))
-    return (
-        probs.withColumn("mean_prob", mean)
-        .withColumn("var_prob", squares / (n - 1))
-        .withColumn("std_prob", F.sqrt("var_prob"))
-        .withColumn("range_prob", F.greatest(*tools) - F.least(*tools))
-        .withColumn("n_strong_noncoding", total(lambda p: p < 0.2))
-        .withColumn("n_strong_coding", total(lambda p: p > 0.8))
-        .withColumn("n_moderate", n - F.col("n_strong_noncoding") - F.col("n_strong_coding"))
-        .withColumn("extreme_agreement", F.greatest("n_strong_noncoding", "n_strong_coding") == n)
-        .withColumn("extreme_disagreement", (F.col("n_strong_noncoding") > 0) & (F.col("n_strong_coding") > 0))
-        .withColumn("n_coding_votes", total(lambda p: p > 0.5))
-        .withColumn("majority_coding", F.col("n_coding_votes") >= n // 2 + 1)
+    known = lambda f: reduce(add, (F.coalesce(f(F.col(t)), F.lit(0.0)) for t in tools))
+    n = total(lambda p: p.isNotNull())
+    mean = F.try_divide(known(lambda p: p), n)
+    m = F.col("mean_prob")
+    coding, noncoding = F.col("n_strong_coding"), F.col("n_strong_lnc")
+    majority = len(tools) // 2 + 1
+    added = (
+        metrics.withColumn("mean_prob", mean)
+        .withColumn("variance", F.try_divide(known(lambda p: (p - m) * (p - m)), n - 1))
+        .withColumn("std", F.sqrt("variance"))
+        .withColumn("range", F.greatest(*tools) - F.least(*tools))
+        .withColumn("ensemble_prob", m)
+        .withColumn("ensemble_pred", F.coalesce((m > 0.5).cast("int"), F.lit(0)))
+        .withColumn("true_label", F.col(real))
+        .withColumn("n_strong_lnc", total(lambda p: p < low))
+        .withColumn("n_strong_coding", total(lambda p: p > high))
+        .withColumn("n_moderate", total(lambda p: (p >= low) & (p <= high)))
+        .withColumn("extreme_disagreement", (noncoding >= extreme) & (coding >= extreme))
+        .withColumn("extreme_agreement", ((noncoding >= extreme) & (coding == 0)) | ((coding >= extreme) & (noncoding == 0)))
+        .withColumn("majority_agreement", (noncoding >= majority) | (coding >= majority))
     )
+    names = [
+        "mean_prob", "variance", "std", "range", "ensemble_prob", "ensemble_pred", "true_label", "n_strong_lnc", "n_strong_coding",
+        "n_moderate", "extreme_disagreement", "extreme_agreement", "majority_agreement",
+    ]
+    return added.select(*carried, "H_pred", "H_exp", "I_bald", *names)
 
 
 def correctness_groups(probs: DataFrame, tools: list[str], real: str = "coding_class") -> DataFrame:
@@ -216,9 +237,10 @@ def calibration(rows: DataFrame, p: str, real: str, bins: int = 10, by: str = "l
         )
     elif by == "quantile":
         ends = quantiles(rows, [], p, {f"e{i}": i / bins for i in range(bins + 1)})
-        edges = ends.select(F.array(*ends.columns).alias("edges"), F.lit(1).alias("__on"))
+        # equal quantiles are one edge
+        edges = ends.select(F.array_sort(F.array_distinct(F.array(*ends.columns))).alias("edges"), F.lit(1).alias("__on"))
         place = F.size(F.filter("edges", lambda e: e < v)) - 1
-        binned = rows.withColumn("__on", F.lit(1)).join(F.broadcast(edges), "__on").select(  # one row
+        binned = rows.withColumn("__on", F.lit(1)).join(edges, "__on").select(
             v.alias("p"), F.col(real).cast("double").alias("real"), place.cast("bigint").alias("bin")
         )
     else:
@@ -230,10 +252,13 @@ def calibration(rows: DataFrame, p: str, real: str, bins: int = 10, by: str = "l
     )
 
 
-def calibration_error(calibrated: DataFrame) -> DataFrame:
+def calibration_error(calibrated: DataFrame, rows: int | Column | None = None) -> DataFrame:
+    """The expected calibration error: gaps weighed by their bins' shares of all `rows`, those in no bin included; without
+    a number of these, of the rows in bins."""
     n = F.col("n")
     gap = F.abs(F.col("accuracy") - F.col("confidence"))
-    return calibrated.agg((F.sum(n * gap) / F.sum(n)).alias("ece"))
+    whole = F.sum(n) if rows is None else F.lit(rows)
+    return calibrated.agg((F.sum(n * gap) / whole).alias("ece"))
 
 
 def bootstrap_accuracy(rows: DataFrame, bin_column: str, real: str, called: str, n_boot: int = 100, seed: int = 42) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedge.operators import releases as R
 from sedge.operators import stats as S
 from sedge.plans.uncertainty import rounded
 from sedge.plans.stats import _LONG, _long, _u
-from sedge.plans.views import CATEGORIES, TOOL_PROBS, categories, table, tool_probs
+from sedge.plans.tables import _COMPARED
+from sedge.plans.views import CATEGORIES, TOOL_PROBS, categories, release, table, tool_probs
 from sedge.sources import files as I
 from sedge.sources.scratch import scratch_path
 
@@ -176,13 +181,15 @@ def saved_groups(spark, d):
 
 
 def exported_categories(spark, d):
-    """Sequences of the categories of a comparison, written as FASTA files and read back."""
-    s = _part_fasta(spark, d)
-    compared = s.select(F.col("full_id").alias("new_full_id"), (F.col("p_partkey") % 3 == 0).alias("common"), (F.col("p_partkey") % 5 == 0).alias("added"))
+    """Sequences of the categories of a comparison of two releases, written as FASTA files and read back."""
+    compared = R.compare(release(spark, d, "old"), release(spark, d, "new"))
+    sequences = release(spark, d, "new").select(
+        F.col("new_full_id").alias("full_id"), F.translate(F.md5("clean_id"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence")
+    )
     root = scratch_path(spark, "categories")
-    I.write_categories(compared, s.select("full_id", "sequence"), root, ["common", "added"])
-    parts = [I.fasta(spark, f"{root}/{c}_transcripts.fa").withColumn("category", F.lit(c)) for c in ("common", "added")]
-    return parts[0].unionByName(parts[1])
+    I.write_categories(compared, sequences, root, R.CATEGORIES)
+    parts = [I.fasta(spark, f"{root}/{c}_transcripts.fa").withColumn("category", F.lit(c)) for c in R.CATEGORIES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def json_and_scalar(spark, d):
@@ -254,8 +261,8 @@ ORACLE_SQL = {
     "CASE WHEN p_partkey % 5 <> 0 THEN -(p_size + 0.5)::DOUBLE END AS mfe FROM part",
     "fold_artefacts": f"WITH {TOOL_PROBS} SELECT id, coding_class, 'fold' || (id % 5) AS fold FROM tool_probs WHERE id % 5 IN (1, 3)",
     "saved_groups": f"WITH {TOOL_PROBS} SELECT id, CASE WHEN p0 > 0.6 THEN CASE WHEN p1 > 0.5 THEN 'high' ELSE 'low' END END AS entropy_group FROM tool_probs",
-    "exported_categories": f"WITH {_FASTA} SELECT full_id, sequence, 'common' AS category FROM g WHERE p_partkey % 3 = 0 UNION ALL SELECT full_id, sequence, "
-    "'added' FROM g WHERE p_partkey % 5 = 0",
+    "exported_categories": f"{_COMPARED}, s AS (SELECT x.*, translate(md5(clean_id), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM x) "
+    + " UNION ALL ".join(f"SELECT new_full_id AS full_id, sequence, '{c}' AS category FROM s WHERE {c}" for c in R.CATEGORIES),
     "json_and_scalar": "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS place, n_name AS name, CAST((SELECT max(n_nationkey) FROM nation) AS "
     "BIGINT) AS threshold FROM nation",
     "pairwise_results": f"WITH {_LONG}, {_u('l')}, {CATEGORIES} SELECT feature, 'u' AS kind, round(CAST(statistic AS DOUBLE), 6) AS x, round(vda, 6) AS y FROM u "

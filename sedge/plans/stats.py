@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.functions.numbers import midrank, share_rank
+from sedge.functions.numbers import f_tail, midrank, share_rank
+from sedge.operators import information, normality
 from sedge.operators import stats as S
 from sedge.plans.uncertainty import rounded
 from sedge.plans.views import (
@@ -28,7 +29,7 @@ def mwu_lines(spark, d):
 
 
 def mwu_pvalues(spark, d):
-    return rounded(S.adjusted(S.with_normal_p(S.mann_whitney(_long(spark, d), BY)), order=BY), 9)
+    return rounded(S.adjusted(S.with_p(S.mann_whitney(_long(spark, d), BY, ties=True))), 9)
 
 
 def cliffs_delta(spark, d):
@@ -68,19 +69,48 @@ def _p_family(spark, d):
 
 def _adjusted(method):
     def run(spark, d):
-        out = S.adjusted(_p_family(spark, d), by=["family"], method=method, alpha=0.05, order=["test"])
+        out = S.adjusted(_p_family(spark, d), by=["family"], method=method, alpha=0.05)
         return rounded(out, 9)
 
     run.__name__ = {"fdr_bh": "bh_fdr", "fdr_by": "by_fdr"}.get(method, method)
     return run
 
 
-def contrast_mwu(spark, d):
+def _contrasts(spark, d):
     rows = features_long(spark, d).select(
-        "feature", "value", F.when(F.col("coding_class") == 0, F.concat(F.lit("n"), F.col("id") % 2)).otherwise(F.concat(F.lit("c"), F.col("id") % 2)).alias("label")
+        "feature",
+        F.when(F.col("id") % 11 != 0, F.col("value")).alias("value"),
+        F.when(F.col("coding_class") == 0, F.concat(F.lit("n"), F.col("id") % 2)).otherwise(F.concat(F.lit("c"), F.col("id") % 2)).alias("label"),
     )
     contrasts = spark.createDataFrame([("n", "n0", "n1"), ("c", "c0", "c1"), ("nc", "n0", "c0")], "name string, g1 string, g2 string")
-    return rounded(S.contrast_tests(rows, contrasts))
+    return S.contrast_tests(rows, contrasts)
+
+
+def contrast_mwu(spark, d):
+    return rounded(_contrasts(spark, d).drop("z", "p_value", "p_fdr", "sig_fdr05", "logp_score"))
+
+
+def contrast_pvalues(spark, d):
+    return rounded(_contrasts(spark, d).select("name", "feature", "p_value", "p_fdr", "sig_fdr05", "logp_score"), 9)
+
+
+def f_test_pvalues(spark, d):
+    return rounded(S.f_tests(_long(spark, d), BY), 9)
+
+
+def normality_tests(spark, d):
+    """Whether each feature is normal in either class, and whether its variances are equal."""
+    rows = _long(spark, d)
+    w = normality.shapiro_wilk(rows, ["feature", "grp"]).groupBy("feature").agg(
+        *(F.max(F.when(F.col("grp") == g, F.col("p_value"))).alias(f"normality_{g}_p") for g in (0, 1))
+    )
+    spread = S.levene(rows, BY).select("feature", f_tail(F.col("f"), F.col("df1"), F.col("df2")).alias("levene_p"))
+    both = (F.col("normality_0_p") > 0.05) & (F.col("normality_1_p") > 0.05)
+    return rounded(w.join(spread, "feature").withColumns({"normal_both": both, "equal_var": F.col("levene_p") > 0.05}), 9)
+
+
+def neighbour_information(spark, d):
+    return rounded(information.neighbour_information(_long(spark, d).where("feature IN ('f8', 'f9', 'f10', 'f11')"), BY))
 
 
 def anova_f(spark, d):
@@ -134,9 +164,25 @@ def cat_frequency(spark, d):
     return rounded(S.frequency_by_group(categories(spark, d), BY))
 
 
+def _elements(spark, d):
+    v = F.round(F.col("value") * 100)
+    rows = line_features(spark, d).where("feature IN ('discount', 'tax')").select(
+        "feature", "grp", F.when(v != 3, v).alias("value"), F.when(v > 0, v * v - 3 * v).alias("coverage")
+    )
+    return S.element_statistics(rows, BY, coverage="coverage")
+
+
+P_COLUMNS = ["p_value", "p_value_coverage", "p_chi2"]
+
+
 def element_statistics(spark, d):
-    rows = line_features(spark, d).where("feature IN ('discount', 'tax')").withColumn("value", F.round(F.col("value") * 100))
-    return rounded(S.element_statistics(rows, BY))
+    return rounded(_elements(spark, d).drop(*P_COLUMNS))
+
+
+def element_pvalues(spark, d):
+    """The p-values of element_statistics, corrected as one family."""
+    tests = _elements(spark, d).select("feature", *P_COLUMNS)
+    return rounded(tests.join(S.pooled_adjusted(tests, "feature", P_COLUMNS), "feature"), 9)
 
 
 METHODS = ("fdr_bh", "fdr_by", "holm", "bonferroni")
@@ -146,6 +192,7 @@ QUERIES = {
         mwu_stats, mwu_lines, mwu_pvalues, cliffs_delta, chi2_stats, chi2_pvalues, chi2_plus_half, odds_haldane,
         contingency_table, *map(_adjusted, METHODS), contrast_mwu, anova_f, levene, mutual_information, spearman_matrix,
         spearman_tools, kendall_matrix, kappa_matrix, midranks, composite_rank, cat_frequency, element_statistics,
+        element_pvalues, contrast_pvalues, f_test_pvalues, normality_tests, neighbour_information,
     )
 }
 
@@ -167,7 +214,7 @@ def _u(source: str, by: str = "feature") -> str:
 
 _U = "round(CAST(statistic AS DOUBLE), 6) AS statistic, round(z, 6) AS z, round(vda, 6) AS vda, round(abs_vda, 6) AS abs_vda"
 _CELLS = (
-    f"WITH {CATEGORIES}, c AS (SELECT feature, value, grp, count(*) AS n FROM categories GROUP BY ALL), "
+    f"WITH {CATEGORIES}, c AS (SELECT feature, coalesce(value, 0) AS value, grp, count(*) AS n FROM categories GROUP BY ALL), "
     "k AS (SELECT a.feature, a.value, b.grp, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT feature, value FROM c) a "
     "JOIN (SELECT DISTINCT feature, grp FROM c) b USING (feature) LEFT JOIN c USING (feature, value, grp))"
 )
@@ -221,9 +268,15 @@ def _anova(rows: str) -> str:
 
 _LABELLED = (
     f"WITH {FEATURES_LONG}, x AS (SELECT feature, value, CASE coding_class WHEN 0 THEN 'n' ELSE 'c' END || (id % 2) AS label FROM "
-    "features_long), c(name, g1, g2) AS (VALUES ('n', 'n0', 'n1'), ('c', 'c0', 'c1'), ('nc', 'n0', 'c0')), z AS (SELECT feature, "
-    "label FROM x GROUP BY ALL HAVING count(*) > 50), m AS (SELECT name, feature, name || feature AS nf, value, CASE WHEN "
-    "label = g2 THEN 1 ELSE 0 END AS grp FROM x JOIN z USING (feature, label) JOIN c ON label IN (g1, g2)), "
+    "features_long WHERE id % 11 <> 0), c(name, g1, g2) AS (VALUES ('n', 'n0', 'n1'), ('c', 'c0', 'c1'), ('nc', 'n0', 'c0')), m AS (SELECT "
+    "name, feature, value, label = g1 AS one, rank() OVER w + (count(*) OVER (PARTITION BY name, feature, value) - 1) / 2 AS k FROM x JOIN c "
+    "ON label IN (g1, g2) WINDOW w AS (PARTITION BY name, feature ORDER BY value)), u AS (SELECT name, feature, count(*) FILTER (one) AS n1, "
+    "count(*) FILTER (NOT one) AS n2, sum(k) FILTER (one) AS r1, quantile_cont(value, 0.5) FILTER (one) AS m1, quantile_cont(value, 0.5) FILTER "
+    "(NOT one) AS m2 FROM m GROUP BY ALL), v AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u_stat, u_stat / (n1::DOUBLE * n2) AS vda, (2 * r1 / (n1::DOUBLE * "
+    "(n1 + n2)) - 1) * sign(m1 - m2) AS delta, m1 - m2 AS md FROM u WHERE n1 > 50 AND n2 > 50), e AS (SELECT *, abs(delta) AS effect_size, "
+    "abs(vda - 0.5) AS vda_deviation, abs(md) / coalesce(stddev_samp(md) OVER (PARTITION BY name), 1) AS norm_diff FROM v), f AS (SELECT *, "
+    "(rank() OVER (ORDER BY effect_size) + rank() OVER (ORDER BY vda_deviation) + rank() OVER (ORDER BY norm_diff)) / 3 / count(*) OVER () AS "
+    "meta_rank FROM e)"
 )
 ORACLE_SQL = {
     "mwu_stats": f"WITH {_LONG}, {_u('l')} SELECT feature, n1, n2, {_U} FROM u",
@@ -241,11 +294,19 @@ ORACLE_SQL = {
     "((b + x) * (c + x)) AS DOUBLE), 6) AS odds_ratio FROM p",
     "contingency_table": f"{_CELLS} SELECT * FROM k",
     **{{"fdr_bh": "bh_fdr", "fdr_by": "by_fdr"}.get(m, m): _adjust_sql(m) for m in METHODS},
-    "contrast_mwu": f"{_LABELLED}{_u('m', 'nf')}, q AS (SELECT nf, name, feature, quantile_cont(value, 0.5) FILTER (grp = 0) AS a, "
-    "quantile_cont(value, 0.5) FILTER (grp = 1) AS b FROM m GROUP BY ALL), v AS (SELECT *, stddev_samp(abs_vda) OVER (PARTITION "
-    "BY name) AS sd, rank() OVER (PARTITION BY name ORDER BY abs_vda) + (count(*) OVER (PARTITION BY name, abs_vda) - 1) / 2 AS "
-    f"k, count(*) OVER (PARTITION BY name) AS c FROM u JOIN q USING (nf)) SELECT name, feature, n1, n2, {_U}, round(a, 6) AS "
-    "median_1, round(b, 6) AS median_2, round(abs_vda / sd, 6) AS meta_rank, round(CAST(k / c AS DOUBLE), 6) AS rank_share FROM v",
+    "contrast_mwu": f"{_LABELLED} SELECT name, feature, n1, n2, round(CAST(u_stat AS DOUBLE), 6) AS u_stat, round(vda, 6) AS vda, round(CAST(delta AS "
+    "DOUBLE), 6) AS cliffs_delta, round(m1, 6) AS median_g1, round(m2, 6) AS median_g2, round(md, 6) AS median_diff, round(vda * 100, 6) AS "
+    "cles_pct, round(CAST(effect_size AS DOUBLE), 6) AS effect_size, round(vda_deviation, 6) AS vda_deviation, round(norm_diff, 6) AS norm_diff, "
+    "round(CAST(meta_rank AS DOUBLE), 6) AS meta_rank FROM f",
+    "neighbour_information": f"WITH {_LONG}, x AS (SELECT id, feature, grp, value, count(*) OVER (PARTITION BY feature, grp) AS size, count(*) OVER "
+    "(PARTITION BY feature) AS n FROM l WHERE feature IN ('f8', 'f9', 'f10', 'f11')), d AS (SELECT a.feature, a.id, a.value, a.size, a.n, abs(a.value "
+    "- b.value) AS d, row_number() OVER (PARTITION BY a.feature, a.id ORDER BY abs(a.value - b.value)) AS i FROM x a JOIN x b ON a.feature = "
+    "b.feature AND a.grp = b.grp AND a.id <> b.id), r AS (SELECT feature, id, value, size, n, d * (1 - 1e-9) AS r, least(3, size - 1) AS k FROM d "
+    "WHERE i = least(3, size - 1)), m AS (SELECT r.feature, r.id, any_value(r.size) AS size, any_value(r.n) AS n, any_value(k) AS k, count(*) AS m "
+    "FROM r JOIN x ON x.feature = r.feature AND abs(x.value - r.value) <= r.r GROUP BY r.feature, r.id), p AS (SELECT x, "
+    "coalesce(sum(1::DOUBLE / x) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi FROM range(1, (SELECT max(n) + 2 FROM x)) t(x)) "
+    "SELECT feature, round(greatest(0, max(pn.psi) + avg(pk.psi - ps.psi - pm.psi)), 6) AS mi FROM m JOIN p pn ON pn.x = n JOIN p pk ON pk.x = k JOIN p ps "
+    "ON ps.x = size JOIN p pm ON pm.x = m.m GROUP BY feature",
     "anova_f": "WITH e AS (SELECT label AS grp, "
     + ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS f{j}" for j in range(8, 24))
     + f" FROM embeddings), x AS (UNPIVOT e ON {', '.join(f'f{j}' for j in range(8, 24))} INTO NAME feature VALUE value), {_anova('x')}",
@@ -281,14 +342,27 @@ ORACLE_SQL = {
     "composite_rank FROM c",
     "cat_frequency": f"WITH {CATEGORIES} SELECT feature, grp, round(avg(CAST(value AS DOUBLE)) * 100, 6) AS percent FROM categories "
     "GROUP BY ALL",
-    "element_statistics": f"WITH {LINE_FEATURES}, l AS (SELECT feature, grp, round(value * 100) AS value FROM line_features WHERE "
-    f"feature IN ('discount', 'tax')), {_u('l')}, a AS (SELECT feature, avg(value) FILTER (grp = 0) AS mean_0, stddev_samp(value) "
-    "FILTER (grp = 0) AS sd_0, avg(value) FILTER (grp = 1) AS mean_1, stddev_samp(value) FILTER (grp = 1) AS sd_1, "
-    "count(*) FILTER (grp = 0 AND value <= 0) + 0.5::DOUBLE AS o1, count(*) FILTER (grp = 1 AND value <= 0) + 0.5::DOUBLE AS o2, "
-    "count(*) FILTER (grp = 0 AND value > 0) + 0.5::DOUBLE AS o3, count(*) FILTER (grp = 1 AND value > 0) + 0.5::DOUBLE AS o4 FROM l "
-    "GROUP BY ALL), b AS (SELECT *, o1 + o2 + o3 + o4 AS t, (o1 * o4 - o2 * o3) ** 2 * (o1 + o2 + o3 + o4) / ((o1 + o2) * (o3 + o4) "
-    "* (o1 + o3) * (o2 + o4)) AS chi FROM a) SELECT feature, round(mean_0, 6) AS mean_0, round(sd_0, 6) AS sd_0, round(mean_1, 6) "
-    "AS mean_1, round(sd_1, 6) AS sd_1, round((o3 - 0.5) * 100 / (o1 + o3 - 1), 6) AS percent_0, round((o4 - 0.5) * 100 / (o2 + o4 - "
-    "1), 6) AS percent_1, round(CAST(statistic AS DOUBLE), 6) AS statistic, round(vda, 6) AS vda, round(chi, 6) AS chi2, "
-    "round(sqrt(chi / t), 6) AS phi, round(o1 * o4 / (o2 * o3), 6) AS odds_ratio FROM b JOIN u USING (feature)",
+    "element_statistics": f"WITH {LINE_FEATURES}, e AS (SELECT feature, grp, CASE WHEN round(value * 100) <> 3 THEN round(value * 100) END AS value, "
+    "CASE WHEN round(value * 100) > 0 THEN round(value * 100) ** 2 - 3 * round(value * 100) END AS coverage FROM line_features WHERE feature IN "
+    "('discount', 'tax')), "
+    + ", ".join(
+        f"{n} AS (SELECT feature, count(*) FILTER (grp = 1) AS n1, sum(k) FILTER (grp = 1) - n1 * (n1 + 1) / 2 AS u, u / (n1::DOUBLE * count(*) FILTER (grp "
+        f"= 0)) AS vda FROM (SELECT feature, grp, rank() OVER (PARTITION BY feature ORDER BY {c}) + (count(*) OVER (PARTITION BY feature, {c}) - 1) / 2 "
+        f"AS k FROM e WHERE {c} IS NOT NULL) GROUP BY feature)"
+        for n, c in (("uv", "value"), ("uc", "coverage"))
+    )
+    + ", s AS (SELECT feature, "
+    + ", ".join(
+        f"avg({c}) FILTER (grp = {g}) AS mean{n}_{g}, stddev_samp({c}) FILTER (grp = {g}) AS sd{n}_{g}"
+        for n, c in (("", "value"), ("_coverage", "coverage"))
+        for g in (0, 1)
+    )
+    + ", count(value) AS n, count(*) FILTER (grp = 1 AND value > 0) + 0.5::DOUBLE AS a, count(*) FILTER (grp = 1 AND value = 0) + 0.5::DOUBLE AS b, "
+    "count(*) FILTER (grp = 0 AND value > 0) + 0.5::DOUBLE AS c, count(*) FILTER (grp = 0 AND value = 0) + 0.5::DOUBLE AS d, 100 * avg(CAST(value > 0 AS "
+    "INT)) FILTER (grp = 0) AS percent_0, 100 * avg(CAST(value > 0 AS INT)) FILTER (grp = 1) AS percent_1, (a * d - b * c) ** 2 * (a + b + c + d) / "
+    "((a + b) * (c + d) * (a + c) * (b + d)) AS chi FROM e GROUP BY feature) SELECT feature, "
+    + ", ".join(f"round({x}{n}_{g}, 6) AS {x}{n}_{g}" for n in ("", "_coverage") for g in (0, 1) for x in ("mean", "sd"))
+    + ", round(percent_0, 6) AS percent_0, round(percent_1, 6) AS percent_1, round(chi, 6) AS chi2, round(a * d / (b * c), 6) AS odds_ratio, "
+    "round(sqrt(chi / n), 6) AS phi, round(CAST(uv.u AS DOUBLE), 6) AS statistic, round(uv.vda, 6) AS vda, round(CAST(uc.u AS DOUBLE), 6) AS "
+    "statistic_coverage, round(uc.vda, 6) AS vda_coverage FROM s JOIN uv USING (feature) JOIN uc USING (feature)",
 }

@@ -294,18 +294,17 @@ _EVENT_TEXT = (
     "CAST(text || '-06-15' AS DATE) END AS date FROM e)"
 )
 _COMPARED = (
-    f"WITH {RELEASES}, j AS (SELECT *, old_full_id IS NOT NULL AS o, new_full_id IS NOT NULL AS n, coalesce(old_class, '') AS oc, "
-    "coalesce(new_class, '') AS nc FROM old_release FULL JOIN new_release USING (clean_id)), k AS (SELECT *, o AND n AS co, "
-    "oc IN ('pc', 'lncRNA') AS ho, nc IN ('pc', 'lncRNA') AS hn FROM j), x AS (SELECT clean_id, old_full_id, old_id_version, "
-    "old_biotype, old_class, new_full_id, new_id_version, new_biotype, new_class, co AS is_common, NOT o AND n AS added, o AND NOT "
-    "n AS removed, co AND old_id_version IS DISTINCT FROM new_id_version AS version_changed, co AND old_biotype IS DISTINCT FROM "
-    "new_biotype AS biotype_changed, co AND ho AND hn AS both_have_class, co AND ho AND hn AND oc = nc AS same_class, co AND ho "
-    "AND hn AND oc <> nc AS class_changed, co AND NOT ho AND hn AS class_added, co AND ho AND NOT hn AS class_removed, co AND NOT "
-    "ho AND NOT hn AS never_classified, co AND oc = 'pc' AND nc = 'pc' AS category_common_pc, co AND oc = 'lncRNA' AND nc = "
-    "'lncRNA' AS category_common_lnc, ((NOT o AND n) OR (co AND NOT ho)) AND nc = 'pc' AS category_new_pc, ((NOT o AND n) OR (co "
-    "AND NOT ho)) AND nc = 'lncRNA' AS category_new_lnc, NOT o AND n AND nc = 'pc' AS added_pc, NOT o AND n AND nc = 'lncRNA' AS "
-    "added_lnc, o AND NOT n AND oc = 'pc' AS removed_pc, o AND NOT n AND oc = 'lncRNA' AS removed_lnc, co AND oc = 'pc' AND nc = "
-    "'lncRNA' AS pc_to_lnc, co AND oc = 'lncRNA' AND nc = 'pc' AS lnc_to_pc FROM k)"
+    f"WITH {RELEASES}, j AS (SELECT *, old_full_id IS NOT NULL AND new_full_id IS NOT NULL AS co, old_full_id IS NULL AS ad, new_full_id "
+    "IS NULL AS re, coalesce(old_class, 'NA') AS oc, coalesce(new_class, 'NA') AS nc FROM old_release FULL JOIN new_release USING "
+    "(clean_id)), x AS (SELECT clean_id, old_full_id, old_id_version, old_biotype, old_class, new_full_id, new_id_version, new_biotype, "
+    "new_class, co AS is_common, ad AS transcript_added, re AS transcript_removed, old_id_version IS DISTINCT FROM new_id_version AS "
+    "version_changed, old_biotype IS DISTINCT FROM new_biotype AS biotype_changed, co AND oc <> 'NA' AND nc <> 'NA' AS both_have_class, "
+    "both_have_class AND oc = nc AS same_class, both_have_class AND oc <> nc AS class_changed, co AND oc = 'NA' AND nc <> 'NA' AS "
+    "class_added, co AND oc <> 'NA' AND nc = 'NA' AS class_removed, co AND same_class AS common_same_class, co AND class_changed AS "
+    "common_class_change, common_class_change AND oc = 'pc' AND nc = 'lncRNA' AS \"pc_to_lncRNA\", common_class_change AND oc = 'lncRNA' "
+    "AND nc = 'pc' AS \"lncRNA_to_pc\", ad AND nc <> 'NA' AS added_with_class, added_with_class AND nc = 'pc' AS added_pc, "
+    "added_with_class AND nc = 'lncRNA' AS \"added_lncRNA\", re AND oc <> 'NA' AS removed_with_class, removed_with_class AND oc = 'pc' AS "
+    "removed_pc, removed_with_class AND oc = 'lncRNA' AS \"removed_lncRNA\", NOT re AND nc = 'NA' AS no_class FROM j)"
 )
 _CODE = "CASE WHEN {0}_class = 'pc' THEN 0 WHEN {0}_class = 'lncRNA' THEN 1 WHEN {0}_full_id IS NOT NULL THEN 2 ELSE 3 END"
 _FLOW = f"{_COMPARED}, fl AS (SELECT {_CODE.format('old')} AS source, {_CODE.format('new')} AS target, count(*) AS n FROM x GROUP BY ALL)"
@@ -367,7 +366,7 @@ ORACLE_SQL = {
     "release_flow_totals": f"{_FLOW} SELECT 'old' AS side, source AS class, CAST(sum(n) AS BIGINT) AS n FROM fl GROUP BY source UNION "
     "ALL SELECT 'new', target, CAST(sum(n) AS BIGINT) FROM fl GROUP BY target",
     "release_categories": f"{_COMPARED} "
-    + " UNION ALL ".join(f"SELECT clean_id, '{c}' AS category FROM x WHERE category_{c}" for c in ("common_pc", "common_lnc", "new_pc", "new_lnc")),
+    + " UNION ALL ".join(f"SELECT clean_id, '{c}' AS category FROM x WHERE {c}" for c in R.CATEGORIES),
     "cv_scores_binary": f"{_LONG} SELECT fold, tool, {', '.join(f'round({m}, 6) AS {m}' for m in C.MEASURES)} FROM b",
     "cv_scores_macro": f"{_LONG} SELECT fold, tool, round(accuracy, 6) AS accuracy, round((r1 + r0) / 2, 6) AS balanced_accuracy, "
     "round((p1 + p0) / 2, 6) AS precision, round((r1 + r0) / 2, 6) AS recall, round((f1 + f0) / 2, 6) AS f1 FROM q",

@@ -71,7 +71,7 @@ def entropy_group_summary(spark, d):
 
 
 def class_summary(spark, d):
-    return rounded(U.class_summary(_metrics(spark, d)))
+    return rounded(U.class_summary(_metrics(spark, d)).drop("p_value"))
 
 
 def group_comparisons(spark, d):
@@ -80,7 +80,9 @@ def group_comparisons(spark, d):
 
 
 def tool_agreement(spark, d):
-    return rounded(U.tool_agreement(tool_probs(spark, d), TOOLS).drop(*TOOLS, "coding_class"))
+    """Of probabilities of which some are missing."""
+    gaps = {t: F.when(F.pmod(F.col("id"), F.lit(7 + j)) != 0, F.col(t)) for j, t in enumerate(TOOLS)}
+    return rounded(U.tool_agreement(_metrics(spark, d).withColumns(gaps), TOOLS, carried=("id",)))
 
 
 def correctness_groups(spark, d):
@@ -103,7 +105,7 @@ def calibration_quantile(spark, d):
 
 def calibration_error(spark, d):
     rows = tool_probs(spark, d).withColumn("m", U.row_mean(TOOLS))
-    return rounded(U.calibration_error(U.calibration(rows, "m", "coding_class")))
+    return rounded(U.calibration_error(U.calibration(rows, "m", "coding_class", by="quantile"), rows.count()))
 
 
 def bootstrap_accuracy(spark, d):
@@ -171,6 +173,11 @@ _LINEAR = (
     f"WITH {TOOL_PROBS}, b AS (SELECT m, coding_class, CAST(least(ceil(m * 10) - 1, 9) AS BIGINT) AS bin "
     f"FROM (SELECT *, {MEAN} AS m FROM tool_probs))"
 )
+_QUANTILE = (
+    f"WITH {TOOL_PROBS}, r AS (SELECT *, {MEAN} AS m FROM tool_probs), q AS (SELECT list_distinct(quantile_cont(m, ["
+    + ", ".join(str(i / 10) for i in range(11))
+    + "])) AS q FROM r), b AS (SELECT m, coding_class, CAST(len(list_filter(q, lambda x: x < m)) - 1 AS BIGINT) AS bin FROM r, q)"
+)
 _ROC = (
     f"WITH {TOOL_PROBS}, l AS (UNPIVOT tool_probs ON {', '.join(TOOLS)} INTO NAME tool VALUE p), s AS (SELECT tool, p, "
     "count(*) FILTER (coding_class = 1) AS a, count(*) FILTER (coding_class = 0) AS b FROM l GROUP BY tool, p), "
@@ -207,21 +214,27 @@ ORACLE_SQL = {
     "WHEN H_pred < lo THEN 'low' ELSE 'other' END AS entropy_group FROM u, t",
     "entropy_group_summary": f"WITH {_groups_sql(False)} SELECT coding_class, entropy_group, count(*) AS n, "
     "round(avg(H_pred), 6) AS mean_H_pred, round(avg(I_bald), 6) AS mean_I_bald FROM g GROUP BY ALL",
-    "class_summary": f"WITH {METRICS_SQL} SELECT coding_class, count(H_pred) AS n, round(quantile_cont(H_pred, 0.5), 6) AS "
-    "median, round(quantile_cont(H_pred, 0.25), 6) AS q1, round(quantile_cont(H_pred, 0.75), 6) AS q3 FROM u GROUP BY ALL",
+    "class_summary": f"WITH {METRICS_SQL}, r AS (SELECT coding_class AS k, rank() OVER (ORDER BY H_pred) + (count(*) OVER (PARTITION BY H_pred) "
+    "- 1) / 2 AS r FROM u), w AS (SELECT sum(r) FILTER (k = 1) - count(*) FILTER (k = 1) * (count(*) FILTER (k = 1) + 1) / 2 AS x, "
+    "count(*) FILTER (k = 1)::DOUBLE * count(*) FILTER (k = 0) AS nn FROM r), q AS (SELECT coding_class, count(H_pred) AS n, "
+    "quantile_cont(H_pred, 0.5) AS median, quantile_cont(H_pred, 0.25) AS q1, quantile_cont(H_pred, 0.75) AS q3 FROM u GROUP BY ALL) SELECT "
+    "coding_class, n, round(median, 6) AS median, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, "
+    "round(CAST(x AS DOUBLE), 6) AS u_stat, round(x / nn, 6) AS vda FROM q, w",
     "group_comparisons": f"WITH {_groups_sql(True)}, x AS (SELECT id, coding_class AS k, entropy_group[1:3] = 'low' AS low "
     "FROM g WHERE entropy_group <> 'middle'), "
     "y AS (SELECT 'low_vs_high' AS comparison, CASE WHEN low THEN 1 ELSE 2 END AS side, id FROM x UNION ALL "
     "SELECT CASE k WHEN 1 THEN 'low_vs_high_coding' ELSE 'low_vs_high_lncRNA' END, CASE WHEN low THEN 1 ELSE 2 END, id FROM x "
     "UNION ALL SELECT CASE WHEN low THEN 'coding_vs_lncRNA_low' ELSE 'coding_vs_lncRNA_high' END, CASE k WHEN 1 THEN 1 ELSE "
     "2 END, id FROM x) SELECT * FROM y",
-    "tool_agreement": f"WITH {TOOL_PROBS}, m AS (SELECT *, {MEAN} AS mean_prob, {_COUNT('{} < 0.2')} AS a, "
-    f"{_COUNT('{} > 0.8')} AS b, {_COUNT('{} > 0.5')} AS v FROM tool_probs), s AS (SELECT *, ("
-    + " + ".join(f"({t} - mean_prob) ** 2" for t in TOOLS)
-    + f") / 7 AS var_prob FROM m) SELECT id, round(mean_prob, 6) AS mean_prob, round(var_prob, 6) AS var_prob, "
-    f"round(sqrt(var_prob), 6) AS std_prob, round(greatest({', '.join(TOOLS)}) - least({', '.join(TOOLS)}), 6) AS range_prob, "
-    "a AS n_strong_noncoding, b AS n_strong_coding, 8 - a - b AS n_moderate, greatest(a, b) = 8 AS extreme_agreement, "
-    "a > 0 AND b > 0 AS extreme_disagreement, v AS n_coding_votes, v >= 5 AS majority_coding FROM s",
+    "tool_agreement": f"WITH {METRICS_SQL}, g AS (SELECT id, coding_class, H_pred, H_exp, I_bald, "
+    + ", ".join(f"CASE WHEN id % {7 + j} <> 0 THEN {t} END AS {t}" for j, t in enumerate(TOOLS))
+    + f" FROM u), l AS (SELECT id, x FROM (SELECT id, unnest([{', '.join(TOOLS)}]) AS x FROM g) WHERE x IS NOT NULL), s AS (SELECT id, avg(x) "
+    "AS mean_prob, var_samp(x) AS variance, max(x) - min(x) AS range, count(*) FILTER (x < 0.2) AS a, count(*) FILTER (x > 0.8) AS b, "
+    "count(*) FILTER (x >= 0.2 AND x <= 0.8) AS m FROM l GROUP BY id) SELECT id, round(H_pred, 6) AS H_pred, round(H_exp, 6) AS H_exp, "
+    "round(I_bald, 6) AS I_bald, round(mean_prob, 6) AS mean_prob, round(variance, 6) AS variance, round(sqrt(variance), 6) AS std, "
+    "round(range, 6) AS range, round(mean_prob, 6) AS ensemble_prob, CASE WHEN mean_prob > 0.5 THEN 1 ELSE 0 END AS ensemble_pred, "
+    "coding_class AS true_label, a AS n_strong_lnc, b AS n_strong_coding, m AS n_moderate, a >= 2 AND b >= 2 AS extreme_disagreement, "
+    "(a >= 2 AND b = 0) OR (b >= 2 AND a = 0) AS extreme_agreement, a >= 5 OR b >= 5 AS majority_agreement FROM g JOIN s USING (id)",
     "correctness_groups": f"WITH {TOOL_PROBS} SELECT id, round({MEAN}, 6) AS mean_prob, CASE WHEN ({MEAN} > 0.5) = "
     "(coding_class = 1) THEN 'correct' ELSE 'incorrect' END AS correctness FROM tool_probs",
     "accuracy_vs_threshold": f"WITH {METRICS_SQL}, edges AS ("
@@ -237,12 +250,9 @@ ORACLE_SQL = {
     "SELECT step, entropy_group, n, round(ok / n, 6) AS accuracy, "
     "round(CASE WHEN se IS NULL THEN sp WHEN sp IS NULL THEN se ELSE (se + sp) / 2 END, 6) AS balanced_accuracy FROM n",
     "calibration_linear": f"{_LINEAR} {_CALIB}",
-    "calibration_quantile": f"WITH {TOOL_PROBS}, r AS (SELECT *, {MEAN} AS m FROM tool_probs), q AS (SELECT quantile_cont(m, ["
-    + ", ".join(str(i / 10) for i in range(11))
-    + "]) AS q FROM r), b AS (SELECT m, coding_class, CAST(len(list_filter(q, lambda x: x < m)) - 1 AS BIGINT) AS bin FROM r, q) "
-    + _CALIB,
-    "calibration_error": f"{_LINEAR}, c AS (SELECT count(*) AS n, avg(m) AS p, avg(CAST(coding_class AS DOUBLE)) AS a FROM b "
-    "WHERE bin >= 0 GROUP BY bin) SELECT round(sum(n * abs(a - p)) / sum(n), 6) AS ece FROM c",
+    "calibration_quantile": f"{_QUANTILE} {_CALIB}",
+    "calibration_error": f"{_QUANTILE}, c AS (SELECT count(*) AS n, avg(m) AS p, avg(CAST(coding_class AS DOUBLE)) AS a FROM b "
+    "WHERE bin >= 0 GROUP BY bin) SELECT round(sum(n * abs(a - p)) / (SELECT count(*) FROM b), 6) AS ece FROM c",
     "roc_auc": f"{_ROC}, x AS (SELECT tool, np, nn, (fp - coalesce(lag(fp) OVER w, 0)) * (tp + coalesce(lag(tp) OVER w, 0)) "
     "/ 2 AS area FROM c WINDOW w AS (PARTITION BY tool ORDER BY p DESC)) SELECT tool, round(CAST(sum(area) / max(np) / "
     "max(nn) AS DOUBLE), 6) AS auc FROM x GROUP BY tool",

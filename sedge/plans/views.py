@@ -91,14 +91,14 @@ LINE_FEATURES = (
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yes-or-no features of the same two groups, long: grp, feature, value (0/1)."""
+    """Yes-or-no features of the same two groups, long: grp, feature, value (0/1, null in some of odd_line)."""
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
     flags = {
         "bulk": F.col("l_quantity") > 25,
         "cheap": F.col("l_extendedprice") < 20000,
         "discounted": F.col("l_discount") > 0.05,
         "taxed": F.col("l_tax") > 0.04,
-        "odd_line": F.col("l_linenumber") % 2 == 1,
+        "odd_line": F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") % 2 == 1),
     }
     return lines.select(
         (F.col("l_returnflag") == "R").cast("int").alias("grp"), *(c.cast("int").alias(n) for n, c in flags.items())
@@ -108,9 +108,9 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATEGORIES = (
     "flags AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS grp, CAST(l_quantity > 25 AS INT) AS bulk, "
     "CAST(l_extendedprice < 20000 AS INT) AS cheap, CAST(l_discount > 0.05 AS INT) AS discounted, "
-    "CAST(l_tax > 0.04 AS INT) AS taxed, CAST(l_linenumber % 2 = 1 AS INT) AS odd_line "
+    "CAST(l_tax > 0.04 AS INT) AS taxed, CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber % 2 = 1 AS INT) END AS odd_line "
     "FROM lineitem WHERE l_returnflag IN ('A', 'R')), "
-    "categories AS (UNPIVOT flags ON bulk, cheap, discounted, taxed, odd_line INTO NAME feature VALUE value)"
+    "categories AS (FROM flags UNPIVOT INCLUDE NULLS (value FOR feature IN (bulk, cheap, discounted, taxed, odd_line)))"
 )
 
 
