@@ -3,11 +3,11 @@
 run() takes the documents of a folder through all of them: documents that fail a quality rule go, of equal ones one
 stays, of near duplicates (a similarity of 0.8 or more of their five-word shingles) one stays, words of passages that a
 smaller document has go, and what is left is packed into training sequences. Every stage is written to the shared
-folder and read again, so a lost executor never costs more than the stage at hand.
+folder and read again, so a lost executor never costs more than the stage at hand, and what went before it is deleted.
 
 Defined results: all columns of the input come through the first four stages as they were, but for text and n_chars,
-which the fourth sets anew where it took words out; clashing names cannot arise, as the operators' own columns start
-with two underscores and never leave them. Nulls, ties, repeated rows and empty tables: see the operators.
+which the fourth sets anew where it took words out; names cannot clash, as the operators choose names for their own
+columns that the input has not. Nulls, ties, repeated rows and empty tables: see the operators.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sedge.llm import exact_dedup, packing, quality, simhash, substring
 from sedge.llm.common import documents, tokenizer_file, written
+from sedge.sources.scratch import clear_since, scratch_mark
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), scratch_mark(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        clear_since(spark, before)  # what the stage wrote on its way, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -93,3 +93,22 @@ def test_pipeline(spark, tmp_path):
 
 def test_no_sql_without_a_query():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and corpus_pipeline.ORACLE_SQL is None
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, __id string, __own int, __h int, __n int, __root int, __digest string, __repeats int, __c0 int, __text string, row_number int, fp int"
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, and names that the operators might use."""
+    text = " ".join(f"word{i % 97}x{i} runs" for i in range(60))
+    more = (None, "x", 1, 2, 3, 4, "d", 5, 6, "t", 7, 8)
+    rows = [(i, t, "en", None, 3, *more[1:]) for i, t in ((1, text), (1, text), (None, text.replace("word", "other")), (2, None), (3, ""))]
+    rows += [(4, " ".join(f"long{i} tale" for i in range(40_000)), None, "s", None, *more[1:])]
+    spark.createDataFrame(rows, ODD).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in got} == {1, None, 4}
+    docs = documents(spark, str(tmp_path / "odd"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path / "odd")).columns == docs.columns, name
+    spark.createDataFrame([], ODD).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
