@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StructType
 
+from sedge.operators.scores import constant_columns
+from sedge.sources.scratch import written
+
 #: What marks a categorical column, such columns by name, and names that are none all the same.
 CATEGORICAL_PARTS = ("_has_", "_present")
 CATEGORICAL_NAMES = ("ORF_frame_l_cpat",)
@@ -120,25 +123,72 @@ def top_variance(rows: DataFrame, n: int = 6) -> DataFrame:
     return v.orderBy(F.round("variance", 12).desc(), "feature").limit(n)
 
 
-def yeo_johnson(rows: DataFrame, grid: int = 41) -> DataFrame:
-    """Adds the Yeo-Johnson transform of each feature's values, with the lambda of the grid over [-2, 2] whose
-    log-likelihood is the largest: all lambdas are tried in one pass, an aggregate for each."""
-    x = F.col("value")
+def _yeo_johnson(x: Column, l: Column) -> Column:
+    positive = F.when(F.abs(l) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, l) - 1) / l)
+    negative = F.when(F.abs(l - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - l) - 1) / (2 - l))
+    return F.when(x >= 0, positive).otherwise(negative)
 
-    def made(l: Column) -> Column:
-        positive = F.when(F.abs(l) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, l) - 1) / l)
-        negative = F.when(F.abs(l - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - l) - 1) / (2 - l))
-        return F.when(x >= 0, positive).otherwise(negative)
 
-    lambdas = [-2 + 4 * i / (grid - 1) for i in range(grid)]
-    sums = rows.groupBy("feature").agg(
-        F.count("value").cast("double").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("logs"),
-        *(F.var_pop(made(F.lit(l))).alias(f"v{i}") for i, l in enumerate(lambdas)),
-    )
-    fit = lambda i, l: -F.col("n") / 2 * F.ln(F.col(f"v{i}")) + (l - 1) * F.col("logs")
-    fits = F.array(*(F.struct(F.round(fit(i, l), 6).alias("fit"), F.lit(-l).alias("less"), F.lit(l).alias("lambda")) for i, l in enumerate(lambdas)))
-    best = sums.select("feature", F.array_max(fits)["lambda"].alias("lambda"))
-    return rows.join(best, "feature").withColumn("transformed", made(F.col("lambda")))
+def yeo_johnson_lambdas(rows: DataFrame, points: int = 16, close: float = 1e-6, widest: float = 64.0) -> DataFrame:
+    """feature and lambda, by maximum likelihood, of all features at once: each round sets a row of lambdas against each
+    other in one aggregation, and goes on between the neighbours of the best, or further out if that is the first or the
+    last. A round narrows the interval `points` / 2 times; it ends when all are narrower than `close`, and gives features
+    without a spread 1. Only the intervals, a row for each feature, come to the driver."""
+    spark = rows.sparkSession
+    known = written(rows.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value")), "yj-values")
+    logs = known.groupBy("feature").agg(F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("logs"), F.stddev_pop("value").alias("sd"))
+    found = {r.feature: (r.logs, -2.0, 2.0) if r.sd else (r.logs, 1.0, 1.0) for r in logs.collect()}
+    x = F.col("value")
+    while any(b - a > close for _, a, b in found.values()):
+        open_ = [(f, a, (b - a) / points) for f, (_, a, b) in found.items() if b - a > close]
+        bounds = spark.createDataFrame(open_, "feature string, a double, step double")
+        at = [F.col("a") + F.lit(i) * F.col("step") for i in range(points + 1)]
+        sums = known.join(bounds, "feature").groupBy("feature").agg(
+            F.count(x).alias("n"), *(F.var_pop(_yeo_johnson(x, l)).alias(f"v{i}") for i, l in enumerate(at))
+        )
+        for r in sums.collect():
+            logs_, a, b = found[r.feature]
+            step = (b - a) / points
+            spread = [r[f"v{i}"] for i in range(points + 1)]
+            fits = [-r.n / 2 * math.log(v) + (a + i * step - 1) * logs_ if 0 < v < math.inf else -math.inf for i, v in enumerate(spread)]
+            best = max(range(points + 1), key=lambda i: fits[i])
+            if best in (0, points) and b - a >= 4 and b - a < widest:  # nothing yet on one side
+                a, b = (a - (b - a), b) if best == 0 else (a, b + (b - a))
+            else:
+                a, b = a + max(best - 1, 0) * step, a + min(best + 1, points) * step
+            found[r.feature] = logs_, a, b
+    return spark.createDataFrame([(f, (a + b) / 2) for f, (_, a, b) in found.items()], "feature string, lambda double")
+
+
+def yeo_johnson(rows: DataFrame) -> DataFrame:
+    """Adds the Yeo-Johnson transform of each feature's values, with the lambda of the largest likelihood."""
+    return rows.join(yeo_johnson_lambdas(rows), "feature").withColumn("transformed", _yeo_johnson(F.col("value"), F.col("lambda")))
+
+
+def feature_matrix(
+    base: DataFrame, key: str, label: str, columns: list[str], further: list[DataFrame | None], ids: DataFrame | None = None,
+    representatives: DataFrame | None = None,
+) -> DataFrame:
+    """key, label (as a whole number) and features, one row for each row of base (among ids, if given): `columns` of base as
+    numbers, null and text counting as 0 and constant ones left out, and then those of the further tables (key and
+    features; None: not there), matched by key, with 0 where there is no match. A column whose name is taken is left out.
+    representatives (feature): these and all categorical columns alone are kept, categorical ones first."""
+    rows = base if ids is None else base.join(ids.select(key).distinct(), key, "left_semi")
+    rows = to_numbers(rows.select(key, F.col(label).cast("int").alias(label), *columns), columns).fillna(0.0, columns)
+    constant = constant_columns(rows, columns).where("constant").collect() if columns else []  # a row for each column
+    names = [c for c in columns if c not in {r.column for r in constant}]
+    out = rows.select(key, label, *names)
+    for table in further:
+        if table is None:
+            continue
+        fresh = [c for c in table.columns if c != key and c not in {label, *names}]
+        out = out.join(table.select(key, *(F.col(c).cast("double").alias(c) for c in fresh)), key, "left")
+        names += fresh
+    if representatives is not None:
+        wanted = [r.feature for r in representatives.select("feature").distinct().where(F.col("feature").isin(names)).collect()]
+        categorical = [c for c in names if c in CATEGORICAL_NAMES or any(p in c for p in CATEGORICAL_PARTS)]
+        names = [*categorical, *(c for c in names if c in wanted and c not in categorical)]
+    return out.select(key, label, *names).fillna(0.0, names)
 
 
 def tsne_bytes(n: int, perplexity: float) -> int:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +158,7 @@ def tool_agreement(
     majority = len(tools) // 2 + 1
     added = (
         metrics.withColumn("mean_prob", mean)
-        .withColumn("variance", F.try_divide(known(lambda p: (p - m) * (p - m)), n - 1))
+        .withColumn("variance", F.when(n > 1, known(lambda p: (p - m) * (p - m)) / (n - 1)))
         .withColumn("std", F.sqrt("variance"))
         .withColumn("range", F.greatest(*tools) - F.least(*tools))
         .withColumn("ensemble_prob", m)
@@ -262,26 +264,38 @@ def calibration_error(calibrated: DataFrame, rows: int | Column | None = None) -
 
 
 def bootstrap_accuracy(rows: DataFrame, bin_column: str, real: str, called: str, n_boot: int = 100, seed: int = 42) -> DataFrame:
-    """Mean and percentile interval of the balanced accuracy in each bin over Poisson bootstraps: in every resample a row
-    counts as often as a Poisson variable of mean 1, drawn from a hash of row and resample, tells."""
-    u = (F.pmod(F.xxhash64("id", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    limits, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
-        total += term
-        limits.append(total)
-        term /= k + 1
-    weight = reduce(add, (F.when(u > x, 1).otherwise(0) for x in limits))
-    drawn = rows.select("id", bin_column, real, called, F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")).withColumn(
-        "w", weight
-    )
-    w = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
-    r, k = F.col(real), F.col(called)
-    each = drawn.groupBy(bin_column, "b").agg(
-        F.try_divide(w(r & k), w(r)).alias("sens"), F.try_divide(w(~r & ~k), w(~r)).alias("spec")
-    )
-    return each.withColumn("ba", (F.col("sens") + F.col("spec")) / 2).groupBy(bin_column).agg(
-        F.avg("ba").alias("mean"), F.percentile("ba", F.lit(0.025)).alias("low"), F.percentile("ba", F.lit(0.975)).alias("high")
-    )
+    """Mean and percentile interval of the balanced accuracy in each bin over `n_boot` resamples of all rows, each with
+    replacement and as large as the table. Rows matter only by bin, truth and call, so a resample is a draw of how many rows
+    fall into each such cell: they are counted once, and all resamples are drawn from the counts, with the very
+    distribution that drawing the rows has. A class that a bin lacks in a resample does not count, nor a resample without
+    rows in the bin. There are as many cells as four times the bins."""
+    kind = rows.schema[bin_column].dataType.simpleString()
+    cells = rows.where(F.col(real).isNotNull() & F.col(called).isNotNull()).groupBy(
+        F.col(bin_column).alias("bin"), F.col(real).cast("boolean").alias("real"), F.col(called).cast("boolean").alias("called")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bin", "ascending"), ("real", "ascending"), ("called", "ascending")])
+        bins = table["bin"].combine_chunks().dictionary_encode(null_encoding="encode")
+        bins = bins.combine_chunks() if isinstance(bins, pa.ChunkedArray) else bins
+        n, of = table["n"].to_numpy(), bins.indices.to_numpy(zero_copy_only=False)
+        was, said = (table[c].to_numpy() for c in ("real", "called"))
+        drawn = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), n_boot)
+        k = len(bins.dictionary)
+
+        def total(which: np.ndarray) -> np.ndarray:
+            out = np.zeros((n_boot, k))
+            np.add.at(out.T, of[which], drawn[:, which].T)
+            return out
+
+        with np.errstate(invalid="ignore", divide="ignore"):
+            right = np.stack([total(was & said) / total(was), total(~was & ~said) / total(~was)])
+            share = np.nansum(right, axis=0) / (~np.isnan(right)).sum(axis=0)
+        rows = [(float(np.mean(x)), *np.percentile(x, [2.5, 97.5]).tolist()) if len(x) else (None,) * 3 for x in (c[~np.isnan(c)] for c in share.T)]
+        mean, low, high = zip(*rows, strict=True)
+        return pa.table({bin_column: bins.dictionary, "mean": pa.array(mean, pa.float64()), "low": pa.array(low, pa.float64()), "high": pa.array(high, pa.float64())})
+
+    return cells.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(draw, f"{bin_column} {kind}, mean double, low double, high double")
 
 
 def roc_points(rows: DataFrame, score: str, real: str, by: list[str]) -> DataFrame:

@@ -230,11 +230,11 @@ ORACLE_SQL = {
     + ", ".join(f"CASE WHEN id % {7 + j} <> 0 THEN {t} END AS {t}" for j, t in enumerate(TOOLS))
     + f" FROM u), l AS (SELECT id, x FROM (SELECT id, unnest([{', '.join(TOOLS)}]) AS x FROM g) WHERE x IS NOT NULL), s AS (SELECT id, avg(x) "
     "AS mean_prob, var_samp(x) AS variance, max(x) - min(x) AS range, count(*) FILTER (x < 0.2) AS a, count(*) FILTER (x > 0.8) AS b, "
-    "count(*) FILTER (x >= 0.2 AND x <= 0.8) AS m FROM l GROUP BY id) SELECT id, round(H_pred, 6) AS H_pred, round(H_exp, 6) AS H_exp, "
+    "count(*) FILTER (x >= 0.2 AND x <= 0.8) AS m FROM l GROUP BY id), w AS (SELECT g.*, mean_prob, variance, range, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(m, 0) AS m FROM g LEFT JOIN s USING (id)) SELECT id, round(H_pred, 6) AS H_pred, round(H_exp, 6) AS H_exp, "
     "round(I_bald, 6) AS I_bald, round(mean_prob, 6) AS mean_prob, round(variance, 6) AS variance, round(sqrt(variance), 6) AS std, "
     "round(range, 6) AS range, round(mean_prob, 6) AS ensemble_prob, CASE WHEN mean_prob > 0.5 THEN 1 ELSE 0 END AS ensemble_pred, "
     "coding_class AS true_label, a AS n_strong_lnc, b AS n_strong_coding, m AS n_moderate, a >= 2 AND b >= 2 AS extreme_disagreement, "
-    "(a >= 2 AND b = 0) OR (b >= 2 AND a = 0) AS extreme_agreement, a >= 5 OR b >= 5 AS majority_agreement FROM g JOIN s USING (id)",
+    "(a >= 2 AND b = 0) OR (b >= 2 AND a = 0) AS extreme_agreement, a >= 5 OR b >= 5 AS majority_agreement FROM w",
     "correctness_groups": f"WITH {TOOL_PROBS} SELECT id, round({MEAN}, 6) AS mean_prob, CASE WHEN ({MEAN} > 0.5) = "
     "(coding_class = 1) THEN 'correct' ELSE 'incorrect' END AS correctness FROM tool_probs",
     "accuracy_vs_threshold": f"WITH {METRICS_SQL}, edges AS ("

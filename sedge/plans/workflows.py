@@ -3,14 +3,20 @@ look at what must hold of them."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedge.operators import features as X
 from sedge.operators import ml as M
 from sedge.operators import redundancy as R
 from sedge.operators import sampling as P
 from sedge.operators import tree_shap as shap
 from sedge.sources import files as I
-from sedge.sources.scratch import scratch_path
+from sedge.sources import html
+from sedge.sources.cache import Cache
+from sedge.sources.scratch import scratch_path, written
 from sedge.streaming import folds as W
 from sedge.plans.uncertainty import METRICS_SQL, rounded
 from sedge.plans.views import FEATURES, TOOL_PROBS, TOOLS, TRANSCRIPTS, features, table, tool_probs, transcripts
@@ -45,6 +51,56 @@ def html_table_rows(spark, d):
     return I.html_rows(table(spark, d, "pages"), keep=("page_id",)).select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
+def _release_pages(spark, d):
+    """Pages with a release table each: two rows for an order, of which the first cell of one spans both."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("page"), F.date_format("o_orderdate", "MM.yyyy").alias("day"), F.col("o_orderpriority").alias("p"), "o_orderstatus"
+    )
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    said = F.when(F.col("o_orderstatus") == "F", "Yes &amp; <b>current</b>").otherwise("No")
+    first = F.concat(F.lit("<tr><td rowspan=2>"), F.col("day"), F.lit("</td>"), cell(F.col("page").cast("string")), cell(said), cell(F.lit("a<br>b")), F.lit("</tr>"))
+    second = F.concat(F.lit("<tr><td>v&#50;<td>N<td>later<td colspan='2'>"), F.col("p"), F.lit("</td></tr>"))
+    return o.select(
+        "page",
+        F.concat(
+            F.lit("<p>x</p><table class=plain><tr><td>no</td></tr></table><TABLE class='wide striped'><thead><tr><th>Freeze<th>Release<th>R<th>D</tr>"),
+            F.lit("</thead><tbody>"), first, F.lit("<tr><td>too few</td></tr>"), second, F.lit("</tbody></table>"),
+        ).alias("html"),
+    )
+
+
+def release_pages(spark, d):
+    return html.release_table(_release_pages(spark, d), keep=("page",))
+
+
+def cached_metrics(spark, d):
+    """Metrics kept by parameters and ids: made, found again, made anew for other ids, and listed."""
+    from sedge.operators.uncertainty import ensemble_entropy
+
+    rows = tool_probs(spark, d)
+    cache = Cache(spark, scratch_path(spark, "cache"))
+    made, steps = lambda r: lambda: ensemble_entropy(r, TOOLS).select("id", "entropy"), []
+    for step, r, p in (("made", rows, {"a": 1, "b": 2}), ("again", rows.orderBy("id"), {"b": 2, "a": 1}), ("other ids", rows.where("id % 2 = 0"), {"a": 1, "b": 2}), ("other parameters", rows, {"a": 2})):
+        found, there = cache.get("entropy", p, r, made(r))
+        steps.append(written(found.agg(F.lit(step).alias("step"), F.lit(there).alias("was_there"), F.count(F.lit(1)).alias("n"), F.sum("entropy").alias("total")), "cache-step"))
+    listed = spark.createDataFrame([(len(cache.entries()),)], "n_entries int")
+    return rounded(reduce(DataFrame.unionByName, steps).crossJoin(listed))  # one row
+
+
+def feature_matrix(spark, d):
+    """Features of parts: own columns, those of their order lines, with a name that is taken, and a table that is not there."""
+    part = table(spark, d, "part").select(
+        "p_partkey", (F.col("p_size") % 2).alias("label"), F.col("p_size").cast("string").alias("size"), "p_retailprice", F.lit(7).alias("same"),
+        F.when(F.col("p_partkey") % 3 == 0, "true").when(F.col("p_partkey") % 3 == 1, "False").alias("is_has_third"), F.col("p_brand").alias("brand"),
+    )
+    lines = table(spark, d, "lineitem").where("l_partkey % 5 <> 0").groupBy(F.col("l_partkey").alias("p_partkey"))
+    first = lines.agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))
+    second = lines.agg(F.max("l_tax").alias("tax"), F.lit(1).alias("lines"), F.max("l_discount").alias("size"))
+    kept = spark.createDataFrame([("lines",), ("tax",), ("size",), ("brand",), ("none",)], "feature string")
+    own = ["size", "p_retailprice", "same", "is_has_third", "brand"]
+    return rounded(X.feature_matrix(part, "p_partkey", "label", own, [first, None, second], part.where("p_partkey % 4 <> 0"), kept))
+
+
 def dataset_statistics(spark, d):
     kind = F.when(F.col("quality") == 1, "coding").when(F.col("quality") == 0, "noncoding")
     return I.dataset_statistics(transcripts(spark, d).withColumn("class", kind))
@@ -171,13 +227,14 @@ def uncertainty_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        json_props, picks_by_group, pick_check, html_links, html_table_rows, dataset_statistics, kfold_split, fold_training,
+        json_props, picks_by_group, pick_check, html_links, html_table_rows, release_pages, cached_metrics, feature_matrix, dataset_statistics, kfold_split, fold_training,
         balanced_split, one_per_gene, proportional_sample, contiguous_folds, fixed_sample, augmented_sequences,
         near_duplicate_clusters, rf_fold, permutation_importance, recursive_elimination, feature_selection, elimination_steps, shapley_values, shapley_adds_up, pca, logit,
         uncertainty_stream,
     )
 }
 
+_ENTROPY = "CASE WHEN m <= 0 OR m >= 1 THEN 0 ELSE -(m * log2(m) + (1 - m) * log2(1 - m)) END"
 _CLASSES = f"WITH {TOOL_PROBS}, c AS (SELECT coding_class, count(*) AS n FROM tool_probs GROUP BY ALL)"
 ORACLE_SQL = {
     "json_props": "SELECT event_id, k AS key, CAST(json_extract(props, '$.' || k) AS BIGINT) AS number FROM (SELECT event_id, props, "
@@ -201,6 +258,16 @@ ORACLE_SQL = {
     "one_per_gene": "SELECT DISTINCT source AS gene_id, CAST(1 AS BIGINT) AS n FROM documents",
     "proportional_sample": "SELECT lang AS biotype, CAST(round_even(200 * count(*) / (SELECT count(*) FROM documents), 0) AS BIGINT) AS n "
     "FROM documents GROUP BY lang",
+    "release_pages": "WITH o AS (SELECT o_orderkey AS page, strftime(o_orderdate::DATE, '%m.%Y') AS freeze_date, o_orderstatus AS s, o_orderpriority AS p FROM "
+    "orders) SELECT page, 1 AS row, freeze_date, CAST(page AS VARCHAR) AS version, s = 'F' AS reference, 'a b' AS public_date, '' AS assembly, '' AS "
+    "ensembl_release, '' AS ucsc_version, '' AS notes, s = 'F' AS is_current FROM o UNION ALL SELECT page, 3, 'v2', 'N', FALSE, p, p, '', '', '', FALSE FROM o",
+    "cached_metrics": f"WITH {TOOL_PROBS}, e AS (SELECT id, {_ENTROPY} AS entropy FROM (SELECT id, ({' + '.join(TOOLS)}) / 8 AS m FROM tool_probs)), s(step, "
+    "was_there, m) AS (VALUES ('made', FALSE, 1), ('again', TRUE, 1), ('other ids', FALSE, 2), ('other parameters', FALSE, 1)) SELECT step, was_there, "
+    "count(*) AS n, round(sum(entropy), 6) AS total, 2 AS n_entries FROM s, e WHERE id % m = 0 GROUP BY step, was_there",
+    "feature_matrix": "WITH l AS (SELECT l_partkey, count(*) AS lines, max(l_tax) AS tax FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY l_partkey) SELECT "
+    "p_partkey, CAST(p_size % 2 AS INT) AS label, CASE WHEN p_partkey % 3 = 0 THEN 1::DOUBLE ELSE 0 END AS is_has_third, round(CAST(p_size AS DOUBLE), 6) AS "
+    "size, coalesce(CAST(lines AS DOUBLE), 0) AS lines, round(coalesce(CAST(tax AS DOUBLE), 0), 6) AS tax FROM part LEFT JOIN l ON l_partkey = p_partkey WHERE "
+    "p_partkey % 4 <> 0",
     "elimination_steps": "SELECT CAST(s AS INT) AS step, CAST(15 AS BIGINT) AS n, CAST(15 AS BIGINT) AS n_folds, TRUE AS is_share "
     "FROM (VALUES (16), (11), (6), (1)) t(s)",
     "shapley_adds_up": "SELECT vec_id AS id, CAST(16 AS BIGINT) AS n, TRUE AS adds_up FROM embeddings WHERE vec_id % 5 = 0",
