@@ -80,28 +80,61 @@ def ranked(
     return rows.join(places, equal([(k, f"__k{i}") for i, k in enumerate(keys)])).select(*rows.columns, rank)
 
 
+#: Values of a group up to which all of them are in reach of a quantile, and the accuracy of the bounds beyond that: they
+#: are so far apart that, with their error, the two values next to a quantile are between them.
+SMALL, ACCURACY = 20_000, 100_000
+WIDE = 1 / ACCURACY + 2.5 / SMALL
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """by and a column for each of shares: that quantile of value within `by`, exact, and between two values in proportion.
-    Nulls do not count; a group of nulls only has no row."""
+    Nulls do not count; a group of nulls only has no row.
+
+    One aggregation bounds each quantile by approximate ones, whose error is known; one counts what lies below each pair of
+    bounds, and one the values between them, which are a few in 10,000 of the group's."""
     v = F.col(value).cast("double")
-    counts = rows.select(*by, v.alias("__v")).where("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    counts = written(counts, "counts")
-    places = running(counts, by, "__v", ["__n"])
-    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__size"))
-    sizes = sizes.select(*(F.col(b).alias(f"__s{i}") for i, b in enumerate(by)), "__size")
-    on = [(b, f"__s{i}") for i, b in enumerate(by)]
-    met = places.join(sizes, equal(on)) if by else places.crossJoin(sizes)  # one row
-    first, after = F.col("before___n"), F.col("before___n") + F.col("__n")
-    at = {name: F.lit(float(share)) * (F.col("__size") - 1) for name, share in shares.items()}
-    held = lambda place: F.max(F.when((first <= place) & (place < after), F.col("__v")))
-    found = met.groupBy(*by).agg(
-        *(held(F.floor(p)).alias(f"__low_{n}") for n, p in at.items()),
-        *(held(F.ceil(p)).alias(f"__high_{n}") for n, p in at.items()),
-        *(F.max(p - F.floor(p)).alias(f"__part_{n}") for n, p in at.items()),
-    )
-    low, high, part = (lambda n, k=k: F.col(f"__{k}_{n}") for k in ("low", "high", "part"))
-    between = lambda n: F.when(low(n) == high(n), low(n)).otherwise(low(n) * (1 - part(n)) + high(n) * part(n))
-    return found.select(*by, *(between(n).alias(n) for n in shares))
+    known = rows.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
+    names = list(shares)
+    at = [min(max(s + side, 0.0), 1.0) for side in (-WIDE, WIDE) for s in shares.values()]
+    first = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__size"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        F.percentile_approx("__v", at, ACCURACY).alias("__q"),
+    )
+    few = F.col("__size") <= SMALL
+    place = lambda s: F.lit(float(s)) * (F.col("__size") - 1)
+    bound = lambda i, s: F.struct(
+        F.lit(i).alias("i"), place(s).alias("place"), F.when(few, F.col("__min")).otherwise(F.col("__q")[i]).alias("lo"),
+        F.when(few, F.col("__max")).otherwise(F.col("__q")[i + len(names)]).alias("hi"),
+    )
+    keys = [f"__k{i}" for i in range(len(by))]
+    bounds = first.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.array(*(bound(i, s) for i, s in enumerate(shares.values()))).alias("__b"))
+    bounds = written(bounds, "quantile-bounds")
+    on = list(zip(by, keys, strict=True))
+    met = known.join(bounds, equal(on)) if by else known.crossJoin(bounds)  # one row
+    below = met.groupBy(*keys).agg(*(F.count_if(F.col("__v") < F.col("__b")[i]["lo"]).alias(f"__n{i}") for i in range(len(names))))
+    below = below.select(*(F.col(k).alias(f"__x{k}") for k in keys), F.array(*(F.col(f"__n{i}") for i in range(len(names)))).alias("__below"))
+    near = F.explode(F.filter("__b", lambda b: (b["lo"] <= F.col("__v")) & (F.col("__v") <= b["hi"]))).alias("b")
+    held = met.select(*keys, "__v", near).groupBy(*keys, "b.i", "b.place", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    held = held.join(below, equal([(k, f"__x{k}") for k in keys])) if by else held.crossJoin(below)  # one row
+    up = Window.partitionBy(*keys, "i").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.get("__below", F.col("i")) + F.coalesce(F.sum("__n").over(up), F.lit(0))
+    held = held.select(*keys, "i", "place", "__v", "__n", start.alias("start"))
+    own = lambda p: F.max(F.when((F.col("start") <= p) & (p < F.col("start") + F.col("__n")), F.col("__v")))
+    p = F.col("place")
+    ends = held.groupBy(*keys, "i").agg(own(F.floor(p)).alias("low"), own(F.ceil(p)).alias("high"), F.max(p - F.floor(p)).alias("part"))
+    low, high, part = F.col("low"), F.col("high"), F.col("part")
+    between = F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+    out = ends.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, between)).alias(n) for i, n in enumerate(names)))
+    return out.select(*(F.col(k).alias(b) for b, k in zip(by, keys, strict=True)), *names)
+
+
+def quantiles_of(rows: DataFrame, by: list[str], shares: dict[str, dict[str, float]]) -> DataFrame:
+    """quantiles() of several columns at once: shares has the names and shares of each column."""
+    long = rows.select(*by, *(F.col(c).cast("double").alias(c) for c in shares)).unpivot(by, list(shares), "__c", "__value")
+    every = {f"__{c}_{n}": s for c, own in shares.items() for n, s in own.items()}
+    found = quantiles(long, [*by, "__c"], "__value", every)
+    picked = [F.max(F.when(F.col("__c") == c, F.col(f"__{c}_{n}"))).alias(n) for c, own in shares.items() for n in own]
+    return found.groupBy(*by).agg(*picked)
 
 
 def with_quantiles(summary: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions.numbers import binary_entropy
-from sedge.operators.ranks import QUARTILES, quantiles, with_quantiles
+from sedge.operators.ranks import QUARTILES, quantiles, quantiles_of, with_quantiles
 from sedge.operators.stats import mann_whitney, with_p
 
 CLASS_LABELS = {0: "lncRNA", 1: "coding"}
@@ -76,9 +76,7 @@ def entropy_groups(
         rough = lambda c, of: [F.percentile_approx(c, share, accuracy).alias(n) for n, share in of.items()]
         thresholds = known.groupBy("__by").agg(*rough(column, shares), *(rough(second, upper) if use_second else []))
     else:
-        thresholds = quantiles(known, ["__by"], column, shares)
-        if use_second:
-            thresholds = thresholds.join(quantiles(known, ["__by"], second, upper), "__by", "left")
+        thresholds = quantiles_of(known, ["__by"], {column: shares} | ({second: upper} if use_second else {}))
     c = F.col(column)
     is_low = c < F.col("__low") if strict else c <= F.col("__low")
     is_high = c > F.col("__high") if strict else c >= F.col("__high")
@@ -192,10 +190,10 @@ def accuracy_by_threshold(
     """For each step t: rows at most the t-th percentile of `column` are low, at least the (100 - t)-th of it and of
     `second` high; number, accuracy and balanced accuracy of the ensemble's calls in each group. Every row
     is met with the percentiles by a join on a constant with one row for each step."""
-    of_column = quantiles(metrics, [], column, {f"low_{t}": t / 100 for t in steps} | {f"high_{t}": (100 - t) / 100 for t in steps})
-    of_second = quantiles(metrics, [], second, {f"second_{t}": (100 - t) / 100 for t in steps})
+    above = lambda name: {f"{name}_{t}": (100 - t) / 100 for t in steps}
+    found = quantiles_of(metrics, [], {column: {f"low_{t}": t / 100 for t in steps} | above("high"), second: above("second")})
     listed = lambda name: F.array(*(F.col(f"{name}_{t}") for t in steps)).alias(name)
-    edges = of_column.crossJoin(of_second).select(  # one row each
+    edges = found.select(
         F.explode(F.arrays_zip(F.array(*map(F.lit, steps)).alias("step"), listed("low"), listed("high"), listed("second"))).alias("e")
     )
     edges = edges.select("e.*").withColumn("__on", F.lit(1))

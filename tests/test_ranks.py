@@ -1,6 +1,6 @@
 import random
 
-from sedge.operators.ranks import pair_sums, quantiles, ranked, running
+from sedge.operators.ranks import pair_sums, quantiles, quantiles_of, ranked, running
 from sedge.plans import catalogue
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -66,3 +66,17 @@ def test_yeo_johnson_is_nearer_to_normal(spark):
 
     r = yeo_johnson(rows).agg(F.skewness("value").alias("a"), F.skewness("transformed").alias("b"), F.max("lambda").alias("l")).first()
     assert abs(r.b) < abs(r.a) / 2 and -2 <= r.l <= 2
+
+
+def test_quantiles_of_large_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    groups = {"even": rng.normal(size=60_001), "ties": rng.integers(0, 7, 30_000).astype(float), "skewed": np.exp(rng.normal(size=20_001) * 4), "small": rng.normal(size=10)}
+    df = spark.createDataFrame([(g, float(v)) for g, own in groups.items() for v in own] + [("even", None)], "g string, v double")
+    shares = {"a": 0.0, "b": 0.00002, "c": 0.25, "d": 0.5, "e": 0.9, "f": 0.99997, "h": 1.0}
+    for r in quantiles(df, ["g"], "v", shares).collect():
+        want = np.quantile(groups[r.g], list(shares.values()))
+        assert np.allclose(tuple(r)[1:], want, rtol=1e-12, atol=0), r.g
+    both = quantiles_of(df.withColumn("w", -F.col("v")), ["g"], {"v": {"v5": 0.5, "v9": 0.9}, "w": {"w1": 0.1}})
+    assert all(abs(r.v9 + r.w1) < 1e-9 for r in both.collect())
