@@ -159,7 +159,7 @@ def nearest_threshold(clusters: DataFrame, threshold: float) -> DataFrame:
 def family_top(hits: DataFrame, sizes: DataFrame, top: int = 20, eps: float = 1e-6) -> DataFrame:
     """Mean hits per transcript of each family in either class, log2 of their ratio; the `top` families by summed mean.
     hits: class (0/1), family, n; sizes: class, transcripts."""
-    sums = hits.groupBy("class", "family").agg(F.sum("n").alias("n")).join(F.broadcast(sizes), "class")  # two rows
+    sums = hits.groupBy("class", "family").agg(F.sum("n").alias("n")).join(sizes, "class")
     means = sums.withColumn("mean", F.col("n") / F.col("transcripts"))
     wide = means.groupBy("family").agg(
         *(F.coalesce(F.sum(F.when(F.col("class") == k, F.col("mean"))), F.lit(0.0)).alias(f"mean_{k}") for k in (0, 1))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.sources.scratch import written
+from sedge.sources.scratch import scratch_path, written
 
 
 def _mirrored(pairs: DataFrame) -> DataFrame:
@@ -45,7 +45,10 @@ def ward(pairs: DataFrame) -> DataFrame:
     members = d2.select(F.col("x").alias("feature"), F.col("x").alias("cluster"), F.lit(0.0).alias("height")).distinct()
     members, turn = written(members, "ward-members"), 0
     size = lambda t: t.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("size"))
-    out = members.withColumn("round", F.lit(0))
+    # every round is added to one table, so the plan does not grow with them
+    rounds = scratch_path(pairs.sparkSession, "ward-rounds")
+    added = lambda t, k: t.select("feature", F.lit(k).alias("round"), "cluster", "height").write.mode("append").parquet(rounds)
+    added(members, 0)
     while not d2.isEmpty():
         turn += 1
         live = members.select(F.col("cluster").alias("old")).distinct().join(_nearest_pairs(d2), "old", "left")
@@ -59,8 +62,8 @@ def ward(pairs: DataFrame) -> DataFrame:
         half = _united(apart, merged, size(members), size(members)).select(F.col("y").alias("x"), F.col("x").alias("y"), "d2")
         d2 = written(_mirrored(_united(half, merged, size(members), size(after)).where("x < y")), "ward-pairs")
         members = after
-        out = out.unionByName(members.withColumn("round", F.lit(turn)))
-    return out.select("feature", "round", "cluster", "height")
+        added(members, turn)
+    return pairs.sparkSession.read.parquet(rounds)
 
 
 def flat_clusters(tree: DataFrame, thresholds: list[float]) -> DataFrame:

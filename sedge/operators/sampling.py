@@ -69,6 +69,15 @@ def one_per_group(rows: DataFrame, key: str, group: str, seed: int = 42) -> Data
     return rows.join(chosen, [group, key], "left_semi").dropDuplicates([group])  # rows may repeat the key
 
 
+def gene_split(rows: DataFrame, key: str, group: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds part: of one row of each group, within each label, the first int(n * share) in hash order are test and the others
+    train; rows of their groups that were not taken are leftover."""
+    chosen = one_per_group(rows, key, group, seed).select(key, label)
+    placed = with_place(chosen, key, [label], seed)
+    part = F.when(F.col("place") < F.floor(F.col("size") * share), "test").otherwise("train")
+    return rows.join(placed.select(key, part.alias("part")), key, "left").fillna("leftover", ["part"])
+
+
 def some_groups(rows: DataFrame, key: str, group: str, n: int, seed: int = 42) -> DataFrame:
     """One row of each of n groups; an error if there are fewer."""
     groups = rows.select(group).distinct().orderBy(order_of(group, seed)).limit(n)

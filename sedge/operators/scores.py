@@ -122,3 +122,26 @@ def constant_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     """column and whether it has at most one value but null: its minimum is its maximum."""
     same = rows.agg(*(F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in columns))
     return same.unpivot([], columns, "column", "constant")
+
+
+def classification_report(predicted: DataFrame, real: str = "y_true", called: str = "y_pred") -> DataFrame:
+    """The report of a classifier of classes 0 and 1, a row for each class and for accuracy, macro avg and weighted avg:
+    name, precision, recall, f1_score (0 where not defined) and support. Accuracy stands as f1_score in its row."""
+    y, p = F.col(real).cast("int"), F.col(called).cast("int")
+    count = lambda a, b: F.count_if((y == a) & (p == b)).cast("double")
+    cells = predicted.agg(*(count(a, b).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    total = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
+
+    def of(k: int) -> list[Column]:
+        right, wrong, lost = F.col(f"c{k}{k}"), F.col(f"c{1 - k}{k}"), F.col(f"c{k}{1 - k}")
+        return [share(right, right + wrong), share(right, right + lost), share(2 * right, 2 * right + wrong + lost), right + lost]
+
+    zero, one = of(0), of(1)
+    macro = [(a + b) / 2 for a, b in zip(zero[:3], one[:3], strict=True)]
+    weighted = [share(a * zero[3] + b * one[3], total) for a, b in zip(zero[:3], one[:3], strict=True)]
+    none, right = F.lit(None).cast("double"), share(F.col("c00") + F.col("c11"), total)
+    lines = {"0": zero, "1": one, "accuracy": [none, none, right, total], "macro avg": [*macro, total], "weighted avg": [*weighted, total]}
+    fields = ("precision", "recall", "f1_score", "support")
+    rows = [F.struct(F.lit(n).alias("name"), *(c.alias(f) for c, f in zip(x, fields, strict=True))) for n, x in lines.items()]
+    return cells.select(F.explode(F.array(*rows)).alias("r")).select("r.name", "r.precision", "r.recall", "r.f1_score", F.col("r.support").cast("long").alias("support"))

@@ -28,8 +28,12 @@ def json_props(spark, d):
 
 
 def picks_by_group(spark, d):
-    e = table(spark, d, "events").groupBy("event_type").agg(F.sort_array(F.collect_set(F.col("user_id").cast("string"))).alias("ids"))
-    text = e.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", F.to_json("ids"))))).alias("value"))
+    """Ids by group as JSON texts of at most a thousand ids each, read again."""
+    ids = table(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("id")).distinct()
+    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / 500))).alias("part")
+    sizes = ids.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    e = ids.join(sizes, "event_type").groupBy("event_type", part).agg(F.collect_list("id").alias("ids"))
+    text = e.select(F.to_json(F.create_map("event_type", F.to_json("ids"))).alias("value"))
     return I.picks(text).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
@@ -209,6 +213,12 @@ def pca(spark, d):
     return parts.select("id", F.transform("components", lambda x: F.round(F.abs(x), 6)).alias("components"))
 
 
+def pca_loadings(spark, d):
+    """The features that the components of largest variance are made of most."""
+    _, _, model = M.principal_components(features(spark, d), FEATURES, "id", variance=0.8)
+    return rounded(spark.createDataFrame(M.loadings(model, FEATURES), "feature string, loading double"))
+
+
 def logit(spark, d):
     rows = features(spark, d)
     model = M.logistic(rows.where("id % 5 <> 0"), FEATURES, "coding_class")
@@ -229,7 +239,7 @@ QUERIES = {
     for f in (
         json_props, picks_by_group, pick_check, html_links, html_table_rows, release_pages, cached_metrics, feature_matrix, dataset_statistics, kfold_split, fold_training,
         balanced_split, one_per_gene, proportional_sample, contiguous_folds, fixed_sample, augmented_sequences,
-        near_duplicate_clusters, rf_fold, permutation_importance, recursive_elimination, feature_selection, elimination_steps, shapley_values, shapley_adds_up, pca, logit,
+        near_duplicate_clusters, rf_fold, permutation_importance, recursive_elimination, feature_selection, elimination_steps, shapley_values, shapley_adds_up, pca, pca_loadings, logit,
         uncertainty_stream,
     )
 }

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.functions.dates import partial_date
 from sedge.functions.ids import biotype, clean_id, id_version, quoted_attribute, simple_id
+from sedge.operators.sequences import keyword_tag
 
 GTF_SCHEMA = (
     "seqname STRING, source STRING, feature STRING, start BIGINT, `end` BIGINT, score STRING, strand STRING, "
@@ -280,3 +282,22 @@ def provenance(rows: DataFrame) -> DataFrame:
     name = F.element_at(parts, -1)
     name = F.when(name.startswith("part-"), F.element_at(parts, -2)).otherwise(name)
     return rows.withColumn("source_file", F.split_part(name, F.lit("."), F.lit(1)))
+
+
+#: Keywords by which titles are told to be of a tool.
+TOOL_KEYWORDS = {
+    "CPC": "CPC", "CPAT": "CPAT", "CPC2": "CPC2", "PLncPRO": "PLncPRO", "mRNN": "mRNN,deep recurrent neural network",
+    "lncRNAnet": "lncRNAnet", "LncADeep": "LncADeep", "lncFinder": "lncFinder", "FEELnc": "FEELnc", "RNAsamba": "RNAsamba",
+    "LncDC": "LncDC", "LncRNA-BERT": "LncRNA-BERT",
+}
+
+
+def bibliography(spark: SparkSession, path: str, keywords: dict[str, str] | None = None, found_only: bool = True) -> DataFrame:
+    """title, date and tool of an exported bibliography: CSV with quoted fields that may hold line feeds and doubled quotes.
+    A tool's keywords are parted by commas, and further ones go over TOOL_KEYWORDS; of several tools in a title the last
+    counts. Dates may be partial; what is none is null. found_only: titles of no tool are left out."""
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    words = [(w.strip(), tool) for tool, own in (TOOL_KEYWORDS | (keywords or {})).items() for w in own.split(",")]
+    day = F.coalesce(F.try_to_timestamp(F.col("Date"), F.lit("yyyy-MM-dd")).cast("date"), partial_date(F.col("Date")))
+    out = rows.select(F.col("Title").alias("title"), day.alias("date"), keyword_tag(F.col("Title"), words).alias("tool"))
+    return out.where(F.col("tool").isNotNull()) if found_only else out
