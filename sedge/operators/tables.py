@@ -165,8 +165,11 @@ def beside(frames: Sequence[DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full"), parts)
 
 
-def aligned(spine: DataFrame, rows: DataFrame, key: str, fill: float | None = 0.0) -> DataFrame:
-    """rows by the keys of spine; numbers that are missing are filled."""
+def aligned(spine: DataFrame, rows: DataFrame, key: str, fill: float | None = 0.0, cut: bool = False) -> DataFrame:
+    """rows by the keys of spine; numbers that are missing are filled. cut: of the rows' keys only what is before the first
+    bar counts."""
+    if cut:
+        rows = rows.withColumn(key, F.split_part(F.col(key), F.lit("|"), F.lit(1)))
     out = spine.select(key).join(rows, key, "left")
     return out if fill is None else out.fillna(fill)
 

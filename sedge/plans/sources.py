@@ -106,6 +106,17 @@ def dataset_bundle(spark, d):
     return rounded(I.with_complete_probabilities(*both, "id", ["p0", "p1"]))
 
 
+def full_dataset(spark, d):
+    """The four frames of a data set whose binary table and full table have gaps, a row for each of their rows."""
+    p = tool_probs(spark, d)
+    binary = p.select("id", F.when(F.col("id") % 5 != 0, F.col("coding_class") == 1).alias("real"), (F.col("p0") > 0.5).alias("tool"))
+    full = p.select("id", F.when(F.col("id") % 9 != 0, F.col("p0")).alias("p0"), "p1", F.col("p2").alias("length")).where("id % 2 = 0")
+    frames = I.dataset(binary, full, "id", ["p0", "p1"], ["p1"])
+    value = {"probs": F.col("p0") + F.col("p1"), "labels": F.col("coding_class") * 10 + F.length("biotype"), "features": F.col("p1") + F.col("length"), "binary": F.col("real").cast("int")}
+    parts = [f.select(F.lit(n).alias("frame"), "id", value[n].cast("double").alias("value")) for n, f in frames.items()]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 def found_feature_sets(spark, d):
     root = scratch_path(spark, "sets")
     I.write_tables({"te": table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("te_count"))}, root)
@@ -225,7 +236,7 @@ def pearson_matrix(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        fasta_round_trip, fasta_ids_gz, reference_ids, gtf_rows, gtf_transcripts, cluster_representatives, registry_tables, dataset_bundle,
+        fasta_round_trip, fasta_ids_gz, reference_ids, gtf_rows, gtf_transcripts, cluster_representatives, registry_tables, dataset_bundle, full_dataset,
         found_feature_sets, headless_table, repeat_annotation, bed_overlap_columns, json_concat, training_metrics, structure_cache,
         fold_artefacts, saved_groups, exported_categories, json_and_scalar, pairwise_results, joint_fdr, pearson_matrix,
     )
@@ -249,6 +260,9 @@ ORACLE_SQL = {
     "registry_tables": "SELECT 'nation' AS name, CAST(n_nationkey AS BIGINT) AS k, n_name AS v, FALSE AS none_is_there FROM nation UNION ALL SELECT 'region', "
     "r_regionkey, r_name, FALSE FROM region",
     "dataset_bundle": f"WITH {TOOL_PROBS} SELECT id, round(p0, 6) AS p0, round(p1, 6) AS p1, coding_class FROM tool_probs WHERE id % 9 <> 0 AND id % 2 = 0",
+    "full_dataset": f"WITH {TOOL_PROBS}, k AS (SELECT * FROM tool_probs WHERE id % 2 = 0 AND id % 5 <> 0 AND id % 9 <> 0) SELECT 'probs' AS frame, id, round(p0 + 1 - "
+    "p1, 6) AS value FROM k UNION ALL SELECT 'labels', id, CASE WHEN coding_class = 1 THEN 16::DOUBLE ELSE 6 END FROM k UNION ALL SELECT 'features', id, round(p1 + p2, 6) "
+    "FROM k UNION ALL SELECT 'binary', id, CASE WHEN id % 5 <> 0 THEN CAST(coding_class AS DOUBLE) END FROM tool_probs",
     "found_feature_sets": "SELECT p_partkey AS id, p_size AS te_count, CAST(1 AS BIGINT) AS n_sets FROM part",
     "headless_table": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation",
     "repeat_annotation": "SELECT 'T' || p_partkey AS query, CAST(p_size AS BIGINT) AS score, CAST(p_size + 1 AS BIGINT) AS \"end\", replace(p_brand, ' ', '') "

@@ -103,6 +103,13 @@ def aligned_rows(spark, d):
     return T.aligned(p.select("id"), p.where("id % 2 = 0").select("id", F.round("p0", 6).alias("x")), "id")
 
 
+def aligned_on_cut_keys(spark, d):
+    """Rows whose keys carry more after a bar, by ids that do not."""
+    p = tool_probs(spark, d).select("id", "p0", _seq_id(F.col("id")).alias("s"))
+    rows = p.where("id % 3 <> 0").select(F.col("s").alias("key"), F.round("p0", 6).alias("x"))
+    return T.aligned(p.select(F.split_part("s", F.lit("|"), F.lit(1)).alias("key")), rows, "key", None, cut=True)
+
+
 def ordered_lookup(spark, d):
     c = table(spark, d, "customer")
     order = c.where("c_acctbal > 0").select("c_custkey", (1000000 - F.col("c_custkey")).alias("position"))
@@ -262,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tool_outer_merge, two_mode_merge, class_table, simple_table, unclassified_table, binary_table, classify_transcripts,
-        fold_union, beside_frames, aligned_rows, ordered_lookup, subsets, semi_anti_joins, id_set_ops, timeline_dates,
+        fold_union, beside_frames, aligned_rows, aligned_on_cut_keys, ordered_lookup, subsets, semi_anti_joins, id_set_ops, timeline_dates,
         nearest_release, id_normal_forms, release_flags, release_flag_totals, release_flow, release_flow_totals,
         release_categories, cv_scores_binary, cv_scores_macro, cv_summary, cv_rows_with_totals, best_variant, stability,
         consensus_counts, consensus_pct, combination_counts, combination_top, set_totals, vote_histogram, length_summary,
@@ -343,6 +350,7 @@ ORACLE_SQL = {
     "beside_frames": f"WITH {TOOL_PROBS} SELECT id, a.x, a.y, b.z FROM (SELECT id, round(p0, 6) AS x, round(p1, 6) AS y FROM tool_probs "
     "WHERE id < 300) a FULL JOIN (SELECT id, round(p3, 6) AS z FROM tool_probs WHERE id > 200) b USING (id)",
     "aligned_rows": f"WITH {TOOL_PROBS} SELECT id, CASE WHEN id % 2 = 0 THEN round(p0, 6) ELSE 0 END AS x FROM tool_probs",
+    "aligned_on_cut_keys": f"WITH {TOOL_PROBS} SELECT 'ENST' || id || '.' || (id % 7) AS key, CASE WHEN id % 3 <> 0 THEN round(p0, 6) END AS x FROM tool_probs",
     "ordered_lookup": "SELECT c_custkey, c_name, 1000000 - c_custkey AS position FROM customer WHERE c_acctbal > 0 ORDER BY position",
     "subsets": "SELECT c_mktsegment, count(*) AS n, kind FROM customer, (VALUES ('class', '^(BUILDING|MACHINERY)$'), ('contains', "
     "'UILD|OUSE'), ('startswith', '^AUTO'), ('all', '')) k(kind, pattern) WHERE regexp_matches(c_mktsegment, pattern) GROUP BY ALL",

@@ -140,6 +140,21 @@ def with_complete_probabilities(probs: DataFrame, labels: DataFrame, key: str, c
     return probs.join(labels, key).dropna("any", subset=columns)
 
 
+def dataset(binary: DataFrame, full: DataFrame, key: str, columns: list[str], inverted: list[str] = [], real: str = "real") -> dict[str, DataFrame]:  # noqa: B006
+    """A data set's frames: probs (the columns, P(noncoding) ones turned round, of rows with a class and with all of them),
+    labels of these (coding_class and biotype), features (their rows of the full table) and binary as it is."""
+    classes = binary.where(F.col(real).isNotNull()).select(key, F.col(real).cast("int").alias("coding_class")).distinct()
+    known = full.join(classes, key).dropna("any", subset=columns)
+    turned = [(1 - F.col(c) if c in inverted else F.col(c)).alias(c) for c in columns]
+    biotype_ = F.when(F.col("coding_class") == 1, "coding").otherwise("lncRNA").alias("biotype")
+    return {
+        "probs": known.select(key, *turned),
+        "labels": known.select(key, "coding_class", biotype_),
+        "features": known.drop("coding_class"),
+        "binary": binary,
+    }
+
+
 def repeat_annotation(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a RepeatMasker .out table; lines of fewer than 14 fields, headers among them, are left out."""
     parts = F.split(F.trim("value"), r"\s+")
