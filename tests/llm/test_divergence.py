@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sedge.llm import terms
-from sedge.llm.divergence import divergence
+from sedge.llm.divergence import divergence, share
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,3 +84,10 @@ def test_runs_of_parts_are_merged():
     (whole, *rest) = terms.merged(a + b)
     assert not rest and int(whole.n.sum()) == 12
     assert len({(int(x), int(y), int(g)) for x, y, g in zip(whole.high, whole.low, whole.group, strict=True)}) == len(whole.n)
+
+
+def test_shares_are_exact_at_any_size(spark):
+    cases = [(n, t, k) for n in (0, 1, 7 * 10**9, 4 * 10**18 + 1) for t in (n, n + 3, 4 * 10**18 + 7) for k in (1, 10**12)] + [(0, 0, 0)]
+    df = spark.createDataFrame([c for c in cases if c[0] <= c[1]], "n bigint, total bigint, kept bigint")
+    for r in df.select("*", share(F.col("n"), F.col("total"), F.col("kept"), 5).alias("p")).collect():
+        assert r.p == (1 + 10**9 * (r.n + 5) // (r.total + 5 * r.kept) if r.kept else 0)
