@@ -8,8 +8,11 @@ place of values of f1; if none, from the counts of pairs of blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ from sedge.sources.code import ship
 from sedge.sources.scratch import written
 
 
+#: Numbers of blocks that a task counts together.
+MOST_BLOCKS = 8_000_000
+
+
 def ties(counts: np.ndarray) -> float:
     c = counts.astype(np.float64)
     return float((c * (c - 1) / 2).sum())
@@ -57,6 +64,32 @@ def _in_blocks(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["i", "j", "n", "s", "tied_1", "tied_2"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a task are in each pair of blocks of every two features, counted for MOST_BLOCKS numbers at a time."""
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        blocks = np.concatenate(held)
+        wide = int(blocks.max(initial=0)) + 1
+        for i in range(blocks.shape[1]):
+            for j in range(i + 1, blocks.shape[1]):
+                known = (blocks[:, i] >= 0) & (blocks[:, j] >= 0)
+                code, n = np.unique(blocks[known, i] * wide + blocks[known, j], return_counts=True)
+                pair = [pa.array(np.full(len(code), k, dtype=np.int32)) for k in (i, j)]
+                own = [pa.array(b.astype(np.int32)) for b in (code // wide, code % wide)]
+                yield pa.RecordBatch.from_arrays([*pair, *own, pa.array(n.astype(np.float64))], names=["i", "j", "b1", "b2", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1))
+            size += held[-1].size
+        if size >= MOST_BLOCKS:
+            yield from counted(held)
+            held, size = [], 0
+    if held:
+        yield from counted(held)
+
+
 def _between_blocks(cells: pd.DataFrame) -> pd.DataFrame:
     """For two features: the sum over rows that share no block, and ties within the blocks of one value (odd numbers)."""
     first, a = np.unique(cells["b1"], return_inverse=True)
@@ -90,10 +123,8 @@ def kendall(rows: DataFrame, names: list[str], key: str = "id", blocks: int = 51
     schema = "i int, j int, n double, s double, tied_1 double, tied_2 double"
     own = wide.select("*", F.posexplode("blocks").alias("feature", "block")).where("block >= 0 AND block % 2 = 0")
     inside = own.groupBy("feature", "block").applyInPandas(_in_blocks, schema)
-    pairs = wide.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(max(len(names) - 2, 0)))).alias("i"))
-    pairs = pairs.select("blocks", "i", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("j")).where("i < j")
-    at = pairs.select("i", "j", F.col("blocks")[F.col("i")].alias("b1"), F.col("blocks")[F.col("j")].alias("b2"))
-    cells = at.where("b1 >= 0 AND b2 >= 0").groupBy("i", "j", "b1", "b2").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = wide.select("blocks").mapInArrow(_cells, "i int, j int, b1 int, b2 int, n double")
+    cells = cells.groupBy("i", "j", "b1", "b2").agg(F.sum("n").alias("n"))
     both = inside.unionByName(cells.groupBy("i", "j").applyInPandas(_between_blocks, schema))
     sums = both.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "s", "tied_1", "tied_2")))
     all_pairs, name = F.col("n") * (F.col("n") - 1) / 2, F.array(*map(F.lit, names))

@@ -73,10 +73,6 @@ def group_medians(rows: DataFrame, by: list[str], value: str, group: str, first:
     return each.groupBy(*by).agg(of(0).alias(first), of(1).alias(second))
 
 
-def with_normal_p(tests: DataFrame) -> DataFrame:
-    return tests.withColumn("p_value", two_sided_normal(F.col("z")))
-
-
 #: Values of U at most for which its distribution is counted out.
 MOST_U = 2_000_000
 
