@@ -52,7 +52,11 @@ def html_links(spark, d):
 
 
 def html_table_rows(spark, d):
-    return I.html_rows(table(spark, d, "pages"), keep=("page_id",)).select("page_id", "row", F.array_join("cells", "|").alias("cells"))
+    """The tables of whole pages, to each of which one is added that holds its number and size."""
+    p = table(spark, d, "pages")
+    own = F.concat(F.lit("<table class='about page'><tr><th>id<th>size</tr><tr><td>"), "page_id", F.lit("</td><td>"), F.length("html"), F.lit("</td></tr></table>"))
+    found = html.table_rows(p.select("page_id", F.concat("html", own).alias("html")), keep=("page_id",))
+    return found.select("page_id", "table", "class", "row", "heading", F.array_join("cells", "|").alias("cells"))
 
 
 def _release_pages(spark, d):
@@ -268,6 +272,8 @@ ORACLE_SQL = {
     "one_per_gene": "SELECT DISTINCT source AS gene_id, CAST(1 AS BIGINT) AS n FROM documents",
     "proportional_sample": "SELECT lang AS biotype, CAST(round_even(200 * count(*) / (SELECT count(*) FROM documents), 0) AS BIGINT) AS n "
     "FROM documents GROUP BY lang",
+    "html_table_rows": "SELECT page_id, CAST(0 AS INT) AS \"table\", 'about page' AS class, CAST(0 AS INT) AS row, TRUE AS heading, 'id|size' AS cells FROM pages UNION "
+    "ALL SELECT page_id, 0, 'about page', 1, FALSE, page_id || '|' || length(html) FROM pages",
     "release_pages": "WITH o AS (SELECT o_orderkey AS page, strftime(o_orderdate::DATE, '%m.%Y') AS freeze_date, o_orderstatus AS s, o_orderpriority AS p FROM "
     "orders) SELECT page, 1 AS row, freeze_date, CAST(page AS VARCHAR) AS version, s = 'F' AS reference, 'a b' AS public_date, '' AS assembly, '' AS "
     "ensembl_release, '' AS ucsc_version, '' AS notes, s = 'F' AS is_current FROM o UNION ALL SELECT page, 3, 'v2', 'N', FALSE, p, p, '', '', '', FALSE FROM o",

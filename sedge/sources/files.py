@@ -190,15 +190,6 @@ def metrics_directory(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
-def html_rows(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cells of every row of every table in a column of pages: row number, cells."""
-    row_texts = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
-    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "&nbsp;", " "))
-    rows = pages.select(*keep, F.posexplode(row_texts).alias("row", "text"))
-    cells = F.transform(F.regexp_extract_all("text", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), strip)
-    return rows.select(*keep, "row", cells.alias("cells"))
-
-
 def html_items(pages: DataFrame, tag: str, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """The texts of all elements of one kind: place, text."""
     found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1)

@@ -9,7 +9,7 @@ from sedge.functions import ids
 from sedge.functions.dates import partial_date
 from sedge.functions.numbers import binary_entropy, chi_square_tail, midrank, share_rank, two_sided_normal
 from sedge.operators import attribution, features, linkage, sampling, scores, sequences, stats, tables, uncertainty
-from sedge.sources import files
+from sedge.sources import files, html
 
 
 def values(df, *columns):
@@ -132,7 +132,7 @@ def test_files(spark, tmp_path):
 
 def test_html(spark):
     pages = spark.createDataFrame([("<table><tr><td>1</td><td><b>x</b></td></tr><tr><th>2</th></tr></table>",)], "html string")
-    assert values(files.html_rows(pages), "cells") == [(["1", "x"],), (["2"],)]
+    assert values(html.table_rows(pages), "cells") == [(["1", "x"],), (["2"],)]
 
 
 def test_sequences(spark):
