@@ -24,9 +24,11 @@ def equal(pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in pairs))
 
 
-def running(counts: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False) -> DataFrame:
+def running(
+    counts: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, with_range: bool = False
+) -> DataFrame:
     """Adds before_{c} for each c of sums: its sum over the values before (below, or above if descending) within `by`.
-    counts has one row for each value."""
+    counts has one row for each value. with_range: also adds __range, for extreme()."""
     ranges = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(value).desc() if descending else F.col(value).asc()
     dealt = counts.repartitionByRange(ranges, *by, order).withColumn("__range", F.spark_partition_id())
@@ -40,25 +42,23 @@ def running(counts: DataFrame, by: list[str], value: str, sums: list[str], desce
     within = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     met = dealt.join(offsets, equal([(k, f"__{i}") for i, k in enumerate(keys)]))
     before = [(F.col(f"__of_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in sums]
-    return met.select(*counts.columns, *before)
+    return met.select(*counts.columns, *before, *(["__range"] if with_range else []))
 
 
 def extreme(rows: DataFrame, by: list[str], value: str, column: str, how: str, descending: bool = False) -> DataFrame:
     """Adds best_{column}: the least (how: min) or largest (max) of that column over the values up to each one within `by`,
-    that one included. rows has one row for each value."""
+    that one included. rows has one row for each value, with the __range that running() has given it, which goes."""
     best = {"min": F.min, "max": F.max}[how]
-    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    dealt = written(rows.repartitionByRange(ranges, *by, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    way = lambda c: F.col(c).desc() if descending else F.col(c).asc()
     keys = [*by, "__range"]
-    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    known = dealt.groupBy(*keys).agg(best(column).alias("__b")).select(
+    earlier = Window.partitionBy(*by).orderBy(way("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    known = rows.groupBy(*keys).agg(best(column).alias("__b")).select(
         *(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), best("__b").over(earlier).alias("__of")
     )
-    within = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    met = dealt.join(known, equal([(k, f"__{i}") for i, k in enumerate(keys)]))
+    within = Window.partitionBy(*keys).orderBy(way(value)).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(known, equal([(k, f"__{i}") for i, k in enumerate(keys)]))
     both = (F.least if how == "min" else F.greatest)(F.col("__of"), best(column).over(within))
-    return met.select(*rows.columns, both.alias(f"best_{column}"))
+    return met.select(*(c for c in rows.columns if c != "__range"), both.alias(f"best_{column}"))
 
 
 def ranked(

@@ -180,7 +180,7 @@ def adjusted(
     sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
     names = [f"__s{i}" for i in range(len(by))]
     sizes = sizes.withColumnsRenamed(dict(zip(by, names, strict=True)))
-    placed = running(counts, by, "__p", ["__c"])
+    placed = running(counts, by, "__p", ["__c"], with_range=True)
     placed = placed.join(sizes, equal(list(zip(by, names, strict=True)))) if by else placed.crossJoin(sizes)  # one row
     x, n, before, c = F.col("__p"), F.col("__n"), F.col("before___c"), F.col("__c")
     raw = {
@@ -191,9 +191,9 @@ def adjusted(
     }
     if method not in raw:
         raise ValueError(f"unknown method: {method}")
-    placed = placed.select(*by, "__p", raw[method].alias("adj"))
+    placed = placed.select(*by, "__p", "__range", raw[method].alias("adj"))
     if method == "bonferroni":
-        placed = placed.withColumnRenamed("adj", "best_adj")
+        placed = placed.drop("__range").withColumnRenamed("adj", "best_adj")
     else:
         up = method == "holm"
         placed = extreme(placed, by, "__p", "adj", "max" if up else "min", descending=not up)
