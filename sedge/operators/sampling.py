@@ -107,9 +107,9 @@ def proportional(rows: DataFrame, key: str, label: str, n: int, seed: int = 42)
 
 
 def contiguous_folds(rows: DataFrame, key: str, k: int = 10, seed: int = 42) -> DataFrame:
-    """Adds fold (0 to k - 1) of equal contiguous slices in hash order; what is left over has none."""
+    """Adds fold (0 to k - 1) of equal contiguous slices in hash order; what is left over has none, as have fewer than k rows."""
     placed = with_place(rows.withColumn("__all", F.lit(0)), key, ["__all"], seed)
-    fold = F.floor(F.col("place") / F.floor(F.col("size") / k)).cast("int")
+    fold = F.floor(F.try_divide("place", F.floor(F.col("size") / k))).cast("int")
     return placed.withColumn("fold", F.when(fold < k, fold)).drop("place", "size", "__all")
 
 
