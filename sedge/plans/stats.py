@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.functions.numbers import f_tail, midrank, share_rank
+from sedge.functions.numbers import f_tail
 from sedge.operators import information, normality
 from sedge.operators import stats as S
+from sedge.operators.ranks import tied_ranks
 from sedge.plans.uncertainty import rounded
 from sedge.plans.views import (
     CATEGORIES, FEATURES_LONG, LINE_FEATURES, TOOL_LABELS, TOOL_PROBS, TOOLS, categories, features_long, line_features,
@@ -146,13 +147,9 @@ def kappa_matrix(spark, d):
 
 
 def midranks(spark, d):
-    return rounded(
-        line_features(spark, d).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).select(
-            "feature", F.round("value", 4).alias("value"), midrank("n", BY).alias("rank"),
-            midrank("n", BY, descending=True).alias("rank_down"), share_rank("n", BY).alias("share"),
-            share_rank("n", BY, "min").alias("share_min"),
-        )
-    )
+    """Values of each feature ranked by how many rows have them."""
+    counts = line_features(spark, d).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(tied_ranks(counts, BY, "n").drop("n").withColumn("value", F.round("value", 4)))
 
 
 def composite_rank(spark, d):
