@@ -132,7 +132,8 @@ def _yeo_johnson(x: Column, l: Column) -> Column:
 def yeo_johnson_lambdas(rows: DataFrame, points: int = 16, close: float = 1e-6, widest: float = 64.0) -> DataFrame:
     """feature and lambda, by maximum likelihood, of all features at once: each round sets a row of lambdas against each
     other in one aggregation, and goes on between the neighbours of the best, or further out if that is the first or the
-    last. A round narrows the interval `points` / 2 times; it ends when all are narrower than `close`, and gives features
+    last. The lambdas of a round are what is broadcast: Spark does not know the size of a table made of rows, and would send
+    the values to the driver instead where these are small enough. A round narrows the interval `points` / 2 times; it ends when all are narrower than `close`, and gives features
     without a spread 1. Only the intervals, a row for each feature, come to the driver."""
     spark = rows.sparkSession
     known = written(rows.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value")), "yj-values")
@@ -143,7 +144,7 @@ def yeo_johnson_lambdas(rows: DataFrame, points: int = 16, close: float = 1e-6,
         open_ = [(f, a, (b - a) / points) for f, (_, a, b) in found.items() if b - a > close]
         bounds = spark.createDataFrame(open_, "feature string, a double, step double")
         at = [F.col("a") + F.lit(i) * F.col("step") for i in range(points + 1)]
-        sums = known.join(bounds, "feature").groupBy("feature").agg(
+        sums = known.join(F.broadcast(bounds), "feature").groupBy("feature").agg(
             F.count(x).alias("n"), *(F.var_pop(_yeo_johnson(x, l)).alias(f"v{i}") for i, l in enumerate(at))
         )
         for r in sums.collect():
@@ -162,7 +163,7 @@ def yeo_johnson_lambdas(rows: DataFrame, points: int = 16, close: float = 1e-6,
 
 def yeo_johnson(rows: DataFrame) -> DataFrame:
     """Adds the Yeo-Johnson transform of each feature's values, with the lambda of the largest likelihood."""
-    return rows.join(yeo_johnson_lambdas(rows), "feature").withColumn("transformed", _yeo_johnson(F.col("value"), F.col("lambda")))
+    return rows.join(F.broadcast(yeo_johnson_lambdas(rows)), "feature").withColumn("transformed", _yeo_johnson(F.col("value"), F.col("lambda")))
 
 
 def feature_matrix(
