@@ -25,11 +25,21 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     total = sizes.agg(F.sum("__n").alias("__t"), F.count(F.lit(1)).alias("__k")).withColumn("__on", F.lit(1))
     sizes = sizes.withColumn("__on", F.lit(1)).join(total, "__on")  # one row
-    return rows.join(sizes.select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight")), label)
+    weights = sizes.select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight"))
+    return rows.join(F.broadcast(weights), label)  # one row for each class
+
+
+def dealt_out(rows: DataFrame, *by: str) -> DataFrame:
+    """rows in as many parts as there are cores, however few the input's files and row groups are. More parts would cost a
+    fit more than they give: each has statistics of all nodes of a level of its own."""
+    return rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism), *by)
 
 
 def fit_forest(train: DataFrame, columns: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42):
-    weighted = class_weights(assembled(train, columns), label)
+    """A forest of weighted classes. Parts and their order are told by the values, and so are the rows that a tree draws."""
+    told = train.select(label, *columns, F.xxhash64(*columns, label).alias("__h"))
+    parts = dealt_out(told, "__h").sortWithinPartitions("__h")
+    weighted = class_weights(assembled(parts, columns), label).select(label, "__x", "weight")
     return RandomForestClassifier(
         featuresCol="__x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
     ).fit(weighted)
@@ -57,17 +67,19 @@ def permutation_importance(
 ) -> DataFrame:
     """feature and the mean loss of balanced accuracy, not below 0, when its column is dealt out anew, `repeats` times. In
     each repeat a row gets the values of the row that has its place in another hash order. All rows with all their
-    changes are one table that the model scores."""
+    changes are one table that the model scores. Rows meet by a merge in as many parts as there are cores: no side of it
+    goes to the driver, whatever its size, and no few tasks score all."""
     place = lambda s: with_place(rows.withColumn("__all", F.lit(0)), key, ["__all"], s).drop("size", "__all")
     other = [
         place(seed + 1 + r).select("place", F.lit(r).alias("__r"), F.array(*(F.col(c).cast("double") for c in columns)).alias("__new"))
         for r in range(repeats)
     ]
-    met = place(seed).join(reduce(DataFrame.unionByName, other), "place")
+    given = place(seed).select("place", F.col(label).alias("__y"), *columns)
+    met = dealt_out(given, "place").join(dealt_out(reduce(DataFrame.unionByName, other), "place").hint("merge"), "place")
     # feature -1 changes nothing, and gives the score that others are set against
     long = met.withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))))
     mixed = [F.when(F.col("__f") == i, F.col("__new")[i]).otherwise(F.col(c).cast("double")).alias(c) for i, c in enumerate(columns)]
-    scored = model.transform(assembled(long.select("__f", "__r", F.col(label).alias("__y"), *mixed), columns))
+    scored = model.transform(assembled(long.select("__f", "__r", "__y", *mixed), columns))
     right = lambda k: F.coalesce(F.avg(F.when(F.col("__y") == k, (F.col("prediction") == k).cast("int"))), F.lit(0.0))
     scores = scored.groupBy("__f", "__r").agg(((right(0) + right(1)) / 2).alias("score"))
     base = scores.where("__f = -1").select("__r", F.col("score").alias("base"))
