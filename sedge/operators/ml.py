@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.operators.sampling import stratified_folds, with_place
@@ -21,12 +21,13 @@ def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
-    """Adds weight: rows over classes times rows of the class."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    total = sizes.agg(F.sum("__n").alias("__t"), F.count(F.lit(1)).alias("__k")).withColumn("__on", F.lit(1))
-    sizes = sizes.withColumn("__on", F.lit(1)).join(total, "__on")  # one row
-    weights = sizes.select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight"))
-    return rows.join(F.broadcast(weights), label)  # one row for each class
+    """Adds weight: rows over classes times rows of the class; rows of no class go. The counts, one for each class, come to
+    the driver, so that what a fit reads again and again has no joins."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    total, weight = sum(sizes.values()), F.lit(None).cast("double")
+    for k, n in sizes.items():
+        weight = F.when(F.col(label) == F.lit(k), F.lit(total / (len(sizes) * n))).otherwise(weight)
+    return rows.where(F.col(label).isNotNull()).withColumn("weight", weight)
 
 
 def dealt_out(rows: DataFrame, *by: str) -> DataFrame:
@@ -36,13 +37,13 @@ def dealt_out(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def fit_forest(train: DataFrame, columns: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42):
-    """A forest of weighted classes. Parts and their order are told by the values, and so are the rows that a tree draws."""
-    told = train.select(label, *columns, F.xxhash64(*columns, label).alias("__h"))
+    """A forest of weighted classes. Parts and their order are told by the values, and so are the rows that a tree draws.
+    Rows keep the nodes that they are in, which gives the same forest; else all trees go to every task of every level."""
+    told = class_weights(train.select(label, *columns), label).withColumn("__h", F.xxhash64(*columns, label))
     parts = dealt_out(told, "__h").sortWithinPartitions("__h")
-    weighted = class_weights(assembled(parts, columns), label).select(label, "__x", "weight")
     return RandomForestClassifier(
-        featuresCol="__x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
-    ).fit(weighted)
+        featuresCol="__x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True
+    ).fit(assembled(parts, columns).select(label, "__x", "weight"))
 
 
 def predictions(model, rows: DataFrame, columns: list[str], key: str, label: str) -> DataFrame:
@@ -62,45 +63,58 @@ def balanced_accuracy(predicted: DataFrame) -> float:
     return ((row[0] or 0.0) + (row[1] or 0.0)) / 2
 
 
-def permutation_importance(
-    model, rows: DataFrame, columns: list[str], key: str, label: str, repeats: int = 5, seed: int = 42
-) -> DataFrame:
-    """feature and the mean loss of balanced accuracy, not below 0, when its column is dealt out anew, `repeats` times. In
-    each repeat a row gets the values of the row that has its place in another hash order. All rows with all their
-    changes are one table that the model scores. Rows meet by a merge in as many parts as there are cores: no side of it
-    goes to the driver, whatever its size, and no few tasks score all."""
+def dealt_anew(rows: DataFrame, columns: list[str], key: str, label: str, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """Each row in each repeat (__r): label as __y, its columns, and in __new the columns of the row that has its place in
+    another hash order. Rows meet by a merge in as many parts as there are cores: no side of it goes to the driver, whatever
+    its size, and no few tasks score all. Which columns there are does not change who meets whom."""
     place = lambda s: with_place(rows.withColumn("__all", F.lit(0)), key, ["__all"], s).drop("size", "__all")
     other = [
-        place(seed + 1 + r).select("place", F.lit(r).alias("__r"), F.array(*(F.col(c).cast("double") for c in columns)).alias("__new"))
+        place(seed + 1 + r).select("place", F.lit(r).alias("__r"), F.struct(*(F.col(c).cast("double").alias(c) for c in columns)).alias("__new"))
         for r in range(repeats)
     ]
     given = place(seed).select("place", F.col(label).alias("__y"), *columns)
-    met = dealt_out(given, "place").join(dealt_out(reduce(DataFrame.unionByName, other), "place").hint("merge"), "place")
-    # feature -1 changes nothing, and gives the score that others are set against
-    long = met.withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))))
-    mixed = [F.when(F.col("__f") == i, F.col("__new")[i]).otherwise(F.col(c).cast("double")).alias(c) for i, c in enumerate(columns)]
-    scored = model.transform(assembled(long.select("__f", "__r", "__y", *mixed), columns))
+    return dealt_out(given, "place").join(dealt_out(reduce(DataFrame.unionByName, other), "place").hint("merge"), "place").drop("place")
+
+
+def _importance(model, met: DataFrame, columns: list[str]) -> DataFrame:
+    """permutation_importance() of rows that have met their new values. A repeat has all rows, so the mean over repeats is
+    that over all its rows together, and what changes nothing (feature -1) is scored in the first repeat only."""
+    first = F.when(F.col("__r") == 0, F.lit(-1)).otherwise(F.lit(0))
+    long = met.withColumn("__f", F.explode(F.sequence(first, F.lit(len(columns) - 1))))
+    mixed = [F.when(F.col("__f") == i, F.col("__new")[c]).otherwise(F.col(c).cast("double")).alias(c) for i, c in enumerate(columns)]
+    scored = model.transform(assembled(long.select("__f", "__y", *mixed), columns))
     right = lambda k: F.coalesce(F.avg(F.when(F.col("__y") == k, (F.col("prediction") == k).cast("int"))), F.lit(0.0))
-    scores = scored.groupBy("__f", "__r").agg(((right(0) + right(1)) / 2).alias("score"))
-    base = scores.where("__f = -1").select("__r", F.col("score").alias("base"))
-    lost = scores.where("__f >= 0").join(base, "__r").groupBy("__f").agg(F.avg(F.col("base") - F.col("score")).alias("lost"))
+    scores = scored.groupBy("__f").agg(((right(0) + right(1)) / 2).alias("score"))
+    base = F.max(F.when(F.col("__f") == -1, F.col("score"))).over(Window.partitionBy(F.lit(0)))  # a row for each feature, and one
+    lost = scores.withColumn("lost", base - F.col("score")).where("__f >= 0")
     names = F.array(*map(F.lit, columns))
     return lost.select(F.get(names, F.col("__f")).alias("feature"), F.greatest(F.col("lost"), F.lit(0.0)).alias("importance"))
 
 
+def permutation_importance(
+    model, rows: DataFrame, columns: list[str], key: str, label: str, repeats: int = 5, seed: int = 42
+) -> DataFrame:
+    """feature and the mean loss of balanced accuracy, not below 0, when its column is dealt out anew, `repeats` times. In
+    each repeat a row gets the values of the row that has its place in another hash order. All rows with all their
+    changes are one table that the model scores."""
+    return _importance(model, dealt_anew(rows, columns, key, label, repeats, seed), columns)
+
+
 def _chain(
     train: DataFrame, test: DataFrame | None, columns: list[str], key: str, label: str, step: int, least: int, trees: int,
     depth: int, repeats: int,
 ) -> list[tuple[int, float | None, list[str]]]:
     """Ever smaller sets of features, with their scores on the test rows if there are any. The `step` features of the least
-    permutation importance on the training rows go first; of equal ones the last by name."""
+    permutation importance on the training rows go first; of equal ones the last by name. Rows meet their new values once
+    for all sets."""
     left, out = list(columns), []
+    met = written(dealt_anew(train, columns, key, label, repeats), "elimination-met") if len(left) > least else None
     while True:
         model = fit_forest(train, left, label, trees=trees, depth=depth)
         out.append((len(left), None if test is None else balanced_accuracy(predictions(model, test, left, key, label)), list(left)))
         if len(left) <= least:
             return out
-        lost = {r.feature: r.importance for r in permutation_importance(model, train, left, key, label, repeats).collect()}
+        lost = {r.feature: r.importance for r in _importance(model, met, left).collect()}
         order = sorted(left, key=lambda c: (-lost[c], c))
         kept = set(order[: max(least, len(left) - step)])
         left = [c for c in left if c in kept]
