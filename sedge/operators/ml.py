@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.operators.permuted import permuted_calls
 from sedge.operators.sampling import stratified_folds, with_place
 from sedge.sources.scratch import written
 
@@ -78,25 +79,21 @@ def dealt_anew(rows: DataFrame, columns: list[str], key: str, label: str, repeat
 
 def _importance(model, met: DataFrame, columns: list[str]) -> DataFrame:
     """permutation_importance() of rows that have met their new values. A repeat has all rows, so the mean over repeats is
-    that over all its rows together, and what changes nothing (feature -1) is scored in the first repeat only."""
-    first = F.when(F.col("__r") == 0, F.lit(-1)).otherwise(F.lit(0))
-    long = met.withColumn("__f", F.explode(F.sequence(first, F.lit(len(columns) - 1))))
-    mixed = [F.when(F.col("__f") == i, F.col("__new")[c]).otherwise(F.col(c).cast("double")).alias(c) for i, c in enumerate(columns)]
-    scored = model.transform(assembled(long.select("__f", "__y", *mixed), columns))
-    right = lambda k: F.coalesce(F.avg(F.when(F.col("__y") == k, (F.col("prediction") == k).cast("int"))), F.lit(0.0))
-    scores = scored.groupBy("__f").agg(((right(0) + right(1)) / 2).alias("score"))
+    that over all its rows together."""
+    share = lambda k: F.coalesce(F.try_divide(F.sum(F.when(F.col("__y") == k, F.col("right"))), F.sum(F.when(F.col("__y") == k, F.col("n")))), F.lit(0.0))
+    scores = permuted_calls(model, met, columns).groupBy("__f").agg(((share(0) + share(1)) / 2).alias("score"))
     base = F.max(F.when(F.col("__f") == -1, F.col("score"))).over(Window.partitionBy(F.lit(0)))  # a row for each feature, and one
     lost = scores.withColumn("lost", base - F.col("score")).where("__f >= 0")
     names = F.array(*map(F.lit, columns))
-    return lost.select(F.get(names, F.col("__f")).alias("feature"), F.greatest(F.col("lost"), F.lit(0.0)).alias("importance"))
+    return lost.select(F.get(names, F.col("__f").cast("int")).alias("feature"), F.greatest(F.col("lost"), F.lit(0.0)).alias("importance"))
 
 
 def permutation_importance(
     model, rows: DataFrame, columns: list[str], key: str, label: str, repeats: int = 5, seed: int = 42
 ) -> DataFrame:
     """feature and the mean loss of balanced accuracy, not below 0, when its column is dealt out anew, `repeats` times. In
-    each repeat a row gets the values of the row that has its place in another hash order. All rows with all their
-    changes are one table that the model scores."""
+    each repeat a row gets the values of the row that has its place in another hash order; `permuted` has how the model calls it with
+    each of them."""
     return _importance(model, dealt_anew(rows, columns, key, label, repeats, seed), columns)
 
 
